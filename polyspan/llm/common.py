@@ -6,7 +6,6 @@ gives a result row. Rows are never merged by their id: repeated rows give repeat
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,16 +16,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of the contracts: separated by ASCII white space, and by everything in ASCII but letters and digits.
-SPACED = re.compile(r"[^\x20\x09-\x0D]+")
-ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Bytes of UTF-8 text with A-Z made a-z and all other ASCII but letters and digits made blank.
+_ALNUM_LOWER = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
+def spaced(text: bytes) -> list[bytes]:
+    """Words between ASCII white space: matches of [^\\x20\\x09-\\x0D]+."""
+    return text.split()
 
-def ascii_lower(text: str) -> str:
-    """A-Z to a-z, all other characters unchanged."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+
+def alnum_words(text: bytes) -> list[bytes]:
+    """Lower-cased (A-Z) runs of ASCII letters, digits and anything beyond ASCII."""
+    return text.translate(_ALNUM_LOWER).split()
 
 
 def ascii_lower_col(column):
@@ -87,6 +88,10 @@ def unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         yield from batch.to_pylist()
