@@ -48,5 +48,55 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_byte_bpe": op4_byte_bpe, "op8_decontamination": op8_decontamination}
-ORACLES: dict[str, str] = {}
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; `source` stands for the owner, `source` and `lang` for the repository."""
+    from . import secrets
+
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = secrets.listed(F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE)))
+    live = F.size(F.filter("spans", lambda s: s["live"])).cast("long")
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"), live.alias("n_live"), F.coalesce(F.array_max(F.transform("spans", lambda s: s["n_owners"])), F.lit(0)).alias("most_owners"),
+    )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives and read back."""
+    from . import common, warc
+
+    folder = common.new_shared_path(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), folder)
+    found = warc.read(spark, folder)
+    return found.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+     q AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+     f AS (SELECT payload_digest, min(page_id) AS first FROM q WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT q.page_id, CAST(q.payload_bytes AS BIGINT) AS payload_bytes, q.payload_digest,
+       CASE WHEN f.first IS NOT NULL AND f.first IS DISTINCT FROM q.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first IS DISTINCT FROM q.page_id THEN f.first END AS refers_to
+FROM q LEFT JOIN f USING (payload_digest)
+"""
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    from . import license_scan
+
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    starts = F.transform("phrases", lambda p: p["start"].cast("long"))
+    base = F.array_distinct(F.transform("phrases", lambda p: p["label"]))
+    more = F.array_distinct(F.transform("matches", lambda m: m["label"]))
+    joined = lambda labels: F.array_join(F.array_sort(labels), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("phrases").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"),
+        joined(F.array_union(base, more)).alias("labels"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op4_byte_bpe": op4_byte_bpe, "op8_decontamination": op8_decontamination, "op9_warc": op9_warc, "op10_licenses": op10_licenses}
+ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}
