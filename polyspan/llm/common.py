@@ -51,6 +51,13 @@ def new_shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are long rows: fewer of them at once between Spark and Python, unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -66,10 +73,10 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def squeeze(*parts: bytes) -> bytes:
+def squeeze(*parts: bytes, level: int = 3) -> bytes:
     """Pack byte strings into one compressed blob."""
     sizes = np.array([len(parts), *map(len, parts)], dtype="<u4").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(sizes + b"".join(parts))
 
 
 def unsqueeze(blob: bytes) -> list[bytes]:

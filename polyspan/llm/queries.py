@@ -7,8 +7,11 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -64,7 +67,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC archives and read back."""
-    from . import common, warc
+    from . import warc
 
     folder = common.new_shared_path(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages"), folder)
@@ -98,5 +101,52 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op4_byte_bpe": op4_byte_bpe, "op8_decontamination": op8_decontamination, "op9_warc": op9_warc, "op10_licenses": op10_licenses}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of every document, learnt from the rated ones."""
+    from . import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the passages that earlier documents hold."""
+    from . import substring
+
+    found = substring.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as audio and read back, with features."""
+    from . import media
+
+    found = media.features(media.store(_table(spark, sf_dir, "documents")), with_tensors=False)
+    bands = F.array_join(F.transform("mel_mean", lambda v: F.format_number(v, 2)), " ")
+    active = F.aggregate("spans", F.lit(0.0), lambda n, s: n + s["end"] - s["start"])
+    feature = F.concat_ws("|", "n_frames", F.size("spans"), F.format_number(active, 2), bands)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of held-out rows are not learnt."""
+    from . import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_secrets": op2_secrets,
+    "op3_quality": op3_quality,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_substrings": op5_substrings,
+    "op6_audio": op6_audio,
+    "op7_toxicity": op7_toxicity,
+    "op8_decontamination": op8_decontamination,
+    "op9_warc": op9_warc,
+    "op10_licenses": op10_licenses,
+}
 ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}

@@ -1,7 +1,8 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of the word itself and its character n-grams, hashed into buckets, so an
-unseen misspelling shares most of its vector with the word. A text's vector is the mean over its words. Embeddings and
+unseen misspelling shares most of its vector with the word. A text's vector is the mean over its words
+and `BLANKS` empty ones. Embeddings and
 softmax are fitted together on at most `max_rows` labelled documents, chosen by the hash of their id, half of either
 label where there are enough. Scoring reads every text whole and moves none; label, language, source and id are not
 inputs.
@@ -25,9 +26,10 @@ from pyspark.sql import types as T
 
 from .common import alnum_words, raw_texts
 
-MAX_ROWS = 6000
+MAX_ROWS = 4000
 BUCKETS = 1 << 16
-DIM = 8
+DIM = 6
+BLANKS = 20  # words without a vector in every mean, so that a few odd words don't decide a short text
 GAIN = 50.0  # embeddings are averaged over hundreds of words; this keeps their steps small
 
 
@@ -57,8 +59,8 @@ class Subwords:
 class _Mean:
     """The mean of source rows for each target, with weights, and its transpose; both as sums over sorted runs."""
 
-    def __init__(self, target: np.ndarray, source: np.ndarray, weight: np.ndarray, n_target: int, n_source: int):
-        weight = weight / np.bincount(target, weight, minlength=n_target)[target]
+    def __init__(self, target: np.ndarray, source: np.ndarray, weight: np.ndarray, total: np.ndarray, n_source: int):
+        n_target, weight = len(total), weight / total[target]
         self.ways = [self._way(target, source, weight, n_target), self._way(source, target, weight, n_source)]
 
     @staticmethod
@@ -66,49 +68,58 @@ class _Mean:
         order = np.argsort(target, kind="stable")
         run = target[order]
         first = np.flatnonzero(np.diff(run, prepend=-1))
-        return source[order], weight[order].astype(np.float32)[:, None], first, run[first], n
+        return source[order], weight[order].astype(np.float32), first, run[first], n
 
     def __call__(self, x: np.ndarray, back: bool = False) -> np.ndarray:
         source, weight, first, at, n = self.ways[back]
-        out = np.zeros((n, x.shape[1]), np.float32)
+        out = np.zeros((len(x), n), np.float32)
         if len(first):
-            out[at] = np.add.reduceat(x[source] * weight, first, axis=0)
+            for k, row in enumerate(x):
+                out[k, at] = np.add.reduceat(row[source] * weight, first)
         return out
 
 
-def fit_subwords(bags: list[dict[bytes, int]], labels: np.ndarray, steps: int = 120, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Subwords:
-    """Adam over all rows at once; words of only one document are left out of fitting."""
+def fit_subwords(bags: list[dict[bytes, int]], labels: np.ndarray, steps: int = 100, rate: float = 0.05, decay: float = 3e-5, seed: int = 7) -> Subwords:
+    """Adam over all rows at once; words of one or two documents only are left out of fitting. The bias is then set so
+    that a probability of one half splits the fitted rows with the fewest errors, label 1 weighted to be half of them."""
     seen = Counter(w for bag in bags for w in bag)
-    number = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n > 1))}
-    pairs = [(d, number[w], n) for d, bag in enumerate(bags) for w, n in bag.items() if w in number]
-    pairs = np.array(pairs, np.int64).reshape(-1, 3)
+    number = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n > 2))}
+    pairs = np.array([(d, number[w], n) for d, bag in enumerate(bags) for w, n in bag.items() if w in number], np.int64).reshape(-1, 3)
     parts = [np.array(subwords(w), np.int64) for w in number]
-    texts = _Mean(pairs[:, 0], pairs[:, 1], pairs[:, 2].astype(np.float64), len(bags), len(number))
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    sizes = np.array([BLANKS + sum(bag.values()) for bag in bags], np.float64)
+    texts = _Mean(pairs[:, 0], pairs[:, 1], pairs[:, 2].astype(np.float64), sizes, len(number))
+    n_parts = np.array([len(p) for p in parts], np.float64)
+    owner = np.repeat(np.arange(len(parts)), n_parts.astype(np.int64))
     used, local = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_inverse=True)
-    words = _Mean(owner, local, np.ones(len(owner)), len(parts), len(used))
+    words = _Mean(owner, local, np.ones(len(owner)), n_parts, len(used))
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
-    weights, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
-    onehot = np.eye(2, dtype=np.float32)[labels]
-    balance = (0.5 / np.maximum(onehot.mean(axis=0), 1e-6))[labels][:, None] / len(bags)
+    table = rng.normal(0, 0.01, (DIM, len(used))).astype(np.float32)
+    weights, bias = rng.normal(0, 0.5, (2, DIM)).astype(np.float32), np.zeros((2, 1), np.float32)
+    onehot = np.eye(2, dtype=np.float32)[:, labels]
+    balance = (0.5 / np.maximum(onehot.mean(axis=1), 1e-6))[labels] / len(bags)
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (table, weights, bias)]
     for step in range(1, steps + 1):
         vectors = GAIN * texts(words(table))
-        logits = vectors @ weights + bias
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
+        logits = weights @ vectors + bias
+        p = np.exp(logits - logits.max(axis=0))
+        p /= p.sum(axis=0)
         by_logits = ((p - onehot) * balance).astype(np.float32)
-        by_table = words(texts(GAIN * by_logits @ weights.T, back=True), back=True) + decay * table
-        for x, g, (m, v) in zip((table, weights, bias), (by_table, vectors.T @ by_logits + decay * weights, by_logits.sum(axis=0)), moments, strict=True):
+        by_table = words(texts(GAIN * weights.T @ by_logits, back=True), back=True) + decay * table
+        for x, g, (m, v) in zip((table, weights, bias), (by_table, by_logits @ vectors.T + decay * weights, by_logits.sum(axis=1, keepdims=True)), moments, strict=True):
             m *= 0.9
             m += 0.1 * g
             v *= 0.99
             v += 0.01 * g * g
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     side = np.zeros(BUCKETS)
-    side[used] = GAIN * (table @ (weights[:, 1] - weights[:, 0]))
-    return Subwords(side, float(bias[1] - bias[0]))
+    side[used] = GAIN * ((weights[1] - weights[0]) @ table)
+    odds = (weights[1] - weights[0]) @ (GAIN * texts(words(table)))
+    order = np.argsort(odds, kind="stable")
+    wrong = np.cumsum(np.where(labels[order] == 1, balance[order], -balance[order]))  # by threshold above this row, less a constant
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
+    best = int(best[len(best) // 2])
+    cut = (odds[order[best]] + odds[order[min(best + 1, len(order) - 1)]]) / 2
+    return Subwords(side, -float(cut))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_rows: int = MAX_ROWS, learn: Column | None = None) -> Subwords:
@@ -155,7 +166,7 @@ def score(docs: DataFrame, model: Subwords, text: str = "text", keep: list[str]
             odds = []
             for body in raw_texts(batch, "_text"):
                 words = alnum_words(body)
-                odds.append(model.bias + sum(w if (w := known.get(x)) is not None else weight(x) for x in words) / max(1, len(words)))
+                odds.append(model.bias + sum(w if (w := known.get(x)) is not None else weight(x) for x in words) / (BLANKS + len(words)))
             out = 1 / (1 + np.exp(-np.clip(np.array(odds, np.float64).reshape(-1), -40, 40)))
             yield batch.drop_columns(["_text"]).append_column("score", pa.array(out))
 
