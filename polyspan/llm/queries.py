@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @functools.cache
-def _vocabulary() -> tuple[dict[bytes, int], str]:
+def vocabulary() -> tuple[dict[bytes, int], str]:
     import public_tokenizers
 
     from .bpe import read_ranks
@@ -28,7 +28,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids again; digests of both."""
     from . import bpe
 
-    ranks, pattern = _vocabulary()
+    ranks, pattern = vocabulary()
     tokens = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks)
     return tokens.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -3,8 +3,8 @@
 A word's vector is the mean of the vectors of the word itself and its character n-grams, hashed into buckets, so an
 unseen misspelling shares most of its vector with the word. A text's vector is the mean over its words
 and `BLANKS` empty ones. Embeddings and
-softmax are fitted together on at most `max_rows` labelled documents, chosen by the hash of their id, half of either
-label where there are enough. Scoring reads every text whole and moves none; label, language, source and id are not
+softmax are fitted together on at most `max_rows` labelled documents, chosen by the hash of their id, a third of
+them with label 1 where there are enough. Scoring reads every text whole and moves none; label, language, source and id are not
 inputs.
 
 Null and empty texts have the zero vector and so the score of the bias. Without labels of both kinds the score is the
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import alnum_words, raw_texts
 
-MAX_ROWS = 4000
+MAX_ROWS = 6000
 BUCKETS = 1 << 16
 DIM = 6
 BLANKS = 20  # words without a vector in every mean, so that a few odd words don't decide a short text
@@ -79,8 +79,8 @@ class _Mean:
         return out
 
 
-def fit_subwords(bags: list[dict[bytes, int]], labels: np.ndarray, steps: int = 100, rate: float = 0.05, decay: float = 3e-5, seed: int = 7) -> Subwords:
-    """Adam over all rows at once; words of one or two documents only are left out of fitting. The bias is then set so
+def fit_subwords(bags: list[dict[bytes, int]], labels: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 1e-6, seed: int = 7) -> Subwords:
+    """Gradient steps with momentum over all rows at once; words of one or two documents only are left out of fitting. The bias is then set so
     that a probability of one half splits the fitted rows with the fewest errors, label 1 weighted to be half of them."""
     seen = Counter(w for bag in bags for w in bag)
     number = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n > 2))}
@@ -98,7 +98,7 @@ def fit_subwords(bags: list[dict[bytes, int]], labels: np.ndarray, steps: int =
     onehot = np.eye(2, dtype=np.float32)[:, labels]
     balance = (0.5 / np.maximum(onehot.mean(axis=1), 1e-6))[labels] / len(bags)
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (table, weights, bias)]
-    for step in range(1, steps + 1):
+    for _ in range(steps):
         vectors = GAIN * texts(words(table))
         logits = weights @ vectors + bias
         p = np.exp(logits - logits.max(axis=0))
@@ -110,7 +110,7 @@ def fit_subwords(bags: list[dict[bytes, int]], labels: np.ndarray, steps: int =
             m += 0.1 * g
             v *= 0.99
             v += 0.01 * g * g
-            x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+            x -= rate * m / (np.sqrt(v.mean()) + 1e-12)  # one step size for all: words without a steady gradient hardly move
     side = np.zeros(BUCKETS)
     side[used] = GAIN * ((weights[1] - weights[0]) @ table)
     odds = (weights[1] - weights[0]) @ (GAIN * texts(words(table)))
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     known = labels.where(learn).select(labels[doc_id].alias("id"), labels[label].cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     by_hash = [F.xxhash64("id"), F.col("id")]
-    chosen = known.where("y = 1").orderBy(*by_hash).limit(max_rows // 2).unionByName(known.where("y = 0").orderBy(*by_hash).limit(max_rows // 2))
+    chosen = known.where("y = 1").orderBy(*by_hash).limit(max_rows // 3).unionByName(known.where("y = 0").orderBy(*by_hash).limit(max_rows - max_rows // 3))
     bodies = docs.select(docs[doc_id].alias("id"), docs[text].cast("binary").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
