@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 1. Every task splits its documents into pre-tokens and numbers them in a dictionary of its own (a chunk: some
-   16 MB of text). A document becomes the list of its pre-tokens' numbers, in order.
+   7 MB of text). A document becomes the list of its pre-tokens' numbers, in order.
 2. The chunks' dictionaries are shuffled by word. A word is encoded once, where all chunks that hold it meet.
 3. The token ids go back to their chunks, and each document is put together by position.
 4. Decoding joins the ids with the table of token bytes, whose size is the vocabulary's.
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import TaskContext
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import planes, saved, squeeze, texts, unplanes, unsqueeze
+from .common import planes, squeeze, texts, unplanes, unsqueeze
 
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 7_000_000
 
 # Characters on which the standard library's classes below agree with \p{L}, \p{N} and \s; other texts take `regex`.
 _LETTER = r"A-Za-zÀ-ÖØ-öø-ſ"
@@ -73,7 +74,7 @@ def _chunks(split: Splitter, buckets: int, chunk_chars: int):
             for b in kept:
                 out.write_batch(b)
         rows = [("docs", chunk, -1, squeeze(sink.getvalue().to_pybytes(), planes([len(d) for d in docs]), planes(rank[used])))]
-        rows += [("words", chunk, b, squeeze(planes(np.diff([r for r, _ in g], prepend=0)), planes([len(w) for _, w in g]), b"".join(w for _, w in g))) for b, g in groups.items()]
+        rows += [("words", chunk, b, squeeze(planes(np.diff([r for r, _ in g], prepend=0)), planes([len(w) for _, w in g]), b"".join(w for _, w in g), level=9)) for b, g in groups.items()]
         for i in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 64]), (pa.string(), pa.int64(), pa.int32(), pa.binary()))], ["kind", "chunk", "bucket", "blob"])
 
@@ -101,6 +102,13 @@ def _chunks(split: Splitter, buckets: int, chunk_chars: int):
     return run
 
 
+def _dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.filter(pc.equal(batch.column("kind"), "words"))
+        if words.num_rows:
+            yield words.select(["bucket", "chunk", "blob"])
+
+
 def _encode_words(ranks):
     """Dictionaries sorted by bucket in, token ids of the same words out; each distinct word is encoded once."""
 
@@ -119,7 +127,7 @@ def _encode_words(ranks):
                     if w not in known:
                         known[w] = whole.encode_ordinary(w.decode())
                 ids = [known[w] for w in words]
-                blobs.append(squeeze(rank, planes([len(x) for x in ids]), planes([y for x in ids for y in x])))
+                blobs.append(squeeze(rank, planes([len(x) for x in ids]), planes([y for x in ids for y in x]), level=9))
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(blobs, pa.binary())], ["chunk", "blob"])
 
     return run
@@ -141,9 +149,13 @@ def _reassemble(schema: pa.Schema):
             at += len(ids)
         flat = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, "<u4")
         tables = []
-        for blob in left.column("blob").to_pylist():
+        for kind, blob in zip(left.column("kind").to_pylist(), left.column("blob").to_pylist(), strict=True):
+            if kind != "docs":
+                continue
             kept, sizes, used = unsqueeze(blob)
             used, out, a = unplanes(used), [], 0
+            if len(used) and int(used.max()) >= n:
+                raise RuntimeError("a chunk's words changed between two reads of the input; write the input to a table first")
             for size in unplanes(sizes).tolist():
                 own = used[a : a + size]
                 a += size
@@ -164,16 +176,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     Each match of `pattern` is encoded by itself, without special tokens. Null and empty texts have no ids.
     """
     spark = docs.sparkSession
-    buckets = buckets or max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or max(48, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = docs.select(*(docs[c] for c in keep), docs[text].alias("_text"))
-    packed = saved(source.mapInArrow(_chunks(Splitter(pattern), buckets, chunk_chars), "kind string, chunk long, bucket int, blob binary"))
-    shared = spark.sparkContext.broadcast(ranks)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = packed.where("kind = 'words'").select("bucket", "chunk", "blob").repartition(n, "bucket").sortWithinPartitions("bucket")
-    ids = words.mapInArrow(_encode_words(shared), "chunk long, blob binary")
+    # One exchange of the compact chunks, read twice: for their dictionaries, and to put the documents together.
+    packed = source.mapInArrow(_chunks(Splitter(pattern), buckets, chunk_chars), "kind string, chunk long, bucket int, blob binary").repartition(n, "chunk")
+    words = packed.mapInArrow(_dictionaries, "bucket int, chunk long, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    ids = words.mapInArrow(_encode_words(spark.sparkContext.broadcast(ranks)), "chunk long, blob binary")
     out = T.StructType([docs.schema[c] for c in keep]).add("ids", T.BinaryType())
-    groups = packed.where("kind = 'docs'").select("chunk", "blob").groupBy("chunk")
-    return groups.cogroup(ids.groupBy("chunk")).applyInArrow(_reassemble(to_arrow_schema(out)), out)
+    return packed.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_reassemble(to_arrow_schema(out)), out)
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
