@@ -2,7 +2,27 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query (spark, sf_dir) -> DataFrame, and the SQL that gives the same rows."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = re.sub(r"\bby\b", '"by"', sql)  # the y of corner b is a reserved word
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import aggregate_queries, field_queries, join_queries, mesh_queries, scalar_queries, sequence_queries  # noqa: F401
+
+
+_load()
