@@ -218,6 +218,6 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str]
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The documents without a window of any item, all columns unchanged."""
-    got = find(docs, items, text=text, keep=docs.columns, **options)
-    return got.where(F.size("spans") == 0).select(*docs.columns)
+    """The documents without a window of any item, all columns unchanged, whatever their names."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text].alias("text"))
+    return find(rows, items, text="text", keep=["row"], **options).where(F.size("spans") == 0).select("row.*")

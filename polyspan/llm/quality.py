@@ -163,5 +163,6 @@ def score(docs: DataFrame, model: Ordinal | None, text: str = "text", keep: list
 
 
 def good_documents(docs: DataFrame, model: Ordinal | None, text: str = "text", **options) -> DataFrame:
-    """The documents that the model keeps, all columns unchanged."""
-    return score(docs, model, text, keep=docs.columns, **options).where("kept").select(*docs.columns)
+    """The documents that the model keeps, all columns unchanged, whatever their names."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text].alias("text"))
+    return score(rows, model, "text", keep=["row"], **options).where("kept").select("row.*")

@@ -91,17 +91,20 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mark: st
     """The documents with each live-looking secret replaced by `mark`; copied examples stay. All columns are kept;
     `n_chars` names a column to set to the new length."""
     found = scan(docs, text, doc_id, **options)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.filter("spans", lambda s: s["live"]).alias("_spans")).where(F.size("_spans") > 0).distinct()
-    body = F.coalesce(docs[text], F.lit(""))
-    joined = docs.withColumn("_key", F.xxhash64(body)).join(found, docs[doc_id].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
+    found = found.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.filter("spans", lambda s: s["live"]).alias("spans")).where(F.size("spans") > 0).distinct()
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("own"))
+    body = F.col("row")[text]
+    joined = rows.join(found, F.col("row")[doc_id].eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash")), "left")
 
     def step(state: Column, s: Column) -> Column:
         apart = s["start"] >= state["at"]
-        piece = F.concat(F.substr(docs[text], state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
+        piece = F.concat(F.substr(body, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(apart, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.when(F.col("_spans").isNull(), docs[text]).otherwise(F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substr(docs[text], s["at"] + 1, F.length(docs[text])))))
-    out = joined.withColumn("_clean", clean)
-    new = {text: F.col("_clean")} | ({n_chars: F.when(F.col("_spans").isNull(), docs[n_chars]).otherwise(F.length("_clean").cast(docs.schema[n_chars].dataType))} if n_chars else {})
-    return out.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
+    none = F.col("spans").isNull()
+    out = joined.withColumn("clean", F.when(none, body).otherwise(F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substr(body, s["at"] + 1, F.length(body))))))
+    new = {text: F.col("clean")}
+    if n_chars:
+        new[n_chars] = F.when(none, F.col("row")[n_chars]).otherwise(F.length("clean").cast(docs.schema[n_chars].dataType))
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
