@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import vector as V
 
-_ORDER = Window.partitionBy("curve_id").orderBy("seq")
+def _order():
+    return Window.partitionBy("curve_id").orderBy("seq")
 
 
 def neighbours(curve: DataFrame, closed: bool = False) -> DataFrame:
@@ -16,7 +17,7 @@ def neighbours(curve: DataFrame, closed: bool = False) -> DataFrame:
     whole = Window.partitionBy("curve_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = curve
     for k in ("x", "y"):
-        before, after = F.lag(k).over(_ORDER), F.lead(k).over(_ORDER)
+        before, after = F.lag(k).over(_order()), F.lead(k).over(_order())
         if closed:
             before, after = F.coalesce(before, F.last(k).over(whole)), F.coalesce(after, F.first(k).over(whole))
         out = out.withColumn("p" + k, before).withColumn("n" + k, after)
@@ -25,8 +26,8 @@ def neighbours(curve: DataFrame, closed: bool = False) -> DataFrame:
 
 def arc_lengths(curve: DataFrame) -> DataFrame:
     """With `step` from the previous point (0 at the first) and the running `arc`."""
-    step = F.coalesce(V.distance((F.col("x"), F.col("y")), (F.lag("x").over(_ORDER), F.lag("y").over(_ORDER))), F.lit(0.0))
-    return curve.withColumn("step", step).withColumn("arc", F.sum("step").over(_ORDER))
+    step = F.coalesce(V.distance((F.col("x"), F.col("y")), (F.lag("x").over(_order()), F.lag("y").over(_order()))), F.lit(0.0))
+    return curve.withColumn("step", step).withColumn("arc", F.sum("step").over(_order()))
 
 
 def signed_areas(curve: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def points_inside(points: DataFrame, polygon: DataFrame) -> DataFrame:
 def resampled(curve: DataFrame, step: float) -> DataFrame:
     """(curve_id, k, x, y): points at every multiple k of `step` along the curve, by linear interpolation."""
     a = arc_lengths(curve)
-    nxt = lambda c: F.lead(c).over(_ORDER)
+    nxt = lambda c: F.lead(c).over(_order())
     seg = a.withColumn("arc1", nxt("arc")).withColumn("x1", nxt("x")).withColumn("y1", nxt("y")).where("arc1 > arc")
     first, last = F.ceil(F.col("arc") / step), F.ceil(F.col("arc1") / step) - 1
     seg = seg.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))

@@ -104,3 +104,12 @@ def shared_checkpoints(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new place in the folder that driver and executors share."""
+    import uuid
+
+    shared_checkpoints(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
