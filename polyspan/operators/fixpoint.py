@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import radius_join
+from .lineage import cut
 
 
 def labels(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, label): the smallest node of each connected component. Labels spread along edges and, in the same round,
     jump to their label's label, so that rounds grow with the logarithm of the diameter on most graphs."""
-    both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(edges.select(F.col("v").alias("a"), F.col("u").alias("b"))).distinct().checkpoint()
-    state = nodes.select("node", F.col("node").alias("label")).checkpoint()
+    both = cut(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(edges.select(F.col("v").alias("a"), F.col("u").alias("b"))).distinct())
+    state = cut(nodes.select("node", F.col("node").alias("label")))
     for _ in range(rounds):
         near = both.join(state.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
         moved = state.join(near, "node", "left").select("node", F.least("label", "near").alias("label"))
         jumped = moved.join(moved.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left")
-        after = jumped.select("node", F.least("label", "further").alias("label")).checkpoint()
+        after = cut(jumped.select("node", F.least("label", "further").alias("label")))
         changed = after.join(state.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty()
         state = after
         if changed:
@@ -34,22 +35,22 @@ def radius_clusters(points: DataFrame, radius: float, axes: str = "xyz") -> Data
 
 def hop_distances(edges: DataFrame, sources: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, distance): shortest path lengths from the sources (node) over edges (u, v, length), where reachable."""
-    both = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "length").unionByName(edges.select(F.col("v").alias("a"), F.col("u").alias("b"), "length")).checkpoint()
-    state = sources.select("node", F.lit(0.0).alias("distance")).checkpoint()
+    both = cut(edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "length").unionByName(edges.select(F.col("v").alias("a"), F.col("u").alias("b"), "length")))
+    state = cut(sources.select("node", F.lit(0.0).alias("distance")))
     front = state
     for _ in range(rounds):
         reached = both.join(front.select(F.col("node").alias("a"), "distance"), "a").groupBy(F.col("b").alias("node")).agg(F.min(F.col("distance") + F.col("length")).alias("new"))
-        better = reached.join(state, "node", "left").where(F.col("distance").isNull() | (F.col("new") < F.col("distance"))).select("node", F.col("new").alias("distance")).checkpoint()
+        better = cut(reached.join(state, "node", "left").where(F.col("distance").isNull() | (F.col("new") < F.col("distance"))).select("node", F.col("new").alias("distance")))
         if better.isEmpty():
             break
-        state = state.join(better.select("node"), "node", "left_anti").unionByName(better).checkpoint()
+        state = cut(state.join(better.select("node"), "node", "left_anti").unionByName(better))
         front = better
     return state
 
 
 def eikonal(grid: DataFrame, frozen: DataFrame, cell: float = 1.0, rounds: int = 200, eps: float = 1e-9) -> DataFrame:
     """(ix, iy, value): first-order upwind distances from frozen nodes (ix, iy, value) over a 2D grid, by relaxation."""
-    state = grid.select("ix", "iy").join(frozen.select("ix", "iy", "value"), ["ix", "iy"], "left").select("ix", "iy", F.coalesce("value", F.lit(1e9)).alias("value"), F.col("value").isNotNull().alias("fixed")).checkpoint()
+    state = cut(grid.select("ix", "iy").join(frozen.select("ix", "iy", "value"), ["ix", "iy"], "left").select("ix", "iy", F.coalesce("value", F.lit(1e9)).alias("value"), F.col("value").isNotNull().alias("fixed")))
     for _ in range(rounds):
         near = state
         for i, (axis, d) in enumerate((("ix", 1), ("ix", -1), ("iy", 1), ("iy", -1))):
@@ -58,7 +59,7 @@ def eikonal(grid: DataFrame, frozen: DataFrame, cell: float = 1.0, rounds: int =
         low, high = F.least(a, b), F.greatest(a, b)
         two = (a + b + F.sqrt(F.greatest(F.lit(0.0), 2 * cell * cell - (a - b) * (a - b)))) / 2
         new = F.least("value", F.when(high - low >= cell, low + cell).otherwise(two))
-        after = near.select("ix", "iy", F.when(F.col("fixed"), F.col("value")).otherwise(new).alias("value"), "fixed", F.col("value").alias("old")).checkpoint()
+        after = cut(near.select("ix", "iy", F.when(F.col("fixed"), F.col("value")).otherwise(new).alias("value"), "fixed", F.col("value").alias("old")))
         done = after.where(F.col("old") - F.col("value") > eps).isEmpty()
         state = after.drop("old")
         if done:

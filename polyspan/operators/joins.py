@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from .lineage import cut
 
 
 def celled(points: DataFrame, cell: float, axes: str = "xyz") -> DataFrame:
@@ -56,10 +57,10 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, cell: float, axes: str =
     for n in range(rounds):
         size = cell * 2**n
         near = radius_join(open_, right, size, axes, by).where("pid <> other")
-        ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        ranked = cut(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
         full = ranked.groupBy(*by, "pid").count().where(F.col("count") >= k).select(*by, "pid")
         found = ranked.join(full, [*by, "pid"], "left_semi")
-        rest = open_.join(full, [*by, "pid"], "left_anti")
+        rest = cut(open_.join(full, [*by, "pid"], "left_anti"))
         done = found if done is None else done.unionByName(found)
         open_ = rest
         if n + 1 < rounds and rest.isEmpty():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from .joins import radius_join
+from .lineage import cut
 
 
 def unit_hash(*ids: Column, seed: int = 0) -> Column:
@@ -43,15 +44,15 @@ def poisson_disc(points: DataFrame, radius: float, axes: str = "xyz", seed: int
     """A maximal subset with no two points within `radius`: points of the smallest hash among their open neighbours are
     taken and their neighbours dropped, until none is open."""
     u = points.select("pid", *axes, unit_hash(F.col("pid"), seed=seed).alias("u"))
-    pairs = radius_join(points, points, radius, axes).where("pid <> other").select("pid", "other").checkpoint()
+    pairs = cut(radius_join(points, points, radius, axes).where("pid <> other").select("pid", "other"))
     open_, taken = u.select("pid", "u"), None
     for _ in range(rounds):
         live = pairs.join(open_.select(F.col("pid").alias("other"), F.col("u").alias("ou")), "other").join(open_, "pid")
         beaten = live.where((F.col("ou") < F.col("u")) | ((F.col("ou") == F.col("u")) & (F.col("other") < F.col("pid")))).select("pid").distinct()
-        won = open_.join(beaten, "pid", "left_anti").select("pid").checkpoint()
+        won = cut(open_.join(beaten, "pid", "left_anti").select("pid"))
         taken = won if taken is None else taken.unionByName(won)
         dead = pairs.join(won, "pid").select(F.col("other").alias("pid")).distinct()
-        open_ = open_.join(won, "pid", "left_anti").join(dead, "pid", "left_anti").checkpoint()
+        open_ = cut(open_.join(won, "pid", "left_anti").join(dead, "pid", "left_anti"))
         if open_.isEmpty():
             break
     return points.join(taken, "pid", "left_semi")

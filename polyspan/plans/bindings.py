@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_checkpoints
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -97,19 +101,6 @@ def price_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID = "grid AS (SELECT CAST(floor(CAST(l_quantity AS DOUBLE)) AS BIGINT) AS ix, CAST(round(CAST(l_discount AS DOUBLE) * 100) AS BIGINT) AS iy, round(avg(CAST(l_extendedprice AS DOUBLE)) / 1000, 4) AS value FROM lineitem GROUP BY 1, 2)"
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; a temporary folder serves only where that is unset, as in tests."""
-    import tempfile
-
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
-
-
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new place in the folder that driver and executors share."""
-    import uuid
-
-    shared_checkpoints(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{shared_checkpoints(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fixpoint, grids
+from ..operators.lineage import cut
 from . import bindings as B
 from .registry import query
 from .scalar_queries import r6, sql6
@@ -53,8 +54,7 @@ def bilinear_samples(spark, sf_dir):
 @query("eikonal_distance")
 def eikonal_distance(spark, sf_dir):
     """Upwind distances over the price grid from its local maxima."""
-    B.shared_checkpoints(spark)
-    grid = B.price_grid(spark, sf_dir).checkpoint()
+    grid = cut(B.price_grid(spark, sf_dir))
     seeds = grids.local_maxima(grid).select("ix", "iy", F.lit(0.0).alias("value"))
     return fixpoint.eikonal(grid, seeds).withColumn("value", r6(F.col("value")))
 
@@ -64,7 +64,6 @@ def geodesic_distance(spark, sf_dir):
     """Hops along mesh edges from every fiftieth vertex."""
     from ..operators import mesh
 
-    B.shared_checkpoints(spark)
     v, f = B.heightfield(spark, sf_dir)
     e = mesh.edges(f).select(F.col("e0").alias("u"), F.col("e1").alias("v"), F.lit(1.0).alias("length"))
     return fixpoint.hop_distances(e, v.where("vid % 50 = 0").select(F.col("vid").alias("node")))

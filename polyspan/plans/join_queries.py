@@ -90,13 +90,11 @@ def points_outside_spheres(spark, sf_dir):
 
 @query("radius_clusters", f"WITH RECURSIVE p AS ({B.CLOUD}), e AS (SELECT a.pid AS u, b.pid AS v FROM p a JOIN p b ON a.pid <> b.pid AND {D} < 0.2), r AS (SELECT pid AS node, pid AS seen FROM p UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.seen) SELECT node AS pid, min(seen) AS cluster FROM r GROUP BY node")
 def radius_clusters(spark, sf_dir):
-    B.shared_checkpoints(spark)
     return fixpoint.radius_clusters(B.cloud(spark, sf_dir), 0.2)
 
 
 @query("poisson_disc_sample")
 def poisson_disc_sample(spark, sf_dir):
-    B.shared_checkpoints(spark)
     return sampling.poisson_disc(B.cloud(spark, sf_dir), 0.8).select("pid")
 
 

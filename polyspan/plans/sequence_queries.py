@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import curves
+from ..operators import curves, flows
 from . import bindings as B
 from .registry import query
 from .scalar_queries import r6, sql6
@@ -75,3 +75,15 @@ SELECT pid, (SELECT count(*) FROM v WHERE (ay > y) <> (by > y) AND x < (bx - ax)
 def points_in_polygon(spark, sf_dir):
     pen = spark.createDataFrame([(i, *p) for i, p in enumerate([(0.0, -2.0), (2.0, 0.0), (0.5, 0.4), (0.0, 2.0), (-1.5, 0.1)])], "seq long, x double, y double")
     return curves.points_inside(B.cloud(spark, sf_dir).select("pid", "x", "y"), pen).select("pid", "inside")
+
+
+def _flow(source: str, to: str) -> str:
+    near = f"n_{to} AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM {source} WINDOW w AS (PARTITION BY curve_id ORDER BY seq))"
+    move = lambda k: f"{k} + CASE WHEN px IS NULL OR nx IS NULL OR {_L0} = 0 OR {_L1} = 0 THEN 0 ELSE 0.001 * (2 / ({_L0} + {_L1})) * ((n{k} - {k}) / {_L1} - ({k} - p{k}) / {_L0}) END AS {k}"
+    return f"{near}, {to} AS (SELECT curve_id, seq, {move('x')}, {move('y')} FROM n_{to})"
+
+
+@query("curve_flow", f"WITH c AS ({B.CURVES}), {_flow('c', 's1')}, {_flow('s1', 's2')} SELECT curve_id, seq, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM s2")
+def curve_flow(spark, sf_dir):
+    out = flows.shrink(_near(spark, sf_dir), 0.001, 2, closed=False)
+    return out.select("curve_id", "seq", *((F.round(k, 4) + 0.0).alias(k) for k in "xy"))

@@ -89,8 +89,6 @@ def test_salting_keeps_all_pairs(cloud):
 
 
 def test_clusters_and_poisson(cloud, spark, tmp_path):
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(str(tmp_path))
     points, rows = cloud
     up = {r[0]: r[0] for r in rows}
     find = lambda x: x if up[x] == x else find(up[x])
@@ -161,3 +159,13 @@ def test_binary_files():
 def test_unknown_format(spark):
     with pytest.raises(ValueError):
         text_meshes.read_mesh(spark, "/x/a.blend")
+
+
+def test_shrinking_circle(spark):
+    from polyspan.operators import flows
+
+    n, tau, steps = 32, 0.005, 10
+    circle = [(0, k, math.cos(2 * math.pi * k / n), math.sin(2 * math.pi * k / n)) for k in range(n)]
+    out = flows.shrink(spark.createDataFrame(circle, "curve_id long, seq long, x double, y double"), tau, steps)
+    radius = math.sqrt(1 - 2 * tau * steps)
+    assert all(abs(math.hypot(r.x, r.y) - radius) < 2e-3 for r in out.collect())
