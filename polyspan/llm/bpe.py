@@ -56,6 +56,10 @@ class Splitter:
         return (self.whole if self.plain is None or _ODD.search(text) else self.plain).findall(text)
 
 
+def _row(kind: str, chunk: int, bucket: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["kind", "chunk", "bucket", "blob"])
+
+
 def _chunks(split: Splitter, buckets: int, chunk_chars: int):
     """Rows (kind, chunk, bucket, blob): the documents of a chunk, and its dictionary by bucket of words."""
 
@@ -65,18 +69,19 @@ def _chunks(split: Splitter, buckets: int, chunk_chars: int):
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
         named = list(words)
-        groups: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
-        for r, i in enumerate(order.tolist()):
-            word = named[i].encode()
-            groups[zlib.crc32(word) % buckets].append((r, word))
+        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in named), np.int32, len(named))[order]
+        by_bucket = np.argsort(bucket, kind="stable")  # of words in the order of their rank
+        ends = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, kept[0].schema) as out:
             for b in kept:
                 out.write_batch(b)
-        rows = [("docs", chunk, -1, squeeze(sink.getvalue().to_pybytes(), planes([len(d) for d in docs]), planes(rank[used])))]
-        rows += [("words", chunk, b, squeeze(planes(np.diff([r for r, _ in g], prepend=0)), planes([len(w) for _, w in g]), b"".join(w for _, w in g), level=9)) for b, g in groups.items()]
-        for i in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 64]), (pa.string(), pa.int64(), pa.int32(), pa.binary()))], ["kind", "chunk", "bucket", "blob"])
+        yield _row("docs", chunk, -1, squeeze(sink.getvalue().to_pybytes(), planes([len(d) for d in docs]), planes(rank[used])))
+        for b in range(buckets):
+            own = by_bucket[ends[b] : ends[b + 1]]
+            if len(own):
+                raw = [named[i].encode() for i in order[own].tolist()]
+                yield _row("words", chunk, b, squeeze(planes(np.diff(own, prepend=0)), planes([len(w) for w in raw]), b"".join(raw), level=9))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
@@ -133,7 +138,7 @@ def _encode_words(ranks):
     return run
 
 
-def _reassemble(schema: pa.Schema):
+def _reassemble(schema: pa.Schema, table=None):
     """One chunk's documents and its words' ids, to a row for each document."""
 
     def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -163,17 +168,18 @@ def _reassemble(schema: pa.Schema):
                 total = int(n_ids.sum())
                 first = np.cumsum(n_ids) - n_ids
                 out.append(flat[np.repeat(starts[own] - first, n_ids) + np.arange(total)].astype("<u4").tobytes())
-            table = pa.ipc.open_stream(kept).read_all()
-            tables.append(table.append_column("ids", pa.array(out, pa.binary())))
+            rows = pa.ipc.open_stream(kept).read_all().append_column("ids", pa.array(out, pa.binary()))
+            tables.append(rows if table is None else rows.append_column("decoded", pa.array(_bytes_of(out, table.value), pa.binary())))
         return pa.concat_tables(tables).cast(schema) if tables else schema.empty_table()
 
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: list[str] = ("doc_id",), buckets: int | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: list[str] = ("doc_id",), buckets: int | None = None, chunk_chars: int = CHUNK_CHARS, decoded: bool = False) -> DataFrame:
     """The `keep` columns and `ids`, the token ids as little-endian unsigned 32-bit integers.
 
-    Each match of `pattern` is encoded by itself, without special tokens. Null and empty texts have no ids.
+    Each match of `pattern` is encoded by itself, without special tokens. Null and empty texts have no ids. With
+    `decoded`, a column of that name has what `decode` gives for the ids, in the same pass.
     """
     spark = docs.sparkSession
     buckets = buckets or max(48, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -184,22 +190,31 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     words = packed.mapInArrow(_dictionaries, "bucket int, chunk long, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     ids = words.mapInArrow(_encode_words(spark.sparkContext.broadcast(ranks)), "chunk long, blob binary")
     out = T.StructType([docs.schema[c] for c in keep]).add("ids", T.BinaryType())
-    return packed.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_reassemble(to_arrow_schema(out)), out)
+    table = spark.sparkContext.broadcast(token_bytes(ranks)) if decoded else None
+    if decoded:
+        out = out.add("decoded", T.BinaryType())
+    return packed.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_reassemble(to_arrow_schema(out), table), out)
 
 
-def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add the bytes of `ids`, joined from the table of token bytes. That table has one row a vocabulary entry and is
-    read on each executor; it does not grow with the data. Null ids give null."""
-    size = max(ranks.values(), default=-1) + 1
-    table = [b""] * size
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    """The table of token bytes by id; its size is the vocabulary's and does not grow with the data."""
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
     for raw, rank in ranks.items():
         table[rank] = raw
-    shared = tokens.sparkSession.sparkContext.broadcast(table)
+    return table
+
+
+def _bytes_of(ids: list[bytes | None], table: list[bytes]) -> list[bytes | None]:
+    return [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
+
+
+def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Add the bytes of `ids`, joined with the table of token bytes, which each executor holds. Null ids give null."""
+    shared = tokens.sparkSession.sparkContext.broadcast(token_bytes(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [None if x is None else b"".join(map(shared.value.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column(ids).to_pylist()]
-            yield batch.append_column(out, pa.array(got, pa.binary()))
+            yield batch.append_column(out, pa.array(_bytes_of(batch.column(ids).to_pylist(), shared.value), pa.binary()))
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(out, T.BinaryType())]))
 

@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: Ordinal | None, text: str = "text", keep: list
         known: dict[bytes, float] = {}
 
         def weight(word: bytes) -> float:
-            if len(known) > 400_000:
+            if len(known) > 100_000:
                 known.clear()
             a, b = word_features(word)
             known[word] = w = float(model.weights[a] + model.weights[b])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     ranks, pattern = vocabulary()
-    tokens = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks)
+    tokens = bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern, decoded=True)
     return tokens.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -75,17 +76,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
-OP9_SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
-     q AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
-     f AS (SELECT payload_digest, min(page_id) AS first FROM q WHERE payload_bytes >= 100 GROUP BY payload_digest)
-SELECT q.page_id, CAST(q.payload_bytes AS BIGINT) AS payload_bytes, q.payload_digest,
-       CASE WHEN f.first IS NOT NULL AND f.first IS DISTINCT FROM q.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN f.first IS DISTINCT FROM q.page_id THEN f.first END AS refers_to
-FROM q LEFT JOIN f USING (payload_digest)
-"""
-
-
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in every document."""
     from . import license_scan
@@ -149,4 +139,3 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_licenses": op10_licenses,
 }
-ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}

@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Subwords, text: str = "text", keep: list[str]
         known: dict[bytes, float] = {}
 
         def weight(word: bytes) -> float:
-            if len(known) > 400_000:
+            if len(known) > 100_000:
                 known.clear()
             known[word] = w = model.word(word)
             return w

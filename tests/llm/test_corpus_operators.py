@@ -160,6 +160,8 @@ def test_bpe_round_trip(spark, texts, vocabulary):
         assert r.tokens == want and bytes(r.ids) == np.array(want, "<u4").tobytes()
         assert bytes(r.decoded).decode() == (odd[r.doc_id] or "")
     assert bpe.encode(docs_of(spark, []), ranks, pattern).count() == 0
+    fused = {r.doc_id: bytes(r.decoded).decode() for r in bpe.encode(docs, ranks, pattern, decoded=True).collect()}
+    assert fused == {i: t or "" for i, t in enumerate(odd)}
 
 
 def test_splitter_agrees_with_the_library(vocabulary):
