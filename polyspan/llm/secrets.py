@@ -70,7 +70,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: Col
     rows = saved(rows.select("doc_id", "text_hash", *(c for c in keep if c != doc_id), "_owner", "_repo", F.concat(base, free).alias("found")))
     each = rows.where(F.size("found") > 0).select("doc_id", "text_hash", "_owner", "_repo", F.explode("found").alias("span"))
     owned = each.groupBy(F.col("span.hash").alias("hash"), "_owner", "_repo").count().groupBy("hash", "_owner").agg(F.count("*").alias("repos"))
-    counted = owned.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repositories"))
+    counted = saved(owned.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repositories")))  # its join can then be split
     live = F.col("n_owners") <= max_owners
     judged = each.select("doc_id", "text_hash", "span", F.col("span.hash").alias("hash")).distinct().join(counted, "hash").where(F.col("span.kind").isin(*BASE) | live)
     span = F.struct("span.start", "span.rank", "span.kind", "span.end", "n_owners", "n_repositories", live.alias("live"))

@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = linked.join(smallest, "component").select(F.col("node").alias("fp"), F.col("component_id").alias("linked_id"))
     by_print = distinct.join(named, "fp", "left").select("fp", F.when(F.col("linked_id").isNull(), F.col("first_id")).otherwise(F.col("linked_id")).alias("component_id"))
-    return prints.join(by_print, "fp").select(F.col("doc_id").alias(doc_id), "fp", "component_id")
+    # saved, so that both sides of the join have an exchange of their own and Spark can split a fingerprint of many copies
+    return prints.join(saved(by_print), "fp").select(F.col("doc_id").alias(doc_id), "fp", "component_id")
 
 
 def fingerprint_hex(fp):

@@ -301,8 +301,9 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     run, schema = _all_segments(width, grams[0])
     segments = _table(rows.mapInArrow(run, schema), "segments")
     by_key = segments.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("low < high").select("key", (F.col("c0") != F.col("c1")).alias("several"))
-    shared = _table(segments.join(by_key, "key"), "shared")
-    least = shared.groupBy("key", "content").agg(F.min("id").alias("least"))
+    # tables, so that both sides of the joins have exchanges of their own and Spark can split a key of many segments
+    shared = _table(segments.join(_table(by_key, "keys"), "key"), "shared")
+    least = _table(shared.groupBy("key", "content").agg(F.min("id").alias("least")), "least")
     judged = _table(shared.join(least, ["key", "content"]), "judged")
     copies = judged.where("id > least").select("id", "text_hash", "start", "n")
     own = judged.where("id = least and several")

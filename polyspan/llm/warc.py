@@ -26,6 +26,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import saved
+
 MIN_REVISIT = 100
 ROLL_BYTES = 8_000_000
 DATE = "2024-01-01T00:00:00Z"
@@ -125,7 +127,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     body = F.coalesce(pages[payload].cast("binary"), F.lit(b""))
     rows = pages.select(pages[page_id].alias("id"), pages[url].cast("string").alias("url"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     small = rows.where(F.length("payload") >= MIN_REVISIT).select("id", "digest")
-    firsts = small.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    firsts = saved(small.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n"))
     marks = small.join(firsts, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", F.col("first").cast("string").alias("first")).distinct()
     both = rows.select("id", "url", "payload", "digest", F.lit(None).cast("string").alias("first"), F.lit(False).alias("mark")).unionByName(marks.select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first", F.lit(True).alias("mark")))
     bounds = _bounds(rows.select("id"), shards)
