@@ -1,0 +1,182 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles.
+
+A text is the set of its shingles of lower-cased (A-Z) words, as 64-bit hashes; a text of fewer words is one shingle.
+With all shingles in one fixed order, two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1
+of each. So candidates are the sets that meet in such a prefix, and no pair is lost. Shingles that are frequent in a
+sample come last in the order, which keeps them out of most prefixes; the sample only sets the order, not the result.
+
+A candidate is checked by an upper bound first (shingles by bucket, which drops no pair), then exactly. Equal sets are
+one entry. Every set is first compared with the smallest one at each of its prefix shingles; pairs are
+then sought only between sets that these links leave apart.
+
+Null texts count as empty, and texts without words are equal. Rows without an id are in no group.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
+
+from .common import new_shared_path, raw_texts, saved, spaced
+from .simhash import components, first_of_each
+
+SHINGLE = 5
+LEAST = 0.8
+SAMPLE_ROWS = 4000
+MOST_FREQUENT = 200_000
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of all shingles, sorted."""
+    words = np.array([xxh64_intdigest(w, 42) for w in spaced(text.lower())], np.uint64)
+    if not len(words):
+        return words
+    size = min(shingle, len(words))
+    h = np.full(len(words) - size + 1, size, np.uint64)
+    for k in range(size):
+        h = h * np.uint64(_FACTOR) + words[k : len(words) - size + 1 + k]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.unique(h ^ (h >> np.uint64(31)))
+
+
+def _key(h: np.ndarray) -> int:
+    return int(np.array(xxh64_intdigest(h.tobytes(), 7), np.uint64).view(np.int64))
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """How many shingles fall into each of 256 buckets; empty if a count exceeds a byte."""
+    counts = np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_reach(a: bytes, b: bytes, least: float) -> bool:
+    """False only if the sketches rule out a similarity of `least`: no more is shared than the smaller count of each bucket."""
+    if not a or not b:
+        return True
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    both, total = int(np.minimum(x, y).sum(dtype=np.int64)), int(x.sum(dtype=np.int64) + y.sum(dtype=np.int64))
+    return not total or both / (total - both) >= least
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays of distinct values; one for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _frequent(docs: DataFrame, text: str, doc_id: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, sorted, and how many do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in raw_texts(batch, "_text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(body, shingle).view(np.int64))], ["h"])
+
+    share = max(1, docs.count() // SAMPLE_ROWS)
+    some = docs.where(F.pmod(F.xxhash64(docs[doc_id]), F.lit(share)) == 0).select(docs[text].cast("binary").alias("_text"))
+    counts = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(MOST_FREQUENT)
+    got = counts.toArrow()  # at most MOST_FREQUENT rows of two numbers
+    h, n = got.column("h").to_numpy().view(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _sets(docs: DataFrame, text: str, doc_id: str, shingle: int, least: float) -> DataFrame:
+    """doc_id, key (a hash of the set), n, sketch and prefix of every document."""
+    frequent, counts = _frequent(docs, text, doc_id, shingle)
+
+    def prefix(h: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return h
+        seen = np.zeros(len(h), np.int64)
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+            seen = np.where(frequent[at] == h, counts[at], 0)
+        return h[np.lexsort((h, seen))[: len(h) - math.ceil(least * len(h) - 1e-9) + 1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, shingle) for t in raw_texts(batch, "_text")]
+            out = batch.drop_columns(["_text"]).append_column("key", pa.array([_key(h) for h in found], pa.int64()))
+            out = out.append_column("n", pa.array([len(h) for h in found], pa.int64()))
+            out = out.append_column("sketch", pa.array([sketch(h) for h in found], pa.binary()))
+            yield out.append_column("prefix", pa.array([prefix(h).view(np.int64) for h in found], pa.list_(pa.int64())))
+
+    more = [T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("binary").alias("_text"))
+    spark, path = docs.sparkSession, new_shared_path(docs.sparkSession, "shingles")
+    rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *more])).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame, text: str, doc_id: str, shingle: int, least: float) -> DataFrame:
+    """Of the pairs of keys (u, v) those of similarity `least` or more. Only the texts of the pairs are read again."""
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, shingle) for t in raw_texts(batch, "_text")]
+            yield pa.RecordBatch.from_arrays([pa.array([_key(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["key", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(s, np.uint64) for s in batch.column(c).to_pylist()] for c in ("a", "b"))
+            near = np.array([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], bool)
+            yield batch.select(["u", "v"]).filter(pa.array(near))
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+            yield batch.select(["u", "v"]).filter(pa.array([may_reach(x, y, least) for x, y in zip(a, b, strict=True)], pa.bool_()))
+
+    def with_both(pairs: DataFrame, held: DataFrame, what: str) -> DataFrame:
+        both = pairs.join(held.select(F.col("key").alias("u"), F.col(what).alias("a")), "u").join(held.select(F.col("key").alias("v"), F.col(what).alias("b")), "v")
+        return both.select("u", "v", "a", "b")
+
+    pairs = saved(with_both(pairs, distinct, "sketch").mapInArrow(possible, "u long, v long"))
+    wanted = saved(distinct.join(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "key", "left_semi").select("key", "first_id"))
+    rows = docs.select(docs[doc_id].alias("first_id"), docs[text].cast("binary").alias("_text")).join(wanted.select("first_id").distinct(), "first_id", "left_semi")
+    # an id may have several texts: one row for each wanted key
+    held = saved(rows.select("_text").mapInArrow(again, "key long, shingles binary").join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")))
+    return saved(with_both(pairs, held, "shingles").mapInArrow(run, "u long, v long"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """doc_id and component_id: the smallest doc_id that links of similarity `least` or more reach. One row for each
+    document with an id, in no order."""
+    docs = docs.where(docs[doc_id].isNotNull())
+    sets = _sets(docs, text, doc_id, shingle, least)
+    distinct = saved(sets.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch")))
+    verified = lambda pairs: _verified(pairs, docs, distinct, text, doc_id, shingle, least)
+    fits = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
+    # one exchange of all prefixes; most of their shingles stand in one set and go no further
+    entries = sets.select("key", "n", F.explode("prefix").alias("token")).repartition("token").distinct()
+    shared = saved(entries.withColumn("held", F.count("*").over(Window.partitionBy("token"))).where("held > 1").select("token", "key", "n"))
+    smallest = shared.groupBy("token").agg(F.min(F.struct("key", "n")).alias("s")).select("token", F.col("s.key").alias("v"), F.col("s.n").alias("m"))
+    stars = saved(shared.join(smallest, "token").where(fits & (F.col("key") > F.col("v"))).select(F.col("key").alias("u"), "v").distinct())
+    edges = verified(stars)
+    parts = components(edges).withColumnRenamed("node", "key").withColumnRenamed("component", "part")
+    apart = saved(shared.join(parts, "key", "left").select("key", "n", F.coalesce("part", "key").alias("part"), "token"))
+    other = apart.select("token", F.col("key").alias("v"), F.col("n").alias("m"), F.col("part").alias("other"))
+    rest = apart.join(other, "token").where(fits & (F.col("key") > F.col("v")) & (F.col("part") != F.col("other"))).select(F.col("key").alias("u"), "v").distinct()
+    edges = edges.union(verified(rest.join(stars, ["u", "v"], "left_anti")))
+    linked = components(edges).withColumnRenamed("node", "key").join(distinct.select("key", "first_id"), "key")
+    least_id = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = linked.join(least_id, "component").select("key", "component_id")
+    by_key = distinct.select("key", "first_id").join(named, "key", "left").select("key", F.coalesce("component_id", "first_id").alias("component_id"))
+    # saved, as in simhash: an exchange of its own for each side
+    return sets.select("doc_id", "key").join(saved(by_key), "key").select(F.col("doc_id").alias(doc_id), "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The documents, of each group of near-duplicates only that with the smallest id; all columns unchanged. Of rows
+    that repeat an id within a group one stays. Rows without an id stay."""
+    return first_of_each(docs, near_duplicates(docs, text, doc_id, **options), doc_id)

@@ -228,12 +228,18 @@ def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents, of each group of near-duplicates only that with the smallest id; all columns unchanged. Of rows
-    that repeat an id within a group one stays. Rows without an id stay."""
-    groups = saved(near_duplicates(docs, text, doc_id, **options).select(doc_id, "component_id"))
+def first_of_each(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The documents without those whose id is not the component_id of their row in `groups` (doc_id, component_id). Of
+    rows that repeat an id within a group one stays. Rows without an id stay."""
+    groups = saved(groups.select(doc_id, "component_id"))
     others = groups.where(F.col(doc_id) != F.col("component_id")).select(doc_id).distinct()
     kept = docs.join(others, doc_id, "left_anti").select(*docs.columns)
     if groups.where(F.col(doc_id) == F.col("component_id")).groupBy(doc_id).count().where("count > 1").isEmpty():
         return kept
     return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The documents, of each group of near-duplicates only that with the smallest id; all columns unchanged. Of rows
+    that repeat an id within a group one stays. Rows without an id stay."""
+    return first_of_each(docs, near_duplicates(docs, text, doc_id, **options), doc_id)
