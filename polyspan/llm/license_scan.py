@@ -1,7 +1,7 @@
 """License scans with a positional index of rare words.
 
 The document frequency of every word of the licence templates is counted over the whole corpus. In each file the
-licence words with the highest inverse document frequency are looked up in the templates' positional postings; places
+words of each template with the highest inverse document frequency are looked up in its positional postings; places
 that agree on a template and on the relative position (place in the file less place in the template) make a candidate
 alignment. A candidate is verified by the share of the template's words that stand where the alignment puts them and
 by the template's mandatory key phrases within that region.
@@ -76,7 +76,7 @@ class Index:
     """Positional postings of the templates, with the words' inverse document frequencies."""
 
     def __init__(self, frequency: dict[bytes, int], n_docs: int, templates=TEMPLATES, phrases=None, rare: int = RARE, least_share: float = LEAST_SHARE):
-        self.rare, self.least = rare, least_share
+        self.least = least_share
         self.templates = [(name, label, _words(text), [_words(k) for k in keys]) for name, label, text, keys in templates]
         self.phrases = [(_words(p), label) for p, label in (PHRASES if phrases is None else phrases).items()]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
@@ -85,6 +85,9 @@ class Index:
                 self.postings[w].append((t, q))
         self.idf = {w: math.log((1 + n_docs) / (1 + frequency.get(w, 0))) for w in self.postings}
         self.firsts = {p[0] for p, _ in self.phrases}
+        self.ranked = [sorted(set(words), key=lambda w: (-self.idf[w], w)) for _, _, words, _ in self.templates]
+        # so many words of a template that two of them are in place in any alignment with the least share
+        self.wanted = [max(rare, math.floor((1 - least_share) * len(words) + 1e-9) + 2) for _, _, words, _ in self.templates]
 
     @staticmethod
     def _at(words: list[bytes], phrase: list[bytes], start: int, end: int) -> list[int]:
@@ -107,11 +110,12 @@ class Index:
         known = held & self.postings.keys()
         if len(known) < 2:
             return []
-        rarest = set(sorted(known, key=lambda w: (-self.idf[w], w))[: self.rare])
+        rarest = [set([w for w in ranked if w in known][:n]) for ranked, n in zip(self.ranked, self.wanted, strict=True)]
+        postings = {w: found for w in known if (found := [(t, q) for t, q in self.postings[w] if w in rarest[t]])}
         votes: Counter[tuple[int, int]] = Counter()
         for p, w in enumerate(words):
-            if w in rarest:
-                votes.update((t, p - q) for t, q in self.postings[w])
+            if w in postings:
+                votes.update((t, p - q) for t, q in postings[w])
         found = []
         for (t, at), n in votes.items():
             if n < 2:

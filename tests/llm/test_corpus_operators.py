@@ -283,6 +283,18 @@ def test_licenses(spark):
     assert license_scan.scan(docs_of(spark, [])).count() == 0
 
 
+def test_licenses_of_several_notices(spark):
+    """All templates in one long text, each frequent in the corpus, beside single notices."""
+    bodies = [body for _, _, body, _ in license_scan.TEMPLATES]
+    texts = [" filler ".join(bodies) + " filler" * 500, f"{bodies[4]} filler {bodies[5]}", f"{bodies[6]} filler {bodies[10]}", *["Released under the MIT License. All rights reserved."] * 20]
+    rows = {r.doc_id: {m.label for m in r.matches} for r in license_scan.scan(docs_of(spark, texts)).collect()}
+    assert rows[0] == {label for _, label, _, _ in license_scan.TEMPLATES}
+    assert rows[1] == {"mit-notice"} and rows[2] == {"bsd-notice", "all-rights-reserved"}
+    index = license_scan.Index({b"all": 20, b"rights": 20, b"reserved": 20}, 23)
+    words = license_scan._words(texts[2])
+    assert ("all-rights-reserved", len(words) - 3, 1.0) in index.matches(words, set(words))
+
+
 def test_media(spark, texts):
     docs = docs_of(spark, texts)
     rows = {r.doc_id: r for r in media.features(media.store(docs)).collect()}
