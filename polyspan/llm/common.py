@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +29,6 @@ def alnum_words(text: bytes) -> list[bytes]:
     return text.translate(_ALNUM_LOWER).split()
 
 
-def ascii_lower_col(column):
-    """The same as a Spark expression."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     sc = spark.sparkContext
@@ -47,8 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_paths: list[str] = []
+
+
 def new_shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that operators of this process have written to the shared folder. Their results cannot be read
+    after that: write them first."""
+    jvm = spark.sparkContext._jvm
+    while _paths:
+        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -59,14 +66,50 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by a table in the shared folder. Not by a checkpoint: that keeps the plan's size estimate, which
+    grows without end where a loop joins a result with itself, while a table has the size of its files."""
+    return table(df, "saved")
+
+
+def table(df: DataFrame, what: str) -> DataFrame:
+    """Written to the shared folder and read again: cuts the lineage and gives every reader an exchange of its own."""
+    path = new_shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def q(name: str) -> str:
+    """A column name as it is, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
 
-def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Select and rename columns by name, untouched by whatever other columns there are."""
-    return df.select(*(df[c].alias(a) for a, c in columns.items()))
+
+def fields(struct: str, names: list[str]) -> list:
+    """The fields of a struct column as columns of their own names, whatever these are."""
+    return [F.col(struct).getField(n).alias(n) for n in names]
+
+
+def packed(docs: DataFrame, names: list[str] | None = None):
+    """Columns of `docs` as one struct, out of the way of all other names."""
+    return F.struct(*(docs[q(n)].alias(n) for n in (docs.columns if names is None else names)))
+
+
+#: A key is hot if it holds more than this share of all rows, so that fewer than a thousand keys are.
+HOT_SHARE = 1 / 1000
+HOT_ROWS = 200
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """left join right, where `right` has one row a key and `weight` says how many rows of `left` hold the key. Keys with
+    over HOT_SHARE of the `total` rows, fewer than 1 / HOT_SHARE by arithmetic, are broadcast, so their rows stay where
+    they are; all others meet by shuffle, at most that share of the rows in one key. `left` and `right` are read
+    twice: give tables or checkpoints. `weight` is left out of the result."""
+    is_hot = F.col(weight) > max(HOT_ROWS, int(total * HOT_SHARE))
+    hot = right.where(is_hot).drop(weight).withColumn("_hot", F.lit(True))
+    cold = right.where(~is_hot).drop(weight)
+    marked = left.join(F.broadcast(hot), on, "left")
+    columns = [*left.columns, *(c for c in cold.columns if c not in on)]
+    rest = marked.where("_hot is null").select(*left.columns).join(cold, on, how)
+    return marked.where("_hot").select(*columns).unionByName(rest.select(*columns))
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -97,8 +140,3 @@ def unplanes(raw: bytes) -> np.ndarray:
 
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
-
-
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        yield from batch.to_pylist()

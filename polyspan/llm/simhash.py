@@ -10,6 +10,10 @@ than three places are dropped together.
 Equal fingerprints are one entry. A task returns a spanning forest of the links it finds, not all pairs, and the
 forests are joined to components by alternating stars.
 
+For near-duplicates by similarity (`similar`: five words, 0.8) a radius that misses none would be far too wide for masked
+patterns alone. There a node is a shared anchor, the Gray order and its upper nodes prune within it, and every
+candidate is checked exactly.
+
 A text without words has fingerprint zero. Nulls count as empty. Rows are kept one to one.
 """
 
@@ -25,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import raw_texts, saved, spaced
+from .common import fields, join_hot, packed, q, raw_texts, saved, spaced, table
 
 BITS = 3
 NODE_SIZE = 4096
 SHINGLE = 3
 _FAN = 8
+_SALTS = 16
+_FEW = 2000  # so few edges have no hot key worth a plan of its own
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -41,12 +47,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     line = b" ".join(words)
     start = [0, *accumulate(len(w) + 1 for w in words)]
     ends = start[min(shingle, len(words)) :]
-    hashes = np.array([xxh64_intdigest(line[a : z - 1], 42) for a, z in zip(start, ends)], dtype=">u8")
-    ones = np.zeros(64, np.int64)
-    for a in range(0, len(hashes), 16_384):
-        part = hashes[a : a + 16_384]
-        ones += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    hashes = np.array([xxh64_intdigest(line[a : z - 1], 42) for a, z in zip(start, ends)], dtype=np.uint64)
+    return _majority(hashes)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
@@ -97,72 +99,91 @@ class _Forest:
             np.minimum.at(self.up, b, a)
 
 
-def link_forest(fps: np.ndarray, firsts: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """For fingerprints in groups (firsts: where each group starts), each in Gray order: a member of the same component
-    for each position, by links within groups."""
+def near_pairs(fps: np.ndarray, firsts: np.ndarray, bits: int = BITS, part: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions within `bits` of each other, for fingerprints in groups (firsts: where each group starts), each
+    in Gray order. With `part`, no pair of one part: runs of one part are dropped together."""
     n = len(fps)
     group = np.zeros(n, np.int64)
     group[firsts] = 1
     group = np.cumsum(group) - 1
     within = np.arange(n) - firsts[group]
-    levels = [(fps, ~fps, np.arange(n + 1))]  # bits that are 1 in all below, 0 in all below, where the children start
+    # of each run: bits that are 1 in all below, 0 in all below, least and greatest part, where the children start
+    least, most = (np.arange(n), np.arange(n)) if part is None else (part, part)
+    levels = [(fps, ~fps, least, most, np.arange(n + 1))]
     step = 1
     while len(levels[-1][0]) > len(firsts):
         step *= _FAN
         start = np.flatnonzero(within % step == 0)
         below = np.flatnonzero(within % (step // _FAN) == 0)
         child = np.searchsorted(below, start)
-        ones, zeros, _ = levels[-1]
-        levels.append((np.bitwise_and.reduceat(ones, child), np.bitwise_and.reduceat(zeros, child), np.append(child, len(below))))
-    forest = _Forest(n)
-    todo = [(len(levels) - 1, np.arange(len(firsts)), np.arange(len(firsts)))]
+        ones, zeros, least, most, _ = levels[-1]
+        levels.append((np.bitwise_and.reduceat(ones, child), np.bitwise_and.reduceat(zeros, child), np.minimum.reduceat(least, child), np.maximum.reduceat(most, child), np.append(child, len(below))))
+    todo = [(len(levels) - 1, np.arange(len(firsts)), np.arange(len(firsts)))] if n else []
     while todo:
         level, a, b = todo.pop()
         if level == 0:
-            forest.join(a, b)
+            yield a, b
             continue
         if len(a) > 16_384:
             todo += [(level, a[i : i + 16_384], b[i : i + 16_384]) for i in range(0, len(a), 16_384)]
             continue
-        child, (ones, zeros, _) = levels[level][2], levels[level - 1]
+        child, (ones, zeros, least, most, _) = levels[level][-1], levels[level - 1]
         na, nb = child[a + 1] - child[a], child[b + 1] - child[b]
         size = na * nb
         pair = np.repeat(np.arange(len(a)), size)
         k = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
         x, y = child[a][pair] + k // nb[pair], child[b][pair] + k % nb[pair]
         near = (x < y) | (x == y) & (level > 1)
+        if part is not None:
+            near &= (least[x] != most[y]) | (most[x] != least[y])
         x, y = x[near], y[near]
         near = np.bitwise_count((ones[x] & zeros[y]) | (zeros[x] & ones[y])) <= bits
         if near.any():
             todo.append((level - 1, x[near], y[near]))
-    return forest.find(np.arange(n))
 
 
-def _search(bits: int, batch_rows: int = 131_072):
+def link_forest(fps: np.ndarray, firsts: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """A member of the same component for each position, by links within groups."""
+    forest = _Forest(len(fps))
+    for a, b in near_pairs(fps, firsts, bits):
+        forest.join(a, b)
+    return forest.find(np.arange(len(fps)))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str], batch_rows: int = 131_072) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches as tables of whole groups of equal `columns`, with the places where the groups start."""
+
+    def turns(rows: pa.Table) -> np.ndarray:
+        values = [rows.column(c).to_numpy() for c in columns]
+        return np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        size += batch.num_rows
+        if size >= batch_rows:
+            rows = pa.concat_tables(held)
+            at = turns(rows)
+            end = int(at[-1]) if len(at) else 0  # the last group may go on in the next batch
+            if end:
+                yield rows.slice(0, end), np.concatenate([[0], at[:-1]])
+            held, size = [rows.slice(end)], len(rows) - end
+            batch_rows = max(batch_rows, 2 * size)
+    if size:
+        rows = pa.concat_tables(held)
+        yield rows, np.concatenate([[0], turns(rows)]).astype(np.int64)
+
+
+def _search(bits: int):
     """Rows sorted by node and Gray rank in; links between fingerprints out."""
 
-    def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        fp, mask, shared = (rows.column(c).to_numpy() for c in ("fp", "mask", "bits"))
-        firsts = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (shared[1:] != shared[:-1])]))
-        root = link_forest(np.ascontiguousarray(fp).view(np.uint64), firsts, bits)
-        linked = np.flatnonzero(root != np.arange(len(root)))
-        if len(linked):
-            yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], ["u", "v"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            if sum(map(len, held)) >= batch_rows:
-                rows = pa.concat_tables(held)
-                mask, shared = rows.column("mask").to_numpy(), rows.column("bits").to_numpy()
-                turns = np.flatnonzero((mask[1:] != mask[:-1]) | (shared[1:] != shared[:-1]))
-                end = int(turns[-1]) + 1 if len(turns) else 0  # the last node may go on in the next batch
-                if end:
-                    yield from flush(rows.slice(0, end))
-                held = [rows.slice(end)]
-        if held and sum(map(len, held)):
-            yield from flush(pa.concat_tables(held))
+        for rows, firsts in whole_groups(batches, ["mask", "bits"]):
+            fp = rows.column("fp").to_numpy()
+            root = link_forest(np.ascontiguousarray(fp).view(np.uint64), firsts, bits)
+            linked = np.flatnonzero(root != np.arange(len(root)))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], ["u", "v"])
 
     return run
 
@@ -180,7 +201,10 @@ def links(fps: DataFrame, bits: int = BITS, node_size: int = NODE_SIZE) -> DataF
         deeper = {m: _split(free, parts) for m in masks if len(free := [b for b in range(64) if not m >> b & 1]) > bits + 8}
         hot = saved(nodes.groupBy("mask", "bits").count().where(F.col("count") > node_size).select("mask", "bits")) if deeper else None
         some = hot is not None and not hot.isEmpty()
-        cold = nodes.join(hot, ["mask", "bits"], "left_anti") if some else nodes
+        if some:  # a hot node's rows are dealt to `_SALTS` tasks, each with a copy of the short list of hot nodes
+            copies = hot.select("mask", "bits", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"), F.lit(True).alias("hot"))
+            nodes = nodes.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(_SALTS)).cast("int")).join(copies, ["mask", "bits", "salt"], "left").select("fp", "mask", "bits", "hot")
+        cold = nodes.where("hot is null") if some else nodes
         cold = cold.select("mask", "bits", "fp", gray_rank(F.col("fp")).alias("rank"))
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         sought = cold.repartition(n, "mask", "bits").sortWithinPartitions("mask", "bits", "rank").select("fp", "mask", "bits").mapInArrow(_search(bits), "u long, v long")
@@ -188,21 +212,25 @@ def links(fps: DataFrame, bits: int = BITS, node_size: int = NODE_SIZE) -> DataF
         if not some:
             return found
         children = spark.createDataFrame([(_signed(m), [_signed(m | x) for x in more]) for m, more in deeper.items()], "mask long, more array<long>")
-        nodes = saved(nodes.join(hot, ["mask", "bits"], "left_semi").join(F.broadcast(children), "mask").select("fp", F.explode("more").alias("mask")))  # children: at most 1024 rows, of the masks alone
+        nodes = saved(nodes.where("hot").join(F.broadcast(children), "mask").select("fp", F.explode("more").alias("mask")))  # children: at most 1024 rows, of the masks alone
         masks = [m | x for m, more in deeper.items() for x in more]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of the edges (u, v): the smallest node reachable. Alternating large and small
-    stars; every round is a few joins and aggregates, and the number of rounds grows with the logarithm of the size."""
+    stars; every round is a few joins and aggregates, and the number of rounds grows with the logarithm of the size. The
+    centre of a large star is a hot key of a known size."""
     edges = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
+        n = edges.count()
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        held = saved if n > _FEW else lambda df: df
+        joined = join_hot if n > _FEW else lambda left, right, on, weight, _: left.join(right.drop(weight), on)
+        least = held(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = held(joined(both.where("v > u"), least, ["u"], "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = held(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = joined(large, least, ["u"], "n", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = saved(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == now:
@@ -210,36 +238,263 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _named(found: DataFrame, members: DataFrame, distinct: DataFrame, key: str) -> DataFrame:
+    """doc_id, key and component_id of all `members` (doc_id, key), given the components `found` of the keys and the
+    smallest id and number of members of each (`distinct`: key, first_id, n)."""
+    linked = saved(found.withColumnRenamed("node", key).join(distinct, key))
+    smallest = saved(linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_keys")))
+    named = join_hot(linked.select("component", key), smallest, ["component"], "n_keys", linked.count()).select(key, F.col("component_id").alias("linked_id"))
+    by_key = distinct.join(named, key, "left").select(key, F.when(F.col("linked_id").isNull(), F.col("first_id")).otherwise(F.col("linked_id")).alias("component_id"), "n")
+    return join_hot(members, saved(by_key), [key], "n", members.count())
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = BITS, node_size: int = NODE_SIZE, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id: the smallest doc_id that links of at most `bits` differing bits reach. One row for
     each document, in no order. A component whose ids are all null has a null id."""
-    prints = saved(fingerprints(docs, text, [doc_id], shingle).withColumnRenamed(doc_id, "doc_id"))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    prints = saved(fingerprints(docs.select(docs[q(doc_id)].alias("doc_id"), docs[q(text)].alias("text")), "text", ["doc_id"], shingle))
+    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     found = components(links(distinct.select("fp"), bits, node_size))
-    linked = found.join(distinct.withColumnRenamed("fp", "node"), "node")
-    smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = linked.join(smallest, "component").select(F.col("node").alias("fp"), F.col("component_id").alias("linked_id"))
-    by_print = distinct.join(named, "fp", "left").select("fp", F.when(F.col("linked_id").isNull(), F.col("first_id")).otherwise(F.col("linked_id")).alias("component_id"))
-    # saved, so that both sides of the join have an exchange of their own and Spark can split a fingerprint of many copies
-    return prints.join(saved(by_print), "fp").select(F.col("doc_id").alias(doc_id), "fp", "component_id")
+    return _named(found, prints, distinct, "fp").select(F.col("doc_id").alias(doc_id), "fp", "component_id")
 
 
 def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def first_of_each(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents without those whose id is not the component_id of their row in `groups` (doc_id, component_id). Of
-    rows that repeat an id within a group one stays. Rows without an id stay."""
-    groups = saved(groups.select(doc_id, "component_id"))
-    others = groups.where(F.col(doc_id) != F.col("component_id")).select(doc_id).distinct()
-    kept = docs.join(others, doc_id, "left_anti").select(*docs.columns)
-    if groups.where(F.col(doc_id) == F.col("component_id")).groupBy(doc_id).count().where("count > 1").isEmpty():
-        return kept
-    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))
+def _text_hash(docs: DataFrame, text: str):
+    return F.xxhash64(F.coalesce(docs[q(text)].cast("binary"), F.lit(b"")))
+
+
+def _one_row_each(docs: DataFrame, groups: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The documents that come first in their group by (id, text hash): `groups` has doc_id, text_hash, key and
+    component_id of every row. Rows without an id stay. Only short rows are shuffled: Spark sends the list of the rows
+    to drop to the texts while it is small, by its own size check on the table."""
+    groups = table(groups.where("doc_id is not null").select("doc_id", "text_hash", "component_id"), "groups")
+    rows = groups.groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n_rows"))
+    rows, first = table(rows, "rows"), table(first, "first")
+    judged = table(join_hot(rows, first, ["component_id"], "n_rows", rows.count()).select("doc_id", "text_hash", "n", (F.col("first") == F.struct("doc_id", "text_hash")).alias("stays")), "judged")
+    out = docs.select(packed(docs).alias("row"), docs[q(doc_id)].alias("doc_id"), _text_hash(docs, text).alias("text_hash"))
+    # one text in two components of one id cannot be: equal texts are in one group
+    kept = out.join(table(judged.where("not stays").select("doc_id", "text_hash"), "dropped"), ["doc_id", "text_hash"], "left_anti")
+    again = table(judged.where("stays and n > 1").select("doc_id", "text_hash"), "again")
+    if not again.isEmpty():
+        same = kept.join(again, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        kept = kept.join(again, ["doc_id", "text_hash"], "left_anti").unionByName(same)
+    return kept.select(*fields("row", docs.columns))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = BITS, node_size: int = NODE_SIZE, shingle: int = SHINGLE) -> DataFrame:
+    """The documents, of each group of near-duplicates only the row with the smallest id (of several texts under that id
+    that with the smallest hash, of equal rows one); all columns unchanged. Rows without an id stay."""
+    rows = docs.select(docs[q(doc_id)].alias("doc_id"), _text_hash(docs, text).alias("text_hash"), docs[q(text)].alias("text")).where("doc_id is not null")
+    prints = saved(fingerprints(rows, "text", ["doc_id", "text_hash"], shingle))
+    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    # a component is named by its fingerprints here: ids may repeat in other components
+    found = components(links(distinct.select("fp"), bits, node_size))
+    return _one_row_each(docs, _by_key(found, prints, distinct, "fp"), text, doc_id)
+
+
+def _by_key(found: DataFrame, members: DataFrame, distinct: DataFrame, key: str) -> DataFrame:
+    """`members` with component_id: the name of their key's component, or the key itself."""
+    named = distinct.join(found.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("component", key).alias("component_id"), "n")
+    return join_hot(members, saved(named), [key], "n", members.count())
+
+
+# Near-duplicates by similarity: the same fingerprints and Gray order, with a wider radius and an exact check.
+
+LEAST = 0.8
+WIDE_SHINGLE = 5
+WIDE_BITS = 20  # a similarity of 0.8 is some 10 of 64 bits on average, with a deviation of 3
+ANCHORS = 24  # two sets of similarity 0.8 have none in common once in 10 ** 16
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def shingle_hashes(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """64-bit hashes of all shingles of the lower-cased (A-Z) words, in order; fewer words are one shingle."""
+    words = spaced(text.lower())
+    known = {w: xxh64_intdigest(w, 42) for w in set(words)}
+    a = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    if not len(a):
+        return a
+    size = min(shingle, len(a))
+    h = np.full(len(a) - size + 1, size, np.uint64)
+    for k in range(size):
+        h = h * np.uint64(_FACTOR) + a[k : len(a) - size + 1 + k]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 16_384):
+        part = hashes[a : a + 16_384].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def _signed_of(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def set_key(distinct: np.ndarray) -> int:
+    return _signed_of(xxh64_intdigest(distinct.tobytes(), 7))
+
+
+def anchors(distinct: np.ndarray, n: int = ANCHORS) -> np.ndarray:
+    """The least shingle of each of `n` classes of shingles: equal in two sets with a probability of their similarity."""
+    if not len(distinct):
+        return distinct
+    kind = distinct % np.uint64(n)
+    order = np.argsort(kind, kind="stable")  # `distinct` is sorted
+    return distinct[order[np.concatenate([[True], np.diff(kind[order].astype(np.int64)) != 0])]]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard, of two sorted arrays of distinct values; one for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text_hash, key (a hash of the set of shingles), n (its size), fp and anchors of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [shingle_hashes(t, shingle) for t in raw_texts(batch, "text")]
+            sets = [np.unique(h) for h in whole]
+            out = batch.drop_columns(["text"]).append_column("key", pa.array([set_key(h) for h in sets], pa.int64())).append_column("n", pa.array([len(h) for h in sets], pa.int64()))
+            out = out.append_column("fp", pa.array([_signed_of(_majority(h)) for h in whole], pa.int64()))
+            yield out.append_column("anchors", pa.array([anchors(h).view(np.int64) for h in sets], pa.list_(pa.int64())))
+
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["text_hash"], *(T.StructField(n, T.LongType()) for n in ("key", "n", "fp")), T.StructField("anchors", T.ArrayType(T.LongType()))])
+    return table(rows.select("doc_id", "text_hash", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema), "sets")
+
+
+def _shared_nodes(rows: DataFrame, more_than: int = 1) -> DataFrame:
+    """The rows (node, ...) of nodes with several rows, and `held`: how many."""
+    counts = saved(rows.groupBy("node").agg(F.count("*").alias("held")).where(F.col("held") > more_than))
+    return table(join_hot(rows, counts.withColumn("weight", F.col("held")), ["node"], "weight", rows.count()), "nodes")
+
+
+def _nodes(distinct: DataFrame, node_size: int) -> DataFrame:
+    """(node, key, fp, n): sets by the anchors that they share with others. A crowded node gives way to nodes of two
+    anchors; one that is still crowded holds texts that have much in common and stays whole."""
+    rows = table(distinct.select(F.explode("anchors").alias("node"), "key", "fp", "n"), "anchored")
+    nodes = _shared_nodes(rows)
+    crowded = nodes.where(F.col("held") > node_size).select("node", "key")
+    if crowded.isEmpty():
+        return nodes.drop("held")
+    pairs = crowded.join(distinct.select("key", "fp", "n", "anchors"), "key").select("node", F.explode("anchors").alias("other"), "key", "fp", "n").where("node <> other")
+    finer = table(pairs.select(F.xxhash64(F.least("node", "other"), F.greatest("node", "other")).alias("node"), "key", "fp", "n").distinct(), "finer")
+    return nodes.where(F.col("held") <= node_size).drop("held").unionByName(_shared_nodes(finer).drop("held"))
+
+
+def _pair_class(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """0 to 15, by a mix of both keys."""
+    mixed = (u.view(np.uint64) * np.uint64(_FACTOR)) ^ v.view(np.uint64)
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(60)
+
+
+def _candidates(turn: int, bits: int, least: float):
+    """Rows (node, key, fp, n, part) sorted by node and Gray rank in; pairs of keys (u < v) of different parts within
+    `bits` out. Turn 0: neighbours in Gray order, and each with the node's smallest key. Turns 1 and 2 together: all
+    others, in two classes, so that what the first class links is no longer a pair in the second."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, firsts in whole_groups(batches, ["node"]):
+            fp, key, n, part = (np.ascontiguousarray(rows.column(c).to_numpy()) for c in ("fp", "key", "n", "part"))
+            fp = fp.view(np.uint64)
+
+            def pairs(firsts=firsts, fp=fp, key=key, part=part):
+                if turn:
+                    yield from near_pairs(fp, firsts, bits, part)
+                    return
+                inner = np.ones(len(key), bool)
+                inner[firsts] = False
+                yield np.flatnonzero(inner) - 1, np.flatnonzero(inner)
+                size = np.diff(np.append(firsts, len(key)))
+                smallest = np.repeat(np.minimum.reduceat(key, firsts), size)
+                at = np.flatnonzero(key == smallest)
+                yield np.repeat(at, size), np.arange(len(key))
+
+            for a, b in pairs():
+                ok = (part[a] != part[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= bits) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9)
+                u, v = np.minimum(key[a[ok]], key[b[ok]]), np.maximum(key[a[ok]], key[b[ok]])
+                if turn:
+                    ok = (_pair_class(u, v) == 0) == (turn == 1)
+                    u, v = u[ok], v[ok]
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return run
+
+
+_PAIRS_A_COPY = 64
+
+
+def _with_side(pairs: DataFrame, held: DataFrame, side: str, name: str) -> DataFrame:
+    """`pairs` with the shingles of one side. A set of many pairs is copied once for each 64 of them."""
+    counts = saved(pairs.groupBy(side).agg(F.count("*").alias("weight")))
+    copies = F.ceil(F.col("weight") / _PAIRS_A_COPY).cast("int")
+    dealt = join_hot(pairs, counts.withColumn("copies", copies), [side], "weight", pairs.count())
+    other = F.col("v" if side == "u" else "u")
+    right = counts.select(F.col(side), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy")).join(held.select(F.col("key").alias(side), F.col("shingles").alias(name)), side)
+    return dealt.withColumn("copy", F.pmod(F.xxhash64(other), F.col("copies")).cast("int")).join(right, [side, "copy"]).drop("copy", "copies")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Of the pairs of keys (u, v) those of similarity `least` or more. Only one text of each set in a pair is read again."""
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, shingle)) for t in raw_texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([h.tobytes() for h in found], pa.binary())], ["key", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(s, np.uint64) for s in batch.column(c).to_pylist()] for c in ("a", "b"))
+            near = np.array([similarity(x, y) >= least for x, y in zip(a, b, strict=True)], bool)
+            yield batch.select(["u", "v"]).filter(pa.array(near))
+
+    wanted = table(distinct.join(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "key").select("key", "first.doc_id", "first.text_hash"), "wanted")
+    bodies = rows.join(wanted, ["doc_id", "text_hash"]).select("key", F.col("text").cast("binary").alias("text"))
+    held = table(bodies.mapInArrow(again, "key long, shingles binary").dropDuplicates(["key"]), "shingles")
+    return saved(_with_side(_with_side(pairs, held, "u", "a"), held, "v", "b").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+
+
+def _similar(docs: DataFrame, text: str, doc_id: str, shingle: int, least: float, bits: int, node_size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components of set keys, rows (doc_id, text_hash, key) and sets (key, first_id, n)."""
+    spark = docs.sparkSession
+    rows = docs.select(docs[q(doc_id)].alias("doc_id"), _text_hash(docs, text).alias("text_hash"), docs[q(text)].alias("text")).where("doc_id is not null")
+    sets = _sets(rows, shingle)
+    first = F.min(F.struct("doc_id", "text_hash"))
+    distinct = table(sets.groupBy("key").agg(first.alias("first"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors")), "distinct")
+    nodes = _nodes(distinct, node_size)
+    edges, parts, n = None, None, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for turn in range(3):
+        own = nodes.withColumn("part", F.col("key")) if parts is None else nodes.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key"))
+        dealt = own.select("node", "key", "fp", "n", "part", gray_rank(F.col("fp")).alias("rank")).repartition(n, "node").sortWithinPartitions("node", "rank", "key")
+        pairs = saved(dealt.select("node", "key", "fp", "n", "part").mapInArrow(_candidates(turn, bits, least), "u long, v long").distinct())
+        if turn and pairs.isEmpty():
+            continue
+        near = _verified(pairs, rows, distinct, shingle, least)
+        edges = near if edges is None else saved(edges.unionByName(near))
+        parts = saved(components(edges).withColumnRenamed("node", "key"))
+    found = parts.withColumnRenamed("key", "node")
+    return found, sets.select("doc_id", "text_hash", "key"), distinct.select("key", F.col("first.doc_id").alias("first_id"), F.col("rows").alias("n"))
+
+
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = WIDE_SHINGLE, least: float = LEAST, bits: int = WIDE_BITS, node_size: int = NODE_SIZE) -> DataFrame:
+    """doc_id, key and component_id: the smallest doc_id that links of a Jaccard similarity of `least` or more on word
+    shingles reach. Links are sought among texts that share an anchor (the least shingle of one of 24 classes), in the
+    Gray order of their fingerprints within `bits`, and then checked exactly. One row for each document with an id."""
+    found, members, distinct = _similar(docs, text, doc_id, shingle, least, bits, node_size)
+    return _named(found, members, distinct, "key").select(F.col("doc_id").alias(doc_id), "key", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents, of each group of near-duplicates only that with the smallest id; all columns unchanged. Of rows
-    that repeat an id within a group one stays. Rows without an id stay."""
-    return first_of_each(docs, near_duplicates(docs, text, doc_id, **options), doc_id)
+def one_of_each_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = WIDE_SHINGLE, least: float = LEAST, bits: int = WIDE_BITS, node_size: int = NODE_SIZE) -> DataFrame:
+    """The documents, of each group of `similar` ones only the first row, as in `one_of_each`."""
+    found, members, distinct = _similar(docs, text, doc_id, shingle, least, bits, node_size)
+    return _one_row_each(docs, _by_key(found, members, distinct, "key"), text, doc_id)

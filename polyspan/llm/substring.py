@@ -1,23 +1,30 @@
-"""Removal of long repeated passages, by compressed FM-indexes over shards of the text that may repeat.
+"""Removal of long repeated passages: documents are streamed against compressed FM-indexes over shards of the text.
 
 A window is `WIDTH` consecutive words; windows with equal words have the same smallest k-gram hash, so they meet under
-that key. Consecutive windows of a document under one key form a segment (at most WIDTH - k + 1 windows).
-
-1. Segments are counted by key without their text. Keys that only one document holds drop out. Of equal segments all
-   but those of the smallest id are removed whole.
-2. The remaining segments under keys with several different segments are indexed: a shard holds whole keys, its words
-   are numbered, and an FM-index (suffix order, Burrows-Wheeler transform in a wavelet matrix with packed bits and
-   block counts) is searched backwards with every segment, all segments in step. The matching statistic of each place,
-   cut at WIDTH, gives the interval of all windows with the same words and so the smallest id that holds one.
-3. A key with more than `KEY_SEGMENTS` different segments (around a passage that many documents share, each in other
-   surroundings) is split by the smallest hash of longer k-grams, and finally by whole windows, where equal windows
-   collapse in an aggregate. So no key is unbounded, and none is cut off.
-
-Null texts have no words; a null id is greater than all others; rows that repeat an id and a text get equal results.
+that key. Consecutive windows of a document under one key form a segment (at most WIDTH - k + 1 windows). Keys only
+decide what meets where; which words are equal is decided by the index alone.
+
+1. Segments are counted by key without their text. Keys that one document alone holds drop out.
+2. The words of the other segments are fetched. Segments of the same words (by a 128-bit BLAKE2 digest) travel once.
+3. A shard holds whole keys, some `SHARD_WORDS` words of distinct segments. Its FM-index is a Burrows-Wheeler transform
+   in a wavelet tree (matrix layout: one packed bit vector with block counts a level), a bit vector of the places where
+   suffixes stop agreeing on `WIDTH` words, and one small number for each class of equal windows: the least id. No
+   suffix array, text or suffix order is kept.
+4. All segments are streamed past the index of their shard in batches, searched backwards in step. The matching
+   statistic of a place, cut at WIDTH, is the longest match that starts there; intervals that reach WIDTH are reported
+   with the least id of their class, as runs.
+5. A key with more than `KEY_SEGMENTS` different segments (around a passage that many documents share, each in other
+   surroundings) is split by the smallest hash of longer k-grams, in the end by whole windows. So no key is unbounded,
+   and none is cut off.
+
+Null texts have no words; a null id is greater than all others; ids may be of any type that sorts; rows that repeat an
+id and a text get equal results.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import new_shared_path, raw_texts, spaced
+from .common import fields, join_hot, packed, q, raw_texts, spaced, table
 from .decontam import suffix_array
 
 WIDTH = 50
 GRAMS = (16, 30, 45)
 KEY_SEGMENTS = 2000
 SHARD_WORDS = 300_000
+_SALTS = 16
 _BASE = 0x9E3779B97F4A7C15
-_NO_ID = (1 << 63) - 1
 
 
 def _slide(x: np.ndarray, width: int) -> np.ndarray:
@@ -55,19 +62,18 @@ class Segmenter:
         self.known: dict[bytes, int] = {}
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > 200_000:
+        if len(self.known) > 400_000:
             self.known.clear()
         known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = xxh64_intdigest(w)
+        for w in set(words).difference(known):
+            known[w] = xxh64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """key, content hash, first window and number of windows of each segment."""
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """key, first window and number of windows of each segment."""
         n = len(words)
         if n < self.width:
-            return (np.zeros(0, np.int64),) * 4
+            return (np.zeros(0, np.int64),) * 3
         a = self.numbers(words)
         h = np.zeros(n - self.gram + 1, np.uint64)
         for j in range(self.gram):
@@ -80,258 +86,338 @@ class Segmenter:
         first = np.flatnonzero(turn)
         within = np.arange(len(key)) - first[np.cumsum(turn) - 1]
         start = np.flatnonzero(within % span == 0)
-        count = np.diff(np.append(start, len(key)))
-        # a hash of a segment's words from sums of words times powers of an odd number, which has an inverse
-        power = np.full(n, _BASE, np.uint64)
-        power[0] = 1
-        power = np.cumprod(power, dtype=np.uint64)
-        inverse = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-        inverse[0] = 1
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(a * np.cumprod(inverse, dtype=np.uint64), dtype=np.uint64)])
-        content = (sums[start + count + self.width - 1] - sums[start]) * power[start] + count.astype(np.uint64)
-        return key[start].view(np.int64), content.view(np.int64), start, count
+        return key[start].view(np.int64), start, np.diff(np.append(start, len(key)))
+
+
+class _Bits:
+    """A bit vector packed in 64-bit blocks, with 32-bit counts of the ones before each block."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.zeros(-(-(len(bits) + 1) // 64) * 8, np.uint8)
+        raw = np.packbits(bits, bitorder="little")
+        packed[: len(raw)] = raw
+        self.blocks = packed.view("<u8")
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.blocks), dtype=np.int64)])[:-1].astype(np.uint32)
+        self.n, self.ones = len(bits), int(bits.sum())
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        block = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[block].astype(np.int64) + np.bitwise_count(self.blocks[block] & below).astype(np.int64)
+
+    def places(self) -> np.ndarray:
+        """Where the ones are."""
+        return np.flatnonzero(np.unpackbits(self.blocks.view(np.uint8), bitorder="little")[: self.n])
+
+    @property
+    def nbytes(self) -> int:
+        return self.blocks.nbytes + self.before.nbytes
 
 
 class FMIndex:
-    """Of rows of words; suffixes are ordered by their first `width` + 1 words or more."""
+    """Of rows of words, each with an owner's rank: the least owner of every class of windows of `width` equal words."""
 
-    def __init__(self, rows: list[list[bytes]], ids: np.ndarray, width: int):
+    def __init__(self, rows: list[list[bytes]], owners: np.ndarray, width: int):
         self.width = width
         sizes = np.array([len(r) for r in rows], np.int64)
-        number = {w: i + 2 for i, w in enumerate(sorted({w for r in rows for w in r}))}
-        self.rows = [np.array([number[w] for w in r], np.int64) for r in rows]
-        text = np.concatenate([np.append(r, 1) for r in self.rows] + [np.zeros(1, np.int64)])
-        order = suffix_array(text, width + 1)
-        last = text[order - 1]  # the transform; the word before the first is the final 0
-        n, symbols = len(text), len(number) + 2
+        self.number = {w: i + 2 for i, w in enumerate(sorted({w for r in rows for w in r}))}
+        text = np.concatenate([np.append(self.numbers(r), 1) for r in rows] + [np.zeros(1, np.int64)])
+        order = suffix_array(text, width)
+        n, symbols = len(text), len(self.number) + 2
+        self.n = n
         self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
-        self.levels = []
-        symbol_at = np.zeros(symbols, np.int64)
-        at, kind = last, np.arange(symbols)
+        self.levels: list[tuple[int, _Bits]] = []
+        self.symbol_at = np.zeros(symbols, np.int64)
+        at, kind = text[order - 1], np.arange(symbols)  # the transform; the word before the first is the final 0
         for bit in reversed(range(max(1, int(symbols - 1).bit_length()))):
             ones = (at >> bit & 1).astype(bool)
-            packed = np.zeros(-(-(n + 1) // 64) * 8, np.uint8)
-            raw = np.packbits(ones, bitorder="little")
-            packed[: len(raw)] = raw
-            blocks = packed.view("<u8")
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(blocks), dtype=np.int64)])[:-1]
-            level = (bit, blocks, before, n - int(ones.sum()))
-            self.levels.append(level)
-            symbol_at = self._step(level, kind, symbol_at)
+            self.levels.append((bit, _Bits(ones)))
+            self.symbol_at = self._step(self.levels[-1], kind, self.symbol_at)
             at = np.concatenate([at[~ones], at[ones]])
-        self.symbol_at = symbol_at
-        # windows with equal words are neighbours: where one such class starts and ends, and its smallest id
-        left = np.repeat(np.append(sizes, 0), np.append(sizes + 1, 1)) - self._within(sizes)
-        whole = left[order] >= width
+        # suffixes that agree on `width` words are neighbours; one bit marks where a class starts
         padded = np.concatenate([text, np.full(width, -1, np.int64)])
-        same = whole[1:] & whole[:-1]
+        same = np.ones(n - 1, bool)
         for d in range(width):
             live = np.flatnonzero(same)
             if not len(live):
                 break
-            same[live] = padded[order[live + 1] + d] == padded[order[live] + d]
-        first = np.flatnonzero(np.concatenate([[True], ~same]))
-        group = np.cumsum(np.concatenate([[True], ~same])) - 1
-        owner = np.append(np.repeat(ids, sizes + 1), _NO_ID)[order]
-        self.start, self.end = first[group], np.append(first[1:], n)[group]
-        self.smallest = np.minimum.reduceat(owner, first)[group]
+            x, y = padded[order[live + 1] + d], padded[order[live] + d]
+            same[live] = (x == y) & (x > 1)
+        turn = np.concatenate([[True], ~same])
+        self.classes = _Bits(turn)
+        owner = np.append(np.repeat(owners, sizes + 1), np.iinfo(np.int32).max)[order]
+        self.least = np.minimum.reduceat(owner, np.flatnonzero(turn)).astype(np.int32)
 
-    @staticmethod
-    def _within(sizes: np.ndarray) -> np.ndarray:
-        base = np.concatenate([[0], np.cumsum(sizes + 1)])
-        return np.concatenate([np.arange(base[-1]) - np.repeat(base[:-1], sizes + 1), [0]])
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Words as symbols; 1 is none of the index."""
+        return np.fromiter((self.number.get(w, 1) for w in words), np.int64, len(words))
 
-    @staticmethod
-    def _step(level, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        bit, blocks, before, zeros = level
-        block = at >> 6
-        ones = before[block] + np.bitwise_count(blocks[block] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
-        return np.where(symbol >> bit & 1, zeros + ones, at - ones)
+    @property
+    def nbytes(self) -> int:
+        """What the search needs, beside the list of words."""
+        return sum(b.nbytes for _, b in self.levels) + self.classes.nbytes + self.least.nbytes + self.below.nbytes + self.symbol_at.nbytes
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol stands before each place of the transform."""
+    @staticmethod
+    def _step(level: tuple[int, _Bits], symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        bit, bits = level
+        ones = bits.rank(at)
+        return np.where(symbol >> bit & 1, bits.n - bits.ones + ones, at - ones)
+
+    def extend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """One step of a backward search for one end of each interval."""
+        start = at
         for level in self.levels:
-            at = self._step(level, symbol, at)
-        return at - self.symbol_at[symbol]
-
-    def smallest_ids(self) -> list[np.ndarray]:
-        """For every row of the index and each of its windows, the smallest id with a window of the same words. All
-        rows are searched backwards in step; a row finds itself at least, so no step fails."""
-        sizes = np.array([len(r) for r in self.rows], np.int64)
-        out = [np.full(max(0, n - self.width + 1), _NO_ID, np.int64) for n in sizes.tolist()]
+            start = self._step(level, symbol, start)
+        return self.below[symbol] + start - self.symbol_at[symbol]
+
+    def _interval(self, row: np.ndarray, start: int, end: int) -> tuple[int, int]:
+        """Of row[start:end], searched from nothing."""
+        lo, hi = np.zeros(1, np.int64), np.full(1, self.n)
+        for symbol in row[start:end][::-1]:
+            lo, hi = self.extend(np.array([symbol]), lo), self.extend(np.array([symbol]), hi)
+            if hi[0] <= lo[0]:
+                break
+        return int(lo[0]), int(hi[0])
+
+    def matching_statistics(self, rows: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For every place of every row the length of its longest match in the index, cut at `width`, and the interval's
+        first suffix. All rows are searched backwards in step."""
+        sizes = np.array([len(r) for r in rows], np.int64)
         order = np.argsort(-sizes, kind="stable")
-        padded = np.zeros((len(order), int(sizes.max(initial=0))), np.int64)
+        steps = int(sizes.max(initial=0))
+        back = np.ones((len(order), steps), np.int64)
         for k, r in enumerate(order.tolist()):
-            padded[k, : sizes[r]] = self.rows[r][::-1]
-        found = np.full_like(padded, _NO_ID)
-        lo, hi = np.zeros(len(order), np.int64), np.full(len(order), len(self.start), np.int64)
-        for step in range(padded.shape[1]):
+            back[k, : sizes[r]] = rows[r][::-1]
+        lengths, first = np.zeros((len(order), steps), np.int16), np.zeros((len(order), steps), np.int64)
+        lo, hi, size = np.zeros(len(order), np.int64), np.full(len(order), self.n), np.zeros(len(order), np.int64)
+        ends = np.append(self.classes.places(), self.n) if len(order) else None
+        for step in range(steps):
             k = int(np.searchsorted(-sizes[order], -step, side="left"))  # rows longer than `step`
-            symbol = padded[:k, step]
-            lo[:k] = self.below[symbol] + self.rank(symbol, lo[:k])
-            hi[:k] = self.below[symbol] + self.rank(symbol, hi[:k])
-            if step + 1 >= self.width:
-                at = lo[:k]
-                lo[:k], hi[:k], found[:k, step] = self.start[at], self.end[at], self.smallest[at]
+            symbol = back[:k, step]
+            a, z = self.extend(symbol, lo[:k]), self.extend(symbol, hi[:k])
+            bad = np.flatnonzero((z <= a) | (symbol == 1))
+            good = np.setdiff1d(np.arange(k), bad, assume_unique=True) if len(bad) else slice(0, k)
+            lo[good], hi[good], size[good] = a[good], z[good], size[good] + 1
+            for b in bad.tolist():
+                lo[b], hi[b], size[b] = self._shorter(rows[order[b]], int(sizes[order[b]]) - 1 - step, int(size[b]))
+            long = np.flatnonzero(size[:k] >= self.width)  # the interval of the first `width` words alone
+            if len(long):
+                group = self.classes.rank(lo[long] + 1) - 1
+                lo[long], hi[long], size[long] = ends[group], ends[group + 1], self.width
+            lengths[:k, step], first[:k, step] = size[:k], lo[:k]
+        out, at = [None] * len(rows), [None] * len(rows)
         for k, r in enumerate(order.tolist()):
-            out[r][:] = found[k, self.width - 1 : sizes[r]][::-1]
+            out[r], at[r] = lengths[k, : sizes[r]][::-1], first[k, : sizes[r]][::-1]
+        return out, at
+
+    def _shorter(self, row: np.ndarray, place: int, size: int) -> tuple[int, int, int]:
+        """The longest match at `place` where `size` + 1 words are too many: bisection, as every start of a match is one."""
+        low, high, held = 0, size, (0, self.n)
+        while low < high:
+            mid = (low + high + 1) // 2
+            lo, hi = self._interval(row, place, place + mid)
+            if hi > lo and not (row[place : place + mid] == 1).any():
+                low, held = mid, (lo, hi)
+            else:
+                high = mid - 1
+        return (*held, low)
+
+    def least_owners(self, rows: list[list[bytes]]) -> list[np.ndarray]:
+        """For every window of every row the least owner of a window of the same words; the greatest integer if none."""
+        lengths, first = self.matching_statistics([self.numbers(r) for r in rows])
+        out = []
+        for size, at in zip(lengths, first, strict=True):
+            n = max(0, len(size) - self.width + 1)
+            owner = self.least[self.classes.rank(at[:n] + 1) - 1]
+            out.append(np.where(size[:n] >= self.width, owner, np.iinfo(np.int32).max))
         return out
 
 
-def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
-    """(start, length) of the runs of true values."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True))
-
+def _runs(values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, value) of the runs of equal values."""
+    at = np.flatnonzero(np.diff(values, prepend=values[0] - 1 if len(values) else 0))
+    return list(zip(at.tolist(), np.diff(np.append(at, len(values))).tolist(), values[at].tolist(), strict=True))
 
-def _batch(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(schema)], [n for n, _ in schema])
 
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
 
-def _all_segments(width: int, gram: int):
-    names = ["key", "content", "id", "text_hash", "start", "n"]
 
+def _all_segments(width: int, gram: int, schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Segmenter(width, gram)
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in names]
-            for i, h, body in zip(batch.column("id").to_pylist(), batch.column("text_hash").to_pylist(), raw_texts(batch, "body"), strict=True):
-                key, content, start, n = cut(spaced(body))
-                for held, x in zip(columns, (key, content, np.full(len(key), i, np.int64), np.full(len(key), h, np.int32), start.astype(np.int32), n.astype(np.int32)), strict=True):
-                    held.append(x)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names)
+            found = [cut(spaced(body)) for body in raw_texts(batch, "body")]
+            owner = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+            key, start, n = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("id").take(owner), batch.column("text_hash").take(owner), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], schema.names)
 
-    return run, "key long, content long, id long, text_hash int, start int, n int"
+    return run
 
 
-def _fetch(width: int):
-    kinds = [("key", pa.int64()), ("content", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("words", pa.binary())]
+def _fetch(width: int, names: list[str]):
+    """The words of the wanted segments, each once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for batch in batches:
-            rows = []
-            for i, wanted, body in zip(batch.column("id").to_pylist(), batch.column("wanted").to_pylist(), raw_texts(batch, "body"), strict=True):
-                words = spaced(body)
-                rows += [(w["key"], w["content"], i, w["n"], b" ".join(words[w["start"] : w["start"] + w["n"] + width - 1])) for w in wanted]
-            yield _batch(kinds, rows)
-
-    return run, "key long, content long, id long, n int, words binary"
-
-
-def _index(width: int, shard_words: int):
-    kinds = [("key", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("len", pa.int32())]
-
-    def search(rows: list[tuple]) -> pa.RecordBatch:
-        ids = np.array([r[2] for r in rows], np.int64)
-        found = FMIndex([spaced(r[3]) for r in rows], ids, width).smallest_ids()
-        return _batch(kinds, [(r[0], r[1], a, n) for r, smallest in zip(rows, found, strict=True) for a, n in _runs(smallest < r[2])])
+            key, digest, start, count, body, owner = [], [], [], [], [], []
+            for i, (wanted, text) in enumerate(zip(batch.column("wanted").to_pylist(), raw_texts(batch, "body"), strict=True)):
+                words = spaced(text)
+                for w in wanted:
+                    line = b" ".join(words[w["start"] : w["start"] + w["n"] + width - 1])
+                    d = _digest(line)
+                    key.append(w["key"])
+                    digest.append(d)
+                    start.append(w["start"])
+                    count.append(w["n"])
+                    owner.append(i)
+                    body.append(None if d in sent else line)
+                    sent.add(d)
+                if len(sent) > 500_000:
+                    sent.clear()
+            owner = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(digest, pa.binary()), batch.column("id").take(owner), batch.column("text_hash").take(owner), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(body, pa.binary())], names)
+
+    return run
+
+
+def _index(width: int, names: list[str]):
+    """Rows sorted by shard, those to index before those to search; runs of windows with the least id out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        shard, texts, ids, index, known = None, [], [], None, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "id", "words")), strict=True):
-                if size >= shard_words and row[0] != held[-1][0]:
-                    yield search(held)
-                    held, size = [], 0
-                held.append(row)
-                size += row[3].count(b" ") + 2
-        if held:
-            yield search(held)
-
-    return run, "key long, content long, at int, len int"
-
-
-def _cut_again(width: int, gram: int):
-    kinds = [("key", pa.int64()), ("content", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("words", pa.binary()), ("up_key", pa.int64()), ("up_content", pa.int64()), ("offset", pa.int32())]
-
+            id_type = batch.schema.field("id").type
+            out = [[] for _ in range(5)]
+            waiting: list[tuple] = []
+
+            def search(index=None, known=None, waiting=waiting, out=out):
+                for (key, digest, words), least in zip(waiting, index.least_owners([w for _, _, w in waiting]), strict=True):
+                    for a, n, rank in _runs(least):
+                        if rank < len(known):
+                            for held, x in zip(out, (key, digest, a, n, known[rank]), strict=True):
+                                held.append(x)
+                waiting.clear()
+
+            for s, kind, key, digest, i, words in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "key", "digest", "id", "words")), strict=True):
+                if s != shard:
+                    if waiting:
+                        search(index, known)
+                    shard, texts, ids, index = s, [], [], None
+                if kind == 0:
+                    texts.append(spaced(words))
+                    ids.append(i)
+                    continue
+                if index is None:
+                    known = sorted({x for x in ids if x is not None})
+                    rank = {x: k for k, x in enumerate(known)}
+                    index = FMIndex(texts, np.array([rank.get(x, len(known)) for x in ids], np.int64), width)
+                    texts, ids = [], []
+                waiting.append((key, digest, spaced(words)))
+            if waiting:
+                search(index, known)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.int32(), id_type), strict=True)], names)
+
+    return run
+
+
+def _cut_again(width: int, gram: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Segmenter(width, gram)
         for batch in batches:
-            rows = []
-            for up_key, up_content, i, body in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "id", "words")), strict=True):
+            out, owner = [[] for _ in range(6)], []
+            for i, (up_key, up_digest, body) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "words")), strict=True)):
                 words = spaced(body)
-                for key, content, start, n in zip(*(x.tolist() for x in cut(words)), strict=True):
-                    rows.append((key, content, i, n, b" ".join(words[start : start + n + width - 1]), up_key, up_content, start))
-            yield _batch(kinds, rows)
-
-    return run, "key long, content long, id long, n int, words binary, up_key long, up_content long, offset int"
-
+                for key, start, n in zip(*(x.tolist() for x in cut(words)), strict=True):
+                    line = b" ".join(words[start : start + n + width - 1])
+                    owner.append(i)
+                    for held, x in zip(out, (key, _digest(line), line, up_key, up_digest, start), strict=True):
+                        held.append(x)
+            types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32())
+            columns = [pa.array(x, t) for x, t in zip(out, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("id").take(pa.array(owner, pa.int64()))], names)
 
-def _table(df: DataFrame, what: str) -> DataFrame:
-    """Written to the shared folder and read again."""
-    path = new_shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return run
 
 
 def _resolve(units: DataFrame, width: int, grams: tuple[int, ...], key_segments: int, shard_words: int) -> DataFrame:
-    """(key, content, at, len): the windows of different segments (key, content, id, n, words) that a smaller id holds
-    under the same key; one row for each segment comes in, with the smallest id that holds it."""
-    spark = units.sparkSession
-    sizes = units.groupBy("key").count().where("count > 1")
-    several = units.join(sizes, "key")
-    hot = sizes.where(F.col("count") > key_segments).isEmpty() is False if grams else False
-    small = several.where(F.col("count") <= key_segments) if hot else several
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    run, schema = _index(width, shard_words)
-    found = small.select("key", "content", "id", "words").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, schema)
-    if not hot:
+    """(key, digest, at, len, least): for each of the different segments (key, digest, id, words; id the least that holds
+    it) the runs of its windows by the least id that holds them."""
+    id_type = units.schema["id"].dataType
+    sizes = table(units.groupBy("key").count(), "sizes")
+    hot = sizes.where(F.col("count") > key_segments)
+    if grams and not hot.isEmpty():
+        copies = hot.select("key", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"), F.lit(True).alias("hot"))
+        units = table(units.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(_SALTS)).cast("int")).join(copies, ["key", "salt"], "left").drop("salt"), "marked")
+        small = units.where("hot is null").drop("hot")
+    else:
+        small, hot = units, None
+    words = small.agg(F.sum(F.length("words") - F.length(F.translate(F.col("words").cast("string"), " ", "")) + 2)).first()[0] or 0
+    shards = max(1, math.ceil(words / shard_words))
+    n = min(max(shards, 1), 100_000)
+    rows = small.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", "digest", "id", "words")
+    streamed = rows.withColumn("kind", F.lit(0)).unionByName(rows.withColumn("kind", F.lit(1)))
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("at", T.IntegerType()), T.StructField("len", T.IntegerType()), T.StructField("least", id_type)])
+    found = table(streamed.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_index(width, schema.names), schema), "found")
+    if hot is None:
         return found
-    run, schema = _cut_again(width, grams[0])
-    parts = _table(several.where(F.col("count") > key_segments).select("key", "content", "id", "words").mapInArrow(run, schema), "parts")
-    least = parts.groupBy("key", "content").agg(F.min("id").alias("least"))
-    judged = parts.join(least, ["key", "content"])
-    copies = judged.where("id > least").select(F.col("up_key").alias("key"), F.col("up_content").alias("content"), F.col("offset").alias("at"), F.col("n").alias("len"))
-    found = found.unionByName(copies)
-    if grams[0] >= width:
-        return found  # a segment is a window here, and its copies are all there is
-    own = judged.where("id = least")
-    kinds = own.groupBy("key", "content").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("words").alias("words"))
-    deeper = _resolve(_table(kinds, "kinds"), width, grams[1:], key_segments, shard_words)
-    more = own.select("key", "content", "up_key", "up_content", "offset").join(deeper, ["key", "content"])
-    return found.unionByName(more.select(F.col("up_key").alias("key"), F.col("up_content").alias("content"), (F.col("offset") + F.col("at")).cast("int").alias("at"), "len"))
-
-
-def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, grams: tuple[int, ...] = GRAMS, key_segments: int = KEY_SEGMENTS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(id, text_hash, spans): for documents with windows that a smaller id holds too, where those windows start and
-    how many follow one another. Integer ids."""
-    body = F.coalesce(docs[text].cast("binary"), F.lit(b""))
-    rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(_NO_ID)).alias("id"), F.hash(body).alias("text_hash"), body.alias("body"))
-    run, schema = _all_segments(width, grams[0])
-    segments = _table(rows.mapInArrow(run, schema), "segments")
-    by_key = segments.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("low < high").select("key", (F.col("c0") != F.col("c1")).alias("several"))
-    # tables, so that both sides of the joins have exchanges of their own and Spark can split a key of many segments
-    shared = _table(segments.join(_table(by_key, "keys"), "key"), "shared")
-    least = _table(shared.groupBy("key", "content").agg(F.min("id").alias("least")), "least")
-    judged = _table(shared.join(least, ["key", "content"]), "judged")
-    copies = judged.where("id > least").select("id", "text_hash", "start", "n")
-    own = judged.where("id = least and several")
-    kinds = own.groupBy("key", "content").agg(F.min(F.struct("id", "text_hash", "start", "n")).alias("s")).select("key", "content", "s.*")
-    wanted = kinds.groupBy("id", "text_hash").agg(F.collect_list(F.struct("key", "content", "start", "n")).alias("wanted"))
-    run, schema = _fetch(width)
-    units = _table(rows.dropDuplicates(["id", "text_hash"]).join(wanted, ["id", "text_hash"]).select("id", "wanted", "body").mapInArrow(run, schema) if _repeated(rows) else rows.join(wanted, ["id", "text_hash"]).select("id", "wanted", "body").mapInArrow(run, schema), "units")
-    found = _resolve(units, width, (*grams[1:], width), key_segments, shard_words)
-    inner = own.select("key", "content", "id", "text_hash", "start").join(found, ["key", "content"]).select("id", "text_hash", (F.col("start") + F.col("at")).cast("int").alias("start"), F.col("len").alias("n"))
-    return copies.unionByName(inner).distinct().groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-
-
-def _repeated(rows: DataFrame) -> bool:
-    """Whether any id stands in more than one row."""
-    return not rows.groupBy("id").count().where("count > 1").isEmpty()
+    finer = T.StructType([T.StructField("key", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("up_key", T.LongType()), T.StructField("up_digest", T.BinaryType()), T.StructField("offset", T.IntegerType()), T.StructField("id", id_type)])
+    parts = table(units.where("hot").select("key", "digest", "id", "words").mapInArrow(_cut_again(width, grams[0], finer.names), finer), "parts")
+    kinds = table(parts.groupBy("key", "digest").agg(F.min("id").alias("id"), F.first("words").alias("words"), F.count("*").alias("n")), "kinds")
+    deeper = _resolve(kinds.drop("n"), width, grams[1:], key_segments, shard_words)
+    answers = _answers(deeper, kinds)
+    own = parts.select("key", "digest", "up_key", "up_digest", "offset")
+    more = join_hot(own, answers, ["key", "digest"], "n", own.count()).select("up_key", "up_digest", "offset", F.explode("runs").alias("run"))
+    return found.unionByName(more.select(F.col("up_key").alias("key"), F.col("up_digest").alias("digest"), (F.col("offset") + F.col("run.at")).cast("int").alias("at"), "run.len", "run.least"))
+
+
+def _answers(found: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(key, digest, n, runs): all runs of each segment in one row, with how often it occurs."""
+    runs = found.groupBy("key", "digest").agg(F.collect_list(F.struct("at", "len", "least")).alias("runs"))
+    return table(kinds.select("key", "digest", "n").join(runs, ["key", "digest"]), "answers")
+
+
+def repeats(rows: DataFrame, width: int = WIDTH, grams: tuple[int, ...] = GRAMS, key_segments: int = KEY_SEGMENTS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(id, text_hash, spans): for rows (id, text_hash, body) with windows that a smaller id holds too, where those windows
+    start and how many follow one another."""
+    id_type = rows.schema["id"].dataType
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", id_type), T.StructField("text_hash", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())])
+    segments = table(rows.select("id", "text_hash", "body").mapInArrow(_all_segments(width, grams[0], schema), schema), "segments")
+    several = F.count_if(F.col("id").isNull()).alias("nulls")
+    by_key = segments.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), several, F.count("*").alias("n"))
+    by_key = table(by_key.where("low < high or (low is not null and nulls > 0)").select("key", F.col("n").alias("weight")), "keys")
+    shared = join_hot(segments, by_key, ["key"], "weight", segments.count())
+    wanted = table(shared.groupBy("id", "text_hash").agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted")), "wanted")
+    same = F.col("id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("own_hash"))
+    texts = rows.select("id", "text_hash", "body").join(wanted.select(F.col("id").alias("own"), F.col("text_hash").alias("own_hash"), "wanted"), same)
+    texts = texts.select("id", "text_hash", "wanted", "body")
+    if not rows.groupBy("id", "text_hash").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["id", "text_hash"])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("digest", T.BinaryType()), *schema.fields[1:], T.StructField("words", T.BinaryType())])
+    held = table(texts.mapInArrow(_fetch(width, schema.names), schema), "held")
+    kinds = table(held.groupBy("key", "digest").agg(F.min("id").alias("id"), F.count("*").alias("n")), "kinds")
+    words = held.where("words is not null").groupBy("digest").agg(F.first("words").alias("words"))
+    units = table(kinds.join(words, "digest").select("key", "digest", "id", "words"), "units")
+    answers = _answers(_resolve(units, width, (*grams[1:], width), key_segments, shard_words), kinds)
+    own = held.drop("words").withColumnRenamed("n", "windows")
+    told = join_hot(own, answers, ["key", "digest"], "n", own.count()).select("id", "text_hash", "start", F.explode("runs").alias("run"))
+    gone = told.where("run.least < id or (id is null and run.least is not null)")
+    return table(gone.select("id", "text_hash", F.struct((F.col("start") + F.col("run.at")).cast("int").alias("start"), F.col("run.len").alias("n")).alias("span")).groupBy("id", "text_hash").agg(F.collect_list("span").alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] = ("doc_id",), width: int = WIDTH, **options) -> DataFrame:
     """The `keep` columns, n_words, n_removed and kept: the words that no window held by a smaller id covers, joined by
-    one space. Windows are judged on the input."""
-    found = repeats(docs, text, doc_id, width, **options).withColumnRenamed("id", "_id").withColumnRenamed("text_hash", "_hash")
-    body = F.coalesce(docs[text].cast("binary"), F.lit(b""))
-    rows = docs.select(*(docs[c] for c in keep), F.coalesce(docs[doc_id].cast("long"), F.lit(_NO_ID)).alias("_id"), F.hash(body).alias("_hash"), body.alias("_text"))
+    one space. Windows are judged on the input. Kept columns of the names of the new ones stand beside them."""
+    body = F.coalesce(docs[q(text)].cast("binary"), F.lit(b""))
+    rows = docs.select(packed(docs, list(keep)).alias("row"), docs[q(doc_id)].alias("id"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
+    found = repeats(rows, width, **options).select(F.col("id").alias("own"), F.col("text_hash").alias("own_hash"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, kept = [], [], []
-            for body, spans in zip(raw_texts(batch, "_text"), batch.column("spans").to_pylist(), strict=True):
+            for body, spans in zip(raw_texts(batch, "body"), batch.column("spans").to_pylist(), strict=True):
                 words = spaced(body)
                 sizes.append(len(words))
                 if spans:
@@ -342,10 +428,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     words = [words[i] for i in left.tolist()]
                 gone.append(sizes[-1] - len(words))
                 kept.append(b" ".join(words).decode(errors="replace"))
-            out = batch.select(list(keep))
-            for name, column in (("n_words", pa.array(sizes, pa.int64())), ("n_removed", pa.array(gone, pa.int64())), ("kept", pa.array(kept, pa.string()))):
-                out = out.append_column(name, column)
-            yield out
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept"])
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return rows.join(found, ["_id", "_hash"], "left").select(*keep, "_text", "spans").mapInArrow(run, schema)
+    schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    same = F.col("id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("own_hash"))
+    out = rows.join(found, same, "left").select("row", "body", "spans").mapInArrow(run, schema)
+    return out.select(*fields("row", list(keep)), "n_words", "n_removed", "kept")

@@ -208,14 +208,34 @@ def test_substring_removal(spark):
     assert substring.remove_repeats(docs.where("false")).count() == 0
 
 
-def test_fm_index_ranks():
+def test_matching_statistics():
+    """Of rows that the index does not hold, against the longest match found plainly; and the least owner of each window."""
     rnd = random.Random(2)
-    rows = [[rnd.choice([b"a", b"b", b"c", b"d"]) for _ in range(rnd.randint(3, 40))] for _ in range(20)]
-    index = substring.FMIndex(rows, np.arange(20), 3)
-    for r, got in enumerate(index.smallest_ids()):
-        for a, smallest in enumerate(got.tolist()):
-            g = rows[r][a : a + 3]
-            assert smallest == next(i for i, x in enumerate(rows) if any(x[k : k + 3] == g for k in range(len(x) - 2)))
+    make = lambda n: [rnd.choice([b"a", b"b", b"c", b"d"]) for _ in range(n)]
+    rows = [make(rnd.randint(3, 40)) for _ in range(20)]
+    sought = [make(rnd.randint(0, 40)) + [b"unknown"] * (k % 2) + make(5) + rows[k][:9] for k in range(20)]
+    width = 6
+    index = substring.FMIndex(rows, np.arange(20), width)
+    lengths, _ = index.matching_statistics([index.numbers(r) for r in sought])
+    least = index.least_owners(sought)
+    has = lambda row, g: any(row[k : k + len(g)] == g for k in range(len(row) - len(g) + 1))
+    for row, size, owners in zip(sought, lengths, least, strict=True):
+        for a in range(len(row)):
+            want = max(n for n in range(min(width, len(row) - a) + 1) if not n or any(has(x, row[a : a + n]) for x in rows))
+            assert size[a] == want
+        for a, owner in enumerate(owners.tolist()):
+            held = [i for i, x in enumerate(rows) if has(x, row[a : a + width])]
+            assert owner == (held[0] if held else np.iinfo(np.int32).max)
+
+
+def test_substrings_need_the_index(spark, monkeypatch):
+    """A broken backward search changes the answer: nothing else finds the repeats."""
+    words = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([("a", words), ("b", words), ("c", "x " + words), ("d", words.replace("w9 ", "y "))], "doc_id string, text string")
+    good = {r.doc_id: r.n_removed for r in substring.remove_repeats(docs).collect()}
+    assert good == {"a": 0, "b": 80, "c": 80, "d": 70}
+    monkeypatch.setattr(substring.FMIndex, "extend", lambda self, symbol, at: np.zeros_like(at))
+    assert {r.n_removed for r in substring.remove_repeats(docs).collect()} == {0}
 
 
 def test_decontamination(spark):
