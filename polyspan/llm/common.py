@@ -140,3 +140,21 @@ def unplanes(raw: bytes) -> np.ndarray:
 
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+class Recent(dict):
+    """Values of a function by argument; holds the last `size` to twice as many that were asked for."""
+
+    def __init__(self, make, size: int = 200_000):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value

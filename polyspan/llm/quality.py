@@ -2,14 +2,16 @@
 
 One weight vector serves all grades; ordered thresholds cut its score into grades, with
 P(grade <= k) = sigmoid(threshold_k - score). The model gives an expected grade and the probability of a grade of at
-least `good`, which selects documents.
+least `good`, which selects documents. Two grades are the smallest case, with one threshold.
 
 The score of a text is the mean over its words of the weights of the word and of its shape (letters, capitals, digits
 and signs, runs collapsed), plus weights of a few whole-text properties. The model is fitted on at most `max_rows`
-rated documents, chosen by the hash of their id; scoring reads every text whole and moves none.
+rated documents of at most `MAX_BYTES`, chosen by the hash of their id (of several texts of an id the least); scoring
+reads every text whole and moves none.
 
 Null and empty texts score by their whole-text properties alone. Without ratings, or with one grade only, nothing is
-known: expected grade and tail probability are null and every document is kept.
+known: expected grade and tail probability are null and every document is kept. Of ratings that repeat an id the greatest
+counts; rows that repeat a text get equal results, and a tail probability of exactly `least` keeps the document.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw_texts, spaced
+from .common import Recent, fields, packed, q, raw_texts, spaced
 
 MAX_ROWS = 6000
+MAX_BYTES = 100_000  # of a text to learn from; with MAX_ROWS this bounds what reaches the driver
 BUCKETS = 1 << 17
 _KIND = bytes(ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b > 127 else ord("0") if 48 <= b <= 57 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S)
@@ -115,11 +118,11 @@ def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str = "
             got = [features(t) for t in raw_texts(batch, "body")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grade"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], ["id", "grade", "i", "v"])
 
-    bodies = docs.select(docs[doc_id].alias("id"), docs[text].cast("binary").alias("body"))
-    found = bodies.join(F.broadcast(chosen), "id")  # at most max_rows short rows
+    bodies = docs.select(docs[q(doc_id)].alias("id"), docs[q(text)].cast("binary").alias("body")).where(F.coalesce(F.length("body"), F.lit(0)) <= MAX_BYTES)
+    found = bodies.join(F.broadcast(chosen), "id").groupBy("id", "grade").agg(F.min("body").alias("body")).select("id", "body", "grade")  # chosen: at most max_rows short rows
     schema = T.StructType([found.schema["id"], T.StructField("grade", T.IntegerType()), T.StructField("i", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.FloatType()))])
-    table = found.select("id", "body", "grade").mapInArrow(run, schema).limit(2 * max_rows).toArrow()
-    rows = sorted(zip(table["id"].to_pylist(), table["grade"].to_pylist(), table["i"].to_pylist(), table["v"].to_pylist(), strict=True), key=lambda r: (r[0], r[2]))
+    held = found.mapInArrow(run, schema).toArrow()
+    rows = sorted(zip(held["id"].to_pylist(), held["grade"].to_pylist(), held["i"].to_pylist(), held["v"].to_pylist(), strict=True), key=lambda r: r[0])
     grades = np.array([r[1] for r in rows], np.int64)
     if len(np.unique(grades)) < 2:
         return None
@@ -129,40 +132,30 @@ def fit(docs: DataFrame, ratings: DataFrame, text: str = "text", doc_id: str = "
 def score(docs: DataFrame, model: Ordinal | None, text: str = "text", keep: list[str] = ("doc_id",), good: int = 1, least: float = 0.5) -> DataFrame:
     """The `keep` columns, expected_grade, tail_probability of a grade of at least `good`, and kept: whether that
     reaches `least`."""
+    rows = docs.select(packed(docs, list(keep)).alias("row"), docs[q(text)].cast("binary").alias("text"))
+    columns = ["expected_grade", "tail_probability", "kept"]
     if model is None:
         nothing = F.lit(None).cast("double")
-        return docs.select(*(docs[c] for c in keep), nothing.alias("expected_grade"), nothing.alias("tail_probability"), F.lit(True).alias("kept"))
+        return rows.select(*fields("row", list(keep)), nothing.alias(columns[0]), nothing.alias(columns[1]), F.lit(True).alias(columns[2]))
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ordinal(*shared.value)
-        known: dict[bytes, float] = {}
-
-        def weight(word: bytes) -> float:
-            if len(known) > 100_000:
-                known.clear()
-            a, b = word_features(word)
-            known[word] = w = float(model.weights[a] + model.weights[b])
-            return w
-
+        weight = Recent(lambda word: float(model.weights[list(word_features(word))].sum())).__getitem__
         for batch in batches:
             scores = []
-            for body in raw_texts(batch, "_text"):
+            for body in raw_texts(batch):
                 words = spaced(body)
-                total = sum(w if (w := known.get(x)) is not None else weight(x) for x in words)
-                scores.append(total / max(1, len(words)) + float(model.weights[whole_features(words)].sum()))
+                scores.append(sum(map(weight, words)) / max(1, len(words)) + float(model.weights[whole_features(words)].sum()))
             p = model.grades(np.array(scores, np.float64).reshape(-1))
             tail = p[:, good:].sum(axis=1)
-            out = batch.drop_columns(["_text"])
-            for name, column in (("expected_grade", p @ np.arange(p.shape[1])), ("tail_probability", tail), ("kept", tail >= least)):
-                out = out.append_column(name, pa.array(column))
-            yield out
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p @ np.arange(p.shape[1])), pa.array(tail), pa.array(tail >= least)], ["row", *columns])
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()), T.StructField("kept", T.BooleanType())])
-    return docs.select(*(docs[c] for c in keep), docs[text].cast("binary").alias("_text")).mapInArrow(run, schema)
+    schema = T.StructType([rows.schema["row"], T.StructField(columns[0], T.DoubleType()), T.StructField(columns[1], T.DoubleType()), T.StructField(columns[2], T.BooleanType())])
+    return rows.mapInArrow(run, schema).select(*fields("row", list(keep)), *columns)
 
 
 def good_documents(docs: DataFrame, model: Ordinal | None, text: str = "text", **options) -> DataFrame:
     """The documents that the model keeps, all columns unchanged, whatever their names."""
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[text].alias("text"))
-    return score(rows, model, "text", keep=["row"], **options).where("kept").select("row.*")
+    rows = docs.select(packed(docs).alias("row"), docs[q(text)].alias("text"))
+    return score(rows, model, "text", keep=["row"], **options).where("kept").select(*fields("row", docs.columns))

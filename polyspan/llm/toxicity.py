@@ -7,6 +7,9 @@ softmax are fitted together on at most `max_rows` labelled documents, chosen by
 them with label 1 where there are enough. Scoring reads every text whole and moves none; label, language, source and id are not
 inputs.
 
+Texts over `MAX_BYTES` are not learnt from; of several texts of an id the least is, and of labels that repeat an id the
+greatest. Null ids are neither learnt nor held out. Rows that repeat a text get equal scores.
+
 Null and empty texts have the zero vector and so the score of the bias. Without labels of both kinds the score is the
 share of label 1 (0 without labels).
 """
@@ -24,9 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, raw_texts
+from .common import Recent, alnum_words, fields, packed, q, raw_texts
 
 MAX_ROWS = 6000
+MAX_BYTES = 100_000  # of a text to learn from; with MAX_ROWS this bounds what reaches the driver
 BUCKETS = 1 << 16
 DIM = 6
 BLANKS = 20  # words without a vector in every mean, so that a few odd words don't decide a short text
@@ -35,14 +39,29 @@ GAIN = 50.0  # embeddings are averaged over hundreds of words; this keeps their
 
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are not learnt: crc32 of the id as text is a multiple of five."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+_FACTOR = 0x9E3779B97F4A7C15
 
 
-def subwords(word: bytes, shortest: int = 3, longest: int = 5) -> list[int]:
-    """Buckets of the word and of its character n-grams, word ends marked."""
-    whole = f"<{word.decode(errors='replace')}>"
-    grams = [whole] + [whole[i : i + n] for n in range(shortest, longest + 1) for i in range(len(whole) - n + 1)]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+def subwords(words: list[bytes], shortest: int = 3, longest: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and of their character n-grams, word ends marked; and which word each belongs to."""
+    marked = [f"<{w.decode(errors='replace')}>" for w in words]
+    sizes = np.array([len(w) for w in marked], np.int64)
+    letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    buckets, owners = [np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % BUCKETS], [np.arange(len(words))]
+    h = np.zeros(len(letters), np.uint64)
+    for n in range(1, longest + 1):
+        h = h[: len(letters) - n + 1] * np.uint64(_FACTOR) + letters[n - 1 :] + np.uint64(1)
+        if n >= shortest and len(h):
+            inside = owner[: len(h)] == owner[n - 1 :]
+            buckets.append((((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.int64)[inside] % BUCKETS)
+            owners.append(owner[: len(h)][inside])
+        if len(h) <= 1:
+            break
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 @dataclass
@@ -52,8 +71,10 @@ class Subwords:
     parts: np.ndarray
     bias: float
 
-    def word(self, word: bytes) -> float:
-        return float(self.parts[subwords(word)].mean())
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """What each word adds: the mean of its subwords."""
+        bucket, owner = subwords(words)
+        return np.bincount(owner, self.parts[bucket], len(words)) / np.bincount(owner, minlength=len(words))
 
 
 class _Mean:
@@ -85,13 +106,11 @@ def fit_subwords(bags: list[dict[bytes, int]], labels: np.ndarray, steps: int =
     seen = Counter(w for bag in bags for w in bag)
     number = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n > 2))}
     pairs = np.array([(d, number[w], n) for d, bag in enumerate(bags) for w, n in bag.items() if w in number], np.int64).reshape(-1, 3)
-    parts = [np.array(subwords(w), np.int64) for w in number]
+    bucket, owner = subwords(list(number))
     sizes = np.array([BLANKS + sum(bag.values()) for bag in bags], np.float64)
     texts = _Mean(pairs[:, 0], pairs[:, 1], pairs[:, 2].astype(np.float64), sizes, len(number))
-    n_parts = np.array([len(p) for p in parts], np.float64)
-    owner = np.repeat(np.arange(len(parts)), n_parts.astype(np.int64))
-    used, local = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_inverse=True)
-    words = _Mean(owner, local, np.ones(len(owner)), n_parts, len(used))
+    used, local = np.unique(bucket, return_inverse=True)
+    words = _Mean(owner, local, np.ones(len(owner)), np.bincount(owner, minlength=len(number)).astype(np.float64), len(used))
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.01, (DIM, len(used))).astype(np.float32)
     weights, bias = rng.normal(0, 0.5, (2, DIM)).astype(np.float32), np.zeros((2, 1), np.float32)
@@ -130,17 +149,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     by_hash = [F.xxhash64("id"), F.col("id")]
     chosen = known.where("y = 1").orderBy(*by_hash).limit(max_rows // 3).unionByName(known.where("y = 0").orderBy(*by_hash).limit(max_rows - max_rows // 3))
-    bodies = docs.select(docs[doc_id].alias("id"), docs[text].cast("binary").alias("body"))
+    bodies = docs.select(docs[q(doc_id)].alias("id"), docs[q(text)].cast("binary").alias("body")).where(F.coalesce(F.length("body"), F.lit(0)) <= MAX_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [Counter(alnum_words(t)) for t in raw_texts(batch, "body")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([list(b) for b in bags], pa.list_(pa.binary())), pa.array([list(b.values()) for b in bags], pa.list_(pa.int32()))], ["id", "y", "w", "n"])
 
-    found = bodies.join(F.broadcast(chosen), "id").select("id", "body", "y")  # at most max_rows short rows
+    found = bodies.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("body").alias("body")).select("id", "body", "y")  # chosen: at most max_rows short rows
     schema = T.StructType([found.schema["id"], T.StructField("y", T.IntegerType()), T.StructField("w", T.ArrayType(T.BinaryType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
-    table = found.mapInArrow(run, schema).limit(2 * max_rows).toArrow()
-    rows = sorted(zip(table["id"].to_pylist(), table["y"].to_pylist(), table["w"].to_pylist(), table["n"].to_pylist(), strict=True), key=lambda r: (r[0], r[2]))
+    table = found.mapInArrow(run, schema).toArrow()
+    rows = sorted(zip(table["id"].to_pylist(), table["y"].to_pylist(), table["w"].to_pylist(), table["n"].to_pylist(), strict=True), key=lambda r: r[0])
     y = np.array([r[1] for r in rows], np.int64)
     if len(np.unique(y)) < 2:
         share = float(y.mean()) if len(y) else 0.0
@@ -151,24 +170,23 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 def score(docs: DataFrame, model: Subwords, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
     """The `keep` columns and score, the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast((model.parts, model.bias))
+    rows = docs.select(packed(docs, list(keep)).alias("row"), docs[q(text)].cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Subwords(*shared.value)
-        known: dict[bytes, float] = {}
-
-        def weight(word: bytes) -> float:
-            if len(known) > 100_000:
-                known.clear()
-            known[word] = w = model.word(word)
-            return w
-
+        weights = Recent(lambda word: float(model.words([word])[0]))
         for batch in batches:
             odds = []
-            for body in raw_texts(batch, "_text"):
-                words = alnum_words(body)
-                odds.append(model.bias + sum(w if (w := known.get(x)) is not None else weight(x) for x in words) / (BLANKS + len(words)))
+            for a in range(0, batch.num_rows, 200):  # new words of some texts at once
+                texts = [alnum_words(t) for t in raw_texts(batch.slice(a, 200))]
+                new = list(set().union(*texts) - weights.keys() - weights.older.keys())
+                for i in range(0, len(new), 20_000):
+                    part = new[i : i + 20_000]
+                    for word, value in zip(part, model.words(part).tolist(), strict=True):
+                        weights.older[word] = value
+                odds += [model.bias + sum(map(weights.__getitem__, words)) / (BLANKS + len(words)) for words in texts]
             out = 1 / (1 + np.exp(-np.clip(np.array(odds, np.float64).reshape(-1), -40, 40)))
-            yield batch.drop_columns(["_text"]).append_column("score", pa.array(out))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out)], ["row", "score"])
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
-    return docs.select(*(docs[c] for c in keep), docs[text].cast("binary").alias("_text")).mapInArrow(run, schema)
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema).select(*fields("row", list(keep)), "score")

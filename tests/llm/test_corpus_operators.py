@@ -268,6 +268,15 @@ def test_decontamination(spark):
     assert decontam.find(docs, items.where("false")).where(F.size("spans") > 0).count() == 0
 
 
+def test_decontamination_of_repeated_words():
+    """A very long text of one word against a long item of that word, repeated: no pairs of places and suffixes."""
+    items = decontam.Items([(f"i{k}", [b"a"] * 5000) for k in range(3)], 10)
+    text = np.append(np.ones(100_000, np.int64), 0)
+    got = decontam.Shard(text, np.array([0, 100_001]), items)
+    assert got.hits(len(text)).sum() == 100_000 and got.names().T.tolist() == [[0, 0], [0, 1], [0, 2]]
+    assert [m[:3] for m in got.longest()] == [(0, 0, 5000)] * 3
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(3, "u", "x" * 200), (1, "v\nw", "x" * 200), (None, "n", "x" * 200), (2, None, None), (5, "e", ""), (7, "a", "short"), (8, "b", "short"), (9, "z", "é" * 60), (10, "z", "é" * 60), (11, "q", "é" * 100_000)]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, payload string")
