@@ -7,7 +7,8 @@ alignment. A candidate is verified by the share of the template's words that sta
 by the template's mandatory key phrases within that region.
 
 Fixed phrases are found beside that, wherever their words stand consecutively. Null and empty texts have no words and
-no labels; rows are kept one to one. With an empty corpus all frequencies are zero.
+no labels; rows are kept one to one, whatever their ids, and rows that repeat a text get equal results. With an empty
+corpus all frequencies are zero; words of equal frequency come in the order of their letters.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, raw_texts
+from .common import alnum_words, fields, packed, q, raw_texts
+from .license_texts import TEMPLATES
 
 #: Phrases and the labels that they give.
 PHRASES = {
@@ -31,20 +33,6 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Template name, label, text, mandatory key phrases.
-TEMPLATES = [
-    ("gpl-notice", "gpl-notice", "This work is licensed under the GNU General Public License, version 3.", ["gnu general public license"]),
-    ("gpl-header", "gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", ["gnu general public license", "free software foundation"]),
-    ("apache-notice", "apache-notice", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License", ["apache license"]),
-    ("apache-short", "apache-notice", "Licensed under the Apache License, Version 2.0.", ["apache license"]),
-    ("mit-notice", "mit-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted"]),
-    ("mit-short", "mit-notice", "Released under the MIT License.", ["mit license"]),
-    ("bsd-notice", "bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("cc-by-notice", "cc-by-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution"]),
-    ("cc-by-short", "cc-by-notice", "This text is available under CC BY 4.0.", ["cc by"]),
-    ("cc-by-nc-short", "cc-by-nc-notice", "Licensed under CC BY-NC 4.0.", ["cc by nc"]),
-    ("reserved", "all-rights-reserved", "All rights reserved.", ["all rights reserved"]),
-]
 RARE = 12
 LEAST_SHARE = 0.7
 
@@ -67,7 +55,7 @@ def document_frequency(docs: DataFrame, words: list[bytes], text: str = "text")
         rows = [(b"", n), *seen.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], ["word", "n"])
 
-    counts = docs.select(docs[text].cast("binary").alias("body")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select(docs[q(text)].cast("binary").alias("body")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     found = {bytes(r.word): r.n for r in counts.collect()}  # a row for each template word
     return found, found.pop(b"", 0)
 
@@ -110,8 +98,12 @@ class Index:
         known = held & self.postings.keys()
         if len(known) < 2:
             return []
-        rarest = [set([w for w in ranked if w in known][:n]) for ranked, n in zip(self.ranked, self.wanted, strict=True)]
+        # a template can only fit where its share of words is there at all
+        reach = [sum(w in known for w in template) >= self.least * len(template) for _, _, template, _ in self.templates]
+        rarest = [set([w for w in ranked if w in known][:n]) if r else set() for ranked, n, r in zip(self.ranked, self.wanted, reach, strict=True)]
         postings = {w: found for w in known if (found := [(t, q) for t, q in self.postings[w] if w in rarest[t]])}
+        if not postings:
+            return []
         votes: Counter[tuple[int, int]] = Counter()
         for p, w in enumerate(words):
             if w in postings:
@@ -146,13 +138,13 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] = ("doc_id",), tem
         kinds = (pa.list_(pa.struct([("start", pa.int32()), ("label", pa.string())])), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("share", pa.float64())])))
         for batch in batches:
             sizes, base, more = [], [], []
-            for body in raw_texts(batch, "_text"):
+            for body in raw_texts(batch):
                 words = alnum_words(body)
                 held = of_interest.intersection(words)
                 sizes.append(len(words))
                 base.append([{"start": i, "label": x} for i, x in sorted(index.base(words, held | set(words) if held & index.firsts else held))])
                 more.append([dict(zip(("label", "start", "share"), m, strict=True)) for m in index.matches(words, held)])
-            out = batch.drop_columns(["_text"]).append_column("n_words", pa.array(np.array(sizes, np.int64)))
-            yield out.append_column("phrases", pa.array(base, kinds[0])).append_column("matches", pa.array(more, kinds[1]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.array(sizes, np.int64)), pa.array(base, kinds[0]), pa.array(more, kinds[1])], ["row", "n_words", "phrases", "matches"])
 
-    return docs.select(*(docs[c] for c in keep), docs[text].cast("binary").alias("_text")).mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *_OUT]))
+    rows = docs.select(packed(docs, list(keep)).alias("row"), docs[q(text)].cast("binary").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *_OUT])).select(*fields("row", list(keep)), "n_words", "phrases", "matches")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secrets import BASE, KINDS, MAX_OWNERS
+from .secrets import BASE, KINDS, MAX_OWNERS, MAX_REPOSITORIES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -29,11 +29,11 @@ def _secrets() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
 s AS ({' UNION ALL '.join(parts)}),
 f AS (SELECT * FROM s WHERE kind IN ({base}) OR NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = s.doc_id AND b.kind IN ({base}) AND b.start_ < s.end_ AND s.start_ < b.end_)),
-n AS (SELECT val, count(DISTINCT owner) AS n_owners FROM f GROUP BY val),
-j AS (SELECT f.*, n_owners, n_owners <= {MAX_OWNERS} AS live FROM f JOIN n USING (val) WHERE kind IN ({base}) OR n_owners <= {MAX_OWNERS})
+n AS (SELECT val, count(DISTINCT owner) AS n_owners, count(DISTINCT owner || chr(0) || repo) AS n_repos FROM f GROUP BY val),
+j AS (SELECT * FROM (SELECT f.*, n_owners, n_repos, n_owners <= {MAX_OWNERS} AND n_repos <= {MAX_REPOSITORIES} AS live FROM f JOIN n USING (val)) WHERE kind IN ({base}) OR live)
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   sha256(coalesce(string_agg({item}, ',' ORDER BY start_, rank) FILTER (kind IN ({base})), '')) AS base_sha256, {joined.format(x=item)} AS spans,
-  count(*) FILTER (live) AS n_live, CAST(coalesce(max(n_owners), 0) AS BIGINT) AS most_owners
+  count(*) FILTER (live) AS n_live, CAST(coalesce(max(n_owners), 0) AS BIGINT) AS most_owners, CAST(coalesce(max(n_repos), 0) AS BIGINT) AS most_repositories
 FROM d LEFT JOIN j USING (doc_id) GROUP BY d.doc_id
 """
 

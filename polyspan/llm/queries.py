@@ -63,6 +63,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"),
         secrets.listed(F.col("spans")).alias("spans"), live.alias("n_live"), F.coalesce(F.array_max(F.transform("spans", lambda s: s["n_owners"])), F.lit(0)).alias("most_owners"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["n_repositories"])), F.lit(0)).alias("most_repositories"),
     )
 
 

@@ -1,13 +1,14 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame operations only.
 
 A text is scanned once for each kind of candidate. The candidates' values are hashed, and the hashes are counted over
-the whole corpus by distinct repositories and distinct owners. A value that many owners hold is a copied example; one
-that only a few hold looks live. Long mixed tokens that no pattern names are reported only where the frequency says
+the whole corpus by distinct repositories and distinct owners. A value that many owners hold, or that stands in many
+repositories, is a copied example; one that only a few hold looks live. Long mixed tokens that no pattern names are reported only where the frequency says
 that they belong to few owners.
 
 Only spans and hashes are shuffled, never texts or the secrets themselves, and hashes are counted before each shuffle,
 so a key that is copied everywhere is no hot group. Null texts count as empty; a null owner or repository counts as
-one of its own; rows are kept one to one, and rows that repeat an id and a text get equal spans.
+one of its own; rows are kept one to one, and rows that repeat an id and a text get equal spans. Work within a text grows
+with its spans, not with their square.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import fields, join_hot, packed, q, saved, table
 
 #: Fixed patterns: kind, expression, group of the value, least length of what is tested, group that is tested.
 KINDS = {
@@ -26,6 +27,8 @@ KINDS = {
 }
 BASE = ("assign", "access", "hex")
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 4
+_RUN = 128
 
 
 def _mixed(value: Column) -> Column:
@@ -33,6 +36,31 @@ def _mixed(value: Column) -> Column:
     return value.rlike("[A-Z]") & value.rlike("[a-z]") & value.rlike("[0-9]")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _in_runs(items: Column, body) -> Column:
+    """body of each stretch of `_RUN` items, as an array."""
+    return _let(items, lambda xs: F.transform(F.sequence(F.lit(0), (F.size(xs) / _RUN).cast("int")), lambda k: body(F.slice(xs, k * _RUN + 1, _RUN))))
+
+
+def _sums_before(numbers: Column) -> Column:
+    """For each number the sum of those before it: within runs first, then over the runs."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def within(xs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("total"), none.alias("before"))
+        return F.aggregate(xs, start, lambda s, x: F.struct((s["total"] + x).alias("total"), F.concat(s["before"], F.array(s["total"])).alias("before")))
+
+    def over(runs: Column) -> Column:
+        start = within(F.transform(runs, lambda r: r["total"]))["before"]
+        return F.flatten(F.transform(F.arrays_zip(runs.alias("run"), start.alias("start")), lambda z: F.transform(z["run"]["before"], lambda b: b + z["start"])))
+
+    return _let(_in_runs(numbers, within), over)
+
+
 def _spans(text: Column, kind: str) -> Column:
     """All matches of one kind, as structs with code-point positions, from the pieces between the matches."""
     pattern, group, least = KINDS[kind]
@@ -41,44 +69,54 @@ def _spans(text: Column, kind: str) -> Column:
     empty = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int,hash:string>>)")
     rank = list(KINDS).index(kind)
 
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.length(piece["gap"])
-        end = start + F.coalesce(F.length(piece["whole"]), F.lit(0))
-        fits = piece["whole"].isNotNull() & (F.length(piece["value"]) >= least)
-        if kind not in BASE:
-            fits = fits & _mixed(piece["value"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), F.sha2(piece["value"], 256).alias("hash"))
-        return F.struct(end.alias("at"), F.when(fits, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+    def one(z: Column) -> Column:
+        start = z["before"] + z["gap"]
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (start + z["size"]).alias("end"), F.sha2(z["value"], 256).alias("hash"))
+
+    def fits(z: Column) -> Column:
+        long = z["value"].isNotNull() & (F.length(z["value"]) >= least)
+        return long if kind in BASE else long & _mixed(z["value"])
+
+    def placed(ps: Column) -> Column:
+        sized = F.transform(ps, lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.coalesce(F.length(p["whole"]), F.lit(0)).alias("size"), F.when(p["whole"].isNotNull(), p["value"]).alias("value")))
+        return _let(sized, lambda xs: F.transform(F.filter(F.zip_with(xs, _sums_before(F.transform(xs, lambda x: x["gap"] + x["size"])), lambda x, b: F.struct(b.alias("before"), x["gap"].alias("gap"), x["size"].alias("size"), x["value"].alias("value"))), fits), one))
+
+    return F.when(text.rlike(pattern), _let(pieces, placed)).otherwise(empty)
 
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda state: state["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
 
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that meet no base span: base spans are looked at by runs that reach that far."""
+    runs = _in_runs(base, lambda xs: F.struct(F.array_min(F.transform(xs, lambda x: x["start"])).alias("low"), F.array_max(F.transform(xs, lambda x: x["end"])).alias("high"), xs.alias("spans")))
+    meets = lambda s: lambda r: (r["low"] < s["end"]) & (s["start"] < r["high"]) & F.exists(r["spans"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return F.when(F.size(spans) == 0, spans).otherwise(_let(runs, lambda rs: F.filter(spans, lambda s: ~F.coalesce(F.exists(rs, meets(s)), F.lit(False)))))
 
-def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: Column | None = None, repository: Column | None = None, max_owners: int = MAX_OWNERS, keep: list[str] = ()) -> DataFrame:
+
+def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: Column | None = None, repository: Column | None = None, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, keep: list[str] = ()) -> DataFrame:
     """doc_id, text_hash, the `keep` columns and spans: array of (start, rank, kind, end, n_owners, n_repositories, live), sorted.
 
     `owner` and `repository` are expressions over `docs`; without them the columns `source` and, within it, `lang`.
-    Base kinds are always reported. Kind `owner` is reported only if at most `max_owners` owners hold the value and no
-    base span covers it. `live` is false for values that more owners hold.
+    A value is live if at most `max_owners` owners and `max_repositories` repositories hold it. Base kinds are always
+    reported, kind `owner` only where the value is live and no base span meets it.
     """
     owner = docs["source"] if owner is None else owner
     repository = F.concat_ws("/", docs["source"], docs["lang"]) if repository is None else repository
-    body = F.coalesce(docs[text], F.lit(""))
-    rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(body).alias("text_hash"), *(docs[c] for c in keep if c != doc_id), F.coalesce(owner.cast("string"), F.lit("")).alias("_owner"), F.coalesce(repository.cast("string"), F.lit("")).alias("_repo"), *(_spans(body, k).alias(k) for k in KINDS))
+    more = [c for c in keep if c != doc_id]
+    body = F.coalesce(docs[q(text)], F.lit(""))
+    rows = docs.select(docs[q(doc_id)].alias("doc_id"), F.xxhash64(body).alias("text_hash"), packed(docs, more).alias("more") if more else F.lit(0).alias("more"), F.coalesce(owner.cast("string"), F.lit("")).alias("_owner"), F.coalesce(repository.cast("string"), F.lit("")).alias("_repo"), *(_spans(body, k).alias(k) for k in KINDS))
     base = F.concat(*BASE)
-    free = F.filter("owner", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    rows = saved(rows.select("doc_id", "text_hash", *(c for c in keep if c != doc_id), "_owner", "_repo", F.concat(base, free).alias("found")))
+    rows = saved(rows.select("doc_id", "text_hash", "more", "_owner", "_repo", F.concat(base, _let(base, lambda b: _apart(F.col("owner"), b))).alias("found")))
     each = rows.where(F.size("found") > 0).select("doc_id", "text_hash", "_owner", "_repo", F.explode("found").alias("span"))
-    owned = each.groupBy(F.col("span.hash").alias("hash"), "_owner", "_repo").count().groupBy("hash", "_owner").agg(F.count("*").alias("repos"))
-    counted = saved(owned.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repositories")))  # its join can then be split
-    live = F.col("n_owners") <= max_owners
-    judged = each.select("doc_id", "text_hash", "span", F.col("span.hash").alias("hash")).distinct().join(counted, "hash").where(F.col("span.kind").isin(*BASE) | live)
+    owned = each.groupBy(F.col("span.hash").alias("hash"), "_owner", "_repo").agg(F.count("*").alias("n")).groupBy("hash", "_owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+    counted = table(owned.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repositories"), F.sum("n").alias("n")), "counted")
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
+    spans = table(each.select("doc_id", "text_hash", "span", F.col("span.hash").alias("hash")).distinct(), "candidates")
+    judged = join_hot(spans, counted, ["hash"], "n", spans.count()).where(F.col("span.kind").isin(*BASE) | live)
     span = F.struct("span.start", "span.rank", "span.kind", "span.end", "n_owners", "n_repositories", live.alias("live"))
     by_text = judged.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     by_text = by_text.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans")
     some = rows.where(F.size("found") > 0).join(by_text, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     nothing = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int,n_owners:bigint,n_repositories:bigint,live:boolean>>)")
-    columns = ["doc_id", "text_hash", *(c for c in keep if c != doc_id)]
+    columns = ["doc_id", "text_hash", *(fields("more", more) if more else [])]
     return some.select(*columns, F.coalesce("spans", nothing).alias("spans")).unionByName(rows.where(F.size("found") == 0).select(*columns, nothing.alias("spans")))
 
 
@@ -88,23 +126,35 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mark: str = "[REDACTED]", n_chars: str | None = None, **options) -> DataFrame:
-    """The documents with each live-looking secret replaced by `mark`; copied examples stay. All columns are kept;
-    `n_chars` names a column to set to the new length."""
+    """The documents with each live-looking secret replaced by `mark`; copied examples stay. Spans that overlap are one
+    secret. All columns are kept; `n_chars` names a column to set to the new length. The spans go to the texts: Spark
+    sends their table to the texts while it is small, by its own size check."""
     found = scan(docs, text, doc_id, **options)
-    found = found.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.filter("spans", lambda s: s["live"]).alias("spans")).where(F.size("spans") > 0).distinct()
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("own"))
-    body = F.col("row")[text]
-    joined = rows.join(found, F.col("row")[doc_id].eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash")), "left")
+    live = F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    found = table(found.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), live.alias("spans")).where(F.size("spans") > 0).distinct(), "live")
+    rows = docs.select(packed(docs).alias("row"), docs[q(doc_id)].alias("own_id"), docs[q(text)].alias("body"), F.xxhash64(F.coalesce(docs[q(text)], F.lit(""))).alias("own"))
+    joined = rows.join(found, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash")), "left")
+
+    def merged(spans: Column) -> Column:
+        """Overlapping spans as one: run by run, then the runs' results."""
+        none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+
+        def step(done: Column, s: Column) -> Column:
+            last = F.try_element_at(done, F.lit(-1))
+            longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+            return F.when(last.isNull() | (s["start"] >= last["end"]), F.concat(done, F.array(s))).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer)))
+
+        one_run = lambda xs: F.aggregate(xs, none, step)
+        # spans of different kinds overlap only with their neighbours, so a run's end may meet the next run's start alone
+        return _let(F.flatten(_in_runs(spans, one_run)), lambda xs: F.filter(F.transform(xs, lambda s, i: F.struct(s["start"].alias("start"), F.greatest(s["end"], F.coalesce(F.when(F.try_element_at(xs, i + 2)["start"] < s["end"], F.try_element_at(xs, i + 2)["end"]), s["end"])).alias("end"), F.coalesce((i > 0) & (F.try_element_at(xs, F.greatest(i, F.lit(1)))["end"] > s["start"]), F.lit(False)).alias("part"))), lambda s: ~s["part"]))
 
-    def step(state: Column, s: Column) -> Column:
-        apart = s["start"] >= state["at"]
-        piece = F.concat(F.substr(body, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(apart, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
+    def pieces(spans: Column) -> Column:
+        kept = F.transform(spans, lambda s, i: F.concat(F.substr("body", F.coalesce(F.when(i > 0, F.try_element_at(spans, F.greatest(i, F.lit(1)))["end"]), F.lit(0)) + 1, s["start"] - F.coalesce(F.when(i > 0, F.try_element_at(spans, F.greatest(i, F.lit(1)))["end"]), F.lit(0))), F.lit(mark)))
+        return F.concat(F.array_join(kept, ""), F.substr("body", F.element_at(spans, -1)["end"] + 1, F.length("body")))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     none = F.col("spans").isNull()
-    out = joined.withColumn("clean", F.when(none, body).otherwise(F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substr(body, s["at"] + 1, F.length(body))))))
+    out = joined.withColumn("clean", F.when(none, F.col("body")).otherwise(_let(merged(F.col("spans")), pieces)))
     new = {text: F.col("clean")}
     if n_chars:
-        new[n_chars] = F.when(none, F.col("row")[n_chars]).otherwise(F.length("clean").cast(docs.schema[n_chars].dataType))
-    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+        new[n_chars] = F.when(none, F.col("row").getField(n_chars)).otherwise(F.length("clean").cast(docs.schema[n_chars].dataType))
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

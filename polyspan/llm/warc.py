@@ -1,6 +1,6 @@
 """A deterministic, sharded WARC writer and its reader.
 
-Records are range-sorted by id into shards whose bounds follow from the ids alone. A task writes its shards as files of
+Records are range-sorted by id into shards of some `SHARD_BYTES`, whose bounds follow from the ids alone. A task writes its shards as files of
 gzip members, one a record, and starts the next file when the compressed size passes a limit. A file is written under
 a temporary name of its own and renamed when it is whole; it counts once the manifest, which is written last, lists
 it. The same rows give the same files, however often a task is tried.
@@ -9,7 +9,8 @@ Of records with equal payloads the one with the smallest id is the response, the
 `MIN_REVISIT` bytes are all responses. The digests are grouped by themselves, so payloads are shuffled once, by range.
 
 A null payload counts as empty. Rows that repeat the smallest id of their payload are all responses; rows without an
-id are revisits of a row with one, and responses if there is none. Rows are kept one to one.
+id are revisits of a row with one, and responses if there is none. Rows are kept one to one; columns other than the three
+named are left aside, whatever they are called. The reader opens the files in its tasks, as streams.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import join_hot, q, table
 
 MIN_REVISIT = 100
 ROLL_BYTES = 8_000_000
+SHARD_BYTES = 32_000_000  # of payload
+_FAN = 256
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EOL = b"\r\n"
@@ -112,10 +115,9 @@ def _writer(folder: str, roll_bytes: int, date: str):
     return run
 
 
-def _bounds(ids: DataFrame, shards: int, sample: int = 10_000) -> list:
-    """Shard bounds from ids chosen by their hash: at most some `sample`, the same for the same ids."""
-    n = ids.count()
-    every = max(1, n // sample)
+def _bounds(ids: DataFrame, n: int, shards: int) -> list:
+    """Shard bounds from ids chosen by their hash: some 4 a shard and 10,000 at least, the same for the same ids."""
+    every = max(1, n // max(10_000, 4 * shards))
     got = sorted(r[0] for r in ids.where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0)).collect())
     return sorted({got[len(got) * k // shards] for k in range(1, shards)}) if got else []
 
@@ -123,14 +125,16 @@ def _bounds(ids: DataFrame, shards: int, sample: int = 10_000) -> list:
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", shards: int | None = None, roll_bytes: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
     """Write all rows as WARC files into `folder`, which executors share; returns the manifest, read from its table."""
     spark = pages.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    body = F.coalesce(pages[payload].cast("binary"), F.lit(b""))
-    rows = pages.select(pages[page_id].alias("id"), pages[url].cast("string").alias("url"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    small = rows.where(F.length("payload") >= MIN_REVISIT).select("id", "digest")
-    firsts = saved(small.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n"))
-    marks = small.join(firsts, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", F.col("first").cast("string").alias("first")).distinct()
+    body = F.coalesce(pages[q(payload)].cast("binary"), F.lit(b""))
+    rows = pages.select(pages[q(page_id)].alias("id"), pages[q(url)].cast("string").alias("url"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    told = table(rows.select("id", "digest", F.length("payload").alias("size")), "digests")
+    total = told.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+    shards = shards or max(1, -(-(total.size or 0) // SHARD_BYTES))
+    small = told.where(F.col("size") >= MIN_REVISIT).select("id", "digest")
+    firsts = table(small.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null"), "firsts")
+    marks = join_hot(small, firsts, ["digest"], "n", total.n).where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", F.col("first").cast("string").alias("first")).distinct()
     both = rows.select("id", "url", "payload", "digest", F.lit(None).cast("string").alias("first"), F.lit(False).alias("mark")).unionByName(marks.select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first", F.lit(True).alias("mark")))
-    bounds = _bounds(rows.select("id"), shards)
+    bounds = _bounds(told.select("id"), total.n, shards)
     dealt = both.withColumn("shard", _shard_of("id", bounds)).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "id", F.desc("mark"), "digest", "url")
     target, at = fs.FileSystem.from_uri(folder)
     target.create_dir(f"{at}/_temporary", recursive=True)
@@ -140,16 +144,19 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
 
 
 def _shard_of(column: str, bounds: list):
-    """The number of bounds up to the id; ids that are null go to shard 0."""
+    """The number of bounds up to the id, found in two steps; ids that are null go to shard 0."""
     if not bounds:
         return F.lit(0)
-    held = F.array(*[F.lit(b) for b in bounds])
-    return F.coalesce(F.size(F.filter(held, lambda b: b <= F.col(column))), F.lit(0))
+    runs = [bounds[i : i + _FAN] for i in range(0, len(bounds), _FAN)]
+    up_to = lambda held: F.size(F.filter(held, lambda b: b <= F.col(column)))
+    top = up_to(F.array(*[F.lit(r[0]) for r in runs]))
+    inner = F.element_at(F.array(*[F.array(*[F.lit(b) for b in r]) for r in runs]), F.greatest(top, F.lit(1)))
+    return F.coalesce(F.when(top == 0, 0).otherwise((top - 1) * _FAN + up_to(inner)), F.lit(0))
 
 
-def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def _records(file) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each record of an archive."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)))
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=file))
     while line := stream.readline():
         if line == _EOL:
             continue
@@ -171,18 +178,24 @@ def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 _READ = "id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reader(folder: str):
     names = ("id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload")
     types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary())
-    for batch in batches:
-        for data in batch.column("content").to_pylist():
-            rows = _rows(data)
-            while part := list(itertools.islice(rows, 1000)):
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate(types)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                with system.open_input_file(f"{at}/{name}") as file:
+                    rows = _rows(file)
+                    while part := list(itertools.islice(rows, 500)):
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate(types)], names)
+
+    return run
 
 
-def _rows(data: bytes) -> Iterator[tuple]:
-    for head, block in _records(data):
+def _rows(file) -> Iterator[tuple]:
+    for head, block in _records(file):
         http, _, payload = block.partition(b"\r\n\r\n")
         revisit = head["warc-type"] == "revisit"
         stated = head["warc-payload-digest"].removeprefix("sha256:")
@@ -197,8 +210,6 @@ def _rows(data: bytes) -> Iterator[tuple]:
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """All records of the archives that the manifest lists; digests are computed again and must agree."""
-    names = [r.file for r in spark.read.parquet(f"{folder}/_manifest").select("file").orderBy("file").collect()]  # a name for each file of `ROLL_BYTES`
-    if not names:
-        return spark.createDataFrame([], _READ)
-    files = spark.read.format("binaryFile").load([f"{folder}/{n}" for n in names]).select("content")
-    return files.mapInArrow(_reader, _READ)
+    manifest = spark.read.parquet(f"{folder}/_manifest").select("file")
+    n = manifest.count()
+    return manifest.repartition(max(1, n), "file").mapInArrow(_reader(folder), _READ) if n else spark.createDataFrame([], _READ)

@@ -101,6 +101,17 @@ def test_secrets(spark):
     assert secrets.scan(docs_of(spark, [])).count() == 0
 
 
+def test_secrets_in_one_text(spark):
+    """Thousands of spans in one text, of two kinds that overlap."""
+    text = " ".join(f"é token={k:032x}" for k in range(6_000))
+    docs = docs_of(spark, [text, "x"])
+    row = secrets.scan(docs).where("doc_id = 0").first()
+    base = [(s.start, s.kind, s.end) for s in row.spans if s.kind != "owner"]
+    want = sorted([(m.start(), "assign", m.end()) for m in re.finditer("token=[0-9a-f]+", text)] + [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]{24,}", text)])
+    assert base == want
+    assert secrets.redact(docs).where("doc_id = 0").first().text == " ".join(["é [REDACTED]"] * 6_000)
+
+
 def test_quality_held_out(spark):
     rnd = random.Random(4)
     good = [" ".join(rnd.choice(["sun", "moon", "sea", "tree", "and", "of"]) for _ in range(40)) for _ in range(150)]
@@ -313,15 +324,43 @@ def test_licenses(spark):
 
 
 def test_licenses_of_several_notices(spark):
-    """All templates in one long text, each frequent in the corpus, beside single notices."""
-    bodies = [body for _, _, body, _ in license_scan.TEMPLATES]
-    texts = [" filler ".join(bodies) + " filler" * 500, f"{bodies[4]} filler {bodies[5]}", f"{bodies[6]} filler {bodies[10]}", *["Released under the MIT License. All rights reserved."] * 20]
+    """All templates in one long text, each frequent in the corpus, beside single ones; and words changed within the share."""
+    bodies = {name: body for name, _, body, _ in license_scan.TEMPLATES}
+    pair = lambda *names: " filler ".join(bodies[n] for n in names)
+    worn = bodies["isc"].split()
+    worn[20::7] = ["filler"] * len(worn[20::7])
+    texts = [
+        pair(*bodies) + " filler" * 500, pair("mit-opening", "mit-short"), pair("bsd-opening", "reserved"), *["Released under the MIT License. All rights reserved."] * 20,
+        pair("gpl-short", "apache-short", "mit-short", "bsd-opening", "cc-by-short", "reserved"), " ".join(worn), bodies["bsd-3-clause"][:400],
+    ]
     rows = {r.doc_id: {m.label for m in r.matches} for r in license_scan.scan(docs_of(spark, texts)).collect()}
     assert rows[0] == {label for _, label, _, _ in license_scan.TEMPLATES}
     assert rows[1] == {"mit-notice"} and rows[2] == {"bsd-notice", "all-rights-reserved"}
-    index = license_scan.Index({b"all": 20, b"rights": 20, b"reserved": 20}, 23)
-    words = license_scan._words(texts[2])
-    assert ("all-rights-reserved", len(words) - 3, 1.0) in index.matches(words, set(words))
+    assert rows[23] == {"gpl-notice", "apache-notice", "mit-notice", "bsd-notice", "cc-by-notice", "all-rights-reserved"}
+    assert rows[24] == {"isc"} and rows[25] == {"bsd-notice"}
+
+
+def test_licenses_equal_every_alignment_tried(spark):
+    """The index's matches against all alignments of all templates."""
+    rnd = random.Random(6)
+    pieces = [license_scan._words(body) for _, _, body, _ in license_scan.TEMPLATES]
+    texts = []
+    for _ in range(30):
+        w = []
+        for _ in range(rnd.randint(1, 4)):
+            part = [x if rnd.random() > 0.15 else b"zz" for x in rnd.choice(pieces)]
+            w += part[: rnd.randint(1, len(part))] + [b"yy"] * rnd.randint(0, 3)
+        texts.append(b" ".join(w).decode())
+    index = license_scan.Index({}, 0)
+    for r in license_scan.scan(docs_of(spark, texts)).collect():
+        w, want = license_scan._words(texts[r.doc_id]), set()
+        for _, label, template, keys in index.templates:
+            for at in range(-len(template), len(w)):
+                start, end = max(0, at), min(len(w), at + len(template))
+                share = sum(w[i] == template[i - at] for i in range(start, end)) / len(template)
+                if share >= license_scan.LEAST_SHARE and all(index._at(w, k, start, end) for k in keys):
+                    want.add((label, start, round(share, 9)))
+        assert {(m.label, m.start, round(m.share, 9)) for m in r.matches} == want
 
 
 def test_media(spark, texts):
