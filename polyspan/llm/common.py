@@ -71,10 +71,10 @@ def saved(df: DataFrame) -> DataFrame:
     return table(df, "saved")
 
 
-def table(df: DataFrame, what: str) -> DataFrame:
+def table(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Written to the shared folder and read again: cuts the lineage and gives every reader an exchange of its own."""
     path = new_shared_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,24 +3,29 @@
 `store` puts a payload into a WAV container, `load` takes it out again, and `features` resamples with a polyphase
 filter, computes overlapped log-mel filterbanks and cuts the signal into active segments by energy with hysteresis.
 Segments carry time spans; their frames are cut into tensors of one shape (`FRAMES` x `MELS`, the last one padded with
-the floor value). Every row is computed by itself, so equal payloads give equal values wherever they lie.
+the floor value). Tensors are stored as Arrow files of a fixed-shape tensor column beside the start and end of each, a
+record batch a row of the input; a row's features name its file and batch, so a file that a lost task left behind is
+never read. Every row is computed by itself, so equal payloads give equal values wherever they lie.
 
-A null text is an empty one, whose payload is padding alone. Rows are kept one to one.
+A null text is an empty one, whose payload is padding alone. Rows are kept one to one, whatever their ids. No rows give no
+features and no files. Kept columns must not bear the names of the new ones.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import raw_texts
+from .common import fields, packed, q, raw_texts, table
 
 UNIT, PAD = 576, b"\xff"
 RATE, TARGET = 16_000, 8_000
@@ -134,71 +139,129 @@ def segments(energy: np.ndarray, raise_: float = 0.25, drop: float = 0.25, short
     return [(a, z) for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if z - a >= shortest]
 
 
-def tensors(mel: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[float, float, bytes]]:
-    """(start, end, values) of the segments' frames in pieces of one shape, times in seconds, values as float32."""
-    out = []
-    for a, z in spans:
-        for i in range(a, z, FRAMES):
-            j = min(i + FRAMES, z)
-            values = np.full((FRAMES, MELS), FLOOR, "<f4")
-            values[: j - i] = mel[i:j]
-            out.append((i * HOP / TARGET, ((j - 1) * HOP + WINDOW) / TARGET, values.tobytes()))
-    return out
+def tensors(mel: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends (in seconds) and values of the segments' frames in pieces of one shape."""
+    at = [(i, min(i + FRAMES, z)) for a, z in spans for i in range(a, z, FRAMES)]
+    values = np.full((len(at), FRAMES, MELS), FLOOR, "<f4")
+    for k, (i, j) in enumerate(at):
+        values[k, : j - i] = mel[i:j]
+    edges = np.array(at, np.float64).reshape(-1, 2)
+    return edges[:, 0] * HOP / TARGET, ((edges[:, 1] - 1) * HOP + WINDOW) / TARGET, values
 
 
-def tensor_array(values: list[bytes]) -> pa.Array:
-    """Values of `tensors` as an Arrow array of fixed-shape tensors."""
-    flat = pa.array(np.frombuffer(b"".join(values), "<f4"), pa.float32())
+def tensor_batch(start: np.ndarray, end: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """One Arrow record batch: start, end and the fixed-shape tensors."""
     kind = pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS], dim_names=["frame", "mel"])
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, FRAMES * MELS))
+    held = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(values.ravel(), pa.float32()), FRAMES * MELS))
+    return pa.RecordBatch.from_arrays([pa.array(start, pa.float64()), pa.array(end, pa.float64()), held], ["start", "end", "tensor"])
+
+
+class _TensorFile:
+    """An Arrow file of one task, opened with the first tensor."""
+
+    def __init__(self, folder: str):
+        self.folder, self.name, self.out, self.n = folder, None, None, 0
+
+    def add(self, batch: pa.RecordBatch) -> tuple[str, int]:
+        if self.out is None:
+            system, at = fs.FileSystem.from_uri(self.folder)
+            system.create_dir(at, recursive=True)
+            self.name = f"tensors-{uuid.uuid4().hex}.arrow"
+            self.raw = system.open_output_stream(f"{at}/{self.name}")
+            self.out = pa.ipc.new_file(self.raw, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+        self.out.write_batch(batch)
+        self.n += 1
+        return self.name, self.n - 1
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.raw.close()
 
 
 def store(docs: DataFrame, text: str = "text", keep: list[str] = ("doc_id",), rate: int = RATE) -> DataFrame:
-    """The `keep` columns, n_bytes of the text, and media: its padded bytes as a WAV file."""
+    """The `keep` columns, n_bytes of the text, and media: its padded bytes as a WAV file; written to a table in the shared
+    folder and read back from it."""
+    rows = docs.select(packed(docs, list(keep)).alias("row"), docs[q(text)].cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = raw_texts(batch, "_text")
-            out = batch.drop_columns(["_text"]).append_column("n_bytes", pa.array([len(b) for b in bodies], pa.int64()))
-            yield out.append_column("media", pa.array([wav(padded(b), rate) for b in bodies], pa.binary()))
+            bodies = raw_texts(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(b) for b in bodies], pa.int64()), pa.array([wav(padded(b), rate) for b in bodies], pa.binary())], ["row", "n_bytes", "media"])
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-    return docs.select(*(docs[c] for c in keep), docs[text].cast("binary").alias("_text")).mapInArrow(run, schema)
+    schema = T.StructType([rows.schema["row"], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
+    return table(rows.mapInArrow(run, schema), "media", compression="zstd").select(*fields("row", list(keep)), "n_bytes", "media")
 
 
-_SEGMENT = T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()), T.StructField("values", T.BinaryType())])
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))
+_FEATURES = T.StructType(
+    [T.StructField(n, k) for n, k in (("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("seconds", T.DoubleType()), ("n_frames", T.LongType()), ("mel_mean", T.ArrayType(T.DoubleType())))]
+    + [T.StructField("spans", _SPANS), T.StructField("n_tensors", T.LongType()), T.StructField("tensor_file", T.StringType()), T.StructField("tensor_batch", T.LongType())]
+)
 
 
-def features(stored: DataFrame, media: str = "media", with_tensors: bool = True) -> DataFrame:
+def features(stored: DataFrame, folder: str, media: str = "media") -> DataFrame:
     """All columns but `media`, and of what is stored: media_bytes, media_sha256, payload_bytes, payload_sha256,
     tail_crc32 (of the last 32 bytes), seconds, n_frames, mel_mean (a value a band), spans (start, end of active
-    segments) and, if asked for, tensors (start, end, values)."""
-    rest = [f for f in stored.schema.fields if f.name != media]
-    schema = T.StructType(
-        rest
-        + [T.StructField(n, k) for n, k in (("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("seconds", T.DoubleType()), ("n_frames", T.LongType()), ("mel_mean", T.ArrayType(T.DoubleType())))]
-        + [T.StructField("spans", T.ArrayType(T.StructType(_SEGMENT.fields[:2])))]
-        + ([T.StructField("tensors", T.ArrayType(_SEGMENT))] if with_tensors else [])
-    )
+    segments), n_tensors, and where these are: tensor_file in `folder` and tensor_batch in it (null without tensors).
+    Computed once, into a table."""
+    rest = [c for c in stored.columns if c != media]
+    rows = stored.select(packed(stored, rest).alias("row"), stored[q(media)].alias("media"))
     span = pa.struct([("start", pa.float64()), ("end", pa.float64())])
-    piece = pa.struct([("start", pa.float64()), ("end", pa.float64()), ("values", pa.binary())])
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.list_(span)] + [pa.list_(piece)] * with_tensors
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.list_(span), pa.int64(), pa.string(), pa.int64()]
 
-    def one(data: bytes) -> tuple:
+    def one(data: bytes, out: _TensorFile) -> tuple:
         payload, rate = read_wav(data)
         x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
         mel = log_mel(resample(x, rate))
         found = segments(mel.mean(axis=1, dtype=np.float64))
         spans = [{"start": a * HOP / TARGET, "end": ((z - 1) * HOP + WINDOW) / TARGET} for a, z in found]
-        row = (len(data), hashlib.sha256(data).hexdigest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(payload) / rate, len(mel), mel.mean(axis=0, dtype=np.float64).tolist(), spans)
-        return row + (([dict(zip(("start", "end", "values"), t, strict=True)) for t in tensors(mel, found)],) if with_tensors else ())
+        start, end, values = tensors(mel, found)
+        at = out.add(tensor_batch(start, end, values)) if len(start) else (None, None)
+        return len(data), hashlib.sha256(data).hexdigest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(payload) / rate, len(mel), mel.mean(axis=0, dtype=np.float64).tolist(), spans, len(start), *at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _TensorFile(folder)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                rows = [one(m) for m in part.column(media).to_pylist()]
-                columns = [part.column(f.name) for f in rest] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                got = [one(m, out) for m in part.column("media").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array([r[k] for r in got], t) for k, t in enumerate(kinds))], ["row", *_FEATURES.names])
+        out.close()
 
-    return stored.mapInArrow(run, schema)
+    made = table(rows.mapInArrow(run, T.StructType([rows.schema["row"], *_FEATURES.fields])), "features")
+    return made.select(*fields("row", rest), *_FEATURES.names)
+
+
+def with_tensors(found: DataFrame, folder: str, digest_only: bool = False) -> DataFrame:
+    """The rows of `features` with their tensors read back: `tensors`, an array of (start, end, values as float32 bytes),
+    or, with `digest_only`, `tensors_sha256` over all of them, empty text without tensors."""
+    rows = found.select(packed(found).alias("row"), "n_tensors", "tensor_file", "tensor_batch")
+    piece = pa.struct([("start", pa.float64()), ("end", pa.float64()), ("values", pa.binary())])
+    name = "tensors_sha256" if digest_only else "tensors"
+
+    def read(batch: pa.RecordBatch) -> object:
+        values = batch.column("tensor").storage.flatten().to_numpy().reshape(-1, FRAMES * MELS)
+        if digest_only:
+            return hashlib.sha256(batch.column("start").to_numpy().tobytes() + batch.column("end").to_numpy().tobytes() + values.tobytes()).hexdigest()
+        return [{"start": a, "end": z, "values": v.tobytes()} for a, z, v in zip(batch.column("start").to_pylist(), batch.column("end").to_pylist(), values, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = fs.FileSystem.from_uri(folder)
+        current, raw, file = None, None, None
+        for batch in batches:
+            got = []
+            for path, k in zip(batch.column("tensor_file").to_pylist(), batch.column("tensor_batch").to_pylist(), strict=True):
+                if path is None:
+                    got.append("" if digest_only else [])
+                    continue
+                if path != current:
+                    if raw is not None:
+                        raw.close()
+                    raw = system.open_input_file(f"{at}/{path}")
+                    current, file = path, pa.ipc.open_file(raw)
+                got.append(read(file.get_batch(k)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(got, pa.string() if digest_only else pa.list_(piece))], ["row", name])
+
+    kind = T.StringType() if digest_only else T.ArrayType(T.StructType([*_SPANS.elementType.fields, T.StructField("values", T.BinaryType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField(name, kind)])).select(*fields("row", found.columns), name)

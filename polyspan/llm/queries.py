@@ -112,10 +112,11 @@ def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as audio and read back, with features."""
     from . import media
 
-    found = media.features(media.store(_table(spark, sf_dir, "documents")), with_tensors=False)
+    folder = common.new_shared_path(spark, "tensors")
+    found = media.with_tensors(media.features(media.store(_table(spark, sf_dir, "documents")), folder), folder, digest_only=True)
     bands = F.array_join(F.transform("mel_mean", lambda v: F.format_number(v, 2)), " ")
     active = F.aggregate("spans", F.lit(0.0), lambda n, s: n + s["end"] - s["start"])
-    feature = F.concat_ws("|", "n_frames", F.size("spans"), F.format_number(active, 2), bands)
+    feature = F.concat_ws("|", "n_frames", F.size("spans"), F.format_number(active, 2), bands, "n_tensors", "tensors_sha256")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 

@@ -409,7 +409,7 @@ def repeats(rows: DataFrame, width: int = WIDTH, grams: tuple[int, ...] = GRAMS,
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] = ("doc_id",), width: int = WIDTH, **options) -> DataFrame:
     """The `keep` columns, n_words, n_removed and kept: the words that no window held by a smaller id covers, joined by
-    one space. Windows are judged on the input. Kept columns of the names of the new ones stand beside them."""
+    one space. Windows are judged on the input. Kept columns must not bear the names of the new ones."""
     body = F.coalesce(docs[q(text)].cast("binary"), F.lit(b""))
     rows = docs.select(packed(docs, list(keep)).alias("row"), docs[q(doc_id)].alias("id"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
     found = repeats(rows, width, **options).select(F.col("id").alias("own"), F.col("text_hash").alias("own_hash"), "spans")
