@@ -388,6 +388,7 @@ def test_licenses_equal_every_alignment_tried(spark):
 
 
 def test_media(spark, texts, tmp_path):
+    texts = [*texts, "".join(random.Random(k).choice("aé ") for k in range(900)) + "~!Zq 0" * 150 + " e" * 400]
     docs, folder = docs_of(spark, texts), f"file://{tmp_path}/tensors"
     found = media.features(media.store(docs), folder)
     rows = {r.doc_id: r for r in media.with_tensors(found, folder).collect()}
