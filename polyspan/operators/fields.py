@@ -9,12 +9,12 @@ from ..functions import vector as V
 from .joins import around, celled, knn_join
 
 
-def cloud_field(points: DataFrame, cell: float, reach: int = 2, axes: str = "xyz") -> DataFrame:
-    """(i + axis, value): the distance to the nearest point, at all grid nodes within `reach` cells of a point, exact
+def cloud_field(points: DataFrame, cell: float, reach: int = 2, axes: str = "xyz", by: list[str] = ()) -> DataFrame:
+    """(`by`, i + axis, value): the distance to the nearest point, at all grid nodes within `reach` cells of a point, exact
     up to that many cells."""
-    near = around(points, cell, reach, axes).select("pid", *axes, *(F.col("c" + k).alias("i" + k) for k in axes))
+    near = around(points, cell, reach, axes).select(*by, "pid", *axes, *(F.col("c" + k).alias("i" + k) for k in axes))
     node = tuple(F.col("i" + k) * cell for k in axes)
-    return near.groupBy(*("i" + k for k in axes)).agg(F.min(V.distance(node, tuple(F.col(k) for k in axes))).alias("value"))
+    return near.groupBy(*by, *("i" + k for k in axes)).agg(F.min(V.distance(node, tuple(F.col(k) for k in axes))).alias("value"))
 
 
 def directed_hausdorff(left: DataFrame, right: DataFrame, cell: float, axes: str = "xyz") -> DataFrame:
@@ -23,6 +23,17 @@ def directed_hausdorff(left: DataFrame, right: DataFrame, cell: float, axes: str
     return knn_join(left, right, 1, cell, axes).agg(F.max("d").alias("distance"))
 
 
+def hausdorff_pairs(points: DataFrame, cell: float, axes: str = "xyz") -> DataFrame:
+    """(a, b, distance): the Hausdorff distance of all pairs of clouds (cloud_id), a < b. Every point seeks its nearest
+    neighbour in each other cloud, so work grows with points times clouds."""
+    names = [r[0] for r in points.select("cloud_id").distinct().orderBy("cloud_id").collect()]  # a value a cloud
+    goals = F.explode(F.array(*[F.lit(n) for n in names]))
+    left = points.withColumn("target", goals).where("target <> cloud_id").select("target", "pid", *axes)
+    near = knn_join(left, points.withColumnRenamed("cloud_id", "target"), 1, cell, axes, ["target"])
+    each = near.join(points.select("pid", "cloud_id"), "pid")
+    return each.groupBy(F.least("cloud_id", "target").alias("a"), F.greatest("cloud_id", "target").alias("b")).agg(F.max("d").alias("distance"))
+
+
 def histogram(values: DataFrame, column: str, bins: int, low: float, high: float) -> DataFrame:
     """(bin, n): equal bins from low to high, the last one closed; what lies outside counts in the first or last."""
     at = F.floor((F.col(column) - low) / ((high - low) / bins)).cast("int")

@@ -1,4 +1,4 @@
-"""Iterations to a fixed point; each round is cut by a checkpoint in the session's shared folder."""
+"""Iterations to a fixed point; each round is cut by a table in the session's shared folder; none stops before it is done."""
 
 from __future__ import annotations
 
@@ -9,21 +9,21 @@ from .joins import radius_join
 from .lineage import cut
 
 
-def labels(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, label): the smallest node of each connected component. Labels spread along edges and, in the same round,
-    jump to their label's label, so that rounds grow with the logarithm of the diameter on most graphs."""
-    both = cut(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(edges.select(F.col("v").alias("a"), F.col("u").alias("b"))).distinct())
-    state = cut(nodes.select("node", F.col("node").alias("label")))
-    for _ in range(rounds):
-        near = both.join(state.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
-        moved = state.join(near, "node", "left").select("node", F.least("label", "near").alias("label"))
-        jumped = moved.join(moved.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left")
-        after = cut(jumped.select("node", F.least("label", "further").alias("label")))
-        changed = after.join(state.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty()
-        state = after
-        if changed:
-            break
-    return state
+def labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node of each connected component. Alternating large and small stars: every node's
+    greater neighbours are hung on its least one, then its lesser neighbours; rounds grow with the logarithm of the
+    size, and they go on until nothing changes."""
+    state, last = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    while True:
+        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        state = cut(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == last:
+            return nodes.select("node").join(state.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        last = now
 
 
 def radius_clusters(points: DataFrame, radius: float, axes: str = "xyz") -> DataFrame:
@@ -33,12 +33,13 @@ def radius_clusters(points: DataFrame, radius: float, axes: str = "xyz") -> Data
     return found.select(F.col("node").alias("pid"), F.col("label").alias("cluster"))
 
 
-def hop_distances(edges: DataFrame, sources: DataFrame, rounds: int = 200) -> DataFrame:
-    """(node, distance): shortest path lengths from the sources (node) over edges (u, v, length), where reachable."""
+def hop_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, distance): shortest path lengths from the sources (node) over edges (u, v, length), where reachable; no
+    length is negative. A round an edge of the longest of these paths."""
     both = cut(edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "length").unionByName(edges.select(F.col("v").alias("a"), F.col("u").alias("b"), "length")))
     state = cut(sources.select("node", F.lit(0.0).alias("distance")))
     front = state
-    for _ in range(rounds):
+    while True:
         reached = both.join(front.select(F.col("node").alias("a"), "distance"), "a").groupBy(F.col("b").alias("node")).agg(F.min(F.col("distance") + F.col("length")).alias("new"))
         better = cut(reached.join(state, "node", "left").where(F.col("distance").isNull() | (F.col("new") < F.col("distance"))).select("node", F.col("new").alias("distance")))
         if better.isEmpty():
@@ -48,10 +49,11 @@ def hop_distances(edges: DataFrame, sources: DataFrame, rounds: int = 200) -> Da
     return state
 
 
-def eikonal(grid: DataFrame, frozen: DataFrame, cell: float = 1.0, rounds: int = 200, eps: float = 1e-9) -> DataFrame:
-    """(ix, iy, value): first-order upwind distances from frozen nodes (ix, iy, value) over a 2D grid, by relaxation."""
+def eikonal(grid: DataFrame, frozen: DataFrame, cell: float = 1.0, eps: float = 1e-9) -> DataFrame:
+    """(ix, iy, value): first-order upwind distances from frozen nodes (ix, iy, value) over a 2D grid, by relaxation
+    until no value falls by more than `eps`; nodes that no frozen one reaches keep 1e9."""
     state = cut(grid.select("ix", "iy").join(frozen.select("ix", "iy", "value"), ["ix", "iy"], "left").select("ix", "iy", F.coalesce("value", F.lit(1e9)).alias("value"), F.col("value").isNotNull().alias("fixed")))
-    for _ in range(rounds):
+    while True:
         near = state
         for i, (axis, d) in enumerate((("ix", 1), ("ix", -1), ("iy", 1), ("iy", -1))):
             near = near.join(state.select(*((F.col(a) - (d if a == axis else 0)).alias(a) for a in ("ix", "iy")), F.col("value").alias(f"n{i}")), ["ix", "iy"], "left")

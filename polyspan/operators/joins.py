@@ -37,36 +37,47 @@ def salted(queries: DataFrame, points: DataFrame, keys: list[str], most: int = 1
     return copy, deal
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, axes: str = "xyz", by: list[str] = ()) -> DataFrame:
-    """(`by`, pid, other, d): all pairs nearer than or at `radius`; pid of `left`, other of `right`."""
+def radius_join(left: DataFrame, right: DataFrame, radius: float, axes: str = "xyz", by: list[str] = (), apart: str | None = None) -> DataFrame:
+    """(`by`, pid, other, d): all pairs nearer than or at `radius`; pid of `left`, other of `right`. With `apart`, only
+    pairs that differ in that column."""
     keys = [*by, *("c" + k for k in axes)]
-    q = around(left.select(*by, "pid", *axes), radius, 1, axes)
-    p = celled(right.select(*by, "pid", *axes), radius, axes)
+    more = [apart] if apart else []
+    q = around(left.select(*by, "pid", *axes, *more), radius, 1, axes)
+    p = celled(right.select(*by, "pid", *axes, *more), radius, axes)
     q, p = salted(q, p, keys)
-    p = p.select(*keys, "_salt", F.col("pid").alias("other"), *(F.col(k).alias("o" + k) for k in axes))
+    p = p.select(*keys, "_salt", F.col("pid").alias("other"), *(F.col(k).alias("o" + k) for k in axes), *(F.col(c).alias("_apart") for c in more))
     d = V.distance(V.vec("", axes), V.vec("o", axes))
-    return q.join(p, [*keys, "_salt"]).select(*by, "pid", "other", d.alias("d")).where(F.col("d") <= radius)
+    pairs = q.join(p, [*keys, "_salt"])
+    return (pairs.where(F.col(apart) != F.col("_apart")) if apart else pairs).select(*by, "pid", "other", d.alias("d")).where(F.col("d") <= radius)
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, cell: float, axes: str = "xyz", by: list[str] = (), rounds: int = 12) -> DataFrame:
+def extent(*clouds: DataFrame, axes: str = "xyz") -> float:
+    """The longest side of the box around all points (one row a cloud to the driver); 0 without points."""
+    ends = [c.agg(*(F.max(k).alias("hi" + k) for k in axes), *(F.min(k).alias("lo" + k) for k in axes)).first() for c in clouds]
+    ends = [e for e in ends if e["lo" + axes[0]] is not None]
+    return max((max(e["hi" + k] for e in ends) - min(e["lo" + k] for e in ends) for k in axes), default=0.0) if ends else 0.0
+
+
+def knn_join(left: DataFrame, right: DataFrame, k: int, cell: float, axes: str = "xyz", by: list[str] = (), apart: str | None = None) -> DataFrame:
     """(`by`, pid, other, d, rank): the k nearest of `right` for each of `left`, ties by the smaller id, a point
-    being no neighbour of itself. Each round doubles the cells for those queries whose k-th neighbour is not yet
-    within the covered radius; in the last, cells are so large that everything is covered."""
-    open_, done = left.select(*by, "pid", *axes), None
+    being no neighbour of itself; with `apart`, of those alone that differ in that column. Each round doubles the cells
+    for those queries whose k-th neighbour is not yet within the covered radius, until the cells cover all points."""
+    more = [apart] if apart else []
+    open_, done = left.select(*by, "pid", *axes, *more), None
     order = Window.partitionBy(*by, "pid").orderBy("d", "other")
-    for n in range(rounds):
-        size = cell * 2**n
-        near = radius_join(open_, right, size, axes, by).where("pid <> other")
+    size, whole = cell, extent(left, right, axes=axes) * len(axes) ** 0.5
+    while True:
+        near = radius_join(open_, right, size, axes, by, apart).where("pid <> other")
         ranked = cut(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        if size > whole:  # whoever has fewer than k now has no more
+            return ranked if done is None else done.unionByName(ranked)
         full = ranked.groupBy(*by, "pid").count().where(F.col("count") >= k).select(*by, "pid")
         found = ranked.join(full, [*by, "pid"], "left_semi")
         rest = cut(open_.join(full, [*by, "pid"], "left_anti"))
         done = found if done is None else done.unionByName(found)
-        open_ = rest
-        if n + 1 < rounds and rest.isEmpty():
+        if rest.isEmpty():
             return done
-    # fewer than k points exist within the last radius
-    return done.unionByName(radius_join(open_, right, cell * 2 ** (rounds - 1), axes, by).where("pid <> other").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        open_, size = rest, 2 * size
 
 
 def box_join(boxes: DataFrame, points: DataFrame, cell: float, axes: str = "xyz") -> DataFrame:
@@ -78,7 +89,8 @@ def box_join(boxes: DataFrame, points: DataFrame, cell: float, axes: str = "xyz"
     inside = F.lit(True)
     for k in axes:
         inside = inside & F.col(k).between(F.col("lo" + k), F.col("hi" + k))
-    return spans.join(celled(points.select("pid", *axes), cell, axes), keys).where(inside).select("bid", "pid")
+    spans, dealt = salted(spans, celled(points.select("pid", *axes), cell, axes), keys)
+    return spans.join(dealt, [*keys, "_salt"]).where(inside).select("bid", "pid")
 
 
 def box_pairs(boxes: DataFrame, cell: float, axes: str = "xyz") -> DataFrame:
@@ -93,7 +105,8 @@ def box_pairs(boxes: DataFrame, cell: float, axes: str = "xyz") -> DataFrame:
     for k in axes:
         meet = meet & (F.col("lo" + k) <= F.col("ohi" + k)) & (F.col("olo" + k) <= F.col("hi" + k))
         own = own & (F.col("c" + k) == F.floor(F.greatest("lo" + k, "olo" + k) / cell))
-    return spans.join(other, keys).where(meet & own).select(F.col("bid").alias("a"), "b")
+    other, dealt = salted(other, spans.withColumn("pid", F.col("bid")), keys)
+    return dealt.join(other, [*keys, "_salt"]).where(meet & own).select(F.col("bid").alias("a"), "b")
 
 
 def suggested_cell(points: DataFrame, per_cell: int = 8, axes: str = "xyz") -> float:

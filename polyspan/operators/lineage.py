@@ -1,17 +1,25 @@
-"""Cutting the lineage of iterations with reliable checkpoints."""
+"""Cutting the lineage of iterations with tables in the shared folder.
+
+Not with checkpoints: these keep the plan's size estimate, which grows without end where a loop joins a result with itself.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_checkpoints(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one only where that is unset, as
-    in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local session takes a
+    temporary one, as in tests; a cluster has none to take."""
     sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
     return at
@@ -19,5 +27,6 @@ def shared_checkpoints(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read from there."""
-    shared_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_checkpoints(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

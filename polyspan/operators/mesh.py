@@ -141,10 +141,24 @@ def umbrella(faces: DataFrame, vertices: DataFrame, step: float = 1.0) -> DataFr
     return out.select("mesh_id", "vid", *(F.when(F.col("m" + k).isNull(), F.col(k)).otherwise(F.col(k) + step * (F.col("m" + k) - F.col(k))).alias(k) for k in "xyz"))
 
 
+def edge_number(p, q):
+    """A negative number for an edge: a 62-bit hash of its ends, so that no pass over the data is needed and any number of
+    steps may follow each other. `checked_numbers` finds clashes."""
+    return -F.xxhash64(F.least(p, q), F.greatest(p, q)).bitwiseAND(F.lit((1 << 62) - 1)) - 1
+
+
+def checked_numbers(vertices: DataFrame) -> DataFrame:
+    """The vertices; raises if two of a mesh have one number."""
+    clash = vertices.groupBy("mesh_id", "vid").count().where("count > 1").limit(1).count()
+    if clash:
+        raise ValueError("two vertices of a mesh have one number")
+    return vertices
+
+
 def subdivide(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One step of midpoint subdivision: each edge gets a vertex, each face becomes four. New vertices are numbered by
-    their edge: the Cantor pair of its ends, negated, so no pass over the data is needed."""
-    number = lambda p, q: -((F.least(p, q) + F.greatest(p, q)) * (F.least(p, q) + F.greatest(p, q) + 1) / 2).cast("long") - F.greatest(p, q) - 1
+    their edge (`edge_number`); a clash of numbers raises."""
+    number = edge_number
     e = edges(faces)
     for k in (0, 1):
         e = e.join(vertices.select("mesh_id", F.col("vid").alias(f"e{k}"), *(F.col(i).alias(f"p{k}{i}") for i in "xyz")), ["mesh_id", f"e{k}"])
@@ -152,7 +166,7 @@ def subdivide(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFra
     a, b, c = (F.col(f"v{k}") for k in range(3))
     ab, bc, ca = number(a, b), number(b, c), number(c, a)
     four = F.array(*[F.struct((F.col("fid") * 4 + i).alias("fid"), p.alias("v0"), q.alias("v1"), r.alias("v2")) for i, (p, q, r) in enumerate(((a, ab, ca), (ab, b, bc), (ca, bc, c), (ab, bc, ca)))])
-    return vertices.select("mesh_id", "vid", "x", "y", "z").unionByName(middle), faces.select("mesh_id", F.explode(four).alias("f")).select("mesh_id", "f.*")
+    return checked_numbers(vertices.select("mesh_id", "vid", "x", "y", "z").unionByName(middle)), faces.select("mesh_id", F.explode(four).alias("f")).select("mesh_id", "f.*")
 
 
 def weld(vertices: DataFrame, faces: DataFrame, cell: float = 1e-6) -> tuple[DataFrame, DataFrame]:

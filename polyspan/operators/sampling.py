@@ -40,13 +40,13 @@ def stratified(points: DataFrame, by: str, n: int, seed: int = 0) -> DataFrame:
     return points.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def poisson_disc(points: DataFrame, radius: float, axes: str = "xyz", seed: int = 0, rounds: int = 64) -> DataFrame:
+def poisson_disc(points: DataFrame, radius: float, axes: str = "xyz", seed: int = 0) -> DataFrame:
     """A maximal subset with no two points within `radius`: points of the smallest hash among their open neighbours are
     taken and their neighbours dropped, until none is open."""
     u = points.select("pid", *axes, unit_hash(F.col("pid"), seed=seed).alias("u"))
     pairs = cut(radius_join(points, points, radius, axes).where("pid <> other").select("pid", "other"))
     open_, taken = u.select("pid", "u"), None
-    for _ in range(rounds):
+    while True:
         live = pairs.join(open_.select(F.col("pid").alias("other"), F.col("u").alias("ou")), "other").join(open_, "pid")
         beaten = live.where((F.col("ou") < F.col("u")) | ((F.col("ou") == F.col("u")) & (F.col("other") < F.col("pid")))).select("pid").distinct()
         won = cut(open_.join(beaten, "pid", "left_anti").select("pid"))

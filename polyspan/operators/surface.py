@@ -48,7 +48,7 @@ def loop_subdivide(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, Da
     for i in (0, 1):
         placed = placed.join(vertices.select("mesh_id", F.col("vid").alias(f"e{i}"), *(F.col(k).alias(f"p{i}{k}") for k in "xyz")), ["mesh_id", f"e{i}"])
     lo, hi = F.col("e0"), F.col("e1")
-    number = -((lo + hi) * (lo + hi + 1) / 2).cast("long") - hi - 1
+    number = mesh.edge_number(lo, hi)
     point = lambda k: F.when(F.col("n_faces") == 2, 0.375 * (F.col(f"p0{k}") + F.col(f"p1{k}")) + 0.125 * F.col("s" + k)).otherwise((F.col(f"p0{k}") + F.col(f"p1{k}")) / 2)
     new = placed.select("mesh_id", number.alias("vid"), *(point(k).alias(k) for k in "xyz"))
     both = e.select("mesh_id", lo.alias("vid"), hi.alias("to"), "n_faces").unionByName(e.select("mesh_id", hi.alias("vid"), lo.alias("to"), "n_faces"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,24 +67,42 @@ def portraits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PORTRAITS = f"SELECT * FROM (SELECT curve_id, seq, y AS x, lead(y) OVER (PARTITION BY curve_id ORDER BY seq) AS y FROM ({CURVES})) WHERE y IS NOT NULL"
 
-SIDE = 24
+def _mean(price: str, unit: int, name: str):
+    """The mean price in whole units of cents, in ten thousands of these: integers up to the last step, so that no engine
+    rounds it otherwise."""
+    return (F.expr(f"sum(cast(round({price} * 100) as bigint)) div (count(1) * {unit})") / 1e4).alias(name)
+
+
+def _mean_sql(price: str, unit: int) -> str:
+    return f"CAST(sum(CAST(round({price} * 100) AS BIGINT)) // (count(*) * {unit}) AS DOUBLE) / 1e4"
+
+
+#: The mesh grows with `orders`: some four of them a vertex.
+DIMS = "dims AS (SELECT greatest(8, CAST(floor(sqrt(count(*) / 4.0)) AS BIGINT)) AS side FROM orders)"
+SIDE = "(SELECT side FROM dims)"
+
+
+def side(spark: SparkSession, sf_dir: str) -> int:
+    return max(8, math.floor(math.sqrt(table(spark, sf_dir, "orders").count() / 4.0)))
 
 
 def heightfield(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A regular triangle mesh over buckets of `orders`: vertices (mesh_id, vid, x, y, z), faces (mesh_id, fid, v0, v1, v2)."""
+    n = side(spark, sf_dir)
     orders = table(spark, sf_dir, "orders")
-    ix, iy = F.pmod("o_orderkey", F.lit(SIDE)), F.pmod(F.floor(F.col("o_orderkey") / SIDE), F.lit(SIDE))
-    cells = orders.groupBy(ix.cast("long").alias("ix"), iy.cast("long").alias("iy")).agg(F.round(F.avg(F.col("o_totalprice").cast("double")) / 1e4, 4).alias("z"))
-    vertices = cells.select(F.lit(0).cast("long").alias("mesh_id"), (F.col("iy") * SIDE + F.col("ix")).alias("vid"), F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), "z")
-    inner = cells.where((F.col("ix") < SIDE - 1) & (F.col("iy") < SIDE - 1)).select((F.col("iy") * SIDE + F.col("ix")).alias("v"))
-    two = F.array(F.struct((F.col("v") * 2).alias("fid"), F.col("v").alias("v0"), (F.col("v") + 1).alias("v1"), (F.col("v") + SIDE + 1).alias("v2")), F.struct((F.col("v") * 2 + 1).alias("fid"), F.col("v").alias("v0"), (F.col("v") + SIDE + 1).alias("v1"), (F.col("v") + SIDE).alias("v2")))
+    ix, iy = F.pmod("o_orderkey", F.lit(n)), F.pmod(F.floor(F.col("o_orderkey") / n), F.lit(n))
+    cells = orders.groupBy(ix.cast("long").alias("ix"), iy.cast("long").alias("iy")).agg(_mean("o_totalprice", 100, "z"))
+    vertices = cells.select(F.lit(0).cast("long").alias("mesh_id"), (F.col("iy") * n + F.col("ix")).alias("vid"), F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), "z")
+    inner = cells.where((F.col("ix") < n - 1) & (F.col("iy") < n - 1)).select((F.col("iy") * n + F.col("ix")).alias("v"))
+    two = F.array(F.struct((F.col("v") * 2).alias("fid"), F.col("v").alias("v0"), (F.col("v") + 1).alias("v1"), (F.col("v") + n + 1).alias("v2")), F.struct((F.col("v") * 2 + 1).alias("fid"), F.col("v").alias("v0"), (F.col("v") + n + 1).alias("v1"), (F.col("v") + n).alias("v2")))
     faces = inner.select(F.explode(two).alias("f")).select(F.lit(0).cast("long").alias("mesh_id"), "f.*")
     return vertices, faces
 
 
-MESH = f"""cells AS (SELECT CAST(o_orderkey % {SIDE} AS BIGINT) AS ix, CAST((o_orderkey // {SIDE}) % {SIDE} AS BIGINT) AS iy, round(avg(CAST(o_totalprice AS DOUBLE)) / 1e4, 4) AS z FROM orders GROUP BY 1, 2),
+MESH = f"""{DIMS},
+cells AS (SELECT CAST(o_orderkey % {SIDE} AS BIGINT) AS ix, CAST((o_orderkey // {SIDE}) % {SIDE} AS BIGINT) AS iy, {_mean_sql('o_totalprice', 100)} AS z FROM orders GROUP BY 1, 2),
 verts AS (SELECT iy * {SIDE} + ix AS vid, CAST(ix AS DOUBLE) AS x, CAST(iy AS DOUBLE) AS y, z FROM cells),
-inner_cells AS (SELECT iy * {SIDE} + ix AS v FROM cells WHERE ix < {SIDE - 1} AND iy < {SIDE - 1}),
+inner_cells AS (SELECT iy * {SIDE} + ix AS v FROM cells WHERE ix < {SIDE} - 1 AND iy < {SIDE} - 1),
 faces AS (SELECT v * 2 AS fid, v AS v0, v + 1 AS v1, v + {SIDE} + 1 AS v2 FROM inner_cells UNION ALL SELECT v * 2 + 1, v, v + {SIDE} + 1, v + {SIDE} FROM inner_cells),
 tris AS (SELECT fid, v0, v1, v2, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz
          FROM faces JOIN verts a ON a.vid = v0 JOIN verts b ON b.vid = v1 JOIN verts c ON c.vid = v2),
@@ -95,10 +114,24 @@ def price_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """grid (ix, iy, value): mean price of `lineitem` by quantity and discount."""
     of = lambda c: F.col(c).cast("double")
     key = [F.floor(of("l_quantity")).cast("long").alias("ix"), F.round(of("l_discount") * 100).cast("long").alias("iy")]
-    return table(spark, sf_dir, "lineitem").groupBy(*key).agg(F.round(F.avg(of("l_extendedprice")) / 1000, 4).alias("value"))
+    return table(spark, sf_dir, "lineitem").groupBy(*key).agg(_mean("l_extendedprice", 10, "value"))
+
+
+GRID = f"grid AS (SELECT CAST(floor(CAST(l_quantity AS DOUBLE)) AS BIGINT) AS ix, CAST(round(CAST(l_discount AS DOUBLE) * 100) AS BIGINT) AS iy, {_mean_sql('l_extendedprice', 10)} AS value FROM lineitem GROUP BY 1, 2)"
+
+
+def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """grid (ix, iy, iz, value): a cube of nodes that grows with `lineitem`, some eight rows a node."""
+    of = table(spark, sf_dir, "lineitem")
+    n = max(4, math.floor(math.pow(of.count() / 8.0, 1 / 3) + 1e-9))
+    k = F.col("l_orderkey").cast("long") * 7 + F.col("l_linenumber").cast("long")
+    at = [F.pmod(k, F.lit(n)), F.pmod(F.floor(k / n), F.lit(n)), F.pmod(F.floor(k / (n * n)), F.lit(n))]
+    return of.groupBy(*(a.cast("long").alias("i" + x) for a, x in zip(at, "xyz", strict=True))).agg(_mean("l_extendedprice", 100, "value"))
 
 
-GRID = "grid AS (SELECT CAST(floor(CAST(l_quantity AS DOUBLE)) AS BIGINT) AS ix, CAST(round(CAST(l_discount AS DOUBLE) * 100) AS BIGINT) AS iy, round(avg(CAST(l_extendedprice AS DOUBLE)) / 1000, 4) AS value FROM lineitem GROUP BY 1, 2)"
+_N3 = "(SELECT n FROM dims3)"
+VOLUME = f"""dims3 AS (SELECT greatest(4, CAST(floor(pow(count(*) / 8.0, CAST(1 AS DOUBLE) / 3) + 1e-9) AS BIGINT)) AS n FROM lineitem),
+vol AS (SELECT k % {_N3} AS ix, (k // {_N3}) % {_N3} AS iy, (k // ({_N3} * {_N3})) % {_N3} AS iz, {_mean_sql('l_extendedprice', 100)} AS value FROM (SELECT *, CAST(l_orderkey AS BIGINT) * 7 + CAST(l_linenumber AS BIGINT) AS k FROM lineitem) GROUP BY 1, 2, 3)"""
 
 
 def shared_path(spark: SparkSession, what: str) -> str:

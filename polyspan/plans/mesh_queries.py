@@ -120,7 +120,7 @@ def subdivided_mesh(spark, sf_dir):
 @query("fan_triangulation", f"{W}, q AS (SELECT v AS fid, [v, v + 1, v + {B.SIDE} + 1, v + {B.SIDE}] AS vids FROM inner_cells) SELECT fid, CAST(i AS INTEGER) AS part, vids[1] AS v0, vids[i + 1] AS v1, vids[i + 2] AS v2 FROM q, (SELECT unnest([1, 2]) AS i)")
 def fan_triangulation(spark, sf_dir):
     _, f = B.heightfield(spark, sf_dir)
-    quads = f.where("fid % 2 = 0").select("mesh_id", (F.col("fid") / 2).cast("long").alias("fid"), F.array("v0", "v1", "v2", F.col("v0") + B.SIDE).alias("vids"))
+    quads = f.where("fid % 2 = 0").select("mesh_id", (F.col("fid") / 2).cast("long").alias("fid"), F.array("v0", "v1", "v2", F.col("v0") + B.side(spark, sf_dir)).alias("vids"))
     return mesh.fan(quads).drop("mesh_id")
 
 

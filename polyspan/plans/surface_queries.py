@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..operators import curves, grids, hulls, joins, mesh, surface
+from ..operators import curves, grids, hulls, joins, mesh, shapes, surface
 from . import bindings as B
 from .mesh_queries import _CORNERS, _UNIT, W
 from .registry import query
@@ -99,10 +99,10 @@ def octahedron_areas(spark, sf_dir):
     return mesh.measures(f, v).select("mesh_id", r6(F.col("area")).alias("area"), r6(F.col("volume")).alias("volume"))
 
 
-@query("sphere_meshes")
+@query("sphere_meshes", f"{P} SELECT pid AS mesh_id, round(8 * (1.5 * sqrt(1.75 - sqrt(2)) + sqrt(3) / 4) / (4 * pi()), 6) AS share FROM p")
 def sphere_meshes(spark, sf_dir):
-    """Spheres around the points of one cloud: an octahedron, subdivided and projected; the share of the sphere's area."""
-    c = B.cloud(spark, sf_dir).where("cloud_id = 0").select(F.col("pid").alias("mesh_id"), "x", "y", "z", (1 + F.abs("x")).alias("r"))
+    """Spheres around all points: an octahedron, subdivided and projected; the share of the sphere's area."""
+    c = B.cloud(spark, sf_dir).select(F.col("pid").alias("mesh_id"), "x", "y", "z", (1 + F.abs("x")).alias("r"))
     v, f = surface.solids(c, "octahedron")
     v, f = mesh.subdivide(v, f)
     v = surface.projected(v, c)
@@ -160,13 +160,10 @@ def moving_averages(spark, sf_dir):
     return B.curves(spark, sf_dir).select("curve_id", "seq", r6(F.avg("y").over(w)).alias("mean"))
 
 
-@query("merged_clouds", f"WITH p AS ({B.CLOUD}), a AS (SELECT pid, x FROM p WHERE cloud_id = 0), b AS (SELECT pid, x FROM p WHERE cloud_id = 1) SELECT row_number() OVER (ORDER BY part, pid) - 1 AS pid, part, {sql6('x')} AS x FROM (SELECT 0 AS part, * FROM a UNION ALL SELECT 1, * FROM b)")
+@query("merged_clouds", f"{P} SELECT row_number() OVER (ORDER BY cloud_id, pid) - 1 AS pid, cloud_id, {sql6('x')} AS x FROM p")
 def merged_clouds(spark, sf_dir):
-    """Two clouds as one with new ids: each part's offset is the count of the parts before it."""
-    p = B.cloud(spark, sf_dir).where("cloud_id in (0, 1)").select(F.col("cloud_id").cast("int").alias("part"), "pid", "x")
-    offsets = p.groupBy("part").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = p.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("pid")) - 1)
-    return own.join(offsets, "part").select((F.col("k") + F.col("offset")).cast("long").alias("pid"), "part", r6(F.col("x")).alias("x"))
+    """All clouds as one with new ids, in the order of cloud and id."""
+    return shapes.numbered(B.cloud(spark, sf_dir).select("cloud_id", F.col("pid").alias("old"), "x"), ["cloud_id", "old"], "pid").select("pid", "cloud_id", r6(F.col("x")).alias("x"))
 
 
 @query("cloud_differences", f"WITH p AS ({B.CLOUD}), a AS (SELECT pid FROM p WHERE x > 0), b AS (SELECT pid FROM p WHERE y > 0) SELECT pid, CASE WHEN pid IN (SELECT pid FROM a) AND pid IN (SELECT pid FROM b) THEN 'both' WHEN pid IN (SELECT pid FROM a) THEN 'x' ELSE 'y' END AS side FROM (SELECT pid FROM a UNION SELECT pid FROM b)")
@@ -176,13 +173,13 @@ def cloud_differences(spark, sf_dir):
     return a.join(b, "pid", "full").select("pid", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), "both").when(F.col("a").isNotNull(), "x").otherwise("y").alias("side"))
 
 
-@query("vector_field_divergence", f"WITH {B.GRID}, v AS (SELECT ix, iy, value * 0.5 AS vx, value * ix * 0.01 AS vy FROM grid) SELECT g.ix, g.iy, {sql6('(r.vx - l.vx) / 2 + (u.vy - d.vy) / 2')} AS divergence FROM v g JOIN v r ON r.ix = g.ix + 1 AND r.iy = g.iy JOIN v l ON l.ix = g.ix - 1 AND l.iy = g.iy JOIN v u ON u.ix = g.ix AND u.iy = g.iy + 1 JOIN v d ON d.ix = g.ix AND d.iy = g.iy - 1")
+@query("vector_field_divergence", f"WITH {B.GRID}, v AS (SELECT ix, iy, value * 0.5 AS vx, value * ix * 0.01 AS vy FROM grid) SELECT g.ix, g.iy, {'round((r.vx - l.vx) / 2 + (u.vy - d.vy) / 2 + 1e-9, 4)'} AS divergence FROM v g JOIN v r ON r.ix = g.ix + 1 AND r.iy = g.iy JOIN v l ON l.ix = g.ix - 1 AND l.iy = g.iy JOIN v u ON u.ix = g.ix AND u.iy = g.iy + 1 JOIN v d ON d.ix = g.ix AND d.iy = g.iy - 1")
 def vector_field_divergence(spark, sf_dir):
     g = B.price_grid(spark, sf_dir).select("ix", "iy", (F.col("value") * 0.5).alias("vx"), (F.col("value") * F.col("ix") * 0.01).alias("vy"))
     out = g.select("ix", "iy")
     for name, c, a, b in (("r", "vx", 1, 0), ("l", "vx", -1, 0), ("u", "vy", 0, 1), ("d", "vy", 0, -1)):
         out = out.join(g.select((F.col("ix") - a).alias("ix"), (F.col("iy") - b).alias("iy"), F.col(c).alias(name)), ["ix", "iy"])
-    return out.select("ix", "iy", r6((F.col("r") - F.col("l")) / 2 + (F.col("u") - F.col("d")) / 2).alias("divergence"))
+    return out.select("ix", "iy", F.round((F.col("r") - F.col("l")) / 2 + (F.col("u") - F.col("d")) / 2 + 1e-9, 4).alias("divergence"))
 
 
 @query("nearest_grid_values", f"WITH {B.GRID}, s AS (SELECT vec_id AS pid, 25 + 8 * CAST(embedding[1] AS DOUBLE) AS x, 5 + 2 * CAST(embedding[2] AS DOUBLE) AS y FROM embeddings) SELECT pid, value FROM s LEFT JOIN grid ON ix = greatest(1, least(50, CAST(floor(x + 0.5) AS BIGINT))) AND iy = greatest(0, least(10, CAST(floor(y + 0.5) AS BIGINT)))")

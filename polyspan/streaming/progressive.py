@@ -19,11 +19,11 @@ def sample_stream(points: DataFrame, n: int, folder: str, seed: int = 0) -> Data
         if number > 0:
             own = own.unionByName(spark.read.schema(schema).parquet(f"{folder}/state-{number - 1}"))
         sampling.uniform(own, n, seed).drop("u").write.mode("overwrite").parquet(f"{folder}/state-{number}")
-        batch.agg(F.lit(number).alias("batch"), F.count("*").alias("n_points")).write.mode("overwrite").parquet(f"{folder}/progress/batch={number}")
+        batch.agg(F.count("*").alias("n_points")).write.mode("overwrite").parquet(f"{folder}/progress/batch={number}")
 
     query = points.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = (query.lastProgress or {"batchId": 0})["batchId"]
+    last = spark.read.parquet(f"{folder}/progress").agg(F.max("batch")).first()[0]  # a run without new rows has no batch of its own
     return spark.read.schema(schema).parquet(f"{folder}/state-{last}")
 
 

@@ -77,7 +77,7 @@ def test_radius_and_knn(cloud):
 
 def test_knn_of_few_points(spark):
     few = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 9.0, 0.0, 0.0)], "pid long, x double, y double, z double")
-    assert {(r.pid, r.other) for r in joins.knn_join(few, few, 3, 1.0, rounds=6).collect()} == {(0, 1), (1, 0)}
+    assert {(r.pid, r.other) for r in joins.knn_join(few, few, 3, 1.0).collect()} == {(0, 1), (1, 0)}
     assert joins.knn_join(few.where("false"), few, 3, 1.0).count() == 0
 
 
@@ -169,3 +169,74 @@ def test_shrinking_circle(spark):
     out = flows.shrink(spark.createDataFrame(circle, "curve_id long, seq long, x double, y double"), tau, steps)
     radius = math.sqrt(1 - 2 * tau * steps)
     assert all(abs(math.hypot(r.x, r.y) - radius) < 2e-3 for r in out.collect())
+
+
+def test_no_answer_is_cut_short(spark):
+    """Far points, long paths and chains: rounds end when everything is found."""
+    from polyspan.operators import fixpoint, joins, sampling
+
+    far = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 5000.0, 0.0, 0.0)], "pid long, x double, y double, z double")
+    assert {(r.pid, r.other, r.d) for r in joins.knn_join(far, far, 1, 1.0).collect()} == {(0, 1, 5000.0), (1, 0, 5000.0)}
+    ids = [(7 * k) % 300 for k in range(300)]
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "u long, v long")
+    nodes = spark.createDataFrame([(k,) for k in range(301)], "node long")
+    assert {(r.node, r.label) for r in fixpoint.labels(nodes, edges).collect()} == {(k, 0) for k in range(300)} | {(300, 300)}
+    path = spark.createDataFrame([(k, k + 1, 1.0) for k in range(12)], "u long, v long, length double")
+    assert {r.node: r.distance for r in fixpoint.hop_distances(path, nodes.where("node = 0")).collect()} == {k: float(k) for k in range(13)}
+    row = spark.createDataFrame([(k, k / 10, 0.0, 0.0) for k in range(40)], "pid long, x double, y double, z double")
+    taken = [r.pid for r in sampling.poisson_disc(row, 0.25).collect()]
+    assert all(abs(a - b) >= 3 for a in taken for b in taken if a != b) and all(any(abs(k - a) <= 2 for a in taken) for k in range(40))
+
+
+def test_repeated_subdivision(spark):
+    from polyspan.operators import mesh, surface
+
+    centres = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1.0)], "mesh_id long, x double, y double, z double, r double")
+    v, f = surface.solids(centres, "octahedron")
+    for _ in range(3):
+        v, f = mesh.subdivide(v, f)
+    row = mesh.counts(v, f).first()
+    assert (row.n_vertices, row.n_faces, row.n_boundary, row.euler) == (258, 512, 0, 2)
+
+
+def test_nearest_triangles_and_surface(spark):
+    """Against all pairs in numpy; a sphere's isosurface closes and has the sphere's area."""
+    import numpy as np
+
+    from polyspan.operators import shapes
+
+    rng = np.random.default_rng(4)
+    t, p = rng.normal(0, 1, (60, 3, 3)), rng.normal(0, 3, (40, 3))
+    names = [c + k for c in "abc" for k in "xyz"]
+    tris = spark.createDataFrame([(i, *map(float, x.ravel())) for i, x in enumerate(t)], "fid long, " + ", ".join(f"{n} double" for n in names))
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "pid long, x double, y double, z double")
+    got = {r.pid: (r.fid, r.d) for r in shapes.nearest_triangle(points, tris, 0.3).collect()}
+    u, v = np.meshgrid(np.linspace(0, 1, 60), np.linspace(0, 1, 60))
+    keep = u + v <= 1 + 1e-9
+    w = np.stack([1 - u[keep] - v[keep], u[keep], v[keep]])
+    for i, x in enumerate(p):
+        d = np.sqrt(((np.einsum("wk,twc->tkc", w, t) - x) ** 2).sum(axis=2)).min(axis=1)
+        assert got[i][1] <= d.min() + 1e-9 and got[i][1] > d.min() - 0.1 and d[got[i][0]] < d.min() + 0.1
+    n = 16
+    grid = spark.createDataFrame([(a, b, c, float((a - 8) ** 2 + (b - 8) ** 2 + (c - 8) ** 2)) for a in range(n) for b in range(n) for c in range(n)], "ix long, iy long, iz long, value double")
+    rows = shapes.isosurface(grid, 30.5).collect()
+    area = sum(np.linalg.norm(np.cross(np.subtract((r.bx, r.by, r.bz), (r.ax, r.ay, r.az)), np.subtract((r.cx, r.cy, r.cz), (r.ax, r.ay, r.az)))) / 2 for r in rows)
+    assert abs(area / (4 * np.pi * 30.5) - 1) < 0.05
+    edges = {}
+    for r in rows:
+        c = [tuple(round(getattr(r, k + x), 9) for x in "xyz") for k in "abc"]
+        for e in ((c[0], c[1]), (c[1], c[2]), (c[2], c[0])):
+            edges[frozenset(e)] = edges.get(frozenset(e), 0) + 1
+    assert set(edges.values()) == {2}
+
+
+def test_principal_axes(spark):
+    import numpy as np
+
+    from polyspan.plans import registry
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    for r in registry.QUERIES["principal_axes"](spark, "/root/testdata/sf0.001").collect():
+        x = np.array([[float(v) * 8 for v in s.embedding[:3]] for s in rows if s.label == r.cloud_id])
+        want = np.sqrt(np.maximum(np.linalg.eigvalsh(np.cov(x.T, bias=True)), 0))[::-1]
+        assert np.allclose([r.e1, r.e2, r.e3], want, atol=1e-5)
