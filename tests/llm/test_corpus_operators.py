@@ -417,7 +417,7 @@ def test_media(spark, texts, tmp_path):
             assert [(s.start, s.end) for s in rows[i].spans] == [(a * 0.01, ((z - 1) * 80 + 200) / 8000) for a, z in runs]
             assert rows[i].n_tensors == len(rows[i].tensors) == sum(-(-(z - a) // 64) for a, z in runs)
             for t, (a, z) in zip(rows[i].tensors, [(j, min(j + 64, z)) for a, z in runs for j in range(a, z, 64)], strict=True):
-                values = np.frombuffer(t.values, "<f4").reshape(64, 32)
+                values = np.frombuffer(t.values, "<f2").reshape(64, 32)
                 assert np.allclose(values[: z - a], mel[a:z], atol=0.05) and (values[z - a :] == media.FLOOR).all()
     assert rows[0].mel_mean == rows[1].mel_mean and any(r.n_tensors for r in rows.values())
     digests = {r.doc_id: r.tensors_sha256 for r in media.with_tensors(found, folder, digest_only=True).collect()}
