@@ -96,7 +96,10 @@ def _near(name: str, step: tuple[int, int, int], kind: str = "JOIN") -> str:
     return f"{kind} vol {name} ON " + " AND ".join(f"{name}.i{k} = g.i{k} + {d}" for k, d in zip("xyz", step, strict=True))
 
 
-@query("grid3_gradient", f"{V} SELECT g.ix, g.iy, g.iz, " + ", ".join(f"round((u{k}.value - d{k}.value) / 2, 6) AS g{k}" for k in "xyz") + " FROM vol g " + " ".join(_near(n + k, tuple(d if a == i else 0 for a in range(3))) for i, k in enumerate("xyz") for n, d in (("u", 1), ("d", -1))))
+_STEPS = ", ".join(f"({', '.join(str(d if a == i else 0) for a in range(3))}, '{k}', {d})" for i, k in enumerate("xyz") for d in (1, -1))
+
+
+@query("grid3_gradient", f"{V}, n AS (SELECT ix - dx AS ix, iy - dy AS iy, iz - dz AS iz, axis, sgn * value AS v FROM vol, (VALUES {_STEPS}) s(dx, dy, dz, axis, sgn)), m AS (SELECT ix, iy, iz, " + ", ".join(f"round(sum(v) FILTER (axis = '{k}') / 2, 6) AS g{k}" for k in "xyz") + " FROM n GROUP BY 1, 2, 3 HAVING count(*) = 6) SELECT m.* FROM m SEMI JOIN vol USING (ix, iy, iz)")
 def grid3_gradient(spark, sf_dir):
     return shapes.gradient3(B.volume(spark, sf_dir)).select("ix", "iy", "iz", *(r6(F.col("g" + k)).alias("g" + k) for k in "xyz"))
 
