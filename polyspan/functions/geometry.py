@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vector import Vector, angle, cross, distance, dot, greatest, least, minus, norm, plus, scaled, sqrnorm
+from .vector import Vector, angle, cross, distance, dot, greatest, least, minus, norm, normalize, perp, plus, scaled, sqrnorm
 
 
 def triangle_area(a: Vector, b: Vector, c: Vector) -> Column:
@@ -146,3 +146,127 @@ def bounds(*points: Vector) -> tuple[Vector, Vector]:
     for p in points[1:]:
         lo, hi = least(lo, p), greatest(hi, p)
     return lo, hi
+
+
+def midpoint(a: Vector, b: Vector) -> Vector:
+    return tuple((p + q) / 2 for p, q in zip(a, b, strict=True))
+
+
+def _spans_meet(axis: Vector, p: list[Vector], q: list[Vector]) -> Column:
+    """Whether the shadows of two convex shapes on an axis meet."""
+    s, t = [dot(axis, c) for c in p], [dot(axis, c) for c in q]
+    return (F.least(*s) <= F.greatest(*t)) & (F.least(*t) <= F.greatest(*s))
+
+
+def _corners(lo: Vector, hi: Vector) -> list[Vector]:
+    out: list[Vector] = [()]
+    for a, b in zip(lo, hi, strict=True):
+        out = [(*c, k) for c in out for k in (a, b)]
+    return out
+
+
+def plane_meets_box(normal: Vector, origin: Vector, lo: Vector, hi: Vector) -> Column:
+    """A plane and a closed box: corners on both sides, or on the plane."""
+    heights = [dot(normal, minus(c, origin)) for c in _corners(lo, hi)]
+    return (F.least(*heights) <= 0) & (F.greatest(*heights) >= 0)
+
+
+def triangle_meets_box(a: Vector, b: Vector, c: Vector, lo: Vector, hi: Vector) -> Column:
+    """A triangle and a closed box, exactly: no axis of the box, normal of the triangle or product of their edges parts them.
+    Corners are taken from the box's middle and the box as its half sides."""
+    middle, half = midpoint(lo, hi), tuple((q - p) / 2 for p, q in zip(lo, hi, strict=True))
+    p, q, r = (minus(x, middle) for x in (a, b, c))
+    out = boxes_meet(lo, hi, *bounds(a, b, c)) & plane_meets_box(cross(minus(q, p), minus(r, p)), p, tuple(-h for h in half), half)
+    for e in (minus(q, p), minus(r, q), minus(p, r)):
+        for k in range(3):
+            i, j = (k + 1) % 3, (k + 2) % 3
+            shadows = [e[i] * x[j] - e[j] * x[i] for x in (p, q, r)]
+            reach = half[i] * F.abs(e[j]) + half[j] * F.abs(e[i])
+            out = out & (F.least(*shadows) <= reach) & (F.greatest(*shadows) >= -reach)
+    return out
+
+
+def segment_meets_box_2d(a: Vector, b: Vector, lo: Vector, hi: Vector) -> Column:
+    """A segment of the plane and a closed box."""
+    return boxes_meet(lo, hi, *bounds(a, b)) & plane_meets_box(perp(minus(b, a)), a, lo, hi)
+
+
+def triangles_meet_2d(s: tuple[Vector, Vector, Vector], t: tuple[Vector, Vector, Vector]) -> Column:
+    """Two triangles of the plane share a point: no side of either parts them."""
+    out = F.lit(True)
+    for corners in (s, t):
+        for k in range(3):
+            out = out & _spans_meet(perp(minus(corners[(k + 1) % 3], corners[k])), list(s), list(t))
+    return out
+
+
+def rays_meet_2d(o0: Vector, d0: Vector, o1: Vector, d1: Vector, eps: float = 1e-9) -> Column:
+    """The first ray's parameter where its line meets the second one's; null for parallel ones."""
+    det = dot(perp(d1), d0)
+    return F.when(F.abs(det) >= eps, F.try_divide(dot(perp(d1), minus(o1, o0)), det))
+
+
+def ray_through_box(o: Vector, d: Vector, lo: Vector, hi: Vector, eps: float = 1e-9) -> tuple[Column, Column]:
+    """The ray's parameters where it enters (0 if it starts inside) and leaves a closed box; nulls without a hit. A ray that
+    lies in all slabs but is parallel to every axis leaves at infinity."""
+    enter, leave, inside = [F.lit(0.0)], [F.lit(float("inf"))], F.lit(True)
+    for p, v, a, b in zip(o, d, lo, hi, strict=True):
+        runs = F.abs(v) > eps
+        t0, t1 = F.try_divide(a - p, v), F.try_divide(b - p, v)
+        enter.append(F.when(runs, F.least(t0, t1)).otherwise(0.0))
+        leave.append(F.when(runs, F.greatest(t0, t1)).otherwise(float("inf")))
+        inside = inside & (runs | p.between(a, b))
+    t0, t1 = F.greatest(*enter), F.least(*leave)
+    hit = inside & (t0 <= t1)
+    return F.when(hit, t0), F.when(hit, t1)
+
+
+def _condition(base: Column, along: Column, height: Column, eps: float) -> Column:
+    """Of the matrix (base, along; 0, height): the largest row sum times that of its inverse; infinite if singular."""
+    rows = F.greatest(base + F.abs(along), height)
+    inverse = F.greatest(1 / base + F.abs(along) / (base * height), 1 / height)
+    return F.when((base > 0) & (height > 0) & (base * height >= eps), rows * inverse).otherwise(F.lit(float("inf")))
+
+
+def jacobian_condition(a: Vector, b: Vector, c: Vector, eps: float = 1e-5) -> Column:
+    """Of the map from the unit right triangle with its right angle at c; its first axis goes from c to b."""
+    base, h = distance(b, c), norm(cross(minus(b, c), minus(a, c)))
+    return F.when(base > 0, _condition(base, dot(minus(a, c), normalize(minus(b, c))), h / F.nullif(base, F.lit(0.0)), eps)).otherwise(F.lit(float("inf")))
+
+
+def equilateral_condition(a: Vector, b: Vector, c: Vector, eps: float = 1e-7) -> Column:
+    """As jacobian_condition, from the middle of the side b, c: the apex a lies above it in a symmetric triangle."""
+    base, h = distance(b, c), norm(cross(minus(b, c), minus(a, c)))
+    along = dot(minus(a, midpoint(b, c)), normalize(minus(b, c)))
+    return F.when(base > 0, _condition(base, along, h / F.nullif(base, F.lit(0.0)), eps)).otherwise(F.lit(float("inf")))
+
+
+def stiffness_condition(a: Vector, b: Vector, c: Vector) -> Column:
+    """From areas and squared sides in units of the longest side: NaN where 48 area is below the square of the sides' sum,
+    infinite for areas below 1e-6."""
+    sides = [sqrnorm(minus(p, q)) for p, q in ((a, b), (b, c), (c, a))]
+    longest, area = F.greatest(*sides), triangle_area(a, b, c)
+    total, unit = (sides[0] + sides[1] + sides[2]) / longest, area / longest
+    rest = 48 * unit - total * total
+    return F.when(area < 1e-6, F.lit(float("inf"))).when(rest < 0, F.lit(float("nan"))).otherwise(F.sqrt(total * total + rest) / (8 * unit))
+
+
+def quadratic_blend(x: Column, a: float, r: float) -> Column:
+    """x up to a - r, 1 from a + r on, a parabola between."""
+    y = x - r
+    return F.when(x <= a - r, x).when(x >= a + r, F.lit(1.0)).otherwise(y + r - y * y * (0.5 * r))
+
+
+def plane_quadric(normal: Vector, p: Vector) -> list[Column]:
+    """The ten coefficients of the squared distance to a plane: the upper triangle of n n' with n = (normal, -normal p)."""
+    n = (*normal, -dot(normal, p))
+    return [n[i] * n[j] for i in range(4) for j in range(i, 4)]
+
+
+def quadric_value(q: list[Column], p: Vector) -> Column:
+    """A quadric at a point."""
+    h, at, out = (*p, F.lit(1.0)), iter(q), F.lit(0.0)
+    for i in range(4):
+        for j in range(i, 4):
+            out = out + next(at) * h[i] * h[j] * (1.0 if i == j else 2.0)
+    return out

@@ -103,3 +103,41 @@ def filled(curve: DataFrame, column: str, forward: bool = True) -> Column:
     """The last (or next) value of a column that is not null, for use with select."""
     w = Window.partitionBy("curve_id").orderBy("seq")
     return F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if forward else F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+
+
+def reversed_order(curve: DataFrame) -> DataFrame:
+    """The same points from the last to the first, seq from 1."""
+    back = Window.partitionBy("curve_id").orderBy(F.col("seq").desc())
+    return curve.withColumn("seq", F.row_number().over(back).cast("long"))
+
+
+def vertex_normals(curve: DataFrame) -> DataFrame:
+    """(curve_id, seq, nx, ny): the sum of the unit normals (to the right) of both edges, or of one at an end, normalised;
+    0 where they cancel."""
+    c = neighbours(curve)
+    at = (F.col("x"), F.col("y"))
+    back, on = (V.scaled(V.perp(V.normalize(V.minus(*e))), -1.0) for e in ((at, V.vec("p", "xy")), (V.vec("n", "xy"), at)))
+    total = V.plus(*(tuple(F.coalesce(k, F.lit(0.0)) for k in n) for n in (back, on)))
+    return c.select("curve_id", "seq", *(k.alias("n" + a) for a, k in zip("xy", V.normalize(total), strict=True)))
+
+
+def covolumes(curve: DataFrame) -> DataFrame:
+    """(curve_id, seq, length): half of both edges, 0 at ends."""
+    c = neighbours(curve)
+    at = (F.col("x"), F.col("y"))
+    return c.select("curve_id", "seq", F.coalesce((V.distance(at, V.vec("p", "xy")) + V.distance(at, V.vec("n", "xy"))) / 2, F.lit(0.0)).alias("length"))
+
+
+def edge_midpoints(curve: DataFrame) -> DataFrame:
+    """(curve_id, seq, x, y): the middle of the edge that starts at seq."""
+    c = neighbours(curve).where("nx is not null and ny is not null")
+    m = G.midpoint((F.col("x"), F.col("y")), V.vec("n", "xy"))
+    return c.select("curve_id", "seq", m[0].alias("x"), m[1].alias("y"))
+
+
+def summaries(curve: DataFrame) -> DataFrame:
+    """(curve_id, n, min_dimension, max_dimension, closed): sides of the box; closed if the last point is the first."""
+    ends = lambda f, k: f(F.struct("seq", k))[k]
+    sides = [F.max(k) - F.min(k) for k in "xy"]
+    same = (ends(F.min, "x") == ends(F.max, "x")) & (ends(F.min, "y") == ends(F.max, "y")) & (F.count("*") > 1)
+    return curve.groupBy("curve_id").agg(F.count("*").alias("n"), F.least(*sides).alias("min_dimension"), F.greatest(*sides).alias("max_dimension"), same.alias("closed"))

@@ -180,3 +180,67 @@ def weld(vertices: DataFrame, faces: DataFrame, cell: float = 1e-6) -> tuple[Dat
         out = out.join(renamed.select("mesh_id", F.col("vid").alias(f"v{k}"), F.col("to").alias(f"t{k}")), ["mesh_id", f"v{k}"]).drop(f"v{k}").withColumnRenamed(f"t{k}", f"v{k}")
     out = out.where("v0 <> v1 and v1 <> v2 and v2 <> v0").select("mesh_id", "fid", "v0", "v1", "v2")
     return vertices.join(renamed.where("vid = to").select("mesh_id", "vid"), ["mesh_id", "vid"], "left_semi"), out
+
+
+def flipped(faces: DataFrame) -> DataFrame:
+    """Faces with the opposite orientation."""
+    return faces.select("mesh_id", "fid", "v0", F.col("v2").alias("v1"), F.col("v1").alias("v2"))
+
+
+def face_kinds(polygons: DataFrame) -> DataFrame:
+    """(mesh_id, is_triangle_mesh, is_quad_mesh) of polygons (mesh_id, fid, vids)."""
+    n = F.size("vids")
+    return polygons.groupBy("mesh_id").agg(F.bool_and(n == 3).alias("is_triangle_mesh"), F.bool_and(n == 4).alias("is_quad_mesh"))
+
+
+def manifold_vertices(faces: DataFrame) -> DataFrame:
+    """(mesh_id, vid, manifold): at most one gap, that is at most one boundary edge that leaves the vertex."""
+    rim = edges(faces).where("n_faces = 1").select("mesh_id", F.explode(F.array("e0", "e1")).alias("vid")).withColumn("rim", F.lit(1))
+    used = corners(faces).select("mesh_id", "vid", F.lit(0).alias("rim"))
+    return used.unionByName(rim).groupBy("mesh_id", "vid").agg((F.sum("rim") <= 2).alias("manifold"))
+
+
+def vertex_metric(faces: DataFrame, value: DataFrame, most: float = 1e12) -> DataFrame:
+    """(mesh_id, vid, value): the mean over incident faces of a metric (mesh_id, fid, value); values over `most`, infinite
+    ones and NaN add nothing to the sum but count in the divisor."""
+    good = ~F.isnan("value") & (F.abs("value") <= most)
+    held = corners(faces).join(value, ["mesh_id", "fid"])
+    return held.groupBy("mesh_id", "vid").agg((F.sum(F.when(good, F.col("value")).otherwise(0.0)) / F.count("*")).alias("value"))
+
+
+def vertex_signs(faces: DataFrame, flags: DataFrame) -> DataFrame:
+    """(mesh_id, vid, value): the mean over incident faces of +1 for a true and -1 for another flag (mesh_id, fid, flag)."""
+    return face_to_vertex(faces, flags.select("mesh_id", "fid", F.when(F.col("flag"), 1.0).otherwise(-1.0).alias("value")))
+
+
+def vertex_quadrics(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(mesh_id, vid, q0 .. q9): the sums of the quadrics of the incident faces' planes."""
+    at = placed(faces, vertices)
+    a, b, c = V.vec("a"), V.vec("b"), V.vec("c")
+    n = V.normalize(V.cross(V.minus(b, a), V.minus(c, a)))
+    rows = at.select("mesh_id", "fid", *(q.alias(f"q{i}") for i, q in enumerate(G.plane_quadric(n, a))), F.explode(F.array("v0", "v1", "v2")).alias("vid"))
+    return rows.groupBy("mesh_id", "vid").agg(*(F.sum(f"q{i}").alias(f"q{i}") for i in range(10)))
+
+
+def covolume_stats(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(mesh_id, least, most, mean) of the barycentric areas of the vertices."""
+    return barycentric_areas(faces, vertices).groupBy("mesh_id").agg(F.min("area").alias("least"), F.max("area").alias("most"), F.avg("area").alias("mean"))
+
+
+def dual(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices (mesh_id, vid, x, y, z) at the faces' centroids, numbered as these, and polygons (mesh_id, fid, vids), one for
+    each inner vertex of the mesh, numbered as that: its faces counter-clockwise from the smallest. Vertices where several
+    fans meet give none. A ring is as long as the vertex has faces."""
+    at = placed(faces, vertices)
+    middle = G.face_centroid(V.vec("a"), V.vec("b"), V.vec("c"))
+    centroids = at.select("mesh_id", F.col("fid").alias("vid"), *(m.alias(k) for k, m in zip("xyz", middle, strict=True)))
+    # Of two faces in a row around a vertex the second leaves along the edge on which the first comes back.
+    spoke = F.struct("fid", "vid_next", "vid_prev")
+    rings = corners(faces).groupBy("mesh_id", "vid").agg(F.array_sort(F.collect_list(spoke)).alias("s"))
+    rings = rings.withColumn("after", F.map_from_entries(F.transform(F.array_distinct(F.transform("s", lambda e: e["vid_next"])), lambda v: F.struct(v, F.filter("s", lambda e: e["vid_next"] == v)[0]))))
+    step = lambda ring, _: F.concat(ring, F.array(F.try_element_at("after", F.element_at(ring, -1)["vid_prev"])))
+    walked = F.aggregate(F.col("s"), F.array(F.col("s")[0]), step)
+    rings = rings.withColumn("ring", walked)
+    whole = (F.element_at("ring", -1) == F.col("ring")[0]) & (F.size(F.array_distinct("ring")) == F.size("s"))
+    polygons = rings.where(whole).select("mesh_id", F.col("vid").alias("fid"), F.transform(F.slice("ring", F.lit(1), F.size("s")), lambda e: e["fid"]).alias("vids"))
+    return centroids, polygons
