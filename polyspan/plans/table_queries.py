@@ -40,9 +40,9 @@ def manifold_vertices(spark, sf_dir):
 _FACES_AT = "(SELECT v0 AS vid, * FROM nrm UNION ALL SELECT v1, * FROM nrm UNION ALL SELECT v2, * FROM nrm)"
 
 
-@query("vertex_metrics", f"{W}, {_UNIT} SELECT vid, {sql6('avg(CASE WHEN area > 40 THEN 0 ELSE area END)')} AS area, {sql6('avg(CASE WHEN nz > 0.05 THEN 1 ELSE -1 END)')} AS flag, {sql6('sum(pow(-(nx*ax + ny*ay + nz*az), 2)) / 1e6')} AS q9, round(sum(nz * nz), 6) AS q7 FROM {_FACES_AT} GROUP BY vid")
+@query("vertex_metrics", f"{W}, {_UNIT} SELECT vid, {sql6('avg(CASE WHEN area > 10 THEN 0 ELSE area END)')} AS area, {sql6('avg(CASE WHEN nz > 0.05 THEN 1 ELSE -1 END)')} AS flag, {sql6('sum(pow(-(nx*ax + ny*ay + nz*az), 2)) / 1e6')} AS q9, round(sum(nz * nz), 6) AS q7 FROM {_FACES_AT} GROUP BY vid")
 def vertex_metrics(spark, sf_dir):
-    """Of incident faces: the mean area (over 40: not in the sum), the mean sign of a flag, two coefficients of the quadric."""
+    """Of incident faces: the mean area (over 10: not in the sum), the mean sign of a flag, two coefficients of the quadric."""
     v, f = B.heightfield(spark, sf_dir)
     at = mesh.placed(f, v)
     n = V.cross(V.minus(V.vec("b"), V.vec("a")), V.minus(V.vec("c"), V.vec("a")))
@@ -50,7 +50,7 @@ def vertex_metrics(spark, sf_dir):
     flags = at.select("mesh_id", "fid", (V.normalize(n)[2] > 0.05).alias("flag"))
     signs = mesh.vertex_signs(f, flags).withColumnRenamed("value", "flag")
     q = mesh.vertex_quadrics(f, v).select("mesh_id", "vid", "q9", "q7")
-    all_ = mesh.vertex_metric(f, area, 40.0).join(signs, ["mesh_id", "vid"]).join(q, ["mesh_id", "vid"])
+    all_ = mesh.vertex_metric(f, area, 10.0).join(signs, ["mesh_id", "vid"]).join(q, ["mesh_id", "vid"])
     return all_.select("vid", r6(F.col("value")).alias("area"), r6(F.col("flag")).alias("flag"), r6(F.col("q9") / 1e6).alias("q9"), F.round("q7", 6).alias("q7"))
 
 
@@ -129,9 +129,9 @@ def near_shocks(spark, sf_dir):
     return grids.near(grid, grids.divergence(field).where("divergence < -0.25"))
 
 
-@query("level_boxes", f"{_GRID} SELECT min(ix) AS lox, min(iy) AS loy, max(ix) AS hix, max(iy) AS hiy FROM grid WHERE abs(value - 3.5) <= 1")
+@query("level_boxes", f"{_GRID} SELECT min(ix) AS lox, min(iy) AS loy, max(ix) AS hix, max(iy) AS hiy FROM grid WHERE abs(value - 53) <= 0.1")
 def level_boxes(spark, sf_dir):
-    return grids.level_box(B.price_grid(spark, sf_dir), 3.5, 1.0)
+    return grids.level_box(B.price_grid(spark, sf_dir), 53.0, 0.1)
 
 
 @query("repaired_grid", f"{_GRID}, v AS (SELECT ix, iy, CASE WHEN (3 * ix + iy) % 7 <> 0 THEN value END AS value FROM grid), f AS (SELECT g.ix, g.iy, g.value, [r.value, l.value, u.value, d.value] AS four FROM v g {_at('r', 1, 0, 'LEFT JOIN')} {_at('l', -1, 0, 'LEFT JOIN')} {_at('u', 0, 1, 'LEFT JOIN')} {_at('d', 0, -1, 'LEFT JOIN')}) SELECT ix, iy, {sql6('coalesce(value, list_avg(four))')} AS value FROM f")
