@@ -1,8 +1,8 @@
 """Readers of text and binary geometry files as Spark jobs.
 
-Line formats (OBJ, XYZ, AGI) are read line by line with their place in the file; formats whose rows are positional
-(OFF, PLY, STL, VTK) are read whole, a file a row, and parsed where they lie. Files of a folder are so dealt out over
-the executors, and nothing passes the driver.
+Formats of one element a line (OBJ, XYZ, AGI, and OFF and PLY as text) are read in as many splits as Spark cuts a file
+into, so that one large file is the work of many tasks; `_lines` finds the place of every line in its file. Binary
+files, STL and VTK are read whole, a file a row, and parsed where they lie. Nothing passes the driver.
 
 Results have the columns of the library's tables with `mesh_id` the hash of the file's path and `path`.
 """
@@ -14,45 +14,93 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, block, line_no, line): lines with their order; a file is one split, so that order is the reader's."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return text.select("path", F.xxhash64("path").alias("mesh_id"), "line_no", F.trim("line").alias("line"))
+
+def _lines(spark: SparkSession, path: str, wanted: Column, **kinds: Column) -> DataFrame:
+    """(path, mesh_id, line, words) of the wanted lines, and for each of `kinds` how many of that kind come before it
+    in the file. Order within a split is Spark's reading order; what earlier splits hold is a running sum over one short
+    row a split. Lines are parsed from one table, so that a lost executor cannot cut the file otherwise in between."""
+    blank = F.lit(" \t\r")
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.trim("value", blank).alias("line"))
+    kept = cut(text.withColumn("words", F.split("line", r"\s+")).where(wanted))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = kept.groupBy("path", "block").agg(*(F.count_if(c).alias("_" + n) for n, c in kinds.items()))
+    blocks = cut(blocks.select("path", "block", *(F.coalesce(F.sum("_" + n).over(before), F.lit(0)).alias("_" + n) for n in kinds)))
+    ahead = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a split at most
+    return kept.join(blocks, ["path", "block"]).select("path", F.xxhash64("path").alias("mesh_id"), "line", "words", *((F.col("_" + n) + F.count_if(c).over(ahead)).cast("long").alias(n) for n, c in kinds.items()))
 
 
 def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """vertices (path, mesh_id, vid, x, y, z) and faces (path, mesh_id, fid, vids) of OBJ files; ids from 0. References
     to textures and normals are dropped, negative ones count back from the vertices read so far."""
-    lines = _lines(spark, path).withColumn("words", F.split("line", r"\s+"))
-    order = Window.partitionBy("path").orderBy("line_no")
-    counted = lines.withColumn("seen", F.count_if(F.col("words")[0] == "v").over(order))
-    v = counted.where(F.col("words")[0] == "v").select("path", "mesh_id", (F.col("seen") - 1).alias("vid"), *(F.col("words")[i + 1].cast("double").alias(k) for i, k in enumerate("xyz")))
-    ref = lambda w, seen: F.split(w, "/")[0].cast("long")
-    ids = F.transform(F.filter(F.slice("words", 2, 1 << 20), lambda w: w != ""), lambda w: F.when(ref(w, None) < 0, F.col("seen") + ref(w, None)).otherwise(ref(w, None) - 1))
-    f = counted.where(F.col("words")[0] == "f").select("path", "mesh_id", (F.row_number().over(order) - 1).cast("long").alias("fid"), ids.alias("vids"))
-    return v, f
+    first = F.col("words")[0]
+    lines = _lines(spark, path, first.isin("v", "f"), vid=first == "v", fid=first == "f")
+    v = lines.where(first == "v").select("path", "mesh_id", "vid", *(F.try_element_at("words", F.lit(i + 2)).try_cast("double").alias(k) for i, k in enumerate("xyz")))
+    ref = lambda w: F.split(w, "/")[0].try_cast("long")
+    ids = F.transform(F.slice("words", 2, F.size("words")), lambda w: F.when(ref(w) < 0, F.col("vid") + ref(w)).otherwise(ref(w) - 1))
+    return v, lines.where(first == "f").select("path", "mesh_id", "fid", ids.alias("vids"))
 
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     """points (path, cloud_id, pid, x, y, z, nx, ny, nz): three numbers a line, or six with a normal."""
-    words = _lines(spark, path).where("line <> ''").withColumn("w", F.split("line", r"\s+")).where(F.size("w") >= 3)
-    order = Window.partitionBy("path").orderBy("line_no")
-    at = lambda i: F.try_element_at("w", F.lit(i + 1)).cast("double")
-    normal = lambda i: F.when(F.size("w") == 6, at(i))
-    return words.select("path", F.col("mesh_id").alias("cloud_id"), (F.row_number().over(order) - 1).cast("long").alias("pid"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), normal(3).alias("nx"), normal(4).alias("ny"), normal(5).alias("nz"))
+    words = _lines(spark, path, F.size("words") >= 3, pid=F.lit(True))
+    at = lambda i: F.try_element_at("words", F.lit(i + 1)).try_cast("double")
+    normal = lambda i: F.when(F.size("words") == 6, at(i))
+    return words.select("path", F.col("mesh_id").alias("cloud_id"), "pid", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), normal(3).alias("nx"), normal(4).alias("ny"), normal(5).alias("nz"))
 
 
 def read_agi(spark: SparkSession, path: str) -> DataFrame:
     """points with colour (0 to 1) and normal: exactly nine numbers a line, other lines are left out."""
-    words = _lines(spark, path).withColumn("w", F.split("line", r"\s+")).where(F.size("w") == 9)
-    order = Window.partitionBy("path").orderBy("line_no")
+    words = _lines(spark, path, F.size("words") == 9, pid=F.lit(True))
     names = ("x", "y", "z", "r", "g", "b", "nx", "ny", "nz")
-    values = [(F.col("w")[i].cast("double") / (255 if n in "rgb" else 1)).alias(n) for i, n in enumerate(names)]
-    return words.select("path", F.col("mesh_id").alias("cloud_id"), (F.row_number().over(order) - 1).cast("long").alias("pid"), *values)
+    values = [(F.get("words", F.lit(i)).try_cast("double") / (255 if n in "rgb" else 1)).alias(n) for i, n in enumerate(names)]
+    return words.select("path", F.col("mesh_id").alias("cloud_id"), "pid", *values)
+
+
+def _placed_lines(lines: DataFrame, head: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """vertices and faces of numbered lines, given by path where they start (v0, f0), how many there are (n, m), the
+    places of x, y and z in a vertex line (ix, iy, iz) and that of the corner count in a face line (at)."""
+    both = lines.join(cut(head), "path")  # a row a file: Spark sends it to the lines while it is small
+    of = lambda c: F.try_element_at("words", F.col(c).cast("int") + 1).try_cast("double")
+    v = both.where((F.col("no") >= F.col("v0")) & (F.col("no") < F.col("v0") + F.col("n")))
+    f = both.where((F.col("no") >= F.col("f0")) & (F.col("no") < F.col("f0") + F.col("m")))
+    corners = F.expr("transform(slice(words, cast(at as int) + 2, greatest(0, coalesce(try_cast(get(words, cast(at as int)) as int), 0))), w -> try_cast(w as bigint))")
+    return v.select("path", "mesh_id", (F.col("no") - F.col("v0")).alias("vid"), *(F.coalesce(of("i" + k), F.lit(0.0)).alias(k) for k in "xyz")), f.select("path", "mesh_id", (F.col("no") - F.col("f0")).alias("fid"), corners.alias("vids"))
+
+
+def read_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """vertices and faces of OFF files as text, comments left out; further columns of a line are left out."""
+    lines = _lines(spark, path, ~F.col("line").rlike("^(#.*)?$"), no=F.lit(True)).withColumn("words", F.split(F.trim(F.substring_index("line", "#", 1)), r"\s+"))
+    first, second = (F.max(F.when(F.col("no") == i, F.col("words"))) for i in (0, 1))
+    head = lines.where("no < 2").groupBy("path").agg(first.alias("first"), second.alias("second"))
+    inline = F.size("first") > 1
+    count = lambda i: F.when(inline, F.try_element_at("first", F.lit(i + 2))).otherwise(F.try_element_at("second", F.lit(i + 1))).try_cast("long")
+    head = head.select("path", F.when(inline, 1).otherwise(2).cast("long").alias("v0"), count(0).alias("n"), count(1).alias("m"), *(F.lit(i).alias("i" + k) for i, k in enumerate("xyz")), F.lit(0).alias("at"))
+    return _placed_lines(lines, head.withColumn("f0", F.col("v0") + F.col("n")))
+
+
+def read_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """vertices and faces of PLY files as text, an element a line; elements and properties come in any order, the
+    corners of a face after its plain properties."""
+    lines = _lines(spark, path, F.col("line") != "", no=F.lit(True))
+    word = F.col("words")
+    known = cut(lines.where(word[0].isin("element", "property", "end_header")).select("path", "no", "words"))
+    by_line = Window.partitionBy("path").orderBy("no")
+    known = known.withColumn("element", F.last(F.when(word[0] == "element", word[1]), ignorenulls=True).over(by_line))
+    ends = known.where(word[0] == "end_header").groupBy("path").agg((F.min("no") + 1).alias("body"))
+    earlier = by_line.rowsBetween(Window.unboundedPreceding, -1)
+    elements = known.where(word[0] == "element").select("path", "element", word[2].try_cast("long").alias("n"), F.coalesce(F.sum(word[2].try_cast("long")).over(earlier), F.lit(0)).alias("skip"))
+    place = F.row_number().over(Window.partitionBy("path", "element").orderBy("no")) - 1
+    properties = known.where(word[0] == "property").select("path", "element", F.element_at("words", -1).alias("name"), (word[1] == "list").alias("list"), place.alias("place"))
+    of = lambda e, c: F.max(F.when(F.col("element") == e, F.col(c)))
+    spans = elements.groupBy("path").agg(of("vertex", "skip").alias("v0"), of("vertex", "n").alias("n"), of("face", "skip").alias("f0"), of("face", "n").alias("m"))
+    places = properties.groupBy("path").agg(*(F.max(F.when((F.col("element") == "vertex") & (F.col("name") == k), F.col("place"))).alias("i" + k) for k in "xyz"), F.min(F.when((F.col("element") == "face") & F.col("list"), F.col("place"))).alias("at"))
+    head = spans.join(ends, "path").join(places, "path").select("path", (F.col("v0") + F.col("body")).alias("v0"), "n", (F.col("f0") + F.col("body")).alias("f0"), "m", "ix", "iy", "iz", "at")
+    return _placed_lines(lines, head)
 
 
 _VERTEX = "path string, mesh_id long, vid long, x double, y double, z double"
@@ -61,7 +109,18 @@ _TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4
 
 
 def parse_off(data: bytes) -> tuple[np.ndarray, list[list[int]]]:
-    """Positions and faces of an ASCII OFF file; further columns of a vertex are left out."""
+    """Positions and faces of an OFF file, as text or binary (little-endian 32-bit counts, floats and indices after the
+    line OFF BINARY); further columns of a vertex line are left out."""
+    if data.startswith(b"OFF BINARY"):
+        at = data.index(b"\n") + 1
+        n, m, _ = np.frombuffer(data, "<u4", 3, at).tolist()
+        points = np.frombuffer(data, "<f4", 3 * n, at + 12).reshape(-1, 3).astype(float)
+        raw, at, faces = np.frombuffer(data, "<u4", offset=at + 12 + 12 * n), 0, []
+        for _ in range(m):
+            size = int(raw[at])
+            faces.append(raw[at + 1 : at + 1 + size].tolist())
+            at += 1 + size
+        return points, faces
     lines = [x for line in data.decode().splitlines() if (x := line.partition("#")[0].split())]
     if not lines or not lines[0][0].endswith("OFF"):
         raise ValueError("not an OFF file")
@@ -162,6 +221,8 @@ def parse_vtk(data: bytes) -> tuple[np.ndarray, list[list[int]]]:
     return points, faces
 
 
+#: The line by which a file says that it is binary.
+_BINARY = {"off": "^OFF BINARY", "ply": "^format binary"}
 _PARSERS = {"off": parse_off, "stl": parse_stl, "ply": parse_ply, "vtk": parse_vtk}
 
 
@@ -186,6 +247,8 @@ def read_mesh(spark: SparkSession, path: str, kind: str | None = None) -> tuple[
     kind = kind or path.rstrip("/*").rpartition(".")[2].lower()
     if kind == "obj":
         return read_obj(spark, path)
+    if kind in _BINARY and spark.read.text(path).where(F.col("value").rlike(_BINARY[kind])).isEmpty():
+        return (read_off if kind == "off" else read_ply)(spark, path)
     if kind not in _PARSERS:
         raise ValueError(f"no reader for .{kind} files")
     return _whole(spark, path, _PARSERS[kind], False), _whole(spark, path, _PARSERS[kind], True)

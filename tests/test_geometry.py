@@ -156,6 +156,57 @@ def test_binary_files():
         assert points.tolist() == [[0, 0, 3], [1, 2, 3], [2, 4, 3]] and faces == [[0, 1, 2]]
 
 
+@pytest.fixture
+def small_splits(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.set(name, before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def _strip(n):
+    return [(float(i), i % 2 + 0.5, 0.0) for i in range(n)], [(i, i + 1, i + 2) for i in range(n - 2)]
+
+
+@pytest.mark.parametrize("kind", ["obj", "relative_obj", "off", "off_inline", "ply", "xyz"])
+def test_one_file_in_many_splits(spark, tmp_path, small_splits, kind):
+    points, faces = _strip(600)
+    xyz = [" ".join(map(str, p)) for p in points]
+    corners = [f"3 {a} {b} {c}" for a, b, c in faces]
+    lines = {
+        "obj": ["# c", *("v " + x for x in xyz), *(f"f {a + 1} {b + 1} {c + 1}" for a, b, c in faces)],
+        "relative_obj": [x for i, p in enumerate(xyz) for x in (f"v {p}", *(["f -3 -2 -1"] if i > 1 else []))],
+        "off": ["OFF", "# c", f"{len(xyz)} {len(faces)} 0", "", *(x + " # p" for x in xyz), *corners],
+        "off_inline": [f"OFF {len(xyz)} {len(faces)} 0", *xyz, *corners],
+        "ply": ["ply", "format ascii 1.0", "comment c", f"element face {len(faces)}", "property uchar q", "property list uchar int vertex_indices", f"element vertex {len(xyz)}", "property float nx", "property float x", "property float y", "property float z", "end_header", *("9 " + c for c in corners), *("7 " + x for x in xyz)],
+        "xyz": xyz,
+    }[kind]
+    path = tmp_path / f"a.{kind}"
+    path.write_text("\n".join(lines) + "\n")
+    assert spark.read.text(str(path)).rdd.getNumPartitions() > 4
+    if kind == "xyz":
+        assert sorted((r.pid, r.x, r.y, r.z) for r in text_meshes.read_points(spark, str(path)).collect()) == [(i, *p) for i, p in enumerate(points)]
+        return
+    v, f = text_meshes.read_mesh(spark, str(path), kind.split("_")[-1] if kind != "off_inline" else "off")
+    assert sorted((r.vid, r.x, r.y, r.z) for r in v.collect()) == [(i, *p) for i, p in enumerate(points)]
+    assert sorted((r.fid, tuple(r.vids)) for r in f.collect()) == list(enumerate(faces))
+
+
+def test_text_and_binary_by_their_header(spark, tmp_path):
+    (tmp_path / "a.off").write_bytes(b"OFF BINARY\n" + struct.pack("<3I9f4I", 3, 1, 0, *range(9), 3, 0, 1, 2))
+    v, f = text_meshes.read_mesh(spark, str(tmp_path / "a.off"))
+    assert sorted((r.vid, r.x, r.y, r.z) for r in v.collect()) == [(0, 0, 1, 2), (1, 3, 4, 5), (2, 6, 7, 8)] and [r.vids for r in f.collect()] == [[0, 1, 2]]
+    (tmp_path / "b.ply").write_bytes(b"ply\nformat binary_little_endian 1.0\nelement vertex 1\nproperty float x\nproperty float y\nproperty float z\nend_header\n" + struct.pack("<3f", 1, 2, 3))
+    v, f = text_meshes.read_mesh(spark, str(tmp_path / "b.ply"))
+    assert [(r.x, r.y, r.z) for r in v.collect()] == [(1, 2, 3)] and f.count() == 0
+    (tmp_path / "c.off").write_text("OFF\n0 0 0\n")
+    v, f = text_meshes.read_mesh(spark, str(tmp_path / "c.off"))
+    assert v.count() == 0 and f.count() == 0
+
+
 def test_unknown_format(spark):
     with pytest.raises(ValueError):
         text_meshes.read_mesh(spark, "/x/a.blend")
