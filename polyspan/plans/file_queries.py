@@ -13,17 +13,20 @@ from .scalar_queries import r6, sql6
 _CORNERS = "SELECT vid, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(z, 4) + 0.0 AS z, (SELECT count(*) FROM faces WHERE vid IN (v0, v1, v2)) AS n_faces FROM verts"
 
 
-def _written(spark, sf_dir, kind: str):
+def _written(spark, sf_dir, kind: str, parts: bool = False):
     v, f = B.heightfield(spark, sf_dir)
     path = B.shared_path(spark, kind)
-    sinks.write_mesh(v, f.select("mesh_id", "fid", F.array("v0", "v1", "v2").alias("vids")), path, kind)
+    sinks.write_mesh(v, f.select("mesh_id", "fid", F.array("v0", "v1", "v2").alias("vids")), path, kind, parts)
     return path + "/*/*.txt"
 
 
+_PARTS = ("obj", "off", "ply")
+
+
 def _roundtrip(kind: str):
     @query(f"{kind}_roundtrip", f"WITH {B.MESH} {_CORNERS}")
     def run(spark, sf_dir):
-        v, f = text_meshes.read_mesh(spark, _written(spark, sf_dir, kind), kind)
+        v, f = text_meshes.read_mesh(spark, _written(spark, sf_dir, kind, kind in _PARTS), kind, kind in _PARTS)
         uses = f.select(F.explode("vids").alias("vid")).groupBy("vid").agg(F.count("*").alias("n_faces"))
         return v.join(uses, "vid", "left").select("vid", *((F.round(k, 4) + 0.0).alias(k) for k in "xyz"), F.coalesce("n_faces", F.lit(0)).cast("long").alias("n_faces"))
 
@@ -45,7 +48,7 @@ def stl_roundtrip(spark, sf_dir):
 
 @query("xyz_roundtrip", f"WITH {B.MESH} SELECT vid AS pid, {', '.join(f'round({k}, 4) + 0.0 AS {k}' for k in 'xyz')} FROM verts")
 def xyz_roundtrip(spark, sf_dir):
-    p = text_meshes.read_points(spark, _written(spark, sf_dir, "xyz"), "xyz")
+    p = text_meshes.read_points(spark, _written(spark, sf_dir, "xyz", True), "xyz", True)
     return p.select("pid", *((F.round(k, 4) + 0.0).alias(k) for k in "xyz"))
 
 

@@ -1,7 +1,7 @@
-"""Writers: one text file a mesh, laid out as ordered lines that Spark's text sink writes.
+"""Writers of meshes as ordered lines that Spark's text sink writes.
 
-Every element becomes a line with a sort key; a mesh's lines are sorted within one partition, since its file is
-sequential. Folders of many meshes are written in parallel.
+Every element becomes a line with a sort key. A mesh is one file, whose lines one task sorts, or with `parts` a folder of
+files by ranges of that key, which together in the order of their names are the file. Meshes are written in parallel.
 """
 
 from __future__ import annotations
@@ -9,22 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
+from ..operators.shapes import numbered
+
 
 def _number(x: Column) -> Column:
     return x.cast("double").cast("string")
 
 
-def _written(lines: DataFrame, path: str) -> None:
+def _written(lines: DataFrame, path: str, parts: bool) -> None:
     """lines (mesh_id, part, at, line) as path/mesh_id=.../part-*.txt."""
     n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines.repartition(n, "mesh_id").sortWithinPartitions("mesh_id", "part", "at").select("mesh_id", "line").write.partitionBy("mesh_id").mode("overwrite").text(path)
+    dealt = lines.repartitionByRange(n, "mesh_id", "part", "at") if parts else lines.repartition(n, "mesh_id")
+    dealt.sortWithinPartitions("mesh_id", "part", "at").select("mesh_id", "line").write.partitionBy("mesh_id").mode("overwrite").text(path)
 
 
 def _dense(vertices: DataFrame) -> DataFrame:
-    """Vertices with `number`, their rank by vid within the mesh."""
-    from pyspark.sql import Window
-
-    return vertices.withColumn("number", F.row_number().over(Window.partitionBy("mesh_id").orderBy("vid")) - 1)
+    """Vertices with `number`, their rank by vid within the mesh: the rank among all less the mesh's first."""
+    ranked = cut(numbered(vertices, ["mesh_id", "vid"], "number"))
+    firsts = cut(ranked.groupBy("mesh_id").agg(F.min("number").alias("_first")))
+    return ranked.join(firsts, "mesh_id").withColumn("number", F.col("number") - F.col("_first")).drop("_first")
 
 
 def _renumbered(faces: DataFrame, dense: DataFrame) -> DataFrame:
@@ -96,11 +100,12 @@ def xyz_lines(vertices: DataFrame, faces: DataFrame | None = None) -> DataFrame:
 _WRITERS = {"obj": obj_lines, "off": off_lines, "ply": ply_lines, "vtk": vtk_lines, "stl": stl_lines, "xyz": xyz_lines}
 
 
-def write_mesh(vertices: DataFrame, faces: DataFrame, path: str, kind: str) -> None:
-    """Meshes (mesh_id, vid, x, y, z) and (mesh_id, fid, vids) as text files of a format, a folder a mesh."""
+def write_mesh(vertices: DataFrame, faces: DataFrame, path: str, kind: str, parts: bool = False) -> None:
+    """Meshes (mesh_id, vid, x, y, z) and (mesh_id, fid, vids) as text files of a format, a folder a mesh: one file each, or
+    with `parts` ordered files, which `text_meshes` reads with `parts` too."""
     if kind not in _WRITERS:
         raise ValueError(f"no writer for .{kind} files")
-    _written(_WRITERS[kind](vertices, faces), path)
+    _written(_WRITERS[kind](vertices, faces), path, parts)
 
 
 def histogram_lines(bins: DataFrame, n_bins: int, low: float, high: float) -> DataFrame:

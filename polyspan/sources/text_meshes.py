@@ -20,42 +20,45 @@ from pyspark.sql import functions as F
 from ..operators.lineage import cut
 
 
-def _lines(spark: SparkSession, path: str, wanted: Column, **kinds: Column) -> DataFrame:
+def _lines(spark: SparkSession, path: str, wanted: Column, parts: bool, **kinds: Column) -> DataFrame:
     """(path, mesh_id, line, words) of the wanted lines, and for each of `kinds` how many of that kind come before it
     in the file. Order within a split is Spark's reading order; what earlier splits hold is a running sum over one short
-    row a split. Lines are parsed from one table, so that a lost executor cannot cut the file otherwise in between."""
+    row a split. Lines are parsed from one table, so that a lost executor cannot cut the file otherwise in between. With
+    `parts`, the files of a folder are one mesh, in the order of their names, and `path` is the folder."""
     blank = F.lit(" \t\r")
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.trim("value", blank).alias("line"))
+    name = F.col("_metadata.file_path")
+    path_, file = (F.regexp_replace(name, "/[^/]*$", ""), F.col("_metadata.file_name")) if parts else (name, F.lit(""))
+    text = spark.read.text(path).select(path_.alias("path"), file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.trim("value", blank).alias("line"))
     kept = cut(text.withColumn("words", F.split("line", r"\s+")).where(wanted))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = kept.groupBy("path", "block").agg(*(F.count_if(c).alias("_" + n) for n, c in kinds.items()))
-    blocks = cut(blocks.select("path", "block", *(F.coalesce(F.sum("_" + n).over(before), F.lit(0)).alias("_" + n) for n in kinds)))
-    ahead = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a split at most
-    return kept.join(blocks, ["path", "block"]).select("path", F.xxhash64("path").alias("mesh_id"), "line", "words", *((F.col("_" + n) + F.count_if(c).over(ahead)).cast("long").alias(n) for n, c in kinds.items()))
+    before = Window.partitionBy("path").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = kept.groupBy("path", "file", "block").agg(*(F.count_if(c).alias("_" + n) for n, c in kinds.items()))
+    blocks = cut(blocks.select("path", "file", "block", *(F.coalesce(F.sum("_" + n).over(before), F.lit(0)).alias("_" + n) for n in kinds)))
+    ahead = Window.partitionBy("path", "file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a split at most
+    return kept.join(blocks, ["path", "file", "block"]).select("path", F.xxhash64("path").alias("mesh_id"), "line", "words", *((F.col("_" + n) + F.count_if(c).over(ahead)).cast("long").alias(n) for n, c in kinds.items()))
 
 
-def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_obj(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataFrame, DataFrame]:
     """vertices (path, mesh_id, vid, x, y, z) and faces (path, mesh_id, fid, vids) of OBJ files; ids from 0. References
     to textures and normals are dropped, negative ones count back from the vertices read so far."""
     first = F.col("words")[0]
-    lines = _lines(spark, path, first.isin("v", "f"), vid=first == "v", fid=first == "f")
+    lines = _lines(spark, path, first.isin("v", "f"), parts, vid=first == "v", fid=first == "f")
     v = lines.where(first == "v").select("path", "mesh_id", "vid", *(F.try_element_at("words", F.lit(i + 2)).try_cast("double").alias(k) for i, k in enumerate("xyz")))
     ref = lambda w: F.split(w, "/")[0].try_cast("long")
     ids = F.transform(F.slice("words", 2, F.size("words")), lambda w: F.when(ref(w) < 0, F.col("vid") + ref(w)).otherwise(ref(w) - 1))
     return v, lines.where(first == "f").select("path", "mesh_id", "fid", ids.alias("vids"))
 
 
-def read_xyz(spark: SparkSession, path: str) -> DataFrame:
+def read_xyz(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """points (path, cloud_id, pid, x, y, z, nx, ny, nz): three numbers a line, or six with a normal."""
-    words = _lines(spark, path, F.size("words") >= 3, pid=F.lit(True))
+    words = _lines(spark, path, F.size("words") >= 3, parts, pid=F.lit(True))
     at = lambda i: F.try_element_at("words", F.lit(i + 1)).try_cast("double")
     normal = lambda i: F.when(F.size("words") == 6, at(i))
     return words.select("path", F.col("mesh_id").alias("cloud_id"), "pid", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), normal(3).alias("nx"), normal(4).alias("ny"), normal(5).alias("nz"))
 
 
-def read_agi(spark: SparkSession, path: str) -> DataFrame:
+def read_agi(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """points with colour (0 to 1) and normal: exactly nine numbers a line, other lines are left out."""
-    words = _lines(spark, path, F.size("words") == 9, pid=F.lit(True))
+    words = _lines(spark, path, F.size("words") == 9, parts, pid=F.lit(True))
     names = ("x", "y", "z", "r", "g", "b", "nx", "ny", "nz")
     values = [(F.get("words", F.lit(i)).try_cast("double") / (255 if n in "rgb" else 1)).alias(n) for i, n in enumerate(names)]
     return words.select("path", F.col("mesh_id").alias("cloud_id"), "pid", *values)
@@ -72,9 +75,9 @@ def _placed_lines(lines: DataFrame, head: DataFrame) -> tuple[DataFrame, DataFra
     return v.select("path", "mesh_id", (F.col("no") - F.col("v0")).alias("vid"), *(F.coalesce(of("i" + k), F.lit(0.0)).alias(k) for k in "xyz")), f.select("path", "mesh_id", (F.col("no") - F.col("f0")).alias("fid"), corners.alias("vids"))
 
 
-def read_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_off(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataFrame, DataFrame]:
     """vertices and faces of OFF files as text, comments left out; further columns of a line are left out."""
-    lines = _lines(spark, path, ~F.col("line").rlike("^(#.*)?$"), no=F.lit(True)).withColumn("words", F.split(F.trim(F.substring_index("line", "#", 1)), r"\s+"))
+    lines = _lines(spark, path, ~F.col("line").rlike("^(#.*)?$"), parts, no=F.lit(True)).withColumn("words", F.split(F.trim(F.substring_index("line", "#", 1)), r"\s+"))
     first, second = (F.max(F.when(F.col("no") == i, F.col("words"))) for i in (0, 1))
     head = lines.where("no < 2").groupBy("path").agg(first.alias("first"), second.alias("second"))
     inline = F.size("first") > 1
@@ -83,10 +86,10 @@ def read_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return _placed_lines(lines, head.withColumn("f0", F.col("v0") + F.col("n")))
 
 
-def read_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_ply(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataFrame, DataFrame]:
     """vertices and faces of PLY files as text, an element a line; elements and properties come in any order, the
     corners of a face after its plain properties."""
-    lines = _lines(spark, path, F.col("line") != "", no=F.lit(True))
+    lines = _lines(spark, path, F.col("line") != "", parts, no=F.lit(True))
     word = F.col("words")
     known = cut(lines.where(word[0].isin("element", "property", "end_header")).select("path", "no", "words"))
     by_line = Window.partitionBy("path").orderBy("no")
@@ -242,22 +245,23 @@ def _whole(spark: SparkSession, path: str, parse, faces: bool) -> DataFrame:
     return files.mapInArrow(run, _FACE if faces else _VERTEX)
 
 
-def read_mesh(spark: SparkSession, path: str, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """vertices and faces of mesh files, by `kind` or else the lower-cased extension of the path."""
+def read_mesh(spark: SparkSession, path: str, kind: str | None = None, parts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """vertices and faces of mesh files, by `kind` or else the lower-cased extension of the path. With `parts`, a folder of
+    OBJ files, or of OFF or PLY files as text, is one mesh cut into ordered files."""
     kind = kind or path.rstrip("/*").rpartition(".")[2].lower()
     if kind == "obj":
-        return read_obj(spark, path)
-    if kind in _BINARY and spark.read.text(path).where(F.col("value").rlike(_BINARY[kind])).isEmpty():
-        return (read_off if kind == "off" else read_ply)(spark, path)
-    if kind not in _PARSERS:
-        raise ValueError(f"no reader for .{kind} files")
+        return read_obj(spark, path, parts)
+    if kind in _BINARY and (parts or spark.read.text(path).where(F.col("value").rlike(_BINARY[kind])).isEmpty()):
+        return (read_off if kind == "off" else read_ply)(spark, path, parts)
+    if kind not in _PARSERS or parts:
+        raise ValueError(f"no reader for .{kind} files" + " in parts" * parts)
     return _whole(spark, path, _PARSERS[kind], False), _whole(spark, path, _PARSERS[kind], True)
 
 
-def read_points(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+def read_points(spark: SparkSession, path: str, kind: str | None = None, parts: bool = False) -> DataFrame:
     """points (path, cloud_id, pid, x, y, z) of any readable file."""
     kind = kind or path.rstrip("/*").rpartition(".")[2].lower()
     if kind in ("xyz", "agi"):
-        return (read_xyz if kind == "xyz" else read_agi)(spark, path).select("path", "cloud_id", "pid", "x", "y", "z")
-    v, _ = read_mesh(spark, path, kind)
+        return (read_xyz if kind == "xyz" else read_agi)(spark, path, parts).select("path", "cloud_id", "pid", "x", "y", "z")
+    v, _ = read_mesh(spark, path, kind, parts)
     return v.select("path", F.col("mesh_id").alias("cloud_id"), F.col("vid").alias("pid"), "x", "y", "z")
