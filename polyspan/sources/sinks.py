@@ -108,6 +108,53 @@ def write_mesh(vertices: DataFrame, faces: DataFrame, path: str, kind: str, part
     _written(_WRITERS[kind](vertices, faces), path, parts)
 
 
+def _curve_points(curves: DataFrame, closed: bool) -> DataFrame:
+    """Points (curve_id, seq, x, y [, z]) as (mesh_id, number, x, y, z, to): `number` over all curves, `to` that of the
+    next point of the curve, or null at its end; the first point follows the last of a closed curve."""
+    at = curves if "z" in curves.columns else curves.withColumn("z", F.lit(0.0))
+    ranked = cut(numbered(at.select("curve_id", "seq", "x", "y", "z"), ["curve_id", "seq"], "number"))
+    ends = ranked.groupBy("curve_id").agg(F.min("number").alias("_a"), F.max("number").alias("_z"))
+    after = F.when(F.col("number") < F.col("_z"), F.col("number") + 1).when(F.lit(closed) & (F.col("_z") > F.col("_a")), F.col("_a"))
+    return ranked.join(ends, "curve_id").select(F.lit(0).cast("long").alias("mesh_id"), "curve_id", "number", "x", "y", "z", after.alias("to"))
+
+
+def curve_ply_lines(curves: DataFrame, closed: bool = False) -> DataFrame:
+    """All curves as one PLY of vertices and edges."""
+    p = _curve_points(curves, closed)
+    head = F.concat(F.lit("ply\nformat ascii 1.0\nelement vertex "), "n", F.lit("\nproperty float x\nproperty float y\nproperty float z\nelement edge "), "m", F.lit("\nproperty int vertex1\nproperty int vertex2\nend_header"))
+    count = p.groupBy("mesh_id").agg(F.count("*").alias("n"), F.count("to").alias("m"), F.lit(0).alias("zero"))
+    edges = p.where("to is not null").select(*_line(2, "number", F.concat_ws(" ", F.col("number").cast("string"), F.col("to").cast("string"))))
+    return count.select(*_line(0, "zero", head)).unionByName(p.select(*_line(1, "number", _xyz()))).unionByName(edges)
+
+
+def polyline_obj_lines(curves: DataFrame, closed: bool = False) -> DataFrame:
+    """All curves as one OBJ, an l line a curve."""
+    p = _curve_points(curves, closed)
+    spans = p.groupBy("mesh_id", "curve_id").agg(F.min("number").alias("a"), F.max("number").alias("z"), F.lit(0).alias("zero"))
+    ids = F.transform(F.sequence(F.col("a") + 1, F.col("z") + 1), lambda n: n.cast("string"))
+    ids = F.concat(ids, F.array((F.col("a") + 1).cast("string"))) if closed else ids
+    lines = spans.select(*_line(2, "a", F.concat(F.lit("l "), F.array_join(ids, " "))))
+    return p.select(*_line(1, "number", F.concat(F.lit("v "), _xyz()))).unionByName(lines)
+
+
+def vti_lines(grid: DataFrame, cell: float = 1.0) -> DataFrame:
+    """A whole grid (ix, iy, iz, value) from node 0 on as image data, a value a line; missing nodes are nan."""
+    size = grid.agg(*((F.max("i" + k) + 1).alias("n" + k) for k in "xyz")).select(F.lit(0).cast("long").alias("mesh_id"), F.lit(0).alias("zero"), "nx", "ny", "nz")
+    size = cut(size.where("nx is not null"))  # one row
+    span = F.concat_ws(" ", *(x for k in "xyz" for x in (F.lit("0"), (F.col("n" + k) - 1).cast("string"))))
+    head = F.concat(F.lit('<VTKFile type="ImageData" version="1.0" byte_order="LittleEndian">\n<ImageData WholeExtent="'), span, F.lit(f'" Origin="0 0 0" Spacing="{cell} {cell} {cell}">\n<Piece Extent="'), span, F.lit('">\n<PointData Scalars="value">\n<DataArray type="Float64" Name="value" format="ascii">'))
+    tail = F.lit("</DataArray>\n</PointData>\n<CellData>\n</CellData>\n</Piece>\n</ImageData>\n</VTKFile>")
+    nodes = size.select("mesh_id", "nx", "ny", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nz").cast("long") - 1)).alias("iz")).withColumn("iy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny").cast("long") - 1))).withColumn("ix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx").cast("long") - 1)))
+    at = nodes.join(grid, ["ix", "iy", "iz"], "left").withColumn("at", (F.col("iz") * F.col("ny") + F.col("iy")) * F.col("nx") + F.col("ix"))
+    value = F.coalesce(_number(F.col("value")), F.lit("nan"))
+    return size.select(*_line(0, "zero", head)).unionByName(at.select(*_line(1, "at", value))).unionByName(size.select(*_line(2, "zero", tail)))
+
+
+def write_lines(lines: DataFrame, path: str, parts: bool = True) -> None:
+    """Lines of one of the functions above as ordered files."""
+    _written(lines, path, parts)
+
+
 def histogram_lines(bins: DataFrame, n_bins: int, low: float, high: float) -> DataFrame:
     """(bin, line): a histogram (bin, n) as text, its first bin open below and its last one above."""
     width = (high - low) / n_bins

@@ -21,8 +21,8 @@ from ..operators.lineage import cut
 
 
 def _lines(spark: SparkSession, path: str, wanted: Column, parts: bool, **kinds: Column) -> DataFrame:
-    """(path, mesh_id, line, words) of the wanted lines, and for each of `kinds` how many of that kind come before it
-    in the file. Order within a split is Spark's reading order; what earlier splits hold is a running sum over one short
+    """(path, mesh_id, line, words) of the wanted lines, and for each of `kinds` (a flag or a number a line) its sum
+    over the lines before it in the file. Order within a split is Spark's reading order; what earlier splits hold is a running sum over one short
     row a split. Lines are parsed from one table, so that a lost executor cannot cut the file otherwise in between. With
     `parts`, the files of a folder are one mesh, in the order of their names, and `path` is the folder."""
     blank = F.lit(" \t\r")
@@ -31,10 +31,10 @@ def _lines(spark: SparkSession, path: str, wanted: Column, parts: bool, **kinds:
     text = spark.read.text(path).select(path_.alias("path"), file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.trim("value", blank).alias("line"))
     kept = cut(text.withColumn("words", F.split("line", r"\s+")).where(wanted))
     before = Window.partitionBy("path").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = kept.groupBy("path", "file", "block").agg(*(F.count_if(c).alias("_" + n) for n, c in kinds.items()))
+    blocks = kept.groupBy("path", "file", "block").agg(*(F.sum(c.cast("long")).alias("_" + n) for n, c in kinds.items()))
     blocks = cut(blocks.select("path", "file", "block", *(F.coalesce(F.sum("_" + n).over(before), F.lit(0)).alias("_" + n) for n in kinds)))
     ahead = Window.partitionBy("path", "file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a split at most
-    return kept.join(blocks, ["path", "file", "block"]).select("path", F.xxhash64("path").alias("mesh_id"), "line", "words", *((F.col("_" + n) + F.count_if(c).over(ahead)).cast("long").alias(n) for n, c in kinds.items()))
+    return kept.join(blocks, ["path", "file", "block"]).select("path", F.xxhash64("path").alias("mesh_id"), "line", "words", *((F.col("_" + n) + F.coalesce(F.sum(c.cast("long")).over(ahead), F.lit(0))).cast("long").alias(n) for n, c in kinds.items()))
 
 
 def read_obj(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -64,14 +64,17 @@ def read_agi(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     return words.select("path", F.col("mesh_id").alias("cloud_id"), "pid", *values)
 
 
-def _placed_lines(lines: DataFrame, head: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _placed_lines(lines: DataFrame, head: DataFrame, pairs: bool = False) -> tuple[DataFrame, DataFrame]:
     """vertices and faces of numbered lines, given by path where they start (v0, f0), how many there are (n, m), the
-    places of x, y and z in a vertex line (ix, iy, iz) and that of the corner count in a face line (at)."""
+    places of x, y and z in a vertex line (ix, iy, iz) and that of the corner count in a face line (at); for `pairs`, that
+    of the first of two corners."""
     both = lines.join(cut(head), "path")  # a row a file: Spark sends it to the lines while it is small
     of = lambda c: F.try_element_at("words", F.col(c).cast("int") + 1).try_cast("double")
     v = both.where((F.col("no") >= F.col("v0")) & (F.col("no") < F.col("v0") + F.col("n")))
     f = both.where((F.col("no") >= F.col("f0")) & (F.col("no") < F.col("f0") + F.col("m")))
     corners = F.expr("transform(slice(words, cast(at as int) + 2, greatest(0, coalesce(try_cast(get(words, cast(at as int)) as int), 0))), w -> try_cast(w as bigint))")
+    if pairs:
+        corners = F.expr("transform(slice(words, cast(at as int) + 1, 2), w -> try_cast(w as bigint))")
     return v.select("path", "mesh_id", (F.col("no") - F.col("v0")).alias("vid"), *(F.coalesce(of("i" + k), F.lit(0.0)).alias(k) for k in "xyz")), f.select("path", "mesh_id", (F.col("no") - F.col("f0")).alias("fid"), corners.alias("vids"))
 
 
@@ -86,9 +89,9 @@ def read_off(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataF
     return _placed_lines(lines, head.withColumn("f0", F.col("v0") + F.col("n")))
 
 
-def read_ply(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_ply(spark: SparkSession, path: str, parts: bool = False, element: str = "face") -> tuple[DataFrame, DataFrame]:
     """vertices and faces of PLY files as text, an element a line; elements and properties come in any order, the
-    corners of a face after its plain properties."""
+    corners of a face after its plain properties. With `element` edge, edges (vertex1, vertex2) instead of faces."""
     lines = _lines(spark, path, F.col("line") != "", parts, no=F.lit(True))
     word = F.col("words")
     known = cut(lines.where(word[0].isin("element", "property", "end_header")).select("path", "no", "words"))
@@ -100,10 +103,30 @@ def read_ply(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataF
     place = F.row_number().over(Window.partitionBy("path", "element").orderBy("no")) - 1
     properties = known.where(word[0] == "property").select("path", "element", F.element_at("words", -1).alias("name"), (word[1] == "list").alias("list"), place.alias("place"))
     of = lambda e, c: F.max(F.when(F.col("element") == e, F.col(c)))
-    spans = elements.groupBy("path").agg(of("vertex", "skip").alias("v0"), of("vertex", "n").alias("n"), of("face", "skip").alias("f0"), of("face", "n").alias("m"))
-    places = properties.groupBy("path").agg(*(F.max(F.when((F.col("element") == "vertex") & (F.col("name") == k), F.col("place"))).alias("i" + k) for k in "xyz"), F.min(F.when((F.col("element") == "face") & F.col("list"), F.col("place"))).alias("at"))
+    spans = elements.groupBy("path").agg(of("vertex", "skip").alias("v0"), of("vertex", "n").alias("n"), of(element, "skip").alias("f0"), of(element, "n").alias("m"))
+    places = properties.groupBy("path").agg(*(F.max(F.when((F.col("element") == "vertex") & (F.col("name") == k), F.col("place"))).alias("i" + k) for k in "xyz"), F.min(F.when((F.col("element") == element) & (F.col("name") == "vertex1" if element == "edge" else F.col("list")), F.col("place"))).alias("at"))
     head = spans.join(ends, "path").join(places, "path").select("path", (F.col("v0") + F.col("body")).alias("v0"), "n", (F.col("f0") + F.col("body")).alias("f0"), "m", "ix", "iy", "iz", "at")
-    return _placed_lines(lines, head)
+    return _placed_lines(lines, head, element == "edge")
+
+
+def read_polylines(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """vertices (path, mesh_id, vid, x, y, z) and polylines (path, mesh_id, lid, vids) of OBJ files with l lines."""
+    first = F.col("words")[0]
+    lines = _lines(spark, path, first.isin("v", "l"), parts, vid=first == "v", lid=first == "l")
+    v = lines.where(first == "v").select("path", "mesh_id", "vid", *(F.try_element_at("words", F.lit(i + 2)).try_cast("double").alias(k) for i, k in enumerate("xyz")))
+    ids = F.transform(F.slice("words", 2, F.size("words")), lambda w: w.try_cast("long") - 1)
+    return v, lines.where(first == "l").select("path", "mesh_id", "lid", ids.alias("vids"))
+
+
+def read_vti(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """grid (path, ix, iy, iz, value) of image data with one textual array of scalars, x running fastest."""
+    tag = F.col("line").startswith("<")
+    extent = F.regexp_extract("line", 'WholeExtent="([^"]*)"', 1)
+    lines = _lines(spark, path, (F.col("line") != "") & (~tag | (extent != "")), parts, at=F.when(tag, 0).otherwise(F.size("words")))
+    size = lambda i: F.try_element_at("e", F.lit(2 * i + 2)).try_cast("long") - F.try_element_at("e", F.lit(2 * i + 1)).try_cast("long") + 1
+    head = cut(lines.where(tag).select("path", F.split(extent, " ").alias("e")).select("path", size(0).alias("nx"), size(1).alias("ny")))
+    values = lines.where(~tag).select("path", "at", F.posexplode("words").alias("k", "word")).select("path", (F.col("at") + F.col("k")).alias("at"), F.col("word").try_cast("double").alias("value")).join(head, "path")
+    return values.select("path", F.pmod("at", "nx").alias("ix"), F.pmod(F.floor(F.col("at") / F.col("nx")), F.col("ny")).alias("iy"), F.floor(F.col("at") / (F.col("nx") * F.col("ny"))).alias("iz"), "value")
 
 
 _VERTEX = "path string, mesh_id long, vid long, x double, y double, z double"
