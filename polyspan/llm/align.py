@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .bpe import _ODD
-from .common import packed, planes, saved, squeeze, texts, unplanes, unsqueeze
+from .common import by_bucket, packed, planes, saved, squeeze, stream, texts, unplanes, unsqueeze, unwide, wide
 
 CHUNK_CHARS = 7_000_000
 _ROWS = "kind string, chunk long, bucket int, blob binary"
@@ -192,29 +192,10 @@ class Aligner:
         return sizes, written, links
 
 
-def _wide(values: np.ndarray) -> bytes:
-    """Unsigned 64-bit integers by byte significance."""
-    return np.ascontiguousarray(np.asarray(values, "<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _unwide(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
-
-
 def _bucket(pairs: np.ndarray, buckets: int) -> np.ndarray:
     return (((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _by_bucket(pairs: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of a bucket's pairs, for each bucket that has any. The same each time that it is asked."""
-    own = _bucket(pairs, buckets)
-    order = np.argsort(own, kind="stable")
-    ends = np.searchsorted(own[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if ends[b] < ends[b + 1]:
-            yield b, order[ends[b] : ends[b + 1]]
-
-
 def _row(kind: str, chunk: int, bucket: int, blob: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["kind", "chunk", "bucket", "blob"])
 
@@ -228,11 +209,11 @@ def _chunks(shared, buckets: int, chunk_chars: int, as_text: bool):
         held, times = np.unique((np.repeat(np.arange(len(n)), n) << 40) | np.concatenate(links), return_counts=True)
         pairs, place, n_docs = np.unique(held & ((1 << 40) - 1), return_inverse=True, return_counts=True)
         doc = held >> 40
-        blob = squeeze(_stream(kept), planes(np.bincount(doc, minlength=len(n))), planes(np.diff(place, prepend=0) & 0xFFFFFFFF), planes(times))
+        blob = squeeze(stream(kept), planes(np.bincount(doc, minlength=len(n))), planes(np.diff(place, prepend=0) & 0xFFFFFFFF), planes(times))
         yield _row("docs", chunk, -1, blob)
-        for b, own in _by_bucket(pairs, buckets):
-            yield _row("pairs", chunk, b, squeeze(_wide(np.diff(pairs[own], prepend=0)), planes(n_docs[own]), level=9))
-        yield _row("order", chunk, -1, squeeze(_wide(np.diff(pairs, prepend=0)), level=9))
+        for b, own in by_bucket(_bucket(pairs, buckets), buckets):
+            yield _row("pairs", chunk, b, squeeze(wide(np.diff(pairs[own], prepend=0)), planes(n_docs[own]), level=9))
+        yield _row("order", chunk, -1, squeeze(wide(np.diff(pairs, prepend=0)), level=9))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_raw, pattern, b_raw = shared.value
@@ -261,18 +242,10 @@ def _chunks(shared, buckets: int, chunk_chars: int, as_text: bool):
     return run
 
 
-def _stream(kept: list[pa.RecordBatch]) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, kept[0].schema) as out:
-        for b in kept:
-            out.write_batch(b)
-    return sink.getvalue().to_pybytes()
-
-
 def _added(lists: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """The distinct pairs of a bucket, their counts, and each list's places among them."""
     parts = [unsqueeze(blob) for blob in lists.column("blob").to_pylist()]
-    own = [np.cumsum(_unwide(p)) for p, _ in parts]
+    own = [np.cumsum(unwide(p)) for p, _ in parts]
     pairs, place = np.unique(np.concatenate(own), return_inverse=True)
     counts = np.bincount(place, weights=np.concatenate([unplanes(n) for _, n in parts])).astype(np.int64)
     return pairs, counts, np.split(place, np.cumsum([len(x) for x in own])[:-1])
@@ -294,7 +267,7 @@ def _answers(n_b: int, highest):
     def run(lists: pa.Table) -> pa.Table:
         pairs, counts, places = _added(lists)
         told = 2 * counts + (counts == highest.value[pairs // n_b])
-        return pa.table({"chunk": lists.column("chunk"), "bucket": lists.column("bucket"), "blob": pa.array([squeeze(_wide(told[p]), level=9) for p in places], pa.binary())})
+        return pa.table({"chunk": lists.column("chunk"), "bucket": lists.column("bucket"), "blob": pa.array([squeeze(wide(told[p]), level=9) for p in places], pa.binary())})
 
     return run
 
@@ -304,14 +277,14 @@ def _sums(schema: pa.Schema, buckets: int):
         blobs = dict(zip(docs.column("kind").to_pylist(), docs.column("blob").to_pylist()))
         if not blobs:
             return schema.empty_table()
-        pairs = np.cumsum(_unwide(unsqueeze(blobs["order"])[0]))
-        told, by_bucket = np.zeros(len(pairs), np.int64), dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist()))
-        for b, own in _by_bucket(pairs, buckets):
-            told[own] = _unwide(unsqueeze(by_bucket[b])[0])
+        pairs = np.cumsum(unwide(unsqueeze(blobs["order"])[0]))
+        told, blob_of = np.zeros(len(pairs), np.int64), dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist()))
+        for b, own in by_bucket(_bucket(pairs, buckets), buckets):
+            told[own] = unwide(unsqueeze(blob_of[b])[0])
         kept, n, place, times = unsqueeze(blobs["docs"])
         n, place, times = unplanes(n).astype(np.int64), np.cumsum(unplanes(place).view(np.int32).astype(np.int64)), unplanes(times).astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(n)])
-        rows = pa.ipc.open_stream(kept).read_all()
+        rows = pa.ipc.openstream(kept).read_all()
         for name, values in (("n_best", times * (told[place] & 1)), ("count_sum", times * (told[place] >> 1))):
             total = np.concatenate([[0], np.cumsum(values)])[ends]
             rows = rows.append_column(name, pa.array(np.diff(total), pa.int64()))

@@ -161,3 +161,30 @@ class Recent(dict):
             self.clear()
         self[key] = value
         return value
+
+
+def wide(values) -> bytes:
+    """Unsigned 64-bit integers by byte significance."""
+    return np.ascontiguousarray(np.asarray(values, "<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unwide(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def by_bucket(own: np.ndarray, buckets: int):
+    """(bucket, places of its numbers) for each bucket that `own` names; the same each time that it is asked."""
+    order = np.argsort(own, kind="stable")
+    ends = np.searchsorted(own[order], np.arange(buckets + 1)).tolist()
+    for b in range(buckets):
+        if ends[b] < ends[b + 1]:
+            yield b, order[ends[b] : ends[b + 1]]
+
+
+def stream(batches: list[pa.RecordBatch]) -> bytes:
+    """Arrow batches as bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for b in batches:
+            out.write_batch(b)
+    return sink.getvalue().to_pybytes()

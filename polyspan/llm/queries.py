@@ -136,6 +136,14 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document by the hierarchical Pitman-Yor model, and by counts of words."""
+    from . import pitman_yor
+
+    found = pitman_yor.score(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links between the tokens of two public tokenizers, of every document."""
     import public_tokenizers
@@ -159,5 +167,6 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_licenses": op10_licenses,
     "op11_spelling": op11_spelling,
+    "op12_language_model": op12_language_model,
     "op13_alignment": op13_alignment,
 }
