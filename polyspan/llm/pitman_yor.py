@@ -40,6 +40,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import by_bucket, packed, raw_texts, saved, squeeze, stream, unsqueeze, unwide, wide
 
 CHUNK_BYTES = 7_000_000
+#: Texts whose words, and whose pairs, share a bucket. What a bucket tells others is a message each, so their number follows the data,
+#: not the partitions.
+BUCKET_BYTES = 8_000_000
+LEAST_BUCKETS = 48
 #: Rounds, how many of the last are averaged, sweeps of the contexts' customers in a round.
 ROUNDS, SAMPLES, SWEEPS = 3, 2, 2
 STRENGTH = 1.0
@@ -107,7 +111,7 @@ def _chunks(buckets: int, chunk_bytes: int):
             start = 0
             rest = batch.drop_columns(["_text"])
             for i, text in enumerate(raw_texts(batch, "_text")):
-                docs.append(np.fromiter((words[w] for w in text.lower().split()), np.uint32))
+                docs.append(np.fromiter(map(words.__getitem__, text.lower().split()), np.uint32))
                 size += len(text) + 1
                 if size >= chunk_bytes:
                     kept.append(rest.slice(start, i + 1 - start))
@@ -449,7 +453,9 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", keep: list[s
     half more than found; score that of the model."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or max(48, parts)
+    if buckets is None:
+        size = docs.select(F.sum(F.octet_length(packed(docs, [text])[text]))).first()[0] or 0
+        buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
     held = held_out(packed(docs, [doc])[doc])
     source = docs.select(packed(docs, list(keep)).alias("row"), held.alias("held_out"), (~held).alias("_train"), packed(docs, [text])[text].alias("_text"))
     chunks = saved(source.mapInArrow(_chunks(buckets, chunk_bytes), _ROWS))
