@@ -42,7 +42,7 @@ from .common import by_bucket, packed, raw_texts, saved, squeeze, stream, unsque
 CHUNK_BYTES = 7_000_000
 #: Texts whose words, and whose pairs, share a bucket. What a bucket tells others is a message each, so their number follows the data,
 #: not the partitions.
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 16_000_000
 LEAST_BUCKETS = 48
 #: Rounds, how many of the last are averaged, sweeps of the contexts' customers in a round.
 ROUNDS, SAMPLES, SWEEPS = 3, 2, 2
@@ -171,11 +171,10 @@ def _pair_bucket(u: np.ndarray, w: np.ndarray, n_u: np.ndarray, tokens: int, buc
 
 
 def _ordered_pairs(chunk: _Chunk, tokens: int, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bucket, places, u, w) of a chunk's distinct pairs, by u and w. The same each time that it is asked."""
+    """(bucket, places, u, w) of a chunk's distinct pairs, all of a context together. The same each time that it is asked."""
     number, count = chunk.told[0] * buckets + chunk.own, chunk.told[-1]
     u, w = number[chunk.u], number[chunk.w]
     for b, places in by_bucket(_pair_bucket(u, w, count[chunk.u], tokens, buckets), buckets):
-        places = places[np.lexsort((w[places], u[places]))]
         yield b, places, u[places], w[places]
 
 
@@ -217,12 +216,10 @@ def _merged(tokens: int, buckets: int):
         senders = sorted(got)
         parts = [_unpack(got[s]) for s in senders]
         u, w, n, n_u = (np.concatenate(x) for x in zip(*((np.cumsum(p[0]), *p[1:]) for p in parts)))
-        order = np.lexsort((w, u))
-        new = np.concatenate([[True], (np.diff(u[order]) != 0) | (np.diff(w[order]) != 0)])
-        place = np.empty(len(u), np.int64)
-        place[order] = np.cumsum(new) - 1
-        first = order[new]
-        u, w, n_u, n = u[first], w[first], n_u[first], np.bincount(place, weights=n).astype(np.int64)
+        contexts, row = np.unique(u, return_inverse=True)
+        words, word = np.unique(w, return_inverse=True)
+        code, first, place = np.unique(row * len(words) + word, return_index=True, return_inverse=True)
+        u, w, n_u, n = contexts[code // len(words)], words[code % len(words)], n_u[first], np.bincount(place, weights=n).astype(np.int64)
         heavy = n > 1
         code = np.where(heavy, np.cumsum(heavy) + 1, n)
         us, at = np.unique(u[n > 0], return_index=True)
@@ -267,31 +264,38 @@ class Seating:
         new = new[self.order]
         active = np.searchsorted(-self.n, -np.arange(1, self.n[0] + 1 if len(self.n) else 1), side="right")
         for j, many in enumerate(active.tolist()):
-            at, n, tables = self.at[:many], self.n[:many], self.tables
+            at, n, tables, weight = self.at[:many], self.n[:many], self.tables, new[:many]
             k = self.seat[at + j]
-            self.size[at + k] -= 1
-            gone = np.flatnonzero(self.size[at + k] == 0)
+            place = at + k
+            size = self.size[place] - 1
+            self.size[place] = size
+            gone = np.flatnonzero(size == 0)
             tables[gone] -= 1
             self.free[at[gone] + n[gone] - tables[gone] - 1] = k[gone]
-            left = np.arange(many)
-            while len(left):
-                a, others = at[left], n[left] - 1
-                weight = new[left]
-                fresh = rng.random(len(left)) * (weight + others) < weight
-                beside = (rng.random(len(left)) * others).astype(np.int64)
+            others, left = n - 1, None  # None: all
+            while left is None or len(left):
+                # A point on the weight of a new table and one for each other customer; at a customer it stays with what the
+                # discount leaves of a seat at that table, else it is drawn anew.
+                point = rng.random(len(at)) * (weight + others) - weight
+                fresh = point < 0
+                beside = np.maximum(point, 0).astype(np.int64)
                 beside += beside >= j
-                k = self.seat[np.where(fresh, a, a + beside)]
-                size = self.size[a + k]
-                sits = ~fresh & (rng.random(len(left)) * size < size - discount)
-                d, k = left[sits], k[sits]
-                self.seat[at[d] + j] = k
-                self.size[at[d] + k] += 1
-                d = left[fresh]
-                k = self.free[at[d] + n[d] - tables[d] - 1]
-                tables[d] += 1
-                self.seat[at[d] + j] = k
-                self.size[at[d] + k] = 1
-                left = left[~fresh & ~sits]
+                k = self.seat[at + np.where(fresh, 0, np.minimum(beside, others))]
+                size = self.size[at + k]
+                sits = ~fresh & (rng.random(len(at), np.float32) * size < size - discount)
+                for who, is_new in ((np.flatnonzero(sits), False), (np.flatnonzero(fresh), True)):
+                    dish, a = who if left is None else left[who], at[who]
+                    if is_new:
+                        table = self.free[a + n[who] - tables[dish] - 1]
+                        tables[dish] += 1
+                        self.size[a + table] = 1
+                    else:
+                        table = k[who]
+                        self.size[a + table] += 1
+                    self.seat[a + j] = table
+                rest = np.flatnonzero(~fresh & ~sits)
+                left = rest if left is None else left[rest]
+                at, n, others, weight = at[rest], n[rest], others[rest], weight[rest]
 
     def told(self) -> tuple[np.ndarray, np.ndarray]:
         """The number of tables of each dish and their sizes, in the order of the dishes given."""
