@@ -46,21 +46,35 @@ def _in_runs(items: Column, body) -> Column:
     return _let(items, lambda xs: F.transform(F.sequence(F.lit(0), (F.size(xs) / _RUN).cast("int")), lambda k: body(F.slice(xs, k * _RUN + 1, _RUN))))
 
 
-def _sums_before(numbers: Column) -> Column:
-    """For each number the sum of those before it: within runs first, then over the runs."""
+def _before(numbers: Column, joined) -> Column:
+    """For each number those before it joined, by a function that can join in any grouping and 0 does not change: within runs
+    first, then over the runs."""
     none = F.expr("cast(array() as array<int>)")
 
     def within(xs: Column) -> Column:
         start = F.struct(F.lit(0).alias("total"), none.alias("before"))
-        return F.aggregate(xs, start, lambda s, x: F.struct((s["total"] + x).alias("total"), F.concat(s["before"], F.array(s["total"])).alias("before")))
+        return F.aggregate(xs, start, lambda s, x: F.struct(joined(s["total"], x).alias("total"), F.concat(s["before"], F.array(s["total"])).alias("before")))
 
     def over(runs: Column) -> Column:
         start = within(F.transform(runs, lambda r: r["total"]))["before"]
-        return F.flatten(F.transform(F.arrays_zip(runs.alias("run"), start.alias("start")), lambda z: F.transform(z["run"]["before"], lambda b: b + z["start"])))
+        return F.flatten(F.transform(F.arrays_zip(runs.alias("run"), start.alias("start")), lambda z: F.transform(z["run"]["before"], lambda b: joined(b, z["start"]))))
 
     return _let(_in_runs(numbers, within), over)
 
 
+def _sums_before(numbers: Column) -> Column:
+    return _before(numbers, lambda a, b: a + b)
+
+
+def _apart_from_others(spans: Column) -> Column:
+    """Overlapping spans, sorted by start, as one: a span that begins where all before it have ended opens a new one, which
+    ends where the spans before the next opening have."""
+    reached = _before(F.transform(spans, lambda s: s["end"]), F.greatest)
+    opens = F.filter(F.zip_with(spans, reached, lambda s, b: F.struct(s["start"].alias("start"), b.alias("before"))), lambda x: x["start"] >= x["before"])
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return _let(opens, lambda xs: F.transform(xs, lambda x, i: F.struct(x["start"].alias("start"), F.coalesce(F.try_element_at(xs, i + 2)["before"], last).alias("end"))))
+
+
 def _spans(text: Column, kind: str) -> Column:
     """All matches of one kind, as structs with code-point positions, from the pieces between the matches."""
     pattern, group, least = KINDS[kind]
@@ -135,25 +149,12 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mark: st
     rows = docs.select(packed(docs).alias("row"), docs[q(doc_id)].alias("own_id"), docs[q(text)].alias("body"), F.xxhash64(F.coalesce(docs[q(text)], F.lit(""))).alias("own"))
     joined = rows.join(found, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash")), "left")
 
-    def merged(spans: Column) -> Column:
-        """Overlapping spans as one: run by run, then the runs' results."""
-        none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-
-        def step(done: Column, s: Column) -> Column:
-            last = F.try_element_at(done, F.lit(-1))
-            longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-            return F.when(last.isNull() | (s["start"] >= last["end"]), F.concat(done, F.array(s))).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer)))
-
-        one_run = lambda xs: F.aggregate(xs, none, step)
-        # spans of different kinds overlap only with their neighbours, so a run's end may meet the next run's start alone
-        return _let(F.flatten(_in_runs(spans, one_run)), lambda xs: F.filter(F.transform(xs, lambda s, i: F.struct(s["start"].alias("start"), F.greatest(s["end"], F.coalesce(F.when(F.try_element_at(xs, i + 2)["start"] < s["end"], F.try_element_at(xs, i + 2)["end"]), s["end"])).alias("end"), F.coalesce((i > 0) & (F.try_element_at(xs, F.greatest(i, F.lit(1)))["end"] > s["start"]), F.lit(False)).alias("part"))), lambda s: ~s["part"]))
-
     def pieces(spans: Column) -> Column:
         kept = F.transform(spans, lambda s, i: F.concat(F.substr("body", F.coalesce(F.when(i > 0, F.try_element_at(spans, F.greatest(i, F.lit(1)))["end"]), F.lit(0)) + 1, s["start"] - F.coalesce(F.when(i > 0, F.try_element_at(spans, F.greatest(i, F.lit(1)))["end"]), F.lit(0))), F.lit(mark)))
         return F.concat(F.array_join(kept, ""), F.substr("body", F.element_at(spans, -1)["end"] + 1, F.length("body")))
 
     none = F.col("spans").isNull()
-    out = joined.withColumn("clean", F.when(none, F.col("body")).otherwise(_let(merged(F.col("spans")), pieces)))
+    out = joined.withColumn("clean", F.when(none, F.col("body")).otherwise(_let(_apart_from_others(F.col("spans")), pieces)))
     new = {text: F.col("clean")}
     if n_chars:
         new[n_chars] = F.when(none, F.col("row").getField(n_chars)).otherwise(F.length("clean").cast(docs.schema[n_chars].dataType))

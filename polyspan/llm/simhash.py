@@ -301,8 +301,9 @@ def _by_key(found: DataFrame, members: DataFrame, distinct: DataFrame, key: str)
 
 LEAST = 0.8
 WIDE_SHINGLE = 5
-WIDE_BITS = 20  # a similarity of 0.8 is some 10 of 64 bits on average, with a deviation of 3
-NODES_A_SET = 6
+WIDE_BITS = 28  # a similarity of 0.8 is some 10 to 12 of 64 bits on average, with a deviation of 3: one in 10 ** 7 is beyond
+NODES_A_SET = 12  # two sets of similarity 0.8 choose none in common once in 10 ** 9
+SMALL_SET = 48  # sets of so many shingles enter all their nodes
 ANCHORS = 24  # two sets of similarity 0.8 have none in common once in 10 ** 16
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -349,17 +350,18 @@ def anchors(distinct: np.ndarray, n: int = ANCHORS) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_hash, key (a hash of the set of shingles), fp and anchors of every row."""
+    """doc_id, text_hash, key (a hash of the set of shingles), fp (of the set: no shingle counts twice), size and anchors of
+    every row. Equal sets have equal values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = [shingle_hashes(t, shingle) for t in raw_texts(batch, "text")]
-            sets = [np.unique(h) for h in whole]
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in raw_texts(batch, "text")]
             out = batch.drop_columns(["text"]).append_column("key", pa.array([set_key(h) for h in sets], pa.int64()))
-            out = out.append_column("fp", pa.array([_signed_of(_majority(h)) for h in whole], pa.int64()))
+            out = out.append_column("fp", pa.array([_signed_of(_majority(h)) for h in sets], pa.int64()))
+            out = out.append_column("size", pa.array([len(h) for h in sets], pa.int64()))
             yield out.append_column("anchors", pa.array([anchors(h).view(np.int64) for h in sets], pa.list_(pa.int64())))
 
-    schema = T.StructType([rows.schema["doc_id"], rows.schema["text_hash"], *(T.StructField(n, T.LongType()) for n in ("key", "fp")), T.StructField("anchors", T.ArrayType(T.LongType()))])
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["text_hash"], *(T.StructField(n, T.LongType()) for n in ("key", "fp", "size")), T.StructField("anchors", T.ArrayType(T.LongType()))])
     return table(rows.select("doc_id", "text_hash", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema), "sets")
 
 
@@ -370,15 +372,15 @@ def _shared_nodes(rows: DataFrame, more_than: int = 1) -> DataFrame:
 
 
 def _nodes(distinct: DataFrame, node_size: int) -> DataFrame:
-    """(node, key, fp): sets by the anchors that they share with others. A crowded node gives way to nodes of two
+    """(node, key, fp, size): sets by the anchors that they share with others. A crowded node gives way to nodes of two
     anchors; one that is still crowded holds texts that have much in common and stays whole."""
-    rows = table(distinct.select(F.explode("anchors").alias("node"), "key", "fp"), "anchored")
+    rows = table(distinct.select(F.explode("anchors").alias("node"), "key", "fp", "size"), "anchored")
     nodes = _shared_nodes(rows)
     crowded = nodes.where(F.col("held") > node_size).select("node", "key")
     if crowded.isEmpty():
         return nodes.drop("held")
-    pairs = crowded.join(distinct.select("key", "fp", "anchors"), "key").select("node", F.explode("anchors").alias("other"), "key", "fp").where("node <> other")
-    finer = table(pairs.select(F.xxhash64(F.least("node", "other"), F.greatest("node", "other")).alias("node"), "key", "fp").distinct(), "finer")
+    pairs = crowded.join(distinct.select("key", "fp", "size", "anchors"), "key").select("node", F.explode("anchors").alias("other"), "key", "fp", "size").where("node <> other")
+    finer = table(pairs.select(F.xxhash64(F.least("node", "other"), F.greatest("node", "other")).alias("node"), "key", "fp", "size").distinct(), "finer")
     return nodes.where(F.col("held") <= node_size).drop("held").unionByName(_shared_nodes(finer).drop("held"))
 
 
@@ -460,9 +462,10 @@ def _similar(docs: DataFrame, text: str, doc_id: str, shingle: int, least: float
     rows = docs.select(docs[q(doc_id)].alias("doc_id"), _text_hash(docs, text).alias("text_hash"), docs[q(text)].alias("text")).where("doc_id is not null")
     sets = _sets(rows, shingle)
     first = F.min(F.struct("doc_id", "text_hash"))
-    distinct = table(sets.groupBy("key").agg(first.alias("first"), F.count("*").alias("rows"), F.first("fp").alias("fp"), F.first("anchors").alias("anchors")), "distinct")
-    # of the nodes that a set shares it enters the NODES_A_SET first by value: two sets of similarity 0.8 choose none in common once in 700
-    nodes = _nodes(distinct, node_size).groupBy("key", "fp").agg(F.slice(F.array_sort(F.collect_set("node")), 1, NODES_A_SET).alias("nodes"))
+    distinct = table(sets.groupBy("key").agg(first.alias("first"), F.count("*").alias("rows"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("anchors").alias("anchors")), "distinct")
+    # of the nodes that a large set shares it enters the NODES_A_SET first by value
+    entered = F.when(F.col("size") <= SMALL_SET, ANCHORS * ANCHORS).otherwise(NODES_A_SET)
+    nodes = _nodes(distinct, node_size).groupBy("key", "fp", "size").agg(F.array_sort(F.collect_set("node")).alias("nodes")).withColumn("nodes", F.slice("nodes", F.lit(1), entered))
     nodes = _shared_nodes(table(nodes.select("key", "fp", F.explode("nodes").alias("node")), "chosen")).drop("held")
     wanted = distinct.join(nodes.select("key").distinct(), "key").select("key", "first.doc_id", "first.text_hash")
     dealt = nodes.join(_tokens(rows, wanted, shingle), "key").select("node", "key", "fp", "tokens", gray_rank(F.col("fp")).alias("rank"))
@@ -475,7 +478,8 @@ def _similar(docs: DataFrame, text: str, doc_id: str, shingle: int, least: float
 def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = WIDE_SHINGLE, least: float = LEAST, bits: int = WIDE_BITS, node_size: int = NODE_SIZE) -> DataFrame:
     """doc_id, key and component_id: the smallest doc_id that links of a Jaccard similarity of `least` or more on word
     shingles reach. Links are sought among texts that share an anchor (the least shingle of one of 24 classes), in the
-    Gray order of their fingerprints within `bits`, and checked by all their shingles. One row for each document with an id."""
+    Gray order of their fingerprints within `bits` (64: all of a node), and checked by all their shingles, as 32-bit hashes. Texts of no words are one
+    group; null counts as empty. One row for each document with an id."""
     found, members, distinct = _similar(docs, text, doc_id, shingle, least, bits, node_size)
     return _named(found, members, distinct, "key").select(F.col("doc_id").alias(doc_id), "key", "component_id")
 
