@@ -92,6 +92,23 @@ def ray_hits_triangle(o: Vector, d: Vector, a: Vector, b: Vector, c: Vector, eps
     return F.when((F.abs(det) > eps) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0), t)
 
 
+def watertight_hit(o: Vector, d: Vector, a: Vector, b: Vector, c: Vector) -> Column:
+    """The ray's parameter at the hit, null without one, by signs of areas as seen along the ray: the axis in which the
+    direction is longest goes to the front, and the corners are sheared so that the ray is that axis. The area beside an edge
+    has the same size for both triangles that share it, so no ray slips between them; an edge or corner counts as met."""
+    longest = F.greatest(*(F.abs(x) for x in d))
+    front = lambda v: F.when(F.abs(d[2]) == longest, F.array(v[0], v[1], v[2])).when(F.abs(d[0]) == longest, F.array(v[1], v[2], v[0])).otherwise(F.array(v[2], v[0], v[1]))
+    turned = F.transform(F.array(front(d)), lambda e: F.transform(F.array(*[front(minus(p, o)) for p in (a, b, c)]), lambda p: F.struct((p[0] * e[2] - e[0] * p[2]).alias("x"), (p[1] * e[2] - e[1] * p[2]).alias("y"), (p[2] / e[2]).alias("z"))))[0]
+
+    def met(p: Column) -> Column:
+        area = lambda i, j: p[i]["x"] * p[j]["y"] - p[i]["y"] * p[j]["x"]
+        w = F.array(area(1, 2), area(2, 0), area(0, 1))
+        return F.transform(F.array(w), lambda w: F.struct(F.array_min(w).alias("least"), F.array_max(w).alias("most"), (w[0] + w[1] + w[2]).alias("sum"), (w[0] * p[0]["z"] + w[1] * p[1]["z"] + w[2] * p[2]["z"]).alias("depth")))[0]
+
+    found = F.transform(F.array(F.transform(F.array(turned), met)[0]), lambda m: F.when(((m["least"] >= 0) | (m["most"] <= 0)) & (m["sum"] != 0), F.try_divide(m["depth"], m["sum"])))[0]
+    return F.transform(F.array(found), lambda t: F.when(t >= 0, t))[0]
+
+
 def ray_hits_box(o: Vector, d: Vector, lo: Vector, hi: Vector) -> Column:
     """Whether a ray from o meets a closed box (slabs; a direction of zero needs the origin inside the slab)."""
     far = 1e300

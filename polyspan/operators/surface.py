@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import vector as V
-from . import mesh
-from .joins import box_pairs
+from . import fixpoint, mesh
+from .joins import box_pairs, salted
+from .lineage import cut
+from .shapes import nearest_triangle
 
 
 def cotan_weights(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -145,3 +147,190 @@ def plane_sections(faces: DataFrame, vertices: DataFrame, z: float) -> DataFrame
     length = F.sqrt(F.pow(F.col("ends")[0]["x"] - F.col("ends")[1]["x"], F.lit(2.0)) + F.pow(F.col("ends")[0]["y"] - F.col("ends")[1]["y"], F.lit(2.0)))
     return two.select("mesh_id", "fid", length.alias("length"))
 
+
+
+def _pairs_of_triangles(triangles: DataFrame, cell: float) -> DataFrame:
+    """(a, b, a_ax .. b_cz): pairs of triangles whose boxes meet, a < b."""
+    lo, hi = G.bounds(V.vec("a"), V.vec("b"), V.vec("c"))
+    boxes = triangles.select(F.col("fid").alias("bid"), *(v.alias("lo" + k) for k, v in zip("xyz", lo, strict=True)), *(v.alias("hi" + k) for k, v in zip("xyz", hi, strict=True)))
+    pairs = box_pairs(boxes, cell)
+    for side in "ab":
+        pairs = pairs.join(triangles.select(F.col("fid").alias(side), *(F.col(p + k).alias(f"{side}_{p}{k}") for p in "abc" for k in "xyz")), side)
+    return pairs
+
+
+def _with(rows: DataFrame, **vectors) -> DataFrame:
+    """Vectors as columns of their own, name + axis, so that none is computed twice."""
+    return rows.select("*", *(x.alias(n + k) for n, v in vectors.items() for k, x in zip("xyz", v, strict=True)))
+
+
+def intersection_segments(triangles: DataFrame, cell: float, eps: float = 1e-12) -> DataFrame:
+    """(a, b, px, py, pz, qx, qy, qz): the segment that pairs of triangles (fid, ax .. cz), a < b, have in common, in the direction of
+    the product of their normals; a touch in one point is a segment of no length. Each triangle covers an interval
+    of the line in which both planes meet, and the segment is where the intervals overlap. Coplanar pairs have no line: see
+    `coplanar_pairs`. A corner within `eps` times the normal's length of the other plane lies on it."""
+    corner = lambda s, p: V.vec(f"{s}_{p}")
+    rows = _pairs_of_triangles(triangles, cell)
+    rows = _with(rows, **{f"{s}_n": V.cross(V.minus(corner(s, "b"), corner(s, "a")), V.minus(corner(s, "c"), corner(s, "a"))) for s in "ab"})
+    rows = _with(rows, d=V.cross(V.vec("a_n"), V.vec("b_n")))
+    off = {}
+    for s, o in (("a", "b"), ("b", "a")):
+        for p in "abc":
+            h = V.dot(V.vec(f"{o}_n"), V.minus(corner(s, p), corner(o, "a")))
+            off[f"{s}_h{p}"] = F.when(F.abs(h) <= eps * V.norm(V.vec(f"{o}_n")), F.lit(0.0)).otherwise(h)
+    # written, as a filter would else be pushed below the columns that it needs, each of them worked out again and again
+    rows = cut(rows.select("a", "b", *(f"{s}_{p}{k}" for s in "ab" for p in "abc" for k in "xyz"), "dx", "dy", "dz", *(h.alias(n) for n, h in off.items())))
+    h = lambda s, p: F.col(f"{s}_h{p}")
+    crosses = lambda s: (F.least(*(h(s, p) for p in "abc")) <= 0) & (F.greatest(*(h(s, p) for p in "abc")) >= 0) & (F.greatest(*(F.abs(h(s, p)) for p in "abc")) > 0)
+    rows = rows.where(crosses("a") & crosses("b") & (V.sqrnorm(V.vec("d")) > 0))
+
+    def met(s: str):
+        """Places where the triangle meets the line: corners on it, and edges between corners of both sides of the other plane."""
+        at = lambda p: F.struct(V.dot(V.vec("d"), p).alias("t"), *(x.alias(k) for k, x in zip("xyz", p, strict=True)))
+        found = [F.when(h(s, p) == 0, at(corner(s, p))) for p in "abc"]
+        for p, q in ("ab", "bc", "ca"):
+            cut = V.plus(corner(s, p), V.scaled(V.minus(corner(s, q), corner(s, p)), F.try_divide(h(s, p), h(s, p) - h(s, q))))
+            found.append(F.when(h(s, p) * h(s, q) < 0, at(cut)))
+        return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    rows = cut(rows.select("a", "b", met("a").alias("ma"), met("b").alias("mb")))
+    rows = rows.select("a", "b", F.greatest(F.array_min("ma"), F.array_min("mb")).alias("p"), F.least(F.array_max("ma"), F.array_max("mb")).alias("q"))
+    return rows.where(F.col("p.t") <= F.col("q.t")).select("a", "b", *(F.col(f"{e}.{k}").alias(e + k) for e in "pq" for k in "xyz"))
+
+
+def coplanar_pairs(triangles: DataFrame, cell: float, eps: float = 1e-12) -> DataFrame:
+    """(a, b): pairs of triangles in one plane that have a point in common, a < b: in the two axes along which the plane is
+    seen largest, none of their edges separates them. Triangles without an area count in no plane."""
+    corner = lambda s, p: V.vec(f"{s}_{p}")
+    rows = _pairs_of_triangles(triangles, cell)
+    rows = _with(rows, n=V.cross(V.minus(corner("a", "b"), corner("a", "a")), V.minus(corner("a", "c"), corner("a", "a"))), m=V.cross(V.minus(corner("b", "b"), corner("b", "a")), V.minus(corner("b", "c"), corner("b", "a"))))
+    flat = (V.sqrnorm(V.vec("n")) > 0) & (V.sqrnorm(V.vec("m")) > 0)
+    for p in "abc":
+        flat = flat & (F.abs(V.dot(V.vec("n"), V.minus(corner("b", p), corner("a", "a")))) <= eps * V.norm(V.vec("n")))
+        flat = flat & (F.abs(V.dot(V.vec("m"), V.minus(corner("a", p), corner("b", "a")))) <= eps * V.norm(V.vec("m")))
+    rows = rows.where(flat)
+    largest = F.greatest(*(F.abs(F.col("n" + k)) for k in "xyz"))
+    seen = lambda i, name: F.when(F.abs(F.col("nx")) == largest, F.col(name + "yz"[i])).when(F.abs(F.col("ny")) == largest, F.col(name + "xz"[i])).otherwise(F.col(name + "xy"[i]))
+    rows = rows.select("a", "b", *(seen(i, f"{s}_{p}").alias(f"{s}{p}{i}") for s in "ab" for p in "abc" for i in (0, 1)))
+    apart = F.lit(False)
+    for s, o in (("a", "b"), ("b", "a")):
+        for p, q, r in ("abc", "bca", "cab"):
+            u, v = (F.col(f"{s}{q}{i}") - F.col(f"{s}{p}{i}") for i in (0, 1))
+            side = lambda t, x: u * (F.col(f"{t}{x}1") - F.col(f"{s}{p}1")) - v * (F.col(f"{t}{x}0") - F.col(f"{s}{p}0"))  # noqa: B023, E731
+            own = side(s, r)
+            apart = apart | (F.greatest(*(side(o, x) * F.signum(own) for x in "abc")) < 0)
+    return rows.where(~apart).select("a", "b")
+
+
+def chained(segments: DataFrame, snap: float) -> DataFrame:
+    """(line_id, seq, x, y, z, closed): segments (px .. pz, qx .. qz) as polylines. Ends less than about `snap` apart are one point; a line goes on
+    where two segments meet and ends where one, or three and more do. A closed line comes back to its first point. Lines are
+    ordered by pointer jumping: each round a step's pointer to the step before it doubles its reach, so a line of k segments
+    takes log2(k) rounds. Segments of no length, and all but one of equal ones, are left out."""
+    key = lambda e: F.concat_ws(":", *(F.round(F.col(e + k) / snap).cast("long") for k in "xyz"))
+    node = lambda e: F.struct(key(e).alias("key"), *(F.col(e + k).alias(k) for k in "xyz"))
+    ends = segments.select(node("p").alias("p"), node("q").alias("q")).where("p.key <> q.key")
+    places = cut(ends.select(F.explode(F.array("p", "q")).alias("e")).groupBy(F.col("e.key").alias("node")).agg(F.min(F.struct("e.x", "e.y", "e.z")).alias("at")))
+    edges = cut(ends.select(F.least("p.key", "q.key").alias("u"), F.greatest("p.key", "q.key").alias("v")).distinct())
+    steps = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    degree = steps.groupBy("u").agg(F.count("*").alias("n"))
+    part = fixpoint.labels(places.select("node"), edges)
+    knots = degree.where("n <> 2").select(F.col("u").alias("node"))
+    # A part without a knot is one closed line: it begins at its least point.
+    tied = knots.join(part, "node").select("label").distinct()
+    knots = cut(knots.unionByName(part.select("label").distinct().join(tied, "label", "left_anti").select(F.col("label").alias("node"))))
+    before = steps.select(F.col("u").alias("from"), F.col("v").alias("u"))
+    inner = steps.join(knots, F.col("u") == F.col("node"), "left_anti").join(before, "u").where(F.col("from") != F.col("v"))
+    name = lambda a, b: F.concat_ws(">", a, b)
+    first = steps.join(knots, F.col("u") == F.col("node"), "left_semi").select("u", "v", name("u", "v").alias("step"), F.lit(None).cast("string").alias("up"), F.lit(0).cast("long").alias("seq"))
+    state = cut(first.unionByName(inner.select("u", "v", name("u", "v").alias("step"), name("from", "u").alias("up"), F.lit(1).cast("long").alias("seq"))).withColumn("head", F.coalesce("up", "step")))
+    while not state.where("up is not null").isEmpty():
+        back = state.select(F.col("step").alias("up"), F.col("up").alias("further"), F.col("seq").alias("more"), F.col("head").alias("start"))
+        now = state.join(back, "up", "left")
+        state = cut(now.select("u", "v", "step", F.col("further").alias("up"), (F.col("seq") + F.coalesce("more", F.lit(0))).alias("seq"), F.coalesce("start", "head").alias("head")))
+    # Each line was walked both ways: the way from the lesser end stays, around a closed line that by the lesser second point.
+    last = state.groupBy("head").agg(F.max(F.struct("seq", "u", "v")).alias("last"))
+    walk = state.where(F.col("step") == F.col("head")).join(last, "head").select("head", F.col("u").alias("begin"), F.col("v").alias("second"), F.col("last.v").alias("end"), F.col("last.u").alias("penult"))
+    kept = walk.where((F.col("begin") < F.col("end")) | (F.col("begin") == F.col("end")) & (F.col("second") <= F.col("penult")))
+    lines = state.join(kept.select("head", "begin", "end"), "head")
+    points = lines.select("head", (F.col("seq") + 1).alias("seq"), F.col("v").alias("node"), (F.col("begin") == F.col("end")).alias("closed"))
+    points = points.unionByName(kept.select("head", F.lit(0).cast("long").alias("seq"), F.col("begin").alias("node"), (F.col("begin") == F.col("end")).alias("closed")))
+    return points.join(places, "node").select(F.col("head").alias("line_id"), "seq", "at.x", "at.y", "at.z", "closed")
+
+
+def ray_cells(rays: DataFrame, cell: float, low, high) -> DataFrame:
+    """Rays (rid, ox .. oz, dx .. dz) once for each cell (kx, ky, kz) that they pass within the box `low` .. `high`, in any direction: the places
+    where a ray crosses the cells' borders along each axis, in order, and between two of them the cell of their middle."""
+    far = F.lit(1e300)
+    enter, leave, meets = [F.lit(0.0)], [far], F.lit(True)
+    for k, lo, hi in zip("xyz", low, high, strict=True):
+        o, d = F.col("o" + k), F.col("d" + k)
+        t0, t1 = F.try_divide(lo - o, d), F.try_divide(hi - o, d)
+        enter.append(F.coalesce(F.least(t0, t1), F.lit(0.0)))
+        leave.append(F.coalesce(F.greatest(t0, t1), far))
+        meets = meets & ((d != 0) | ((o >= lo) & (o <= hi)))
+    rows = rays.withColumn("t0", F.greatest(*enter)).withColumn("t1", F.least(*leave)).where(meets & (F.col("t0") <= F.col("t1")) & (F.col("t1") < far))
+    borders = []
+    for k in "xyz":
+        o, d = F.col("o" + k), F.col("d" + k)
+        a, b = ((o + F.col(t) * d) / cell for t in ("t0", "t1"))
+        at = F.transform(F.sequence(F.ceil(F.least(a, b)), F.floor(F.greatest(a, b))), lambda i: (i * float(cell) - o) / d)  # noqa: B023
+        borders.append(F.when((d != 0) & (F.ceil(F.least(a, b)) <= F.floor(F.greatest(a, b))), at).otherwise(F.expr("cast(array() as array<double>)")))
+    ts = F.array_sort(F.array_distinct(F.concat(F.array("t0", "t1"), F.filter(F.concat(*borders), lambda t: (t > F.col("t0")) & (t < F.col("t1"))))))
+    rows = rows.withColumn("ts", ts)
+    middles = F.transform(F.slice("ts", 1, F.greatest(F.size("ts") - 1, F.lit(1))), lambda t, i: (t + F.coalesce(F.try_element_at("ts", i + 2), t)) / 2)
+    rows = rows.withColumn("t", F.explode(middles))
+    return rows.select(*rays.columns, *(F.floor((F.col("o" + k) + F.col("t") * F.col("d" + k)) / cell).alias("k" + k) for k in "xyz")).distinct()
+
+
+def ray_hits(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
+    """(rid, n_hits, fid, t): how many triangles (fid, ax .. cz) each ray (rid, ox .. oz, dx .. dz) meets, and the first (ties: the smallest
+    fid) with the ray's parameter there; rays without a hit have none and nulls. Rays walk the cells of the grid, triangles lie
+    in the cells that their boxes touch; the test is watertight, so a ray through a shared edge meets a side of it."""
+    lo, hi = G.bounds(V.vec("a"), V.vec("b"), V.vec("c"))
+    ends = triangles.agg(*(F.min(x).alias("lo" + k) for k, x in zip("xyz", lo)), *(F.max(x).alias("hi" + k) for k, x in zip("xyz", hi))).first()
+    if ends.lox is None:
+        return rays.select("rid", F.lit(0).cast("long").alias("n_hits"), F.lit(None).cast("long").alias("fid"), F.lit(None).cast("double").alias("t"))
+    cells = ray_cells(rays.select("rid", *(p + k for p in "od" for k in "xyz")), cell, *([ends[e + k] + s * cell for k in "xyz"] for e, s in (("lo", -0.5), ("hi", 0.5))))
+    spread = triangles.select("fid", *(p + k for p in "abc" for k in "xyz"))
+    for k, x, y in zip("xyz", lo, hi, strict=True):
+        # a little wider, so that a triangle along a border is in the cells on both sides
+        spread = spread.withColumn("k" + k, F.explode(F.sequence(F.floor(x / cell - 1e-6), F.floor(y / cell + 1e-6))))
+    hit = G.watertight_hit(V.vec("o"), V.vec("d"), V.vec("a"), V.vec("b"), V.vec("c"))
+    keys = ["kx", "ky", "kz"]
+    spread, cells = salted(spread, cells.withColumn("pid", F.col("rid")), keys)
+    met = cells.join(spread, [*keys, "_salt"]).select("rid", "fid", hit.alias("t")).where("t is not null").groupBy("rid", "fid").agg(F.min("t").alias("t"))
+    found = met.groupBy("rid").agg(F.count("*").alias("n_hits"), F.min(F.struct("t", "fid")).alias("m"))
+    return rays.select("rid").join(found, "rid", "left").select("rid", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.col("m.fid").alias("fid"), F.col("m.t").alias("t"))
+
+
+def surface_distance(left: DataFrame, right: DataFrame, cell: float, tolerance: float) -> DataFrame:
+    """One row (lower, upper): bounds of the largest distance from a point of the surface `left` to the surface `right` (both fid, ax .. cz),
+    at most `tolerance` apart. A triangle's distance is at least that of its farthest corner, and at most that plus its longest
+    side over the root of three, as no point of it is farther than this from its nearest corner. Each round quarters only
+    the triangles that may still raise the result. Null for an empty surface."""
+    at = lambda p: F.struct(*(F.col(p + k).alias(k) for k in "xyz"))
+    open_, lower = cut(left.select(*(at(p).alias(p) for p in "abc"))), None
+    if open_.isEmpty() or right.isEmpty():
+        return left.sparkSession.createDataFrame([(None, None)], "lower double, upper double")
+    point = lambda s: tuple(F.col(s)[k] for k in "xyz")
+    while True:
+        named = cut(open_.withColumn("tid", F.xxhash64("a", "b", "c")).dropDuplicates(["a", "b", "c"]))
+        corners = named.select(F.explode(F.array("a", "b", "c")).alias("p")).distinct()
+        corners = cut(corners.select("p", F.concat_ws(":", "p.x", "p.y", "p.z").alias("pid"), "p.x", "p.y", "p.z"))
+        # what is left is no nearer than about the bound so far: a search that starts there seldom has to widen
+        near = cut(nearest_triangle(corners, right, max(cell, lower or 0.0)).join(corners.select("pid", "p"), "pid").select("p", "d"))
+        rows = named
+        for p in "abc":
+            rows = rows.join(near.select(F.col("p").alias(p), F.col("d").alias("d" + p)), p)
+        side = F.greatest(*(V.distance(point(p), point(q)) for p, q in ("ab", "bc", "ca")))
+        rows = cut(rows.withColumn("least", F.greatest("da", "db", "dc")).withColumn("most", F.col("least") + side / math.sqrt(3)))
+        found = rows.agg(F.max("least").alias("least"), F.max("most").alias("most")).first()
+        lower = found.least if lower is None else max(lower, found.least)
+        rest = rows.where(F.col("most") > lower + tolerance)
+        if rest.isEmpty():
+            return left.sparkSession.createDataFrame([(lower, max(lower, min(lower + tolerance, found.most)))], "lower double, upper double")
+        mid = lambda p, q: F.struct(*(((F.col(p)[k] + F.col(q)[k]) / 2).alias(k) for k in "xyz"))
+        rest = rest.select("a", "b", "c", mid("a", "b").alias("u"), mid("b", "c").alias("v"), mid("c", "a").alias("w"))
+        four = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.col(z).alias("c")) for x, y, z in ("auw", "ubv", "wvc", "uvw")])
+        open_ = rest.select(F.explode(four).alias("t")).select("t.*")
