@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import planes, squeeze, texts, unplanes, unsqueeze
+from .common import fields, packed, planes, q, squeeze, texts, unplanes, unsqueeze
 
 CHUNK_CHARS = 7_000_000
 
@@ -176,24 +176,24 @@ def _reassemble(schema: pa.Schema, table=None):
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: list[str] = ("doc_id",), buckets: int | None = None, chunk_chars: int = CHUNK_CHARS, decoded: bool = False) -> DataFrame:
-    """The `keep` columns and `ids`, the token ids as little-endian unsigned 32-bit integers.
+    """The `keep` columns, whatever their names, and `ids`, the token ids as little-endian unsigned 32-bit integers.
 
     Each match of `pattern` is encoded by itself, without special tokens. Null and empty texts have no ids. With
     `decoded`, a column of that name has what `decode` gives for the ids, in the same pass.
     """
     spark = docs.sparkSession
     buckets = buckets or max(48, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    source = docs.select(*(docs[c] for c in keep), docs[text].alias("_text"))
+    source = docs.select(packed(docs, list(keep)).alias("row"), docs[q(text)].alias("_text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # One exchange of the compact chunks, read twice: for their dictionaries, and to put the documents together.
-    packed = source.mapInArrow(_chunks(Splitter(pattern), buckets, chunk_chars), "kind string, chunk long, bucket int, blob binary").repartition(n, "chunk")
-    words = packed.mapInArrow(_dictionaries, "bucket int, chunk long, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    chunks = source.mapInArrow(_chunks(Splitter(pattern), buckets, chunk_chars), "kind string, chunk long, bucket int, blob binary").repartition(n, "chunk")
+    words = chunks.mapInArrow(_dictionaries, "bucket int, chunk long, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     ids = words.mapInArrow(_encode_words(spark.sparkContext.broadcast(ranks)), "chunk long, blob binary")
-    out = T.StructType([docs.schema[c] for c in keep]).add("ids", T.BinaryType())
+    out = T.StructType([source.schema["row"]]).add("ids", T.BinaryType())
     table = spark.sparkContext.broadcast(token_bytes(ranks)) if decoded else None
     if decoded:
         out = out.add("decoded", T.BinaryType())
-    return packed.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_reassemble(to_arrow_schema(out), table), out)
+    return chunks.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_reassemble(to_arrow_schema(out), table), out).select(*fields("row", list(keep)), "ids", *(["decoded"] if decoded else []))
 
 
 def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:

@@ -104,3 +104,14 @@ def test_one_cut_far_from_the_middle(cut_at):
     b_ends = np.sort(np.array([*(a_ends - 1)[1:], a_ends[cut_at], a_ends[-1]]))
     got = align.cuts(a_ends, b_ends, np.array([0]), np.array([len(a_ends)]))
     assert np.flatnonzero(got).tolist() == sorted({cut_at, len(a_ends) - 1})
+
+
+def test_encoding_keeps_columns_of_any_name(spark):
+    from polyspan.llm import bpe
+
+    rows = [(i, t, 1.5, "k", b"x") for i, t in enumerate(ODD)]
+    docs = spark.createDataFrame(rows, "`a.b` long, `te xt` string, `_text` double, kind string, ids binary").repartition(3)
+    ranks, pattern = queries.vocabulary()
+    got = bpe.encode(docs, ranks, pattern, text="te xt", keep=["a.b", "_text", "kind"], decoded=True)
+    assert got.columns == ["a.b", "_text", "kind", "ids", "decoded"]
+    assert {(r[0], r[1], r[2], bytes(r[4])) for r in got.collect()} == {(i, 1.5, "k", (t or "").encode()) for i, t in enumerate(ODD)}
