@@ -11,6 +11,7 @@ from ..functions import geometry as G
 from ..functions import vector as V
 from . import mesh
 from .grids import shifted
+from .distances import distance_by_terms, triangle_terms
 from .joins import knn_join
 from .lineage import cut
 from .surface import hits_above
@@ -50,20 +51,10 @@ def mesh_field(triangles: DataFrame, cell: float, band: float) -> DataFrame:
     alone is worked out before its nodes are, and terms are columns of their own, so that none is computed twice."""
     a, b, c = V.vec("a"), V.vec("b"), V.vec("c")
     lo, hi = G.bounds(a, b, c)
-    named = lambda name, v: [x.alias(name + k) for k, x in zip("xyz", v, strict=True)]
-    u, v, w, n, p = (V.vec(k) for k in "uvwnp")
-    t = triangles.select(*named("a", a), *named("u", V.minus(b, a)), *named("v", V.minus(c, a)), *named("w", V.minus(c, b)), *(F.struct(F.ceil((x - band) / cell).alias("lo"), F.floor((y + band) / cell).alias("hi")).alias("r" + k) for k, x, y in zip("xyz", lo, hi, strict=True)))
-    t = t.select("*", V.sqrnorm(u).alias("uu"), V.dot(u, v).alias("uv"), V.sqrnorm(v).alias("vv"), V.sqrnorm(w).alias("ww"), *named("m", V.cross(u, v)))
-    t = t.withColumn("size", V.norm(V.vec("m"))).select("*", *named("n", tuple(F.try_divide(x, F.col("size")) for x in V.vec("m"))))
+    t = triangle_terms(triangles, [F.struct(F.ceil((x - band) / cell).alias("lo"), F.floor((y + band) / cell).alias("hi")).alias("r" + k) for k, x, y in zip("xyz", lo, hi, strict=True)])
     for k in "xyz":
         t = t.where(F.col(f"r{k}.lo") <= F.col(f"r{k}.hi")).withColumn("i" + k, F.explode(F.sequence(F.col(f"r{k}.lo"), F.col(f"r{k}.hi"))))
-    t = t.select("*", *((F.col("i" + k) * float(cell) - F.col("a" + k)).alias("p" + k) for k in "xyz"))
-    t = t.select("*", V.dot(p, u).alias("pu"), V.dot(p, v).alias("pv"), V.dot(V.minus(p, u), w).alias("pw"))
-    area = F.col("size") * F.col("size")
-    along = lambda x, y: F.coalesce(G.clamp(F.try_divide(F.col(x), F.col(y)), 0.0, 1.0), F.lit(0.0))
-    t = t.select("*", F.try_divide(F.col("vv") * F.col("pu") - F.col("uv") * F.col("pv"), area).alias("g"), F.try_divide(F.col("uu") * F.col("pv") - F.col("uv") * F.col("pu"), area).alias("h"), along("pu", "uu").alias("s"), along("pv", "vv").alias("t"), along("pw", "ww").alias("q"))
-    off = lambda d, k, e: V.sqrnorm(tuple(x - F.col(k) * y for x, y in zip(d, e, strict=True)))
-    d = F.when((F.col("g") >= 0) & (F.col("h") >= 0) & (F.col("g") + F.col("h") <= 1), F.abs(V.dot(p, n))).otherwise(F.sqrt(F.least(off(p, "s", u), off(p, "t", v), off(V.minus(p, u), "q", w))))
+    t, d = distance_by_terms(t, tuple(F.col("i" + k) * float(cell) for k in "xyz"))
     return t.select("ix", "iy", "iz", d.alias("d")).groupBy("ix", "iy", "iz").agg(F.min("d").alias("value")).where(F.col("value") <= band)
 
 

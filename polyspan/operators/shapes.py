@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import vector as V
+from .distances import distance_by_terms, triangle_terms
 from .joins import extent
 from .lineage import cut
 
@@ -174,12 +175,12 @@ def nearest_triangle(points: DataFrame, triangles: DataFrame, cell: float) -> Da
     whole, size, open_, done = extent(points, corners) * 3**0.5, cell, points.select("pid", "x", "y", "z"), None
     steps = F.array(*[F.struct(*(F.lit(d).alias("d" + k) for k, d in zip("xyz", s, strict=True))) for s in itertools.product((-1, 0, 1), repeat=3)])
     while True:
-        spread = triangles.select("fid", *(p + k for p in "abc" for k in "xyz"))
-        for k, x, y in zip("xyz", lo, hi, strict=True):
-            spread = spread.withColumn("k" + k, F.explode(F.sequence(F.floor(x / size), F.floor(y / size))))
-        near = open_.withColumn("_s", F.explode(steps)).select("pid", "x", "y", "z", *((F.floor(F.col(k) / size) + F.col("_s.d" + k)).alias("k" + k) for k in "xyz"))
-        d = G.triangle_distance(V.vec(""), a, b, c)
-        found = near.join(spread, ["kx", "ky", "kz"]).select("pid", "fid", d.alias("d")).groupBy("pid").agg(F.min(F.struct("d", "fid")).alias("m")).select("pid", F.col("m.fid").alias("fid"), F.col("m.d").alias("d"))
+        spread = triangle_terms(triangles, ["fid", *(F.sequence(F.floor(x / size), F.floor(y / size)).alias("r" + k) for k, x, y in zip("xyz", lo, hi, strict=True))])
+        for k in "xyz":
+            spread = spread.withColumn("k" + k, F.explode("r" + k)).drop("r" + k)
+        near = open_.withColumn("_s", F.explode(steps)).select("pid", *(F.col(k).alias("o" + k) for k in "xyz"), *((F.floor(F.col(k) / size) + F.col("_s.d" + k)).alias("k" + k) for k in "xyz"))
+        met, d = distance_by_terms(near.join(spread, ["kx", "ky", "kz"]), V.vec("o"))
+        found = met.select("pid", "fid", d.alias("d")).groupBy("pid").agg(F.min(F.struct("d", "fid")).alias("m")).select("pid", F.col("m.fid").alias("fid"), F.col("m.d").alias("d"))
         if size > whole:
             return found if done is None else done.unionByName(found)
         sure = cut(found.where(F.col("d") <= size))
