@@ -52,13 +52,20 @@ def new_shared_path(spark: SparkSession, what: str) -> str:
     return _paths[-1]
 
 
-def clean_up(spark: SparkSession) -> None:
-    """Delete all tables that operators of this process have written to the shared folder. Their results cannot be read
-    after that: write them first."""
+def made_since(n: int) -> list[str]:
+    """The tables that operators of this process have written to the shared folder, without the first `n`."""
+    return _paths[n:]
+
+
+def clean_up(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete tables of the shared folder, all that operators of this process have written if none are named. Results that
+    read them cannot be read after that: write them first."""
     jvm = spark.sparkContext._jvm
-    while _paths:
-        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+    for at in made_since(0) if paths is None else paths:
+        path = jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if at in _paths:
+            _paths.remove(at)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -384,6 +384,40 @@ def _nodes(distinct: DataFrame, node_size: int) -> DataFrame:
     return nodes.where(F.col("held") <= node_size).drop("held").unionByName(_shared_nodes(finer).drop("held"))
 
 
+def with_partner(fp: np.ndarray, size: np.ndarray, firsts: np.ndarray, bits: int, least: float) -> np.ndarray:
+    """Which members of groups (firsts: where each starts) have another within `bits` in their group whose size allows a
+    similarity of `least`: no other member can have a link there. Members look at the next few first, all small
+    groups of a batch at once; then those of larger groups at all others, in blocks."""
+
+    def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (np.bitwise_count(fp[a] ^ fp[b]) <= bits) & (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9)
+
+    n, found = len(fp), np.zeros(len(fp), bool)
+    ends = np.append(firsts[1:], n)
+    end = np.repeat(ends, ends - firsts)
+    for step in range(1, _FAN):
+        a = np.flatnonzero(np.arange(n) + step < end)
+        a = a[fits(a, a + step)]
+        found[a] = found[a + step] = True
+    for a, z in zip(firsts[ends - firsts > _FAN].tolist(), ends[ends - firsts > _FAN].tolist()):
+        for low in range(a, z, 2048):
+            open_ = a + np.flatnonzero(~found[a:z])
+            others = np.arange(low, min(z, low + 2048))
+            for part in np.array_split(open_, len(open_) // 512 + 1):
+                near = fits(part[:, None], others[None, :]) & (part[:, None] != others[None, :])
+                found[part[near.any(axis=1)]] = True
+    return found
+
+
+def _partnered(bits: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, firsts in whole_groups(batches, ["node"]):
+            fp, size = np.ascontiguousarray(rows.column("fp").to_numpy()).view(np.uint64), rows.column("size").to_numpy()
+            yield from rows.filter(pa.array(with_partner(fp, size, firsts, bits, least))).combine_chunks().to_batches()
+
+    return run
+
+
 def node_links(fp: np.ndarray, size: np.ndarray, tokens: list[np.ndarray], bits: int, least: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of a node's members (in Gray order) within `bits` and of similarity `least`. Members
     come in turn, those in the middle of the node first; each is compared with all later ones that are not yet in its part."""
@@ -465,11 +499,14 @@ def _similar(docs: DataFrame, text: str, doc_id: str, shingle: int, least: float
     distinct = table(sets.groupBy("key").agg(first.alias("first"), F.count("*").alias("rows"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("anchors").alias("anchors")), "distinct")
     # of the nodes that a large set shares it enters the NODES_A_SET first by value
     entered = F.when(F.col("size") <= SMALL_SET, ANCHORS * ANCHORS).otherwise(NODES_A_SET)
-    nodes = _nodes(distinct, node_size).groupBy("key", "fp", "size").agg(F.array_sort(F.collect_set("node")).alias("nodes")).withColumn("nodes", F.slice("nodes", F.lit(1), entered))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # without the shingles first: who has no partner in a node by fingerprint and size has no link there
+    shared = _nodes(distinct, node_size).select("node", "key", "fp", "size").repartition(n, "node").sortWithinPartitions("node")
+    viable = shared.mapInArrow(_partnered(bits, least), "node long, key long, fp long, size long")
+    nodes = viable.groupBy("key", "fp", "size").agg(F.array_sort(F.collect_set("node")).alias("nodes")).withColumn("nodes", F.slice("nodes", F.lit(1), entered))
     nodes = _shared_nodes(table(nodes.select("key", "fp", F.explode("nodes").alias("node")), "chosen")).drop("held")
     wanted = distinct.join(nodes.select("key").distinct(), "key").select("key", "first.doc_id", "first.text_hash")
     dealt = nodes.join(_tokens(rows, wanted, shingle), "key").select("node", "key", "fp", "tokens", gray_rank(F.col("fp")).alias("rank"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links_ = dealt.repartition(n, "node").sortWithinPartitions("node", "rank", "key").select("node", "key", "fp", "tokens").mapInArrow(_node_search(bits, least), "u long, v long")
     found = components(saved(links_.distinct()))
     return found, sets.select("doc_id", "text_hash", "key"), distinct.select("key", F.col("first.doc_id").alias("first_id"), F.col("rows").alias("n"))

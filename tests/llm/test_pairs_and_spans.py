@@ -76,3 +76,20 @@ def test_spans_as_one_like_a_plain_sweep(spark):
             else:
                 expected.append((a, z))
         assert got[k] == expected
+
+
+def test_partners_like_all_pairs():
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 60, 80)
+    sizes[:2] = 3000, 5000
+    fp = rng.integers(0, 1 << 63, sizes.sum()).astype(np.uint64)
+    size = rng.integers(10, 14, sizes.sum())
+    firsts = np.cumsum(sizes) - sizes
+    found = simhash.with_partner(fp, size, firsts, 17, 0.8)
+    for a, n in zip(firsts.tolist(), sizes.tolist()):
+        f, s = fp[a : a + n], size[a : a + n]
+        for i in range(n):
+            near = (np.bitwise_count(f ^ f[i]) <= 17) & (np.minimum(s, s[i]) >= 0.8 * np.maximum(s, s[i]) - 1e-9)
+            near[i] = False
+            assert found[a + i] == near.any()
+    assert 0 < found.sum() < len(fp)
