@@ -40,22 +40,23 @@ def stratified(points: DataFrame, by: str, n: int, seed: int = 0) -> DataFrame:
     return points.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def poisson_disc(points: DataFrame, radius: float, axes: str = "xyz", seed: int = 0) -> DataFrame:
-    """A maximal subset with no two points within `radius`: points of the smallest hash among their open neighbours are
-    taken and their neighbours dropped, until none is open."""
-    u = points.select("pid", *axes, unit_hash(F.col("pid"), seed=seed).alias("u"))
-    pairs = cut(radius_join(points, points, radius, axes).where("pid <> other").select("pid", "other"))
-    open_, taken = u.select("pid", "u"), None
+def poisson_disc(points: DataFrame, radius: float, axes: str = "xyz", seed: int = 0, by: list[str] = ()) -> DataFrame:
+    """A maximal subset (of each group `by`) with no two points within `radius`: points of the smallest hash among their
+    open neighbours are taken and their neighbours dropped, until none is open."""
+    key = [*by, "pid"]
+    u = points.select(*key, *axes, unit_hash(*(F.col(k) for k in key), seed=seed).alias("u"))
+    pairs = cut(radius_join(points, points, radius, axes, by).where("pid <> other").select(*key, "other"))
+    open_, taken = u.select(*key, "u"), None
     while True:
-        live = pairs.join(open_.select(F.col("pid").alias("other"), F.col("u").alias("ou")), "other").join(open_, "pid")
-        beaten = live.where((F.col("ou") < F.col("u")) | ((F.col("ou") == F.col("u")) & (F.col("other") < F.col("pid")))).select("pid").distinct()
-        won = cut(open_.join(beaten, "pid", "left_anti").select("pid"))
+        live = pairs.join(open_.select(*by, F.col("pid").alias("other"), F.col("u").alias("ou")), [*by, "other"]).join(open_, key)
+        beaten = live.where((F.col("ou") < F.col("u")) | ((F.col("ou") == F.col("u")) & (F.col("other") < F.col("pid")))).select(*key).distinct()
+        won = cut(open_.join(beaten, key, "left_anti").select(*key))
         taken = won if taken is None else taken.unionByName(won)
-        dead = pairs.join(won, "pid").select(F.col("other").alias("pid")).distinct()
-        open_ = cut(open_.join(won, "pid", "left_anti").join(dead, "pid", "left_anti"))
+        dead = pairs.join(won, key).select(*by, F.col("other").alias("pid")).distinct()
+        open_ = cut(open_.join(won, key, "left_anti").join(dead, key, "left_anti"))
         if open_.isEmpty():
             break
-    return points.join(taken, "pid", "left_semi")
+    return points.join(taken, key, "left_semi")
 
 
 def nearest_spacing(points: DataFrame, pairs: DataFrame) -> DataFrame:
