@@ -3,8 +3,10 @@
 The document frequency of every word of the licence templates is counted over the whole corpus. In each file the
 words of each template with the highest inverse document frequency are looked up in its positional postings; places
 that agree on a template and on the relative position (place in the file less place in the template) make a candidate
-alignment. A candidate is verified by the share of the template's words that stand where the alignment puts them and
-by the template's mandatory key phrases within that region.
+alignment. Neighbouring alignments of one template whose relative positions differ by at most `MOST_SHIFT` words are one
+candidate, as where a name of several words is filled in or a clause is numbered otherwise. A candidate is verified by the
+share of the template's words that stand in place, in the template's order, and by the template's mandatory key phrases
+within that region.
 
 Fixed phrases are found beside that, wherever their words stand consecutively. Null and empty texts have no words and
 no labels; rows are kept one to one, whatever their ids, and rows that repeat a text get equal results. With an empty
@@ -35,6 +37,11 @@ PHRASES = {
 }
 RARE = 12
 LEAST_SHARE = 0.7
+#: How many words may be put in or left out between two parts of a template, fewer than any clause that tells licences
+#: apart; and from how many words on a template may come in parts, as one-line notices have no room for a name.
+MOST_SHIFT, LONG = 12, 40
+#: The share of a template's words that one of several parts must have in place: more than unrelated text has by chance.
+LEAST_PART = 0.1
 
 
 def _words(text: str) -> list[bytes]:
@@ -63,8 +70,8 @@ def document_frequency(docs: DataFrame, words: list[bytes], text: str = "text")
 class Index:
     """Positional postings of the templates, with the words' inverse document frequencies."""
 
-    def __init__(self, frequency: dict[bytes, int], n_docs: int, templates=TEMPLATES, phrases=None, rare: int = RARE, least_share: float = LEAST_SHARE):
-        self.least = least_share
+    def __init__(self, frequency: dict[bytes, int], n_docs: int, templates=TEMPLATES, phrases=None, rare: int = RARE, least_share: float = LEAST_SHARE, most_shift: int = MOST_SHIFT):
+        self.least, self.shift = least_share, most_shift
         self.templates = [(name, label, _words(text), [_words(k) for k in keys]) for name, label, text, keys in templates]
         self.phrases = [(_words(p), label) for p, label in (PHRASES if phrases is None else phrases).items()]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
@@ -108,17 +115,62 @@ class Index:
         for p, w in enumerate(words):
             if w in postings:
                 votes.update((t, p - q) for t, q in postings[w])
-        found = []
+        found, places = [], defaultdict(list)
         for (t, at), n in votes.items():
             if n < 2:
                 continue
-            _, label, template, keys = self.templates[t]
-            start, end = max(0, at), min(len(words), at + len(template))
-            share = sum(words[i] == template[i - at] for i in range(start, end)) / len(template)
-            if share >= self.least and all(self._at(words, k, start, end) for k in keys):
-                found.append((label, start, share))
+            share, start, end = self._rigid(words, t, at)
+            if share >= LEAST_PART:
+                places[t].append(at)
+            if share >= self.least and self._holds(words, t, start, end):
+                found.append((self.templates[t][1], start, share))
+        for t, at in places.items():
+            if len(self.templates[t][2]) >= LONG:
+                found += self._shifted(words, t, sorted(at), {m[1] for m in found if m[0] == self.templates[t][1]})
         return sorted(found, key=lambda m: (m[1], m[0]))
 
+    def _rigid(self, words: list[bytes], t: int, at: int) -> tuple[float, int, int]:
+        """The share of a template's words that stand in place if its first is at `at`, and the region."""
+        template = self.templates[t][2]
+        start, end = max(0, at), min(len(words), at + len(template))
+        return sum(words[i] == template[i - at] for i in range(start, end)) / len(template), start, end
+
+    def _holds(self, words: list[bytes], t: int, start: int, end: int) -> bool:
+        return all(self._at(words, k, start, end) for k in self.templates[t][3])
+
+    def _shifted(self, words: list[bytes], t: int, places: list[int], starts: set[int]) -> list[tuple[str, int, float]]:
+        """Matches of a template in parts: one for each run of places whose neighbours differ by at most the shift, unless a
+        rigid match starts in the run."""
+        _, label, template, _ = self.templates[t]
+        breaks = [i for i in range(1, len(places)) if places[i] - places[i - 1] > self.shift]
+        found = []
+        for i, z in zip([0, *breaks], [*breaks, len(places)], strict=True):
+            low, high = places[i], places[z - 1]
+            end = min(len(words), high + len(template))
+            if low == high or any(max(0, low) <= s <= max(0, high) for s in starts):
+                continue
+            opening = lambda at: sum(words[p] == template[p - at] for p in range(max(0, at), min(len(words), at + LONG // 2)))
+            start = max(0, max(places[i:z], key=lambda at: (opening(at), -at)))
+            share = in_order(words, template, low, high) / len(template)
+            if share >= self.least and self._holds(words, t, max(0, low), end):
+                found.append((label, start, share))
+        return found
+
+
+def in_order(words: list[bytes], template: list[bytes], low: int, high: int) -> int:
+    """How many of the template's words stand in their order in the text, each `low` to `high` places after its own in the
+    template: the longest common subsequence within a band of alignments."""
+    number = {w: i for i, w in enumerate(template)}
+    wide, n = high - low + 1, len(template)
+    text = np.full(n + wide, -1, np.int64)  # of the places low .. high + n
+    inside = range(max(0, low), min(len(words), high + n))
+    text[inside.start - low : inside.start - low + len(inside)] = [number.get(words[i], -1) for i in inside]
+    best = np.zeros(wide + 1, np.int64)  # the last stays zero: beyond the band
+    for q, w in enumerate(template):
+        met = best[:-1] + (text[q : q + wide] == number[w])
+        best[:-1] = np.maximum.accumulate(np.maximum(met, best[1:]))
+    return int(best[:-1].max(initial=0))
+
 
 _OUT = [
     T.StructField("n_words", T.LongType()),
@@ -127,13 +179,13 @@ _OUT = [
 ]
 
 
-def scan(docs: DataFrame, text: str = "text", keep: list[str] = ("doc_id",), templates=TEMPLATES, phrases=None, rare: int = RARE, least_share: float = LEAST_SHARE) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", keep: list[str] = ("doc_id",), templates=TEMPLATES, phrases=None, rare: int = RARE, least_share: float = LEAST_SHARE, most_shift: int = MOST_SHIFT) -> DataFrame:
     """The `keep` columns, n_words, phrases (start, label) and matches (label, start, share)."""
     frequency, n_docs = document_frequency(docs, [w for _, _, body, _ in templates for w in _words(body)], text)
     phrases = dict(PHRASES if phrases is None else phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(frequency, n_docs, templates, phrases, rare, least_share)
+        index = Index(frequency, n_docs, templates, phrases, rare, least_share, most_shift)
         of_interest = set(index.firsts) | set(index.postings)
         kinds = (pa.list_(pa.struct([("start", pa.int32()), ("label", pa.string())])), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("share", pa.float64())])))
         for batch in batches:
