@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from polyspan.operators import curvature, density, mesh, noise, surface
+from polyspan.operators.lineage import cut
 
 
 def flat_mesh(spark, point, nu, nv):
@@ -25,9 +26,9 @@ def sphere(spark, r, steps):
     centre = spark.createDataFrame([(0, 0.0, 0.0, 0.0, float(r))], "mesh_id long, x double, y double, z double, r double")
     v, f = surface.solids(centre, "octahedron")
     for _ in range(steps):
-        v, f = mesh.subdivide(v, f)
+        v, f = map(cut, mesh.subdivide(v, f))
     length = F.sqrt(sum((F.col(k) * F.col(k) for k in "xyz"), F.lit(0.0)))
-    return v.select("mesh_id", "vid", *((F.col(k) * r / length).alias(k) for k in "xyz")), f
+    return cut(v.select("mesh_id", "vid", *((F.col(k) * r / length).alias(k) for k in "xyz"))), f
 
 
 @pytest.mark.parametrize("rings", [1, 2])
