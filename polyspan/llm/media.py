@@ -150,9 +150,9 @@ def tensors(mel: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray,
 
 
 def tensor_batch(start: np.ndarray, end: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """One Arrow record batch: start, end and the fixed-shape tensors, as half-precision numbers."""
-    kind = pa.fixed_shape_tensor(pa.float16(), [FRAMES, MELS], dim_names=["frame", "mel"])
-    held = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(values.ravel().astype("<f2")), FRAMES * MELS))
+    """One Arrow record batch: start, end and the fixed-shape tensors, in the precision in which they are computed."""
+    kind = pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS], dim_names=["frame", "mel"])
+    held = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), FRAMES * MELS))
     return pa.RecordBatch.from_arrays([pa.array(start, pa.float64()), pa.array(end, pa.float64()), held], ["start", "end", "tensor"])
 
 
@@ -234,7 +234,7 @@ def features(stored: DataFrame, folder: str, media: str = "media") -> DataFrame:
 
 
 def with_tensors(found: DataFrame, folder: str, digest_only: bool = False) -> DataFrame:
-    """The rows of `features` with their tensors read back: `tensors`, an array of (start, end, values as float16 bytes),
+    """The rows of `features` with their tensors read back: `tensors`, an array of (start, end, values as float32 bytes),
     or, with `digest_only`, `tensors_sha256` over all of them, empty text without tensors."""
     rows = found.select(packed(found).alias("row"), "n_tensors", "tensor_file", "tensor_batch")
     piece = pa.struct([("start", pa.float64()), ("end", pa.float64()), ("values", pa.binary())])
