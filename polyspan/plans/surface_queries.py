@@ -46,6 +46,28 @@ def loop_subdivision(spark, sf_dir):
     return v.where("vid >= 0").select("vid", F.round("z", 9).alias("z"))
 
 
+def _loop_points() -> str:
+    """Places of all vertices after a Loop step: old ones by their rings, new ones by their edges and the corners opposite."""
+    beta = "(0.625 - pow(0.375 + 0.25 * cos(2 * pi() / n), 2))"
+    old = ", ".join(f"round(CASE WHEN n IS NULL THEN p.{k} WHEN rim THEN 0.75 * p.{k} + 0.125 * r{k} ELSE (1 - {beta}) * p.{k} + {beta} / n * s{k} END, 9) + 0.0 AS {k}" for k in "xyz")
+    new = ", ".join(f"round(CASE WHEN n_faces = 2 THEN 0.375 * (a.{k} + b.{k}) + 0.125 * w{k} ELSE (a.{k} + b.{k}) / 2 END, 9) + 0.0 AS {k}" for k in "xyz")
+    ring = ", ".join(f"sum(q.{k}) AS s{k}, sum(CASE WHEN n_faces = 1 THEN q.{k} END) AS r{k}" for k in "xyz")
+    return (
+        f"{W}, nb AS (SELECT e0 AS vid, e1 AS o, n_faces FROM edges UNION ALL SELECT e1, e0, n_faces FROM edges), "
+        f"sm AS (SELECT nb.vid, count(*) AS n, bool_or(n_faces = 1) AS rim, {ring} FROM nb JOIN verts q ON q.vid = o GROUP BY nb.vid), "
+        "op AS (SELECT v0 AS s, v1 AS e, v2 AS o FROM faces UNION ALL SELECT v1, v2, v0 FROM faces UNION ALL SELECT v2, v0, v1 FROM faces), "
+        "wg AS (SELECT least(s, e) AS e0, greatest(s, e) AS e1, sum(x) AS wx, sum(y) AS wy, sum(z) AS wz FROM op JOIN verts ON vid = o GROUP BY 1, 2) "
+        f"SELECT p.vid, {old} FROM verts p LEFT JOIN sm USING (vid) UNION ALL SELECT NULL, {new} FROM edges JOIN wg USING (e0, e1) JOIN verts a ON a.vid = e0 JOIN verts b ON b.vid = e1"
+    )
+
+
+@query("loop_subdivision_points", _loop_points())
+def loop_subdivision_points(spark, sf_dir):
+    """Places of all vertices after one step; new ones have no number in common with another engine."""
+    v, _ = surface.loop_subdivide(*B.heightfield(spark, sf_dir))
+    return v.select(F.when(F.col("vid") >= 0, F.col("vid")).alias("vid"), *((F.round(k, 9) + F.lit(0.0)).alias(k) for k in "xyz"))
+
+
 @query("feature_edges", f"{W}, {_UNIT}, hf AS (SELECT least(s, e) AS e0, greatest(s, e) AS e1, h.fid, nx, ny, nz FROM half h JOIN nrm USING (fid)) SELECT e0, e1, 'boundary' AS kind FROM edges WHERE n_faces = 1 UNION ALL SELECT a.e0, a.e1, 'angle' FROM hf a JOIN hf b ON a.e0 = b.e0 AND a.e1 = b.e1 AND a.fid < b.fid WHERE acos(greatest(-1.0, least(1.0, a.nx*b.nx + a.ny*b.ny + a.nz*b.nz))) > 1.0")
 def feature_edges(spark, sf_dir):
     v, f = B.heightfield(spark, sf_dir)
