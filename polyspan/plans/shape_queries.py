@@ -137,7 +137,27 @@ def isosurface_triangles(spark, sf_dir):
     return shapes.isosurface(B.volume(spark, sf_dir), 3.0).groupBy("ix", "iy", "iz").agg(F.count("*").alias("n"))
 
 
-@query("nearest_triangles")
+def _nearest_sql() -> str:
+    dot = lambda p, q: "(" + " + ".join(f"{p(k)} * {q(k)}" for k in "xyz") + ")"
+    way = lambda a, b: lambda k: f"({b}{k}-{a}{k})"
+    u, v, p = way("a", "b"), way("a", "c"), way("a", "o")
+    inner = ", ".join(f"{dot(*m)} AS d{n}" for n, m in (("00", (u, u)), ("01", (u, v)), ("11", (v, v)), ("20", (p, u)), ("21", (p, v))))
+    nx, ny, nz = (f"({u(i)} * {v(j)} - {u(j)} * {v(i)})" for i, j in (("y", "z"), ("z", "x"), ("x", "y")))
+
+    def side(a: str, b: str) -> str:
+        t = f"greatest(0.0, least(1.0, {dot(way(a, 'o'), way(a, b))} / {dot(way(a, b), way(a, b))}))"
+        return "sqrt(" + " + ".join(f"pow(o{k} - {a}{k} - {t} * ({b}{k}-{a}{k}), 2)" for k in "xyz") + ")"
+
+    plane = f"abs({p('x')} * nx + {p('y')} * ny + {p('z')} * nz) / sqrt(nx*nx + ny*ny + nz*nz)"
+    d = f"CASE WHEN v >= 0 AND w >= 0 AND v + w <= 1 THEN {plane} ELSE least({side('a', 'b')}, {side('b', 'c')}, {side('c', 'a')}) END"
+    return (
+        f"WITH o AS (SELECT pid, x / 8 AS ox, y / 8 AS oy, z / 8 AS oz FROM ({B.CLOUD})), t AS ({B.TRIANGLES}), m AS (SELECT *, {inner}, {nx} AS nx, {ny} AS ny, {nz} AS nz FROM o, t), "
+        f"w AS (SELECT *, (d11*d20 - d01*d21) / (d00*d11 - d01*d01) AS v, (d00*d21 - d01*d20) / (d00*d11 - d01*d01) AS w FROM m), e AS (SELECT pid, fid, {d} AS d FROM w) "
+        f"SELECT pid, fid, {sql6('d')} AS d FROM e QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d, fid) = 1"
+    )
+
+
+@query("nearest_triangles", _nearest_sql())
 def nearest_triangles(spark, sf_dir):
     """The nearest triangle of every point, against all triangles."""
     p = B.cloud(spark, sf_dir).select("pid", *((F.col(k) / 8).alias(k) for k in "xyz"))
