@@ -10,7 +10,7 @@ from ..operators.lineage import cut
 from . import bindings as B
 from .mesh_queries import _CORNERS, _UNIT, W
 from .registry import query
-from .shape_queries import _voronoi
+from .shape_queries import _voronoi_parts
 from .surface_queries import _COT
 
 
@@ -25,7 +25,7 @@ def sql5(x: str) -> str:
 _SIX = [(i, j) for i in range(3) for j in range(i, 3)]
 _SPOKES = "sp AS (SELECT e0 AS vid, e1 AS o, n_faces FROM edges UNION ALL SELECT e1, e0, n_faces FROM edges)"
 _RIM = "rim AS (SELECT DISTINCT vid FROM sp WHERE n_faces = 1)"
-_AREAS = "ar AS (" + _voronoi()[len(W) :].strip().replace("round(sum(area), 6) + 0.0 AS area", "sum(area) AS area") + ")"
+_AREAS = f"ar AS (SELECT vid, sum(area) AS area FROM ({_voronoi_parts()}) GROUP BY vid)"
 _NEAR = "cwo AS (SELECT e0 AS vid, e1 AS o, w FROM cw UNION ALL SELECT e1, e0, w FROM cw)"
 
 

@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import aggregate_queries, crossing_queries, curvature_queries, extent_queries, field_queries, file_queries, join_queries, mesh_queries, refine_queries, scalar_queries, sequence_queries, shape_queries, surface_queries, table_queries, terrain_queries, transform_queries  # noqa: F401
+    from . import aggregate_queries, crossing_queries, curvature_queries, extent_queries, field_queries, file_queries, join_queries, mesh_queries, normal_queries, refine_queries, scalar_queries, sequence_queries, shape_queries, surface_queries, table_queries, terrain_queries, transform_queries  # noqa: F401
 
 
 _load()

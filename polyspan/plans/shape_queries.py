@@ -164,15 +164,15 @@ def nearest_triangles(spark, sf_dir):
     return shapes.nearest_triangle(p, B.triangles(spark, sf_dir), 0.2).select("pid", "fid", r6(F.col("d")).alias("d"))
 
 
-def _voronoi() -> str:
+def _voronoi_parts() -> str:
     sq = lambda p, q: "(" + " + ".join(f"({q}{k}-{p}{k})*({q}{k}-{p}{k})" for k in "xyz") + ")"
     blunt = lambda at, p, q: "(" + " + ".join(f"({p}{k}-{at}{k})*({q}{k}-{at}{k})" for k in "xyz") + ") < 0"
     area = "0.5 * sqrt(pow((by-ay)*(cz-az) - (bz-az)*(cy-ay), 2) + pow((bz-az)*(cx-ax) - (bx-ax)*(cz-az), 2) + pow((bx-ax)*(cy-ay) - (by-ay)*(cx-ax), 2))"
     parts = [f"SELECT v{i} AS vid, CASE WHEN {blunt(p, r, s)} THEN {area} / 2 WHEN {blunt(r, p, s)} OR {blunt(s, p, r)} THEN {area} / 4 ELSE ({sq(p, r)} * ({_cot(s, p, r)}) + {sq(p, s)} * ({_cot(r, p, s)})) / 8 END AS area FROM tris" for i, (p, r, s) in enumerate((("a", "b", "c"), ("b", "c", "a"), ("c", "a", "b")))]
-    return f"{W} SELECT vid, {sql6('sum(area)')} AS area FROM ({' UNION ALL '.join(parts)}) GROUP BY vid"
+    return " UNION ALL ".join(parts)
 
 
-@query("voronoi_areas", _voronoi())
+@query("voronoi_areas", f"{W} SELECT vid, {sql6('sum(area)')} AS area FROM ({_voronoi_parts()}) GROUP BY vid")
 def voronoi_areas(spark, sf_dir):
     v, f = B.heightfield(spark, sf_dir)
     return shapes.voronoi_areas(mesh.placed(f, v)).select("vid", r6(F.col("area")).alias("area"))
