@@ -305,6 +305,9 @@ WIDE_BITS = 28  # a similarity of 0.8 is some 10 to 12 of 64 bits on average, wi
 NODES_A_SET = 12  # two sets of similarity 0.8 choose none in common once in 10 ** 9
 SMALL_SET = 48  # sets of so many shingles enter all their nodes
 ANCHORS = 24  # two sets of similarity 0.8 have none in common once in 10 ** 16
+SKETCH = 256  # bits
+_WORDS = SKETCH // 64
+_DEVIATIONS = 7.5  # a sketch of two sets of similarity 0.8 differs in more bits once in 10 ** 9
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -349,9 +352,19 @@ def anchors(distinct: np.ndarray, n: int = ANCHORS) -> np.ndarray:
     return distinct[order[np.concatenate([[True], np.diff(kind[order].astype(np.int64)) != 0])]]
 
 
+def sketch(distinct: np.ndarray) -> bytes:
+    """A bit for each of SKETCH classes of shingles: one of its least shingle, 0 if it has none. If the least of two sets
+    together is in both, as with a probability of their similarity, their bits are equal, else in one of two cases."""
+    bits = np.zeros(SKETCH, np.uint8)
+    kind = (distinct % np.uint64(SKETCH)).astype(np.int64)
+    least, at = np.unique(kind, return_index=True)  # `distinct` is sorted
+    bits[least] = distinct[at] // np.uint64(SKETCH) % np.uint64(2)
+    return np.packbits(bits).tobytes()
+
+
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_hash, key (a hash of the set of shingles), fp (of the set: no shingle counts twice), size and anchors of
-    every row. Equal sets have equal values."""
+    """doc_id, text_hash, key (a hash of the set of shingles), fp (of the set: no shingle counts twice), size, sketch and
+    anchors of every row. Equal sets have equal values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,9 +372,10 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
             out = batch.drop_columns(["text"]).append_column("key", pa.array([set_key(h) for h in sets], pa.int64()))
             out = out.append_column("fp", pa.array([_signed_of(_majority(h)) for h in sets], pa.int64()))
             out = out.append_column("size", pa.array([len(h) for h in sets], pa.int64()))
+            out = out.append_column("sketch", pa.array([sketch(h) for h in sets], pa.binary()))
             yield out.append_column("anchors", pa.array([anchors(h).view(np.int64) for h in sets], pa.list_(pa.int64())))
 
-    schema = T.StructType([rows.schema["doc_id"], rows.schema["text_hash"], *(T.StructField(n, T.LongType()) for n in ("key", "fp", "size")), T.StructField("anchors", T.ArrayType(T.LongType()))])
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["text_hash"], *(T.StructField(n, T.LongType()) for n in ("key", "fp", "size")), T.StructField("sketch", T.BinaryType()), T.StructField("anchors", T.ArrayType(T.LongType()))])
     return table(rows.select("doc_id", "text_hash", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema), "sets")
 
 
@@ -384,36 +398,62 @@ def _nodes(distinct: DataFrame, node_size: int) -> DataFrame:
     return nodes.where(F.col("held") <= node_size).drop("held").unionByName(_shared_nodes(finer).drop("held"))
 
 
-def with_partner(fp: np.ndarray, size: np.ndarray, firsts: np.ndarray, bits: int, least: float) -> np.ndarray:
-    """Which members of groups (firsts: where each starts) have another within `bits` in their group whose size allows a
-    similarity of `least`: no other member can have a link there. Members look at the next few first, all small
-    groups of a batch at once; then those of larger groups at all others, in blocks."""
+def candidates(fp: np.ndarray, size: np.ndarray, firsts: np.ndarray, bits: int, least: float, sketches: np.ndarray | None = None) -> np.ndarray:
+    """A member of the same part for each member of groups (firsts: where each starts), parts by pairs within `bits` in a
+    group whose sizes and sketches (a row of words a member, if given) allow a similarity of `least`: no other pair of the
+    group can be a link. Pairs a few places apart come first, for all groups of a batch at once; then all pairs of the
+    larger groups, in blocks, but those in one part already.
+
+    Sketches differ in no more bits than the sets in shingles, a bound that holds always, and hardly ever in many more
+    than the mean at a similarity of `least`."""
+    half = (1 - least) / 2
+    most = SKETCH * half + _DEVIATIONS * (SKETCH * half * (1 - half)) ** 0.5
 
     def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (np.bitwise_count(fp[a] ^ fp[b]) <= bits) & (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9)
 
-    n, found = len(fp), np.zeros(len(fp), bool)
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        if sketches is not None:
+            apart = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64)
+            alike = (apart <= most) & (apart <= (1 - least) / (1 + least) * (size[a] + size[b]) + 1e-9)
+            a, b = a[alike], b[alike]
+        forest.join(a, b)
+
+    n, forest = len(fp), _Forest(len(fp))
     ends = np.append(firsts[1:], n)
     end = np.repeat(ends, ends - firsts)
     for step in range(1, _FAN):
         a = np.flatnonzero(np.arange(n) + step < end)
         a = a[fits(a, a + step)]
-        found[a] = found[a + step] = True
+        join(a, a + step)
     for a, z in zip(firsts[ends - firsts > _FAN].tolist(), ends[ends - firsts > _FAN].tolist()):
-        for low in range(a, z, 2048):
-            open_ = a + np.flatnonzero(~found[a:z])
-            others = np.arange(low, min(z, low + 2048))
-            for part in np.array_split(open_, len(open_) // 512 + 1):
-                near = fits(part[:, None], others[None, :]) & (part[:, None] != others[None, :])
-                found[part[near.any(axis=1)]] = True
-    return found
+        for low in range(a, z, 1024):
+            others = np.arange(low, min(z, low + 1024))
+            for start in range(low, z, 256):
+                some = np.arange(start, min(z, start + 256))
+                i, j = np.nonzero(fits(some[:, None], others[None, :]) & (forest.find(some)[:, None] != forest.find(others)[None, :]))
+                join(some[i], others[j])
+            if len(np.unique(forest.find(np.arange(a, z)))) == 1:
+                break
+    return forest.find(np.arange(n))
+
+
+def with_partner(fp: np.ndarray, size: np.ndarray, firsts: np.ndarray, bits: int, least: float, sketches: np.ndarray | None = None) -> np.ndarray:
+    """Which members of groups are in a part of `candidates` with others."""
+    root = candidates(fp, size, firsts, bits, least, sketches)
+    return np.bincount(root, minlength=len(root))[root] > 1
 
 
 def _partnered(bits: int, least: float):
+    """Rows (node, key, fp, size, sketch) sorted by node in; those in a part with others, and a key of that part, out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, firsts in whole_groups(batches, ["node"]):
-            fp, size = np.ascontiguousarray(rows.column("fp").to_numpy()).view(np.uint64), rows.column("size").to_numpy()
-            yield from rows.filter(pa.array(with_partner(fp, size, firsts, bits, least))).combine_chunks().to_batches()
+            fp, size, key = (np.ascontiguousarray(rows.column(c).to_numpy()) for c in ("fp", "size", "key"))
+            sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, _WORDS)
+            root = candidates(fp.view(np.uint64), size, firsts, bits, least, sketches if bits < 64 else None)
+            found = np.bincount(root, minlength=len(root))[root] > 1
+            yield from rows.drop_columns(["sketch"]).append_column("root", pa.array(key[root])).filter(pa.array(found)).combine_chunks().to_batches()
 
     return run
 
@@ -496,15 +536,22 @@ def _similar(docs: DataFrame, text: str, doc_id: str, shingle: int, least: float
     rows = docs.select(docs[q(doc_id)].alias("doc_id"), _text_hash(docs, text).alias("text_hash"), docs[q(text)].alias("text")).where("doc_id is not null")
     sets = _sets(rows, shingle)
     first = F.min(F.struct("doc_id", "text_hash"))
-    distinct = table(sets.groupBy("key").agg(first.alias("first"), F.count("*").alias("rows"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("anchors").alias("anchors")), "distinct")
+    distinct = table(sets.groupBy("key").agg(first.alias("first"), F.count("*").alias("rows"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("anchors").alias("anchors")), "distinct")
     # of the nodes that a large set shares it enters the NODES_A_SET first by value
     entered = F.when(F.col("size") <= SMALL_SET, ANCHORS * ANCHORS).otherwise(NODES_A_SET)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # without the shingles first: who has no partner in a node by fingerprint and size has no link there
-    shared = _nodes(distinct, node_size).select("node", "key", "fp", "size").repartition(n, "node").sortWithinPartitions("node")
-    viable = shared.mapInArrow(_partnered(bits, least), "node long, key long, fp long, size long")
-    nodes = viable.groupBy("key", "fp", "size").agg(F.array_sort(F.collect_set("node")).alias("nodes")).withColumn("nodes", F.slice("nodes", F.lit(1), entered))
+    # without the shingles first: who has no partner in a node by fingerprint, size and sketch has no link there
+    shared = _nodes(distinct, node_size).join(distinct.select("key", "sketch"), "key").select("node", "key", "fp", "size", "sketch").repartition(n, "node").sortWithinPartitions("node")
+    viable = table(shared.mapInArrow(_partnered(bits, least), "node long, key long, fp long, size long, root long"), "viable")
+    # all links of a set are in its part of the candidates: up to node_size sets meet there, once each, and others in nodes
+    parts = table(components(viable.select(F.col("key").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "key"), "parts")
+    counts = table(parts.groupBy("component").agg(F.count("*").alias("held")), "counts")
+    parts = table(join_hot(parts, counts.withColumn("weight", F.col("held")), ["component"], "weight", parts.count()), "sized")
+    meeting = parts.where(F.col("held") <= node_size).join(distinct.select("key", "fp"), "key").select("component", "key", "fp")
+    crowd = viable.join(parts.where(F.col("held") > node_size).select("key"), "key", "left_semi")
+    nodes = crowd.groupBy("key", "fp", "size").agg(F.array_sort(F.collect_set("node")).alias("nodes")).withColumn("nodes", F.slice("nodes", F.lit(1), entered))
     nodes = _shared_nodes(table(nodes.select("key", "fp", F.explode("nodes").alias("node")), "chosen")).drop("held")
+    nodes = table(nodes.select("node", "key", "fp").unionByName(meeting.select(F.col("component").alias("node"), "key", "fp")), "meeting")
     wanted = distinct.join(nodes.select("key").distinct(), "key").select("key", "first.doc_id", "first.text_hash")
     dealt = nodes.join(_tokens(rows, wanted, shingle), "key").select("node", "key", "fp", "tokens", gray_rank(F.col("fp")).alias("rank"))
     links_ = dealt.repartition(n, "node").sortWithinPartitions("node", "rank", "key").select("node", "key", "fp", "tokens").mapInArrow(_node_search(bits, least), "u long, v long")
@@ -515,7 +562,7 @@ def _similar(docs: DataFrame, text: str, doc_id: str, shingle: int, least: float
 def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = WIDE_SHINGLE, least: float = LEAST, bits: int = WIDE_BITS, node_size: int = NODE_SIZE) -> DataFrame:
     """doc_id, key and component_id: the smallest doc_id that links of a Jaccard similarity of `least` or more on word
     shingles reach. Links are sought among texts that share an anchor (the least shingle of one of 24 classes), in the
-    Gray order of their fingerprints within `bits` (64: all of a node), and checked by all their shingles, as 32-bit hashes. Texts of no words are one
+    Gray order of their fingerprints within `bits` and by sketches (64: all of a node), and checked by all their shingles, as 32-bit hashes. Texts of no words are one
     group; null counts as empty. One row for each document with an id."""
     found, members, distinct = _similar(docs, text, doc_id, shingle, least, bits, node_size)
     return _named(found, members, distinct, "key").select(F.col("doc_id").alias(doc_id), "key", "component_id")
