@@ -263,8 +263,8 @@ def _text_hash(docs: DataFrame, text: str):
 
 def _one_row_each(docs: DataFrame, groups: DataFrame, text: str, doc_id: str) -> DataFrame:
     """The documents that come first in their group by (id, text hash): `groups` has doc_id, text_hash, key and
-    component_id of every row. Rows without an id stay. Only short rows are shuffled: Spark sends the list of the rows
-    to drop to the texts while it is small, by its own size check on the table."""
+    component_id of every row. Rows without an id stay. Texts meet the list of the rows to drop, which has no bound, by
+    shuffle at any size, so that small tables are worked on as large ones are."""
     groups = table(groups.where("doc_id is not null").select("doc_id", "text_hash", "component_id"), "groups")
     rows = groups.groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n_rows"))
@@ -272,7 +272,7 @@ def _one_row_each(docs: DataFrame, groups: DataFrame, text: str, doc_id: str) ->
     judged = table(join_hot(rows, first, ["component_id"], "n_rows", rows.count()).select("doc_id", "text_hash", "n", (F.col("first") == F.struct("doc_id", "text_hash")).alias("stays")), "judged")
     out = docs.select(packed(docs).alias("row"), docs[q(doc_id)].alias("doc_id"), _text_hash(docs, text).alias("text_hash"))
     # one text in two components of one id cannot be: equal texts are in one group
-    kept = out.join(table(judged.where("not stays").select("doc_id", "text_hash"), "dropped"), ["doc_id", "text_hash"], "left_anti")
+    kept = out.join(table(judged.where("not stays").select("doc_id", "text_hash"), "dropped").hint("merge"), ["doc_id", "text_hash"], "left_anti")
     again = table(judged.where("stays and n > 1").select("doc_id", "text_hash"), "again")
     if not again.isEmpty():
         same = kept.join(again, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
@@ -527,7 +527,7 @@ def _tokens(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             found = [np.unique((shingle_hashes(t, shingle) >> np.uint64(32)).astype("<u4")).tobytes() for t in raw_texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary())], ["key", "tokens"])
 
-    bodies = rows.join(table(wanted, "wanted"), ["doc_id", "text_hash"]).select("key", F.col("text").cast("binary").alias("text"))
+    bodies = rows.join(table(wanted, "wanted").hint("merge"), ["doc_id", "text_hash"]).select("key", F.col("text").cast("binary").alias("text"))
     return table(bodies.mapInArrow(again, "key long, tokens binary").dropDuplicates(["key"]), "tokens")
 
 

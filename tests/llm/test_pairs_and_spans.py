@@ -182,3 +182,11 @@ def test_large_parts_meet_in_nodes(spark, monkeypatch, node_size):
     group, rows = sent(spark, monkeypatch, texts, node_size=node_size)
     assert [group[i] for i in range(120)] == [30 * (i // 30) for i in range(120)]
     assert rows == 120 if node_size == 4096 else rows > 120
+
+
+def test_texts_meet_lists_without_a_bound_by_shuffle(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "u v w x y z")], "doc_id long, text string")
+    kept = simhash.one_of_each_similar(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
