@@ -1,5 +1,6 @@
 """Distances of points to triangles in steps: what depends on the triangle alone before the points come, and every term as a
-column of its own, so that none is computed twice."""
+column of its own, so that none is computed twice. Sums and products are in the order of `functions.geometry`'s plain forms
+as SQL writes them, so that both round alike."""
 
 from __future__ import annotations
 
@@ -15,22 +16,27 @@ def _named(name: str, v: V.Vector) -> list[Column]:
 
 
 def triangle_terms(triangles: DataFrame, more: list) -> DataFrame:
-    """The columns `more` of triangles (ax .. cz), the corner a, and terms of the sides and the plane."""
+    """The columns `more` of triangles (ax .. cz), their corners, and terms of the sides and the plane."""
     a, b, c = V.vec("a"), V.vec("b"), V.vec("c")
     u, v, w = (V.vec(k) for k in "uvw")
-    t = triangles.select(*more, *_named("a", a), *_named("u", V.minus(b, a)), *_named("v", V.minus(c, a)), *_named("w", V.minus(c, b)))
+    t = triangles.select(*more, *_named("a", a), *_named("b", b), *_named("c", c), *_named("u", V.minus(b, a)), *_named("v", V.minus(c, a)), *_named("w", V.minus(c, b)))
     t = t.select("*", V.sqrnorm(u).alias("uu"), V.dot(u, v).alias("uv"), V.sqrnorm(v).alias("vv"), V.sqrnorm(w).alias("ww"), *_named("m", V.cross(u, v)))
-    return t.withColumn("size", V.norm(V.vec("m"))).select("*", *_named("n", tuple(F.try_divide(x, F.col("size")) for x in V.vec("m"))))
+    return t.select("*", V.norm(V.vec("m")).alias("size"), (F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")).alias("area"))
 
 
-def distance_by_terms(rows: DataFrame, point: V.Vector) -> tuple[DataFrame, Column]:
-    """Rows of `triangle_terms` with a point each, widened by the terms of both; and the distance as a column over them: to the plane
-    where the projection lies inside, else to the nearest side."""
-    u, v, w, n, p = (V.vec(k) for k in "uvwnp")
-    t = rows.select("*", *_named("p", V.minus(point, V.vec("a"))))
-    t = t.select("*", V.dot(p, u).alias("pu"), V.dot(p, v).alias("pv"), V.dot(V.minus(p, u), w).alias("pw"))
-    area = F.col("size") * F.col("size")
+def distance_by_terms(rows: DataFrame, point: V.Vector) -> DataFrame:
+    """Rows of `triangle_terms` with a point each, and `d`, the distance: to the plane where the projection lies inside, else
+    to the nearest side."""
+    a, b, c, u, v, w, m, p, r, s = (V.vec(k) for k in "abcuvwmprs")
+    t = rows.select("*", *_named("o", point))
+    o = V.vec("o")
+    t = t.select("*", *_named("p", V.minus(o, a)), *_named("r", V.minus(o, b)), *_named("s", V.minus(o, c)))
+    t = t.select("*", V.dot(p, u).alias("pu"), V.dot(p, v).alias("pv"), V.dot(r, w).alias("rw"), (-V.dot(s, v)).alias("sv"))
     along = lambda x, y: F.coalesce(G.clamp(F.try_divide(F.col(x), F.col(y)), 0.0, 1.0), F.lit(0.0))
-    t = t.select("*", F.try_divide(F.col("vv") * F.col("pu") - F.col("uv") * F.col("pv"), area).alias("g"), F.try_divide(F.col("uu") * F.col("pv") - F.col("uv") * F.col("pu"), area).alias("h"), along("pu", "uu").alias("s"), along("pv", "vv").alias("t"), along("pw", "ww").alias("q"))
-    off = lambda d, k, e: V.sqrnorm(tuple(x - F.col(k) * y for x, y in zip(d, e, strict=True)))
-    return t, F.when((F.col("g") >= 0) & (F.col("h") >= 0) & (F.col("g") + F.col("h") <= 1), F.abs(V.dot(p, n))).otherwise(F.sqrt(F.least(off(p, "s", u), off(p, "t", v), off(V.minus(p, u), "q", w))))
+    inner = lambda i, j, k, n: F.try_divide(F.col(i) * F.col(j) - F.col("uv") * F.col(k), F.col("area")).alias(n)
+    t = t.select("*", inner("vv", "pu", "pv", "g"), inner("uu", "pv", "pu", "h"), along("pu", "uu").alias("t0"), along("rw", "ww").alias("t1"), along("sv", "vv").alias("t2"))
+    off = lambda e, k, d: V.sqrnorm(V.minus(o, V.plus(e, V.scaled(d, F.col(k)))))
+    back = tuple(-x for x in v)
+    sides = F.sqrt(F.least(off(a, "t0", u), off(b, "t1", w), off(c, "t2", back)))
+    inside = (1 - F.col("g") - F.col("h") >= 0) & (F.col("g") >= 0) & (F.col("h") >= 0)
+    return t.withColumn("d", F.when(inside, F.abs(V.dot(p, m)) / F.col("size")).otherwise(sides))

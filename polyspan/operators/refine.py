@@ -45,17 +45,30 @@ def catmull_clark(vertices: DataFrame, polygons: DataFrame) -> tuple[DataFrame,
     return mesh.checked_numbers(old.unionByName(on_edge).unionByName(on_face)), c.select("mesh_id", (F.col("fid") * widest + F.col("k")).alias("fid"), quad.alias("vids"))
 
 
+#: Nodes along a side of the tiles that `mesh_field` is dealt by.
+TILE = 64
+
+
 def mesh_field(triangles: DataFrame, cell: float, band: float) -> DataFrame:
     """(ix, iy, iz, value): the distance to the nearest triangle (fid, ax .. cz) at all grid nodes within `band` of one.
-    Each triangle finds the nodes near its box by itself; one aggregate takes the least. What depends on the triangle
-    alone is worked out before its nodes are, and terms are columns of their own, so that none is computed twice."""
+    Triangles go to the tiles that their boxes come near, and each finds the nodes near its box within the tile; one
+    aggregate takes the least. Nodes are made and summed up where their tile lies and never sent."""
     a, b, c = V.vec("a"), V.vec("b"), V.vec("c")
     lo, hi = G.bounds(a, b, c)
-    t = triangle_terms(triangles, [F.struct(F.ceil((x - band) / cell).alias("lo"), F.floor((y + band) / cell).alias("hi")).alias("r" + k) for k, x, y in zip("xyz", lo, hi, strict=True)])
+    first = {k: F.ceil((x - band) / cell) for k, x in zip("xyz", lo, strict=True)}
+    last = {k: F.floor((x + band) / cell) for k, x in zip("xyz", hi, strict=True)}
+    t = triangles.select(*(p + k for p in "abc" for k in "xyz"))
+    for k in "xyz":
+        t = t.where(first[k] <= last[k]).withColumn("t" + k, F.explode(F.sequence(F.floor(first[k] / TILE), F.floor(last[k] / TILE))))
+    tile = ["tx", "ty", "tz"]
+    t = t.repartition(int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions")), *tile)
+    t = triangle_terms(t, [*tile, *(F.sequence(F.greatest(first[k], F.col("t" + k) * TILE), F.least(last[k], F.col("t" + k) * TILE + TILE - 1)).alias("r" + k) for k in "xyz")])
     for k in "xyz":
-        t = t.where(F.col(f"r{k}.lo") <= F.col(f"r{k}.hi")).withColumn("i" + k, F.explode(F.sequence(F.col(f"r{k}.lo"), F.col(f"r{k}.hi"))))
-    t, d = distance_by_terms(t, tuple(F.col("i" + k) * float(cell) for k in "xyz"))
-    return t.select("ix", "iy", "iz", d.alias("d")).groupBy("ix", "iy", "iz").agg(F.min("d").alias("value")).where(F.col("value") <= band)
+        t = t.withColumn("i" + k, F.explode("r" + k)).drop("r" + k)
+    t = distance_by_terms(t, tuple(F.col("i" + k) * float(cell) for k in "xyz"))
+    # not a filter, which would be pushed below the terms and work them out again
+    t = t.select(*tile, "ix", "iy", "iz", F.explode(F.when(F.col("d") <= band, F.array("d"))).alias("d"))
+    return t.groupBy(*tile, "ix", "iy", "iz").agg(F.min("d").alias("value")).select("ix", "iy", "iz", "value")
 
 
 def signed_mesh_field(triangles: DataFrame, cell: float, band: float) -> DataFrame:

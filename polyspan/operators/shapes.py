@@ -179,8 +179,8 @@ def nearest_triangle(points: DataFrame, triangles: DataFrame, cell: float) -> Da
         for k in "xyz":
             spread = spread.withColumn("k" + k, F.explode("r" + k)).drop("r" + k)
         near = open_.withColumn("_s", F.explode(steps)).select("pid", *(F.col(k).alias("o" + k) for k in "xyz"), *((F.floor(F.col(k) / size) + F.col("_s.d" + k)).alias("k" + k) for k in "xyz"))
-        met, d = distance_by_terms(near.join(spread, ["kx", "ky", "kz"]), V.vec("o"))
-        found = met.select("pid", "fid", d.alias("d")).groupBy("pid").agg(F.min(F.struct("d", "fid")).alias("m")).select("pid", F.col("m.fid").alias("fid"), F.col("m.d").alias("d"))
+        met = distance_by_terms(near.select("pid", "kx", "ky", "kz", *(F.col("o" + k).alias("q" + k) for k in "xyz")).join(spread, ["kx", "ky", "kz"]), V.vec("q"))
+        found = met.select("pid", "fid", "d").groupBy("pid").agg(F.min(F.struct("d", "fid")).alias("m")).select("pid", F.col("m.fid").alias("fid"), F.col("m.d").alias("d"))
         if size > whole:
             return found if done is None else done.unionByName(found)
         sure = cut(found.where(F.col("d") <= size))

@@ -1,8 +1,11 @@
 """Results at sizes and places where a plainer plan lost or doubled work: limits, ties at the border, plans without large shuffles."""
 
+import math
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from polyspan.operators import fixpoint
+from polyspan.operators import fixpoint, refine
 
 CORNERS = ", ".join(f"{p}{k} double" for p in "abc" for k in "xyz")
 
@@ -24,3 +27,52 @@ def test_hops_up_to_a_limit(spark):
     start = spark.createDataFrame([(0,)], "node long")
     assert {r.node: r.distance for r in fixpoint.hop_distances(path, start, 30.0).collect()} == {k: float(k) for k in range(31)}
     assert fixpoint.hop_distances(path, start).count() == 46
+
+
+def plain_distance(p, a, b, c):
+    """In the order of operations of the query's SQL."""
+    minus = lambda x, y: [i - j for i, j in zip(x, y)]
+    dot = lambda x, y: x[0] * y[0] + x[1] * y[1] + x[2] * y[2]
+    u, v, q = minus(b, a), minus(c, a), minus(p, a)
+    d00, d01, d11, d20, d21 = dot(u, u), dot(u, v), dot(v, v), dot(q, u), dot(q, v)
+    g, h = (d11 * d20 - d01 * d21) / (d00 * d11 - d01 * d01), (d00 * d21 - d01 * d20) / (d00 * d11 - d01 * d01)
+    if 1 - g - h >= 0 and g >= 0 and h >= 0:
+        n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+        return abs(dot(q, n)) / math.sqrt(dot(n, n))
+
+    def side(s, e):
+        w = minus(e, s)
+        t = max(0.0, min(1.0, dot(minus(p, s), w) / dot(w, w)))
+        r = [x - (i + t * j) for x, i, j in zip(p, s, w)]
+        return math.sqrt(dot(r, r))
+
+    return min(side(a, b), side(b, c), side(c, a))
+
+
+def test_field_at_the_edge_of_its_band(spark):
+    """Peaks whose height is the band below a node: the last digit decides, so it must be the SQL's."""
+    rng = np.random.default_rng(7)
+    tri = []
+    for i in range(60):
+        low = rng.integers(80_000, 200_000, 2) / 10_000
+        corners = [(4.0 * i, 0.0, 24 - 1.37 if i % 2 else 22.63), (4.0 * i + 1, 0.0, low[0]), (4.0 * i + 1, 1.0, low[1])]
+        tri.append(corners[i % 3 :] + corners[: i % 3])
+    got = {(r.ix, r.iy, r.iz): r.value for r in refine.mesh_field(triangles(spark, tri), 1.0, 1.37).collect()}
+    plain = {}
+    for t in tri:
+        lo, hi = np.min(t, axis=0), np.max(t, axis=0)
+        spans = [range(math.ceil(a - 1.37), math.floor(b + 1.37) + 1) for a, b in zip(lo, hi)]
+        for node in ((x, y, z) for x in spans[0] for y in spans[1] for z in spans[2]):
+            d = plain_distance(tuple(map(float, node)), *t)
+            if d <= 1.37:
+                plain[node] = min(d, plain.get(node, 9.0))
+    assert got == plain
+
+
+def test_field_is_summed_where_its_tiles_lie(spark):
+    """The only shuffle is that of triangles by tile; a triangle over several tiles gives each node once."""
+    t = triangles(spark, [[(-70, -3, 0.5), (150, -2, 0.25), (10, 80, 3)], [(1, 2, 60), (2, 2, 70), (1, 3, 66)]])
+    field = refine.mesh_field(t, 1.0, 1.2)
+    assert exchanges(field) == 1 and "Exchange hashpartitioning(tx" in plan(field)
+    nodes = [tuple(r) for r in field.select("ix", "iy", "iz").collect()]
+    assert len(nodes) == len(set(nodes)) > 10_000
