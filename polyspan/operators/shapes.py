@@ -13,20 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import vector as V
-from .distances import distance_by_terms, triangle_terms
-from .joins import extent
-from .lineage import cut
-
-
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Consecutive numbers from 0 in a total order: sorted ranges, each numbered by itself, and the counts before them."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a range
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    held = rows.withColumn("_part", part).join(F.broadcast(counts.withColumn("_before", before).drop("_n")), "_part")
-    return held.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+from .nearest import nearest_triangle  # noqa: F401
+from .order import numbered  # noqa: F401
 
 
 def _grid_faces(nu: int, nv: int, loop_u: bool, loop_v: bool, twist: bool = False) -> Column:
@@ -165,32 +153,6 @@ def isosurface(grid: DataFrame, level: float, cell: float = 1.0) -> DataFrame:
     return out.select("ix", "iy", "iz", "tet", "part", *(F.col("f")[i][k].alias(p + k) for i, p in enumerate("abc") for k in "xyz"))
 
 
-def nearest_triangle(points: DataFrame, triangles: DataFrame, cell: float) -> DataFrame:
-    """(pid, fid, d): the nearest triangle (fid, ax .. cz) of each point, ties by the smaller id. Triangles go to the cells
-    that their boxes touch, points look into the cells around their own; cells double for points that find none within
-    their side, until they cover everything. Rows of a pair that meet in several cells are one by the aggregate."""
-    a, b, c = V.vec("a"), V.vec("b"), V.vec("c")
-    lo, hi = G.bounds(a, b, c)
-    corners = triangles.select(F.explode(F.array(*[F.struct(*(F.col(p + k).alias(k) for k in "xyz")) for p in "abc"])).alias("p")).select("p.*")
-    whole, size, open_, done = extent(points, corners) * 3**0.5, cell, points.select("pid", "x", "y", "z"), None
-    steps = F.array(*[F.struct(*(F.lit(d).alias("d" + k) for k, d in zip("xyz", s, strict=True))) for s in itertools.product((-1, 0, 1), repeat=3)])
-    while True:
-        spread = triangle_terms(triangles, ["fid", *(F.sequence(F.floor(x / size), F.floor(y / size)).alias("r" + k) for k, x, y in zip("xyz", lo, hi, strict=True))])
-        for k in "xyz":
-            spread = spread.withColumn("k" + k, F.explode("r" + k)).drop("r" + k)
-        near = open_.withColumn("_s", F.explode(steps)).select("pid", *(F.col(k).alias("o" + k) for k in "xyz"), *((F.floor(F.col(k) / size) + F.col("_s.d" + k)).alias("k" + k) for k in "xyz"))
-        met = distance_by_terms(near.select("pid", "kx", "ky", "kz", *(F.col("o" + k).alias("q" + k) for k in "xyz")).join(spread, ["kx", "ky", "kz"]), V.vec("q"))
-        found = met.select("pid", "fid", "d").groupBy("pid").agg(F.min(F.struct("d", "fid")).alias("m")).select("pid", F.col("m.fid").alias("fid"), F.col("m.d").alias("d"))
-        if size > whole:
-            return found if done is None else done.unionByName(found)
-        sure = cut(found.where(F.col("d") <= size))
-        done = sure if done is None else done.unionByName(sure)
-        open_ = cut(open_.join(sure, "pid", "left_anti"))
-        if open_.isEmpty():
-            return done
-        size = 2 * size
-
-
 def voronoi_areas(placed: DataFrame) -> DataFrame:
     """(mesh_id, vid, area) of faces with corners: the part of each triangle that is nearest to a corner; of an obtuse
     triangle half for the obtuse corner and a quarter for each other."""

@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
-from polyspan.operators import fixpoint, refine
+from polyspan.operators import fixpoint, refine, shapes, surface, triangle_pairs
 
 CORNERS = ", ".join(f"{p}{k} double" for p in "abc" for k in "xyz")
 
@@ -76,3 +77,40 @@ def test_field_is_summed_where_its_tiles_lie(spark):
     assert exchanges(field) == 1 and "Exchange hashpartitioning(tx" in plan(field)
     nodes = [tuple(r) for r in field.select("ix", "iy", "iz").collect()]
     assert len(nodes) == len(set(nodes)) > 10_000
+
+
+def test_triangles_that_all_meet(spark):
+    """Several blocks in one place: no pair twice, none lost, none sent between tasks."""
+    rng = np.random.default_rng(11)
+    t = rng.normal(0, 1, (2300, 3, 3))
+    t[::2] *= 0.05
+    t[0] = np.nan
+    df = triangles(spark, t)
+    got = surface.intersecting_triangles(df, 0.25)
+    assert "Join" not in plan(got).split("FlatMapGroups")[0]
+    got = {(r.a, r.b) for r in got.collect()}
+    i, j = np.triu_indices(300, 1)
+    s = t[np.arange(0, 2300, 2300 // 300)[:300]]
+    ids = np.arange(0, 2300, 2300 // 300)[:300]
+    hit = triangle_pairs.crossing(s[i], s[j])
+    assert {(int(a), int(b)) for a, b in zip(ids[i[hit]], ids[j[hit]])} == {(a, b) for a, b in got if a in set(ids) and b in set(ids)}
+    lines = surface.intersection_segments(df.where("fid % 2 = 1 and fid < 300"), 1.0)
+    assert {(r.a, r.b) for r in lines.collect()} == {(a, b) for a, b in got if a % 2 and b % 2 and b < 300}
+
+
+def test_rays_and_points_over_blocks(spark):
+    rng = np.random.default_rng(12)
+    t = rng.random((1500, 1, 3)) * 20 + rng.normal(0, 0.4, (1500, 3, 3))
+    o, d = rng.random((1100, 3)) * 20, rng.normal(0, 1, (1100, 3))
+    df = triangles(spark, t)
+    rays = spark.createDataFrame([(i, *map(float, (*o[i], *d[i]))) for i in range(1100)], "rid long, ox double, oy double, oz double, dx double, dy double, dz double")
+    got = {r.rid: (r.n_hits, r.fid) for r in surface.ray_hits(rays, df, 0.25).collect()}
+    points = rays.select(F.col("rid").alias("pid"), *(F.col("o" + k).alias(k) for k in "xyz"))
+    near = {r.pid: (r.fid, r.d) for r in shapes.nearest_triangle(points, df, 0.2).collect()}
+    assert len(got) == len(near) == 1100
+    for i in range(0, 1100, 9):
+        way = triangle_pairs.ray_parameters(np.repeat(o[i : i + 1], 1500, 0), np.repeat(d[i : i + 1], 1500, 0), t)
+        n = int((~np.isnan(way)).sum())
+        assert got[i] == (n, int(np.nanargmin(way)) if n else None)
+        far = triangle_pairs.distances(np.repeat(o[i : i + 1], 1500, 0), t)
+        assert near[i] == (int(far.argmin()), far.min())
