@@ -31,9 +31,12 @@ def nearest_triangle(points: DataFrame, triangles: DataFrame, cell: float) -> Da
     first = cut(apart.groupBy("a").agg(F.min(F.struct("gap", "middle", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
 
     def work(one: pa.Table, two: pa.Table, same: bool) -> pa.Table:
+        p, t = packed.numbers(one, ["x", "y", "z"]), packed.numbers(two, corners).reshape(-1, 3, 3)
+        off = np.maximum(np.maximum(t.min(axis=(0, 1)) - p, p - t.max(axis=(0, 1))), 0.0)
         known = one.column("known").to_numpy()
-        fid = two.column("fid").to_numpy()
-        d, which = triangle_pairs.nearest(packed.numbers(one, ["x", "y", "z"]), packed.numbers(two, corners).reshape(-1, 3, 3), known, fid)
+        asks = np.sqrt((off * off).sum(axis=1)) <= known * (1 + 1e-9)
+        one, p, known = one.filter(pa.array(asks)), p[asks], known[asks]
+        d, which = triangle_pairs.nearest(p, t, known, two.column("fid").to_numpy())
         met = np.isfinite(d)
         return pa.table({"pid": one.column("pid").filter(pa.array(met)), "d": d[met], "fid": which[met]})
 
@@ -42,7 +45,9 @@ def nearest_triangle(points: DataFrame, triangles: DataFrame, cell: float) -> Da
     near = cut(packed.met(far, right, first, work, schema))
     bound = cut(left.join(near.select("pid", F.col("d").alias("known")).hint("merge"), "pid"))
     most = cut(bound.groupBy(F.col("block").alias("a")).agg(F.max("known").alias("most")))
-    # a little farther, so that rounding loses no block
-    rest = cut(apart.join(most, "a").where(F.col("gap") <= F.col("most") * (1 + 1e-9) + 1e-300).select("a", "b").join(first, ["a", "b"], "left_anti"))
+    # a little farther, so that rounding loses no block; a block is asked where a point is that near, not only its block
+    close = cut(apart.join(most, "a").where(F.col("gap") <= F.col("most") * (1 + 1e-9)).select("a", "b").join(first, ["a", "b"], "left_anti").join(other, "b"))
+    off = V.norm(tuple(F.greatest(F.col("blo" + k) - F.col(k), F.col(k) - F.col("bhi" + k), F.lit(0.0)) for k in "xyz"))
+    rest = cut(bound.withColumnRenamed("block", "a").join(close.hint("merge"), "a").where(off <= F.col("known") * (1 + 1e-9)).select("a", "b").distinct())
     found = near.unionByName(packed.met(bound, right, rest, work, schema))
     return found.groupBy("pid").agg(F.min(F.struct("d", "fid")).alias("m")).select("pid", F.col("m.fid").alias("fid"), F.col("m.d").alias("d"))
