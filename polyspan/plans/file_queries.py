@@ -41,7 +41,7 @@ for _kind in ("obj", "off", "ply", "vtk"):
 @query("stl_roundtrip", f"WITH {B.MESH} SELECT count(*) AS n_faces, round(sum(x), 3) AS x, round(sum(y), 3) AS y FROM (SELECT (ax+bx+cx)/3 AS x, (ay+by+cy)/3 AS y FROM tris)")
 def stl_roundtrip(spark, sf_dir):
     """STL keeps triangles only: their number and the sum of their centres."""
-    v, f = text_meshes.read_mesh(spark, _written(spark, sf_dir, "stl"), "stl")
+    v, f = text_meshes.read_mesh(spark, _written(spark, sf_dir, "stl", True), "stl", True)
     c = f.select("fid", F.explode("vids").alias("vid")).join(v, "vid")
     return c.agg(F.count_distinct("fid").alias("n_faces"), F.round(F.sum("x") / 3, 3).alias("x"), F.round(F.sum("y") / 3, 3).alias("y"))
 

@@ -1,8 +1,9 @@
 """Readers of text and binary geometry files as Spark jobs.
 
 Formats of one element a line (OBJ, XYZ, AGI, and OFF and PLY as text) are read in as many splits as Spark cuts a file
-into, so that one large file is the work of many tasks; `_lines` finds the place of every line in its file. Binary
-files, STL and VTK are read whole, a file a row, and parsed where they lie. Nothing passes the driver.
+into, so that one large file is the work of many tasks; `_lines` finds the place of every line in its file. STL and
+VTK are read so from parts, with a corner, point or polygon a line; single STL and VTK files and binary ones are read whole,
+a file a row, and parsed where they lie. Nothing passes the driver.
 
 Results have the columns of the library's tables with `mesh_id` the hash of the file's path and `path`.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
+from ..operators.order import numbered
 
 
 def _lines(spark: SparkSession, path: str, wanted: Column, parts: bool, **kinds: Column) -> DataFrame:
@@ -109,6 +111,34 @@ def read_ply(spark: SparkSession, path: str, parts: bool = False, element: str =
     return _placed_lines(lines, head, element == "edge")
 
 
+def read_stl(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """vertices and triangles of STL files as text, a corner a line: equal corners joined in order of their first use."""
+    word = F.col("words")
+    lines = _lines(spark, path, word[0] == "vertex", parts, no=F.lit(True))
+    at = lambda i: F.try_element_at("words", F.lit(i + 2)).try_cast("double") + F.lit(0.0)
+    corners = cut(lines.select("path", "mesh_id", "no", *(at(i).alias(k) for i, k in enumerate("xyz"))))
+    first = corners.groupBy("path", "mesh_id", "x", "y", "z").agg(F.min("no").alias("first"))
+    ranked = cut(numbered(first, ["path", "first"], "vid"))
+    base = ranked.groupBy("path").agg(F.min("vid").alias("_base"))
+    v = cut(ranked.join(base, "path").withColumn("vid", F.col("vid") - F.col("_base")).select("path", "mesh_id", "vid", "x", "y", "z"))
+    same = F.lit(True)
+    for k in ("path", *"xyz"):
+        same = same & F.col("c." + k).eqNullSafe(F.col("v." + k))
+    placed = corners.alias("c").join(v.alias("v").hint("merge"), same).select("c.path", "c.mesh_id", F.floor(F.col("c.no") / 3).alias("fid"), F.struct("c.no", "v.vid").alias("at"))
+    f = placed.groupBy("path", "mesh_id", "fid").agg(F.array_sort(F.collect_list("at")).alias("at")).select("path", "mesh_id", "fid", F.col("at.vid").alias("vids"))
+    return v, f
+
+
+def read_vtk(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """vertices and faces of legacy VTK files as text with a point and a polygon a line, as they are written here."""
+    word = F.col("words")
+    lines = _lines(spark, path, F.col("line") != "", parts, no=F.lit(True))
+    of = lambda name, c: F.max(F.when(F.upper(word[0]) == name, c))
+    head = lines.where(F.upper(word[0]).isin("POINTS", "POLYGONS")).groupBy("path").agg(
+        (of("POINTS", F.col("no")) + 1).alias("v0"), of("POINTS", word[1].try_cast("long")).alias("n"), (of("POLYGONS", F.col("no")) + 1).alias("f0"), of("POLYGONS", word[1].try_cast("long")).alias("m"))
+    return _placed_lines(lines, head.select("*", *(F.lit(i).alias("i" + k) for i, k in enumerate("xyz")), F.lit(0).alias("at")))
+
+
 def read_polylines(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataFrame, DataFrame]:
     """vertices (path, mesh_id, vid, x, y, z) and polylines (path, mesh_id, lid, vids) of OBJ files with l lines."""
     first = F.col("words")[0]
@@ -270,12 +300,14 @@ def _whole(spark: SparkSession, path: str, parse, faces: bool) -> DataFrame:
 
 def read_mesh(spark: SparkSession, path: str, kind: str | None = None, parts: bool = False) -> tuple[DataFrame, DataFrame]:
     """vertices and faces of mesh files, by `kind` or else the lower-cased extension of the path. With `parts`, a folder of
-    OBJ files, or of OFF or PLY files as text, is one mesh cut into ordered files."""
+    OBJ files, or of OFF, PLY, STL or VTK files as text, is one mesh cut into ordered files."""
     kind = kind or path.rstrip("/*").rpartition(".")[2].lower()
     if kind == "obj":
         return read_obj(spark, path, parts)
     if kind in _BINARY and (parts or spark.read.text(path).where(F.col("value").rlike(_BINARY[kind])).isEmpty()):
         return (read_off if kind == "off" else read_ply)(spark, path, parts)
+    if parts and kind in ("stl", "vtk"):
+        return (read_stl if kind == "stl" else read_vtk)(spark, path, parts)
     if kind not in _PARSERS or parts:
         raise ValueError(f"no reader for .{kind} files" + " in parts" * parts)
     return _whole(spark, path, _PARSERS[kind], False), _whole(spark, path, _PARSERS[kind], True)

@@ -3,10 +3,12 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from polyspan.operators import fixpoint, refine, shapes, surface, triangle_pairs
+from polyspan.sources import sinks, text_meshes
 
 CORNERS = ", ".join(f"{p}{k} double" for p in "abc" for k in "xyz")
 
@@ -114,3 +116,21 @@ def test_rays_and_points_over_blocks(spark):
         assert got[i] == (n, int(np.nanargmin(way)) if n else None)
         far = triangle_pairs.distances(np.repeat(o[i : i + 1], 1500, 0), t)
         assert near[i] == (int(far.argmin()), far.min())
+
+
+@pytest.mark.parametrize("kind", ["stl", "vtk"])
+def test_one_mesh_in_many_files(spark, tmp_path, kind):
+    n = 12
+    v = spark.range(n * n).select(F.lit(0).cast("long").alias("mesh_id"), F.col("id").alias("vid"), (F.col("id") % n).cast("double").alias("x"), F.floor(F.col("id") / n).cast("double").alias("y"), (F.col("id") * 0.37).alias("z"))
+    faces = [(0, i, [a, a + 1, a + n + 1]) for i, a in enumerate(x for x in range(n * n - n) if x % n < n - 1)]
+    f = spark.createDataFrame(faces, "mesh_id long, fid long, vids array<long>")
+    sinks.write_mesh(v, f, str(tmp_path / kind), kind, True)
+    assert len(list((tmp_path / kind).glob("*/*.txt"))) > 1
+    got_v, got_f = text_meshes.read_mesh(spark, str(tmp_path / kind) + "/*/*.txt", kind, True)
+    assert "binaryFile" not in plan(got_v) + plan(got_f)
+    at = {r.vid: (r.x, r.y, r.z) for r in got_v.collect()}
+    assert sorted(at) == list(range(len(at)))
+    place = lambda a: (float(a % n), float(a // n), a * 0.37)
+    assert {r.fid: [at[k] for k in r.vids] for r in got_f.collect()} == {i: [place(k) for k in vids] for _, i, vids in faces}
+    order = [k for _, _, vids in faces for k in vids] if kind == "stl" else range(n * n)
+    assert [at[k] for k in range(len(at))] == [place(k) for k in dict.fromkeys(order)]
