@@ -20,7 +20,7 @@ def _written(spark, sf_dir, kind: str, parts: bool = False):
     return path + "/*/*.txt"
 
 
-_PARTS = ("obj", "off", "ply")
+_PARTS = ("obj", "off", "ply", "vtk")
 
 
 def _roundtrip(kind: str):
