@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from .joins import radius_join
-from .lineage import cut
+from .lineage import cut, drop
 
 
 def unit_hash(*ids: Column, seed: int = 0) -> Column:
@@ -40,23 +40,44 @@ def stratified(points: DataFrame, by: str, n: int, seed: int = 0) -> DataFrame:
     return points.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+#: Points that are decided in the first step of `poisson_disc`; each further step takes twice as many.
+FIRST = 4096
+
+
 def poisson_disc(points: DataFrame, radius: float, axes: str = "xyz", seed: int = 0, by: list[str] = ()) -> DataFrame:
-    """A maximal subset (of each group `by`) with no two points within `radius`: points of the smallest hash among their
-    open neighbours are taken and their neighbours dropped, until none is open."""
+    """A maximal subset (of each group `by`) with no two points within `radius`: points in the order of their hash are taken
+    unless one within the radius has been. That is decided in steps of points that are next in order, each of as many as all
+    before: within one, points of the smallest hash among their open neighbours are taken and their neighbours dropped until
+    none is open; then all open points near a taken one go. So pairs are formed among few points of the whole place at first,
+    and later among those alone that no taken one is near."""
     key = [*by, "pid"]
-    u = points.select(*key, *axes, unit_hash(*(F.col(k) for k in key), seed=seed).alias("u"))
-    pairs = cut(radius_join(points, points, radius, axes, by).where("pid <> other").select(*key, "other"))
-    open_, taken = u.select(*key, "u"), None
-    while True:
-        live = pairs.join(open_.select(*by, F.col("pid").alias("other"), F.col("u").alias("ou")), [*by, "other"]).join(open_, key)
-        beaten = live.where((F.col("ou") < F.col("u")) | ((F.col("ou") == F.col("u")) & (F.col("other") < F.col("pid")))).select(*key).distinct()
-        won = cut(open_.join(beaten, key, "left_anti").select(*key))
-        taken = won if taken is None else taken.unionByName(won)
-        dead = pairs.join(won, key).select(*by, F.col("other").alias("pid")).distinct()
-        open_ = cut(open_.join(won, key, "left_anti").join(dead, key, "left_anti"))
-        if open_.isEmpty():
-            break
-    return points.join(taken, key, "left_semi")
+    rest = cut(points.select(*key, *axes, unit_hash(*(F.col(k) for k in key), seed=seed).alias("u")).where(F.col("u").isNotNull()))
+    taken, reached, size, n = None, 0.0, FIRST, rest.count()
+    while n:
+        reached = 1.0 if size >= n else reached + (1.0 - reached) * size / n
+        open_ = batch = cut(rest.where(F.col("u") <= reached))
+        pairs = cut(radius_join(batch, batch, radius, axes, by).where("pid <> other").select(*key, "other"))
+        won = None
+        while not open_.isEmpty():
+            live = pairs.join(open_.select(*by, F.col("pid").alias("other"), F.col("u").alias("ou")), [*by, "other"]).join(open_, key)
+            beaten = live.where((F.col("ou") < F.col("u")) | ((F.col("ou") == F.col("u")) & (F.col("other") < F.col("pid")))).select(*key).distinct()
+            first = cut(open_.join(beaten, key, "left_anti").select(*key, *axes))
+            won = first if won is None else won.unionByName(first)
+            dead = pairs.join(first.select(*key), key).select(*by, F.col("other").alias("pid")).distinct()
+            before, open_ = open_, cut(open_.join(first, key, "left_anti").join(dead, key, "left_anti"))
+            if before is not batch:
+                drop(before)
+        taken = (won if taken is None else taken.unionByName(won)) if won is not None else taken
+        later, old = rest.where(F.col("u") > reached), rest
+        if won is not None:
+            near = radius_join(won, later, radius, axes, by).select(*by, F.col("other").alias("pid")).distinct()
+            later = later.join(near, key, "left_anti")
+        rest = cut(later)
+        drop(old, pairs, batch)
+        n, size = rest.count(), 2 * size
+    if taken is None:
+        return points.limit(0)
+    return points.join(taken.select(*key).hint("merge"), key, "left_semi")
 
 
 def nearest_spacing(points: DataFrame, pairs: DataFrame) -> DataFrame:

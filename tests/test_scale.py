@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from polyspan.operators import fixpoint, refine, shapes, surface, triangle_pairs
+from polyspan.operators import fixpoint, joins, refine, sampling, shapes, surface, triangle_pairs
 from polyspan.sources import sinks, text_meshes
 
 CORNERS = ", ".join(f"{p}{k} double" for p in "abc" for k in "xyz")
@@ -145,3 +145,23 @@ def test_segments_of_given_pairs(spark):
     pairs = one.join(two, (F.col("a") < F.col("b")) & (F.col("b") % 3 == 0))
     got = [tuple(r) for r in surface.segments_of_pairs(pairs).collect()]
     assert len(got) == len(set(got)) > 20 and set(got) == {r for r in lines if r[1] % 3 == 0}
+
+
+def test_discs_in_steps(spark, monkeypatch):
+    """The result is that of taking points one by one in the order of their hash, however few a step decides."""
+    rng = np.random.default_rng(14)
+    at = rng.normal(0, 1, (400, 3))
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "pid long, x double, y double, z double")
+    monkeypatch.setattr(sampling, "FIRST", 40)
+    got = {r.pid for r in sampling.poisson_disc(points, 0.9).collect()}
+    order = [r.pid for r in points.orderBy(sampling.unit_hash(F.col("pid")), "pid").collect()]
+    plain = []
+    for i in order:
+        if all(((at[i] - at[j]) ** 2).sum() > 0.81 for j in plain):
+            plain.append(i)
+    assert got == set(plain)
+
+
+def test_exploded_points_are_not_sent_to_the_driver(spark):
+    few = spark.range(2).select(F.explode(F.sequence(F.lit(0), F.lit(50))).alias("pid"), F.rand(1).alias("x"), F.rand(2).alias("y"), F.rand(3).alias("z"))
+    assert "SortMergeJoin" in plan(joins.radius_join(few, few, 0.1))
