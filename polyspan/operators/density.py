@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from .joins import knn_join
+from .lineage import cut
 from .sampling import poisson_disc, unit_hash
 
 #: What counts as no length, and the area that stands for none.
@@ -77,7 +78,7 @@ def in_polygons(points: DataFrame, sides: DataFrame, row: float, by: str) -> Dat
     astride = (F.col("ay") > F.col("y")) != (F.col("by_") > F.col("y"))
     right = F.col("x") < F.col("ax") + F.try_divide((F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")), F.col("by_") - F.col("ay"))
     odd = met.where(astride & right).groupBy(by, "pid").agg(F.count("*").alias("_n")).where("_n % 2 = 1").select(by, "pid")
-    return points.join(odd, [by, "pid"], "left_semi")
+    return points.join(odd.hint("merge"), [by, "pid"], "left_semi")
 
 
 def polygon_sides(corners: DataFrame, by: str) -> DataFrame:
@@ -101,5 +102,7 @@ def discs_in_polygons(corners: DataFrame, radius: float, attempts: int = 8, by:
     tried = squares.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
     pid = (F.col("_ix") * (1 << 24) + F.col("_iy")) * 256 + F.col("_k")
     place = lambda k, s: (F.col("lo" + k) + (F.col("_i" + k) + unit_hash(F.col(by), F.col("_ix"), F.col("_iy"), F.col("_k"), seed=seed + s)) * radius).alias(k)
-    inside = in_polygons(tried.select(by, pid.alias("pid"), place("x", 0), place("y", 1)), polygon_sides(corners, by), radius, by)
+    # written, as the size of what is exploded here is not known to the planner, which would send it whole to the driver
+    tried = cut(tried.select(by, pid.alias("pid"), place("x", 0), place("y", 1)))
+    inside = cut(in_polygons(tried, polygon_sides(corners, by), radius, by))
     return poisson_disc(inside, radius, "xy", seed + 2, by=[by])

@@ -47,7 +47,8 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, axes: str = "x
     q, p = salted(q, p, keys)
     p = p.select(*keys, "_salt", F.col("pid").alias("other"), *(F.col(k).alias("o" + k) for k in axes), *(F.col(c).alias("_apart") for c in more))
     d = V.distance(V.vec("", axes), V.vec("o", axes))
-    pairs = q.join(p, [*keys, "_salt"])
+    # merged at any size: what is exploded here is larger than the planner takes it for, and would be sent whole to the driver
+    pairs = q.join(p.hint("merge"), [*keys, "_salt"])
     return (pairs.where(F.col(apart) != F.col("_apart")) if apart else pairs).select(*by, "pid", "other", d.alias("d")).where(F.col("d") <= radius)
 
 
