@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from polyspan.operators import fixpoint, joins, refine, sampling, segments, shapes, surface, triangle_pairs
+from polyspan.operators import columns, fixpoint, joins, refine, sampling, segments, shapes, surface, triangle_pairs
 from polyspan.sources import sinks, text_meshes
 
 CORNERS = ", ".join(f"{p}{k} double" for p in "abc" for k in "xyz")
@@ -189,3 +189,19 @@ def test_pairs_of_segments_and_boxes_come_once(spark):
     assert len(got) == len(set(got)) and set(got) == plain
     few = lines.where("sid % 50 = 0")
     assert sorted(r.bid for r in segments.boxes_hit(boxes, few, 4.0, 256).collect()) == sorted({b for b, i in plain if i % 50 == 0})
+
+
+def test_lines_see_few_columns(spark, monkeypatch):
+    """One high column far off lets no line go on to columns that cannot count."""
+    rng = np.random.default_rng(16)
+    at = np.concatenate([rng.random((700, 3)) * (12, 12, 0.5), [(11.9, 11.9, 1.0)]])
+    df = spark.createDataFrame([tuple(map(float, p)) for p in at], "x double, y double, weight double")
+    seen, front = [], columns._front
+    monkeypatch.setattr(columns, "_front", lambda near, by: (seen.append(near.count()), front(near, by))[1])
+    got = {(r.ix, r.iy, r.iz): r.value for r in columns.support_field(spark, df, (0.0,) * 3, (12.0,) * 3, 1.0, 0.4).collect()}
+    assert sum(seen) < 169 * 120
+    base = 0.3 * 12
+    for node in np.ndindex(13, 13, 13):
+        off = np.maximum(np.maximum(base - node[2], node[2] - base - at[:, 2] * (12 - base)), 0)
+        plain = np.sqrt((at[:, 0] - node[0]) ** 2 + (at[:, 1] - node[1]) ** 2 + off**2).min() - 0.025 * 12
+        assert abs(got[node] - plain) < 1e-9
